@@ -1,8 +1,12 @@
-"""All-match extraction with offsets, as Spark SQL expressions."""
+"""All-match extraction with offsets, as Spark SQL expression text.
+
+A record has many fields and every field meets many rules.  The expressions
+are therefore written as SQL text and parsed once per query; building the same
+tree call by call from Python takes seconds for a wide table.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..rules import ContextRule, Rule
-from .text import ROOT_PATH, strip_unicode
+from .text import ROOT_PATH, quoted, strip_sql
 
 HIT_TYPE = T.StructType([
     T.StructField("field_ordinal", T.IntegerType()),
@@ -24,163 +28,139 @@ HIT_TYPE = T.StructType([
     T.StructField("confidence", T.DoubleType()),
     T.StructField("detector_name", T.StringType()),
 ])
-HITS_TYPE = T.ArrayType(HIT_TYPE)
+NO_HITS = f"cast(array() as array<{HIT_TYPE.simpleString()}>)"
 
 
 class Place(NamedTuple):
-    """Where a text sits in its record; a text of its own sits at the root."""
-
-    field: Column
-    item: Column
-    path: Column
+    """Where a text sits in its record (SQL expressions); a text of its own sits at the root."""
 
-    @classmethod
-    def root(cls) -> Place:
-        return cls(F.lit(0), F.lit(0), F.lit(ROOT_PATH))
+    field: str = "0"
+    item: str = "0"
+    path: str = quoted(ROOT_PATH)
 
 
 # Any digit rule needs a digit next to a digit or one of these separators.
 _DIGIT_GATE = r"\p{Nd}[\p{Nd}./-]"
 
 
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once and use it several times inside ``body``.
+def _let(value: str, name: str, body: str) -> str:
+    """Bind ``value`` to ``name`` inside ``body``.
 
-    A lambda parameter is evaluated once per call, whereas repeating a Column
-    repeats the work wherever the optimizer inlines it.
+    A lambda parameter is evaluated once, whereas text that repeats an
+    expression repeats its work.
     """
-    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
-
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-def no_hits() -> Column:
-    return F.array().cast(HITS_TYPE)
 
-
-def _starts(gaps: Column, values: Column) -> Column:
-    """0-based code point start of every match, from the text between matches."""
-    first = F.length(F.get(gaps, F.lit(0)))
-    state = F.aggregate(
-        F.zip_with(F.slice(gaps, 2, F.size(values)), values, lambda g, v: F.struct(
-            F.length(g).alias("gap"), F.length(v).alias("len"))),
-        F.struct(first.alias("next"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct(
-            (acc["next"] + x["len"] + x["gap"]).alias("next"),
-            F.concat(acc["starts"], F.array(acc["next"])).alias("starts"),
-        ),
-        lambda acc: acc["starts"],
-    )
-    return F.when(F.size(values) == 1, F.array(first)).otherwise(state)
+# 0-based start of every match in m, from the pieces g between the matches.
+_STARTS = (
+    "CASE WHEN size(m) = 1 THEN array(length(get(g, 0))) ELSE aggregate("
+    "zip_with(slice(g, 2, size(m)), m, (p, q) -> length(p) + length(q)), "
+    "named_struct('next', length(get(g, 0)), 'starts', cast(array() as array<int>)), "
+    # m and the pieces after the first have the same length: next = start + match + piece.
+    "(acc, step) -> named_struct('next', acc.next + step, 'starts', concat(acc.starts, array(acc.next))), "
+    "acc -> acc.starts) END"
+)
 
 
-def find_all(text: Column, pattern: str) -> Column:
-    """Every non-overlapping leftmost match: ``array<struct<value, char_start, char_end>>``.
+def find_all_sql(text: str, pattern: str, item: str) -> str:
+    """Array of ``item`` for every non-overlapping leftmost match of ``pattern``.
 
-    Offsets count code points and are end-exclusive.  The text is cut at its
-    matches only when there are any, so a text without a match costs one pass.
+    ``item`` may use ``v`` (the matched text), ``s`` (its 0-based start in code
+    points) and ``length(v)``.  The text is cut at its matches only when there
+    are any, so a text without a match costs one pass.
     """
+    p = quoted(pattern)
+    starts = _let(f"split({text}, {p}, -1)", "g", _STARTS)
+    items = f"zip_with(m, {starts}, (v, s) -> {item})"
+    return _let(f"regexp_extract_all({text}, {p}, 0)", "m", f"CASE WHEN size(m) > 0 THEN {items} END")
 
-    def locate(values: Column) -> Column:
-        starts = _starts(F.split(text, pattern, -1), values)
-        return let(starts, lambda s: F.transform(values, lambda v, i: F.struct(
-            v.alias("value"),
-            F.get(s, i).alias("char_start"),
-            (F.get(s, i) + F.length(v)).alias("char_end"),
-        )))
-
-    empty = F.array().cast("array<struct<value:string,char_start:int,char_end:int>>")
-    return let(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda values: F.when(F.size(values) > 0, locate(values)).otherwise(empty),
-    )
+
+def find_all(text: str, pattern: str) -> Column:
+    """``array<struct<value, char_start, char_end>>`` of all matches; null when there is none."""
+    return F.expr(find_all_sql(
+        text, pattern, "named_struct('value', v, 'char_start', s, 'char_end', s + length(v))"))
 
 
-def _hit(rule: Rule | ContextRule, rank: int, place: Place, value: Column, start: Column, end: Column) -> Column:
-    return F.struct(
-        place.field.cast("int").alias("field_ordinal"),
-        place.item.cast("int").alias("item_ordinal"),
-        place.path.alias("field_path"),
-        F.lit(rank).cast("int").alias("rule_rank"),
-        F.lit(rule.entity_type).alias("entity_type"),
-        value.alias("value"),
-        start.cast("int").alias("char_start"),
-        end.cast("int").alias("char_end"),
-        F.lit(float(rule.confidence)).alias("confidence"),
-        F.lit(rule.name).alias("detector_name"),
+def _hit(rule: Rule | ContextRule, rank: int, place: Place, value: str, start: str, end: str) -> str:
+    return (
+        f"named_struct('field_ordinal', {place.field}, 'item_ordinal', {place.item}, 'field_path', {place.path}, "
+        f"'rule_rank', {rank}, 'entity_type', {quoted(rule.entity_type)}, 'value', {value}, "
+        f"'char_start', {start}, 'char_end', {end}, 'confidence', {float(rule.confidence)!r}D, "
+        f"'detector_name', {quoted(rule.name)})"
     )
 
 
-def may_match(text: Column, rule: Rule) -> Column:
+def may_match(text: str, rule: Rule) -> str:
     """Cheap necessary condition for ``rule`` to match ``text``."""
-    checks = [F.octet_length(text) >= rule.min_bytes]
+    checks = [f"octet_length({text}) >= {rule.min_bytes}"]
     if rule.literal:
-        checks.append(F.contains(text, F.lit(rule.literal)))
+        checks.append(f"contains({text}, {quoted(rule.literal)})")
     if rule.gate:
-        checks.append(text.rlike(rule.gate))
-    return reduce(lambda a, b: a & b, checks)
+        checks.append(f"rlike({text}, {quoted(rule.gate)})")
+    return " AND ".join(checks)
 
 
-def rule_hits(text: Column, rule: Rule, rank: int, place: Place) -> Column:
+def rule_hits(text: str, rule: Rule, rank: int, place: Place) -> str:
     """Hits of one rule in one text, in text order.
 
     The condition stands outside the lambda expressions, so it is compiled and
     the interpreted part runs only for texts that may hold a match.
     """
-    found = F.transform(
-        F.filter(find_all(text, rule.pattern), lambda m: F.length(m["value"]) > 0),
-        lambda m: _hit(rule, rank, place, m["value"], m["char_start"], m["char_end"]),
-    ).cast(HITS_TYPE)
-    return F.when(may_match(text, rule), found).otherwise(no_hits())
+    found = find_all_sql(text, rule.pattern, _hit(rule, rank, place, "v", "s", "s + length(v)"))
+    if rule.min_bytes <= 1:
+        found = f"filter({found}, h -> length(h.value) > 0)"
+    return f"CASE WHEN {may_match(text, rule)} THEN coalesce({found}, {NO_HITS}) ELSE {NO_HITS} END"
+
+
+def joined(arrays: list[str]) -> str:
+    if not arrays:
+        return NO_HITS
+    return arrays[0] if len(arrays) == 1 else f"concat({', '.join(arrays)})"
 
 
-def text_hits(text: Column, rules: tuple[Rule, ...], place: Place | None = None,
-              usable: set[str] | None = None) -> Column:
+def text_hits(text: str, rules: tuple[Rule, ...], place: Place = Place(),
+              usable: set[str] | None = None) -> str:
     """Hits of all regular-expression rules in one text, rule by rule.
 
     ``usable`` names the entity types this text can hold (default: all).  One
     shared digit check lets a text without digits skip every digit rule.
     """
-    place = place or Place.root()
-    ranked = [(k, r) for k, r in enumerate(rules) if usable is None or r.entity_type in usable]
-    if not ranked:
-        return no_hits()
-    parts: list[Column] = []
+    parts: list[str] = []
     run: list[tuple[int, Rule]] = []
 
     def flush() -> None:
         if run:
-            hits = [rule_hits(text, r, k, place) for k, r in run]
-            parts.append(F.when(
-                (F.octet_length(text) >= min(r.min_bytes for _, r in run)) & text.rlike(_DIGIT_GATE),
-                F.concat(*hits) if len(hits) > 1 else hits[0],
-            ).otherwise(no_hits()))
+            shortest = min(r.min_bytes for _, r in run)
+            parts.append(
+                f"CASE WHEN octet_length({text}) >= {shortest} AND rlike({text}, {quoted(_DIGIT_GATE)}) "
+                f"THEN {joined([rule_hits(text, r, k, place) for k, r in run])} ELSE {NO_HITS} END")
             run.clear()
 
-    for rank, rule in ranked:
+    for rank, rule in enumerate(rules):
+        if usable is not None and rule.entity_type not in usable:
+            continue
         if rule.gate:
             run.append((rank, rule))
         else:
             flush()
             parts.append(rule_hits(text, rule, rank, place))
     flush()
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    return joined(parts)
 
 
-def context_hits(text: Column, rules: tuple[ContextRule, ...], applies, ranks: dict[ContextRule, int],
-                 place: Place) -> Column:
+def context_hits(text: str, rules: list[tuple[int, ContextRule, str]], place: Place) -> str:
     """Whole-value hits of the field-name rules, with offsets into the stripped text.
 
-    ``applies(rule)`` is the condition that the field name fits the rule.
+    ``rules`` holds ``(rank, rule, condition that the field name fits)``.
     """
     if not rules:
-        return no_hits()
-
-    def one(rule: ContextRule, rank: int, stripped: Column) -> Column:
-        return F.when(
-            applies(rule) & stripped.rlike(rule.pattern),
-            F.array(_hit(rule, rank, place, stripped, F.lit(0), F.length(stripped))).cast(HITS_TYPE),
-        ).otherwise(no_hits())
-
-    any_rule = reduce(lambda a, b: a | b, [applies(r) for r in rules])
-    return F.when(any_rule, let(strip_unicode(text), lambda s: F.concat(
-        *[one(r, ranks[r], s) for r in rules], no_hits()
-    ))).otherwise(no_hits())
+        return NO_HITS
+    each = [
+        f"CASE WHEN {fits} AND rlike(w, {quoted(rule.pattern)}) "
+        f"THEN array({_hit(rule, rank, place, 'w', '0', 'length(w)')}) ELSE {NO_HITS} END"
+        for rank, rule, fits in rules
+    ]
+    any_fits = " OR ".join(fits for _, _, fits in rules)
+    return (f"CASE WHEN {text} IS NOT NULL AND ({any_fits}) "
+            f"THEN {_let(strip_sql(text), 'w', joined(each))} ELSE {NO_HITS} END")

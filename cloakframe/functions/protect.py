@@ -111,16 +111,11 @@ def protect_value(mode: str, value: Column, entity_type: Column) -> Column:
     raise ValueError(f"mode {mode!r} needs the pseudonym table; see operators.pseudonyms")
 
 
-def replace_in_order(text: Column, hits: Column) -> Column:
-    """Replace all occurrences of each hit's value, one hit after the other.
-
-    A later hit sees the text as the earlier ones left it.
-    """
-    return F.aggregate(hits, text, lambda t, h: F.replace(t, h["value"], h["sanitized"]))
-
-
-def replace_whole(hits: Column) -> Column:
-    """New text of a non-text cell: the first hit replaces the whole value."""
-    first = F.get(hits, F.lit(0))["sanitized"]
-    return F.aggregate(F.slice(hits, F.lit(2), F.size(hits)), first,
-                       lambda t, h: F.replace(t, h["value"], h["sanitized"]))
+# Replace all occurrences of each hit's value in {text}, one hit after the other;
+# a later hit sees the text as the earlier ones left it.
+REPLACE_IN_ORDER = "aggregate({hits}, {text}, (t, h) -> replace(t, h.value, h.sanitized))"
+# New text of a non-text cell: the first hit replaces the whole value.
+REPLACE_WHOLE = (
+    "aggregate({hits}, cast(null as string), "
+    "(t, h) -> CASE WHEN t IS NULL THEN h.sanitized ELSE replace(t, h.value, h.sanitized) END)"
+)

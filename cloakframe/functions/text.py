@@ -18,30 +18,37 @@ def strip_unicode(text: Column) -> Column:
     return F.regexp_replace(text, _STRIP, "")
 
 
-def cell_text(value: Column, dtype: T.DataType) -> Column:
-    """Text of a scalar as the rules see it; null stays null.
+def quoted(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def strip_sql(text: str) -> str:
+    """``strip_unicode`` as SQL text."""
+    return f"regexp_replace({text}, {quoted(_STRIP)}, '')"
+
+
+def cell_text(value: str, dtype: T.DataType) -> str:
+    """Text of a scalar (SQL expression) as the rules see it; null stays null.
 
     Differs from a plain cast for booleans (``True``), doubles that Spark would
     write in scientific notation although they are printed plainly elsewhere,
     and timestamps with a fraction (always six digits).
     """
+    plain = f"cast({value} as string)"
     if isinstance(dtype, (T.StringType, T.VarcharType, T.CharType)):
         return value
     if isinstance(dtype, T.BooleanType):
-        return F.initcap(value.cast("string"))
+        return f"initcap({plain})"
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        size = F.abs(value)
-        plain = F.regexp_replace(
-            F.regexp_replace(value.cast("double").cast("decimal(38,21)").cast("string"), "0+$", ""),
-            r"\.$", ".0",
-        )
-        spelled_out = ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3))
-        return F.when(spelled_out, plain).otherwise(value.cast("string"))
+        digits = f"cast(cast(cast({value} as double) as decimal(38,21)) as string)"
+        spelled = f"regexp_replace(regexp_replace({digits}, '0+$', ''), '[.]$', '.0')"
+        return (f"CASE WHEN abs({value}) >= 1e7 AND abs({value}) < 1e16 OR abs({value}) >= 1e-4 "
+                f"AND abs({value}) < 1e-3 THEN {spelled} ELSE {plain} END")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        whole = F.date_trunc("second", value.cast("timestamp_ntz")).cast("timestamp_ntz") == value.cast("timestamp_ntz")
-        return F.when(whole, value.cast("string")).otherwise(
-            F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-    return value.cast("string")
+        return (f"CASE WHEN date_trunc('second', {value}) = {value} THEN {plain} "
+                f"ELSE date_format({value}, 'yyyy-MM-dd HH:mm:ss.SSSSSS') END")
+    return plain
 
 
 def normalize_name(name: str) -> str:
@@ -49,10 +56,10 @@ def normalize_name(name: str) -> str:
     return re.sub("[^a-z0-9]+", "_", name.strip().lower()).strip("_")
 
 
-def normalize_name_column(name: Column) -> Column:
-    """Field name normalization for names that are data (map keys)."""
-    return F.regexp_replace(
-        F.regexp_replace(F.lower(strip_unicode(name)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+def normalize_name_sql(name: str) -> str:
+    """Field name normalization for names that are data (map keys), as SQL text."""
+    return (f"regexp_replace(regexp_replace(lower({strip_sql(name)}), "
+            f"'[^a-z0-9]+', '_'), '^_+|_+$', '')")
 
 
 def hint_pattern(hints: tuple[str, ...]) -> str:
@@ -65,13 +72,37 @@ def name_fits(hints: tuple[str, ...], name: str) -> bool:
     return re.fullmatch(hint_pattern(hints)[2:-2], normalize_name(name)) is not None
 
 
-def name_fits_column(hints: tuple[str, ...], name: Column) -> Column:
-    return normalize_name_column(name).rlike(hint_pattern(hints))
+def name_fits_sql(hints: tuple[str, ...], name: str) -> str:
+    return f"rlike({normalize_name_sql(name)}, {quoted(hint_pattern(hints))})"
+
+
+class FieldPath:
+    """A field path below construction: fixed text as far as possible, SQL where it is data."""
+
+    def __init__(self, parts: tuple[tuple[bool, str], ...] = ()):
+        self.parts = parts
+
+    def _text(self, text: str) -> FieldPath:
+        if self.parts and self.parts[-1][0]:
+            return FieldPath((*self.parts[:-1], (True, self.parts[-1][1] + text)))
+        return FieldPath((*self.parts, (True, text)))
+
+    def key(self, name: str) -> FieldPath:
+        return self._text(f".{name}" if self.parts else name)
+
+    def data_key(self, name: str) -> FieldPath:
+        base = self._text(".") if self.parts else self
+        return FieldPath((*base.parts, (False, name)))
 
+    def index(self, position: str) -> FieldPath:
+        return FieldPath((*self._text("[").parts, (False, f"cast({position} as string)")))._text("]")
 
-def field_path(path: Column) -> Column:
-    """Printable path; the empty path is the root."""
-    return F.coalesce(F.nullif(path, F.lit("")), F.lit(ROOT_PATH))
+    def sql(self) -> str:
+        """Printable path; the empty path is the root."""
+        parts = [quoted(p) if fixed else p for fixed, p in self.parts]
+        if not parts:
+            return quoted(ROOT_PATH)
+        return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
 
 
 def safe_preview(value: Column, visible: int = 2) -> Column:

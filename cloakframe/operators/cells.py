@@ -1,7 +1,7 @@
 """Flattening nested records into cells and writing cells back.
 
-The schema is walked once on the driver; the result is one array expression
-per row, so flattening needs no join and no shuffle.
+The schema is walked once on the driver.  The result is one SQL expression per
+record, so flattening needs no join and no shuffle.
 """
 
 from __future__ import annotations
@@ -12,42 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.matching import let
-from ..functions.text import cell_text, field_path
+from ..functions.text import ROOT_PATH, FieldPath, cell_text, quoted
 
-CELL_TYPE = T.StructType([
-    T.StructField("path", T.StringType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("name_bits", T.IntegerType()),
-])
-CELLS_TYPE = T.ArrayType(CELL_TYPE)
+CELLS_TYPE = "array<struct<path:string,name:string,text:string,name_bits:int>>"
+NO_CELLS = f"cast(array() as {CELLS_TYPE})"
 
 TEXT_TYPES = (T.StringType, T.VarcharType, T.CharType)
 _UNSCANNED = (T.BinaryType, T.NullType)
 
-# Turns a leaf into the text to look at; None leaves the cell out.
-LeafText = Callable[[Column, T.DataType], "Column | None"]
-# Facts about a field name, as bits: known on the driver for a struct field,
-# computed from the data for a map key.
-NameBits = Callable[["str | Column | None"], Column]
-
-
-def _as_column(path: str | Column) -> Column:
-    return F.lit(path) if isinstance(path, str) else path
-
-
-def under_key(path: str | Column, key: str | Column) -> str | Column:
-    """Path of a field below ``path``; stays a plain string while everything is static."""
-    if isinstance(path, str) and isinstance(key, str):
-        return f"{path}.{key}" if path else key
-    if isinstance(path, str):
-        return F.concat(F.lit(f"{path}."), key) if path else key
-    return F.concat(path, F.lit("."), _as_column(key))
-
-
-def under_index(path: str | Column, index: Column) -> Column:
-    return F.concat(_as_column(path), F.lit("["), index.cast("string"), F.lit("]"))
+# Turns a leaf (SQL expression, type) into the text to look at; None leaves it out.
+LeafText = Callable[[str, T.DataType], "str | None"]
+# Facts about a field name as bits: (fixed name, None), (None, SQL of a map key) or (None, None).
+NameBits = Callable[["str | None", "str | None"], str]
 
 
 def is_text(dtype: T.DataType) -> bool:
@@ -61,98 +37,88 @@ def is_leaf(dtype: T.DataType) -> bool:
     return not isinstance(dtype, (T.StructType, T.ArrayType, T.MapType))
 
 
-def any_text(value: Column, dtype: T.DataType) -> Column | None:
+def any_text(value: str, dtype: T.DataType) -> str | None:
     """Text of every scalar except binary."""
     return None if isinstance(dtype, _UNSCANNED) else cell_text(value, dtype)
 
 
-def static_leaves(value: Column, dtype: T.DataType, path: str = "", name: str | None = None):
-    """Leaves reachable through structs only: ``(column, type, path, name)``, in field order.
+def field_of(value: str, name: str) -> str:
+    return f"{value}.`{name.replace('`', '``')}`"
+
+
+def static_leaves(value: str, dtype: T.DataType, path: FieldPath = FieldPath(), name: str | None = None):
+    """Leaves reachable through structs only, in field order: ``(expression, type, path, name)``.
 
     Arrays and maps are returned whole, as one entry of their own type.
     """
     if isinstance(dtype, T.StructType):
-        for field in dtype.fields:
-            yield from static_leaves(value.getField(field.name), field.dataType,
-                                     under_key(path, field.name), field.name)
+        for f in dtype.fields:
+            yield from static_leaves(field_of(value, f.name), f.dataType, path.key(f.name), f.name)
     else:
         yield value, dtype, path, name
 
 
-def no_bits(name: str | Column | None) -> Column:
-    return F.lit(0)
+def _no_bits(name: str | None, key: str | None) -> str:
+    return "0"
 
 
-def _cell(path: str | Column, name: str | Column | None, text: Column, bits: Column) -> Column:
-    return F.struct(
-        _as_column(path).alias("path"),
-        (F.lit(None).cast("string") if name is None else _as_column(name)).alias("name"),
-        text.alias("text"),
-        bits.cast("int").alias("name_bits"),
-    )
-
+def cells(value: str, dtype: T.DataType, leaf_text: LeafText = any_text, path: FieldPath = FieldPath(),
+          name: str | None = None, key: str | None = None, name_bits: NameBits = _no_bits, depth: int = 0) -> str | None:
+    """Depth-first cells of a value, as SQL text; null cells included.
 
-def cells(value: Column, dtype: T.DataType, leaf_text: LeafText = any_text,
-          path: str | Column = "", name: str | Column | None = None,
-          name_bits: NameBits = no_bits) -> Column | None:
-    """Depth-first cells of a value: ``array<struct<path, name, text, name_bits>>``, null cells included.
-
-    ``name`` is the last path part when that is a key, null for list items.
-    None when nothing below ``value`` is a candidate.
+    ``name`` (fixed) or ``key`` (data) is the last path part when that is a
+    key; list items have neither.  None when nothing below is a candidate.
     """
+    x, i, e = f"x{depth}", f"i{depth}", f"e{depth}"
     if isinstance(dtype, T.StructType):
-        parts = [cells(value.getField(f.name), f.dataType, leaf_text, under_key(path, f.name), f.name, name_bits)
-                 for f in dtype.fields]
-        return _joined([p for p in parts if p is not None])
+        parts = [cells(field_of(value, f.name), f.dataType, leaf_text, path.key(f.name), f.name, None,
+                       name_bits, depth) for f in dtype.fields]
+        parts = [p for p in parts if p is not None]
+        return None if not parts else parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
     if isinstance(dtype, T.ArrayType):
-        if not _has_cells(dtype.elementType, leaf_text):
-            return None
-        return _gathered(F.transform(value, lambda x, i: cells(
-            x, dtype.elementType, leaf_text, under_index(path, i), None, name_bits)))
+        inner = cells(x, dtype.elementType, leaf_text, path.index(i), None, None, name_bits, depth + 1)
+        return inner and f"coalesce(flatten(transform({value}, ({x}, {i}) -> {inner})), {NO_CELLS})"
     if isinstance(dtype, T.MapType):
-        if not _has_cells(dtype.valueType, leaf_text):
-            return None
-        return _gathered(F.transform(F.map_entries(value), lambda e: let(
-            e["key"].cast("string"), lambda k: cells(
-                e["value"], dtype.valueType, leaf_text, under_key(path, k), k, name_bits))))
+        k = f"cast({e}.key as string)"
+        inner = cells(f"{e}.value", dtype.valueType, leaf_text, path.data_key(k), None, k, name_bits, depth + 1)
+        return inner and f"coalesce(flatten(transform(map_entries({value}), {e} -> {inner})), {NO_CELLS})"
     is_leaf(dtype)
     text = leaf_text(value, dtype)
-    return None if text is None else F.array(_cell(path, name, text, name_bits(name))).cast(CELLS_TYPE)
-
-
-def _has_cells(dtype: T.DataType, leaf_text: LeafText) -> bool:
-    if isinstance(dtype, T.StructType):
-        return any(_has_cells(f.dataType, leaf_text) for f in dtype.fields)
-    if isinstance(dtype, T.ArrayType):
-        return _has_cells(dtype.elementType, leaf_text)
-    if isinstance(dtype, T.MapType):
-        return _has_cells(dtype.valueType, leaf_text)
-    return is_leaf(dtype) and leaf_text(F.lit(None), dtype) is not None
-
-
-def _joined(parts: list[Column]) -> Column | None:
-    if not parts:
+    if text is None:
         return None
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
-
-
-def _gathered(nested: Column) -> Column:
-    return F.coalesce(F.flatten(nested), F.array().cast(CELLS_TYPE))
+    shown = quoted(name) if name is not None else key if key is not None else "cast(null as string)"
+    return (f"cast(array(named_struct('path', {path.sql()}, 'name', {shown}, 'text', {text}, "
+            f"'name_bits', {name_bits(name, key)})) as {CELLS_TYPE})")
 
 
 def cell_table(records: DataFrame) -> DataFrame:
     """One row per non-null scalar: ``source_id, record_index, field_ordinal, field_path, field_name, value``."""
-    found = cells(F.col("content"), records.schema["content"].dataType)
+    found = cells("content", records.schema["content"].dataType) or NO_CELLS
     return (
-        records.select("source_id", "record_index", F.posexplode(found).alias("field_ordinal", "cell"))
+        records.select("source_id", "record_index", F.posexplode_outer(F.expr(found)).alias("field_ordinal", "cell"))
         .filter(F.col("cell.text").isNotNull())
-        .select("source_id", "record_index", "field_ordinal",
-                field_path(F.col("cell.path")).alias("field_path"),
-                F.col("cell.name").alias("field_name"),
-                F.col("cell.text").alias("value"))
+        .select("source_id", "record_index", "field_ordinal", F.col("cell.path").alias("field_path"),
+                F.col("cell.name").alias("field_name"), F.col("cell.text").alias("value"))
     )
 
 
+def _variant_is(value: Column, kind: str) -> Column:
+    return F.startswith(F.schema_of_variant(value), F.lit(kind))
+
+
+_OPEN = """
+CASE WHEN startswith(schema_of_variant(cell.value), 'OBJECT') THEN
+  transform(map_entries(try_variant_get(cell.value, '$', 'map<string,variant>')), (e, i) -> named_struct(
+    'path', if(cell.path = '', e.key, concat(cell.path, '.', e.key)), 'name', e.key,
+    'value', e.value, 'ordinal', concat(cell.ordinal, array(i))))
+WHEN startswith(schema_of_variant(cell.value), 'ARRAY') THEN
+  transform(try_variant_get(cell.value, '$', 'array<variant>'), (v, i) -> named_struct(
+    'path', concat(cell.path, '[', cast(i as string), ']'), 'name', cast(null as string),
+    'value', v, 'ordinal', concat(cell.ordinal, array(i))))
+ELSE array(cell) END
+"""
+
+
 def variant_cells(records: DataFrame, max_depth: int = 16) -> DataFrame:
     """``cell_table`` for a ``content`` of type VARIANT, whose keys are data.
 
@@ -160,60 +126,43 @@ def variant_cells(records: DataFrame, max_depth: int = 16) -> DataFrame:
     levels are narrow.  Content nested deeper than ``max_depth`` raises, so no
     cell is lost silently.
     """
-    item = "struct<path:string,name:string,value:variant,ordinal:array<int>>"
-
-    def step(x: Column) -> Column:
-        fields = F.try_variant_get(x["value"], "$", "map<string,variant>")
-        items = F.try_variant_get(x["value"], "$", "array<variant>")
-        opened_map = F.transform(F.map_entries(fields), lambda e, i: F.struct(
-            F.when(x["path"] == "", e["key"]).otherwise(F.concat(x["path"], F.lit("."), e["key"])).alias("path"),
-            e["key"].alias("name"), e["value"].alias("value"),
-            F.concat(x["ordinal"], F.array(i)).alias("ordinal")))
-        opened_list = F.transform(items, lambda v, i: F.struct(
-            under_index(x["path"], i).alias("path"), F.lit(None).cast("string").alias("name"),
-            v.alias("value"), F.concat(x["ordinal"], F.array(i)).alias("ordinal")))
-        kept = F.array(F.struct(x["path"].alias("path"), x["name"].alias("name"),
-                                x["value"].alias("value"), x["ordinal"].alias("ordinal")))
-        return (F.when(_variant_is(x["value"], "OBJECT"), opened_map.cast(f"array<{item}>"))
-                .when(_variant_is(x["value"], "ARRAY"), opened_list.cast(f"array<{item}>"))
-                .otherwise(kept.cast(f"array<{item}>")))
-
-    frame = records.select("source_id", "record_index", F.struct(
-        F.lit("").alias("path"), F.lit(None).cast("string").alias("name"),
-        F.col("content").alias("value"), F.array().cast("array<int>").alias("ordinal")).alias("cell"))
+    frame = records.select("source_id", "record_index", F.expr(
+        "named_struct('path', '', 'name', cast(null as string), 'value', content, "
+        "'ordinal', cast(array() as array<int>))").alias("cell"))
     for _ in range(max_depth):
-        frame = frame.select("source_id", "record_index", F.explode(step(F.col("cell"))).alias("cell"))
+        frame = frame.select("source_id", "record_index", F.explode_outer(F.expr(_OPEN)).alias("cell"))
     value = F.col("cell.value")
-    too_deep = _variant_is(value, "OBJECT") | _variant_is(value, "ARRAY")
-    text = F.when(too_deep, F.raise_error(F.lit(f"content is nested deeper than {max_depth} levels")).cast("string")) \
-        .when(_variant_is(value, "BOOLEAN"), F.initcap(F.try_variant_get(value, "$", "string"))) \
-        .otherwise(F.try_variant_get(value, "$", "string"))
+    text = F.try_variant_get(value, "$", "string")
+    too_deep = F.raise_error(F.lit(f"content is nested deeper than {max_depth} levels")).cast("string")
     return frame.select(
         "source_id", "record_index", F.col("cell.ordinal").alias("field_ordinal"),
-        field_path(F.col("cell.path")).alias("field_path"),
-        F.col("cell.name").alias("field_name"), text.alias("value"),
+        F.when(F.col("cell.path") == "", ROOT_PATH).otherwise(F.col("cell.path")).alias("field_path"),
+        F.col("cell.name").alias("field_name"),
+        F.when(_variant_is(value, "OBJECT") | _variant_is(value, "ARRAY"), too_deep)
+        .when(_variant_is(value, "BOOLEAN"), F.initcap(text)).otherwise(text).alias("value"),
     ).filter(F.col("value").isNotNull())
 
 
-def _variant_is(value: Column, kind: str) -> Column:
-    return F.startswith(F.schema_of_variant(value), F.lit(kind))
-
-
-# Gives a leaf its new value: (value, type, path) -> column, or None to leave it alone.
-LeafRewrite = Callable[[Column, T.DataType, "str | Column"], "Column | None"]
+# Gives a leaf its new value: (expression, type, path) -> expression, or None to leave it alone.
+LeafRewrite = Callable[[str, T.DataType, FieldPath], "str | None"]
 
 
-def rewrite(value: Column, dtype: T.DataType, change: LeafRewrite, path: str | Column = "") -> Column:
-    """Rebuild a nested value with changed leaves, keeping nulls and field order."""
+def rewrite(value: str, dtype: T.DataType, change: LeafRewrite,
+            path: FieldPath = FieldPath(), depth: int = 0) -> str:
+    """SQL text that rebuilds a nested value with changed leaves, keeping nulls and field order."""
+    x, i, k = f"x{depth}", f"i{depth}", f"k{depth}"
     if isinstance(dtype, T.StructType):
-        fields = [rewrite(value.getField(f.name), f.dataType, change, under_key(path, f.name)).alias(f.name)
+        if not dtype.fields:
+            return value
+        fields = [f"{quoted(f.name)}, " + rewrite(field_of(value, f.name), f.dataType, change, path.key(f.name), depth)
                   for f in dtype.fields]
-        return F.when(value.isNotNull(), F.struct(*fields)) if fields else value
+        return f"CASE WHEN {value} IS NOT NULL THEN named_struct({', '.join(fields)}) END"
     if isinstance(dtype, T.ArrayType):
-        return F.transform(value, lambda x, i: rewrite(x, dtype.elementType, change, under_index(path, i)))
+        inner = rewrite(x, dtype.elementType, change, path.index(i), depth + 1)
+        return f"transform({value}, ({x}, {i}) -> {inner})"
     if isinstance(dtype, T.MapType):
-        return F.transform_values(value, lambda k, v: rewrite(
-            v, dtype.valueType, change, under_key(path, k.cast("string"))))
+        inner = rewrite(x, dtype.valueType, change, path.data_key(f"cast({k} as string)"), depth + 1)
+        return f"transform_values({value}, ({k}, {x}) -> {inner})"
     is_leaf(dtype)
     changed = change(value, dtype, path)
     return value if changed is None else changed

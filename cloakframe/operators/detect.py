@@ -8,15 +8,14 @@ shuffled.  ``detections`` unfolds the array into a table.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import rules as R
-from ..functions.matching import Place, context_hits, no_hits, text_hits
-from ..functions.text import ROOT_PATH, cell_text, field_path, name_fits, name_fits_column
+from ..functions.matching import NO_HITS, Place, context_hits, joined, text_hits
+from ..functions.text import ROOT_PATH, FieldPath, cell_text, name_fits, name_fits_sql
 from .cells import cells, is_leaf, is_text, static_leaves
 
 # Up to this many plain leaves get their own compiled expression; a wider
@@ -37,11 +36,10 @@ class Detector:
         self.custom = R.select_rules(R.custom_rules(spark, custom), entities)
         self.rules = R.select_rules(R.DEFAULT_RULES, entities) + self.custom
         self.context = R.select_rules(R.CONTEXT_RULES, entities)
-        self.ranks = {r: len(self.rules) + k for k, r in enumerate(self.context)}
         self.types = {r.entity_type for r in self.rules}
 
-    def candidate_text(self, value: Column, dtype: T.DataType) -> Column | None:
-        """Text of a leaf where some rule can match, null or None where none can.
+    def candidate_text(self, value: str, dtype: T.DataType) -> str | None:
+        """SQL text of a leaf where some rule can match, null or None where none can.
 
         Default rules see in a number at most a run of 8 to 12 digits, in a
         date or time at most a date or a fraction, in a boolean nothing.  A
@@ -56,61 +54,49 @@ class Detector:
         if "PHONE" not in self.types:
             return None
         if isinstance(dtype, _FULL_INT_TYPES):
-            low, high = 10_000_000, 999_999_999_999
-            return F.when(value.between(low, high) | value.between(-high, -low), value.cast("string"))
+            return (f"CASE WHEN {value} BETWEEN 10000000 AND 999999999999 "
+                    f"OR {value} BETWEEN -999999999999 AND -10000000 THEN cast({value} as string) END")
         if isinstance(dtype, T.DecimalType) and dtype.precision >= 8:
             return cell_text(value, dtype)
         if isinstance(dtype, _FRACTION_TYPES):
             return cell_text(value, dtype)
         return None
 
-    def _leaf_hits(self, text: Column, dtype: T.DataType, name: str | None, place: Place) -> Column:
+    def _leaf_hits(self, text: str, dtype: T.DataType, name: str | None, place: Place) -> str:
         """Hits in a leaf whose type and name are known on the driver."""
         usable = None
         if not is_text(dtype) and not self.custom:
             usable = {"PHONE", "BIRTH_DATE"} if isinstance(dtype, _TIME_TYPES) else {"PHONE"}
-        found = text_hits(text, self.rules, place, usable)
-        fitting = tuple(r for r in self.context if name is not None and name_fits(r.hints, name))
-        if not is_text(dtype) or not fitting:
-            return found
-        return F.concat(found, context_hits(text, fitting, lambda r: F.lit(True), self.ranks, place))
-
-    def _name_bits(self, name: str | Column | None) -> Column:
-        if name is None:
-            return F.lit(0)
-        if isinstance(name, str):
-            return F.lit(sum(1 << k for k, r in enumerate(self.context) if name_fits(r.hints, name)))
-        bits = [F.when(name_fits_column(r.hints, name), 1 << k).otherwise(0) for k, r in enumerate(self.context)]
-        return reduce(lambda a, b: a + b, bits, F.lit(0))
-
-    def _cell_hits(self, cell: Column, place: Place) -> Column:
-        """Hits in one cell of a list, a map or a wide record."""
-        bit = {r: 1 << k for k, r in enumerate(self.context)}
-        return F.concat(
-            text_hits(cell["text"], self.rules, place),
-            context_hits(cell["text"], self.context,
-                         lambda r: cell["name_bits"].bitwiseAND(bit[r]) > 0, self.ranks, place),
-        )
-
-    def _walked(self, value: Column, dtype: T.DataType, ordinal: int | None,
-                path: str = "", name: str | None = None) -> Column | None:
+        found = [text_hits(text, self.rules, place, usable)]
+        fitting = [(len(self.rules) + k, r, "true") for k, r in enumerate(self.context)
+                   if is_text(dtype) and name is not None and name_fits(r.hints, name)]
+        if fitting:
+            found.append(context_hits(text, fitting, place))
+        return joined(found)
+
+    def _name_bits(self, name: str | None, key: str | None) -> str:
+        if name is not None:
+            return str(sum(1 << k for k, r in enumerate(self.context) if name_fits(r.hints, name)))
+        if key is None or not self.context:
+            return "0"
+        return " + ".join(f"if({name_fits_sql(r.hints, key)}, {1 << k}, 0)" for k, r in enumerate(self.context))
+
+    def _walked(self, value: str, dtype: T.DataType, ordinal: int | None,
+                path: FieldPath = FieldPath(), name: str | None = None) -> str | None:
         """Hits of a list, a map or a wide record, found by walking its cells."""
-        found = cells(value, dtype, self.candidate_text, path, name, self._name_bits)
+        found = cells(value, dtype, self.candidate_text, path, name, None, self._name_bits)
         if found is None:
             return None
+        place = Place("ci", "0", "c.path") if ordinal is None else Place(str(ordinal), "ci", "c.path")
+        fitting = [(len(self.rules) + k, r, f"(c.name_bits & {1 << k}) > 0") for k, r in enumerate(self.context)]
+        hits = joined([text_hits("c.text", self.rules, place), context_hits("c.text", fitting, place)])
+        return f"coalesce(flatten(transform({found}, (c, ci) -> {hits})), {NO_HITS})"
 
-        def place(c: Column, i: Column) -> Column:
-            field, item = (i, F.lit(0)) if ordinal is None else (F.lit(ordinal), i)
-            return self._cell_hits(c, Place(field, item, field_path(c["path"])))
-
-        return F.coalesce(F.flatten(F.transform(found, place)), no_hits())
-
-    def hits(self, content: Column, dtype: T.DataType) -> Column:
-        """``array<struct<field_ordinal, item_ordinal, field_path, …>>`` of one record or text."""
+    def hits(self, dtype: T.DataType, content: str = "content") -> str:
+        """``array<struct<field_ordinal, item_ordinal, field_path, …>>`` of a record or text, as SQL text."""
         leaves = list(static_leaves(content, dtype))
         if len(leaves) > INLINE_LEAVES:
-            found = self._walked(content, dtype, None)
-            return no_hits() if found is None else found
+            return self._walked(content, dtype, None) or NO_HITS
         parts = []
         for ordinal, (value, leaf_type, path, name) in enumerate(leaves):
             if isinstance(leaf_type, (T.ArrayType, T.MapType)):
@@ -119,23 +105,31 @@ class Detector:
                 is_leaf(leaf_type)
                 text = self.candidate_text(value, leaf_type)
                 part = None if text is None else self._leaf_hits(
-                    text, leaf_type, name, Place(F.lit(ordinal), F.lit(0), F.lit(path or ROOT_PATH)))
+                    text, leaf_type, name, Place(str(ordinal), "0", path.sql()))
             if part is not None:
                 parts.append(part)
-        if not parts:
-            return no_hits()
-        return F.concat(*parts) if len(parts) > 1 else parts[0]
+        return joined(parts)
 
 
 def annotate(records: DataFrame, detector: Detector | None = None) -> DataFrame:
     """Add ``hits`` to every record: one scan, all rules, no shuffle."""
     detector = detector or Detector()
-    return records.withColumn("hits", detector.hits(F.col("content"), records.schema["content"].dataType))
+    return records.withColumn("hits", F.expr(detector.hits(records.schema["content"].dataType)))
+
+
+def unfold(annotated: DataFrame, *keep: str | Column) -> DataFrame:
+    """One row per hit, with the ``keep`` columns of its record.
+
+    The outer form matters: for a plain ``inline`` the optimizer adds a filter
+    on the size of the array and pushes it below the projection that computes
+    the array, so every rule would run again for it.
+    """
+    return annotated.select(*keep, F.inline_outer("hits")).filter(F.col("entity_type").isNotNull())
 
 
 def detections(annotated: DataFrame, keep: Iterable[str] = ("source_id", "record_index")) -> DataFrame:
-    """One row per hit."""
-    return annotated.select(*keep, F.inline("hits"))
+    """One row per hit: where it is, what it is, and which rule found it."""
+    return unfold(annotated, *keep)
 
 
 def detect(records: DataFrame, detector: Detector | None = None) -> DataFrame:
@@ -217,6 +211,7 @@ def analyze_texts(texts: DataFrame, analyzer: Callable, text: str = "text",
             {"label": s[0], "start": s[1], "end": s[2], "score": s[3]} for s in analyzer(t, labels)])
 
     others = [c for c in texts.columns if c != text]
-    found = texts.select(*others, text, F.explode(spans_of(F.col(text))).alias("span"))
+    found = texts.select(*others, text, F.explode_outer(spans_of(F.col(text))).alias("span")) \
+        .filter(F.col("span").isNotNull())
     return found.select(*others, *_span_fields(
         F.col(text), F.col("span.label"), F.col("span.start"), F.col("span.end"), F.col("span.score")))

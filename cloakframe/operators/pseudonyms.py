@@ -140,7 +140,8 @@ def pseudonymize_hits(annotated: DataFrame, known: DataFrame,
     Returns the records and the new table entries.  Records without a hit pass
     through untouched; only records with hits are written and shuffled.
     """
-    hit_rows = cut(annotated.filter(F.size("hits") > 0).withColumn("_id", F.monotonically_increasing_id()))
+    # The generated id keeps the filter above the rules; pushed below, it would run them twice.
+    hit_rows = cut(annotated.withColumn("_id", F.monotonically_increasing_id()).filter(F.size("hits") > 0))
     lookup, new = assign(detections(hit_rows), known, detector)
     values = hit_rows.select("_id", F.posexplode("hits").alias("_pos", "_hit")).select(
         "_id", "_pos", F.col("_hit.entity_type").alias("entity_type"), F.col("_hit.value").alias("value"))
@@ -150,6 +151,6 @@ def pseudonymize_hits(annotated: DataFrame, known: DataFrame,
     )
     protected = hit_rows.join(names, "_id").withColumn("hits", F.zip_with(
         "hits", "_names", lambda h, n: h.withField("sanitized", n["pseudonym"]))).drop("_id", "_names")
-    untouched = annotated.filter(F.size("hits") == 0).withColumn("hits", F.transform(
-        "hits", lambda h: h.withField("sanitized", F.lit(None).cast("string"))))
+    untouched = annotated.filter(F.size("hits") == 0).withColumn(
+        "hits", F.array().cast(protected.schema["hits"].dataType))
     return untouched.unionByName(protected), new

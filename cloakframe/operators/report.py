@@ -43,23 +43,14 @@ def source_summary(annotated: DataFrame) -> DataFrame:
     shuffle of one partial row per task and source.  A source without a hit
     keeps its row, with zero counts and null confidences.
     """
-    hits = F.col("hits")
-    some = F.size(hits) > 0
-
-    def count_of(entity_type: str) -> Column:
-        return F.sum(F.when(some, F.size(F.filter(hits, lambda h: h["entity_type"] == entity_type)))
-                     .otherwise(0)).cast("bigint").alias(entity_type)
-
-    scores = F.when(some, F.transform(hits, lambda h: h["confidence"]))
-    total = F.aggregate(scores, F.lit(0).cast(_EXACT), lambda a, c: (a + c.cast(_EXACT)).cast(_EXACT))
-    grouped = annotated.groupBy("source_id").agg(
-        F.sum("units").alias("record_count"),
-        F.sum(F.size(hits)).cast("bigint").alias("entities_found"),
-        *[count_of(t) for t in SORTED_TYPES],
-        F.sum(total).cast("double").alias("_total"),
-        F.min(F.array_min(scores)).alias("min"),
-        F.max(F.array_max(scores)).alias("max"),
-    )
+    counts = [
+        f"sum(if(size(hits) > 0, size(filter(hits, h -> h.entity_type = '{t}')), 0)) AS {t}" for t in SORTED_TYPES]
+    scores = "if(size(hits) > 0, transform(hits, h -> h.confidence), null)"
+    total = f"aggregate({scores}, cast(0 as {_EXACT}), (a, c) -> cast(a + cast(c as {_EXACT}) as {_EXACT}))"
+    grouped = annotated.groupBy("source_id").agg(*[F.expr(e) for e in (
+        "sum(units) AS record_count", "sum(size(hits)) AS entities_found", *counts,
+        f"cast(sum({total}) as double) AS _total",
+        f"min(array_min({scores})) AS min", f"max(array_max({scores})) AS max")])
     return grouped.select(
         "source_id", "record_count", "entities_found", *SORTED_TYPES,
         F.when(F.col("entities_found") > 0, F.col("_total") / F.col("entities_found")).alias("average"),

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.matching import let
-from ..functions.protect import protect_value, replace_in_order, replace_whole
-from ..functions.text import cell_text, field_path
+from ..functions.protect import REPLACE_IN_ORDER, REPLACE_WHOLE, protect_value
+from ..functions.text import FieldPath, cell_text
 from ..rules import check_mode
-from .cells import _as_column, is_text, rewrite
-from .detect import Detector
+from .cells import is_text, rewrite
+from .detect import Detector, unfold
 
 
 def protect_hits(annotated: DataFrame, mode: str) -> DataFrame:
@@ -30,24 +29,21 @@ def write_back(protected: DataFrame, detector: Detector | None = None) -> DataFr
     ``hits`` must carry ``sanitized``.
     """
     detector = detector or Detector()
-    dtype = protected.schema["content"].dataType
-    hits = F.col("hits")
 
-    def change(value: Column, leaf: T.DataType, path: str | Column) -> Column | None:
-        if detector.candidate_text(F.lit(None), leaf) is None:
+    def change(value: str, leaf: T.DataType, path: FieldPath) -> str | None:
+        if detector.candidate_text(value, leaf) is None:
             return None
-        place = field_path(_as_column(path))
-        mine = F.filter(hits, lambda h: h["field_path"] == place)
+        mine = f"filter(hits, h -> h.field_path = {path.sql()})"
         if is_text(leaf):
-            return F.when(F.size(hits) == 0, value).otherwise(replace_in_order(value, mine))
+            return f"CASE WHEN size(hits) = 0 THEN {value} ELSE {REPLACE_IN_ORDER.format(hits=mine, text=value)} END"
         as_text = cell_text(value, leaf)
-        return F.when(F.size(hits) == 0, as_text).otherwise(
-            let(mine, lambda h: F.when(F.size(h) > 0, replace_whole(h)).otherwise(as_text)))
+        return (f"CASE WHEN exists(hits, h -> h.field_path = {path.sql()}) "
+                f"THEN {REPLACE_WHOLE.format(hits=mine)} ELSE {as_text} END")
 
-    return protected.withColumn("content", rewrite(F.col("content"), dtype, change))
+    return protected.withColumn("content", F.expr(
+        rewrite("content", protected.schema["content"].dataType, change)))
 
 
 def transformations(protected: DataFrame, mode: str) -> DataFrame:
     """One row per applied replacement, whether or not it still found its value."""
-    return protected.select(
-        "source_id", "record_index", F.lit(check_mode(mode)).alias("mode"), F.inline("hits"))
+    return unfold(protected, "source_id", "record_index", F.lit(check_mode(mode)).alias("mode"))

@@ -45,7 +45,8 @@ def normalize_json(documents: DataFrame, source_id: Column, text: Column) -> Dat
         documents.select(source_id.cast("string").alias("source_id"),
                          F.parse_json(F.regexp_replace(text, "\\A﻿", "")).alias("_v"))
         .withColumn("_list", listed)
-        .select("source_id", F.inline(F.when(F.col("_list").isNotNull(), many).otherwise(one)))
+        .select("source_id", F.inline_outer(F.when(F.col("_list").isNotNull(), many).otherwise(one)))
+        .filter(F.col("content").isNotNull())
     )
 
 
