@@ -54,12 +54,12 @@ def _let(value: str, name: str, body: str) -> str:
 
 # 0-based start of every match in m, from the pieces g between the matches.
 _STARTS = (
-    "CASE WHEN size(m) = 1 THEN array(length(get(g, 0))) ELSE aggregate("
+    "aggregate("
     "zip_with(slice(g, 2, size(m)), m, (p, q) -> length(p) + length(q)), "
     "named_struct('next', length(get(g, 0)), 'starts', cast(array() as array<int>)), "
     # m and the pieces after the first have the same length: next = start + match + piece.
     "(acc, step) -> named_struct('next', acc.next + step, 'starts', concat(acc.starts, array(acc.next))), "
-    "acc -> acc.starts) END"
+    "acc -> acc.starts)"
 )
 
 
@@ -67,11 +67,16 @@ def find_all_sql(text: str, pattern: str, item: str) -> str:
     """Array of ``item`` for every non-overlapping leftmost match of ``pattern``.
 
     ``item`` may use ``v`` (the matched text), ``s`` (its 0-based start in code
-    points) and ``length(v)``.  The text is cut at its matches only when there
-    are any, so a text without a match costs one pass.
+    points) and ``length(v)``.  A text without a match costs one pass.  A single
+    match whose value occurs nowhere else is located by that value; otherwise
+    the text is cut at its matches and the pieces are added up, because the
+    same value may also stand where the rule rejects it.
     """
     p = quoted(pattern)
-    starts = _let(f"split({text}, {p}, -1)", "g", _STARTS)
+    found = f"locate(get(m, 0), {text})"
+    alone = f"size(m) = 1 AND locate(get(m, 0), {text}, {found} + 1) = 0"
+    cut = _let(f"split({text}, {p}, -1)", "g", _STARTS)
+    starts = f"CASE WHEN {alone} THEN array({found} - 1) ELSE {cut} END"
     items = f"zip_with(m, {starts}, (v, s) -> {item})"
     return _let(f"regexp_extract_all({text}, {p}, 0)", "m", f"CASE WHEN size(m) > 0 THEN {items} END")
 

@@ -33,23 +33,30 @@ def _hits(source: str, keys: str, text: str, entity: str, pattern: str | None =
           name: str | None = None, confidence: float | None = None) -> str:
     """All matches of one rule: keys, rule_rank, entity_type, value, char_start, char_end, confidence, detector_name."""
     rank, default_pattern, default_confidence, default_name = _RULES[entity]
-    p = pattern or default_pattern
+    first = pattern or default_pattern
+    # After a match the search goes on from its last character, which is never a
+    # boundary; so the next match may share the boundary that ended this one.
+    later = first.replace("(?:^|", "(?:", 1)
+
+    def step(rest: str, p: str, base: str, where: str) -> str:
+        return f"""
+  SELECT {keys}, substr(rest, s + length(v)) AS rest, base + s + length(v) - 1 AS base, v AS value, base + s AS found
+  FROM (
+    SELECT {keys}, rest, base, v, length(g[1]) + strpos(m, v) - 1 AS s FROM (
+      SELECT {keys}, {rest} AS rest, {base} AS base, regexp_extract({rest}, '{p}', 0) AS m,
+             regexp_extract({rest}, '{p}', 1) AS v, string_split_regex({rest}, '{p}') AS g
+      FROM {where} WHERE regexp_matches({rest}, '{p}')
+    )
+  )"""
+
     return f"""
-SELECT {keys}, {rank} AS rule_rank, '{entity}' AS entity_type, v[i] AS value,
-       CAST(base + strpos(m[i], v[i]) - 1 AS INTEGER) AS char_start,
-       CAST(base + strpos(m[i], v[i]) - 1 + length(v[i]) AS INTEGER) AS char_end,
+SELECT {keys}, {rank} AS rule_rank, '{entity}' AS entity_type, value,
+       CAST(found AS INTEGER) AS char_start, CAST(found + length(value) AS INTEGER) AS char_end,
        CAST({confidence or default_confidence} AS DOUBLE) AS confidence, '{name or default_name}' AS detector_name
 FROM (
-  SELECT {keys}, i, m, v,
-         list_sum(list_transform(g[1:i], lambda x: length(x)))
-           + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS base
-  FROM (
-    SELECT {keys}, m, v, g, unnest(range(1, len(m) + 1)) AS i FROM (
-      SELECT {keys}, regexp_extract_all({text}, '{p}', 0) AS m, regexp_extract_all({text}, '{p}', 1) AS v,
-             string_split_regex({text}, '{p}') AS g
-      FROM {source} WHERE regexp_matches({text}, '{p}')
-    )
-  )
+  WITH RECURSIVE walk AS ({step(text, first, "CAST(0 AS BIGINT)", source)}
+  UNION ALL {step("rest", later, "base", "walk")}
+  ) SELECT * FROM walk
 )"""
 
 
