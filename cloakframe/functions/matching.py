@@ -118,6 +118,12 @@ def rule_hits(text: str, rule: Rule, rank: int, place: Place) -> str:
     return f"CASE WHEN {may_match(text, rule)} THEN coalesce({found}, {NO_HITS}) ELSE {NO_HITS} END"
 
 
+def single_hit(condition: str, rule: Rule, rank: int, place: Place, value: str, start: str, end: str) -> str:
+    """One hit where ``condition`` holds, for typed values whose hits need no search."""
+    return (f"CASE WHEN {condition} THEN array({_hit(rule, rank, place, value, start, end)}) "
+            f"ELSE {NO_HITS} END")
+
+
 def joined(arrays: list[str]) -> str:
     if not arrays:
         return NO_HITS

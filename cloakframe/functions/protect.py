@@ -10,7 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
-_ALNUM = r"[\p{L}\p{N}]"
+# (The letter beyond U+FFFF makes Java look behind by whole code points.)
+_ALNUM = r"[\p{L}\p{N}𝐀]"
 # Digits as str.isdigit() counts them: decimal digits plus these (superscripts,
 # subscripts, circled and other non-decimal digits).
 _DIGIT_CLASS = (

@@ -46,8 +46,7 @@ def cell_text(value: str, dtype: T.DataType) -> str:
         return (f"CASE WHEN abs({value}) >= 1e7 AND abs({value}) < 1e16 OR abs({value}) >= 1e-4 "
                 f"AND abs({value}) < 1e-3 THEN {spelled} ELSE {plain} END")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return (f"CASE WHEN date_trunc('second', {value}) = {value} THEN {plain} "
-                f"ELSE date_format({value}, 'yyyy-MM-dd HH:mm:ss.SSSSSS') END")
+        return f"CASE WHEN contains({plain}, '.') THEN rpad({plain}, instr({plain}, '.') + 6, '0') ELSE {plain} END"
     return plain
 
 

@@ -12,9 +12,10 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import PandasUDFType
 
 from .. import rules as R
-from ..functions.matching import NO_HITS, Place, context_hits, joined, text_hits
+from ..functions.matching import NO_HITS, Place, context_hits, joined, single_hit, text_hits
 from ..functions.text import ROOT_PATH, FieldPath, cell_text, name_fits, name_fits_sql
 from .cells import cells, is_leaf, is_text, static_leaves
 
@@ -54,19 +55,44 @@ class Detector:
         if "PHONE" not in self.types:
             return None
         if isinstance(dtype, _FULL_INT_TYPES):
-            return (f"CASE WHEN {value} BETWEEN 10000000 AND 999999999999 "
-                    f"OR {value} BETWEEN -999999999999 AND -10000000 THEN cast({value} as string) END")
+            return f"CASE WHEN {_phone_sized(value)} THEN cast({value} as string) END"
         if isinstance(dtype, T.DecimalType) and dtype.precision >= 8:
             return cell_text(value, dtype)
         if isinstance(dtype, _FRACTION_TYPES):
             return cell_text(value, dtype)
         return None
 
+    def _typed_hits(self, value: str, dtype: T.DataType, place: Place) -> str | None:
+        """Hits in an integer, date or timestamp, decided on the value itself.
+
+        The text of such a value has one fixed shape.  An integer is a phone
+        number when it has 8 to 12 digits; a date of the years 1900 to 2099 is a
+        date hit; the seconds of a timestamp with a fraction (``SS.ffffff``) have
+        the shape of a phone number.  None for other types.
+        """
+        if self.custom:
+            return None
+        ranked = {r.entity_type: (r, k) for k, r in enumerate(self.rules)}
+        phone, date = ranked.get("PHONE"), ranked.get("BIRTH_DATE")
+        text = f"cast({value} as string)"
+        if isinstance(dtype, _FULL_INT_TYPES):
+            return phone and single_hit(
+                _phone_sized(value), *phone, place, f"ltrim('-', {text})",
+                f"if({value} < 0, 1, 0)", f"length({text})")
+        if not isinstance(dtype, _TIME_TYPES):
+            return None
+        parts = []
+        if phone and not isinstance(dtype, T.DateType):
+            parts.append(single_hit(f"contains({text}, '.')", *phone, place,
+                                    f"rpad(substring({text}, 18, 9), 9, '0')", "17", "26"))
+        if date:
+            parts.append(single_hit(f"year({value}) BETWEEN 1900 AND 2099", *date, place,
+                                    f"left({text}, 10)", "0", "10"))
+        return joined(parts)
+
     def _leaf_hits(self, text: str, dtype: T.DataType, name: str | None, place: Place) -> str:
         """Hits in a leaf whose type and name are known on the driver."""
-        usable = None
-        if not is_text(dtype) and not self.custom:
-            usable = {"PHONE", "BIRTH_DATE"} if isinstance(dtype, _TIME_TYPES) else {"PHONE"}
+        usable = None if is_text(dtype) or self.custom else {"PHONE"}
         found = [text_hits(text, self.rules, place, usable)]
         fitting = [(len(self.rules) + k, r, "true") for k, r in enumerate(self.context)
                    if is_text(dtype) and name is not None and name_fits(r.hints, name)]
@@ -92,29 +118,46 @@ class Detector:
         hits = joined([text_hits("c.text", self.rules, place), context_hits("c.text", fitting, place)])
         return f"coalesce(flatten(transform({found}, (c, ci) -> {hits})), {NO_HITS})"
 
-    def hits(self, dtype: T.DataType, content: str = "content") -> str:
-        """``array<struct<field_ordinal, item_ordinal, field_path, …>>`` of a record or text, as SQL text."""
+    def hits(self, dtype: T.DataType, content: str = "content") -> tuple[dict[str, str], str]:
+        """Hits of a record or text, ``array<struct<field_ordinal, item_ordinal, field_path, …>>``.
+
+        Returns SQL text in two steps: columns with the texts of non-text
+        leaves, so that each is formatted once, and the array built on them.
+        """
+        texts: dict[str, str] = {}
         leaves = list(static_leaves(content, dtype))
         if len(leaves) > INLINE_LEAVES:
-            return self._walked(content, dtype, None) or NO_HITS
+            return texts, self._walked(content, dtype, None) or NO_HITS
         parts = []
         for ordinal, (value, leaf_type, path, name) in enumerate(leaves):
             if isinstance(leaf_type, (T.ArrayType, T.MapType)):
                 part = self._walked(value, leaf_type, ordinal, path, name)
             else:
                 is_leaf(leaf_type)
+                part, place = None, Place(str(ordinal), "0", path.sql())
                 text = self.candidate_text(value, leaf_type)
-                part = None if text is None else self._leaf_hits(
-                    text, leaf_type, name, Place(str(ordinal), "0", path.sql()))
+                if text is not None:
+                    part = self._typed_hits(value, leaf_type, place)
+                    if part is None:
+                        if text != value:
+                            texts[f"_text_{ordinal}"] = text
+                            text = f"_text_{ordinal}"
+                        part = self._leaf_hits(text, leaf_type, name, place)
             if part is not None:
                 parts.append(part)
-        return joined(parts)
+        return texts, joined(parts)
+
+
+def _phone_sized(value: str) -> str:
+    return f"({value} BETWEEN 10000000 AND 999999999999 OR {value} BETWEEN -999999999999 AND -10000000)"
 
 
 def annotate(records: DataFrame, detector: Detector | None = None) -> DataFrame:
     """Add ``hits`` to every record: one scan, all rules, no shuffle."""
     detector = detector or Detector()
-    return records.withColumn("hits", F.expr(detector.hits(records.schema["content"].dataType)))
+    texts, hits = detector.hits(records.schema["content"].dataType)
+    staged = records.withColumns({name: F.expr(text) for name, text in texts.items()}) if texts else records
+    return staged.withColumn("hits", F.expr(hits)).drop(*texts)
 
 
 def unfold(annotated: DataFrame, *keep: str | Column) -> DataFrame:
@@ -201,12 +244,10 @@ def analyze_texts(texts: DataFrame, analyzer: Callable, text: str = "text",
     ``analyzer(text, labels)`` returns ``(label, start, end, score)`` tuples.
     It is the one place where Python sees the texts.
     """
-    import pandas as pd
-
     labels = list(wanted_labels(entities))
 
-    @F.pandas_udf(SPANS_SCHEMA)
-    def spans_of(batch: pd.Series) -> pd.Series:
+    @F.pandas_udf(SPANS_SCHEMA, PandasUDFType.SCALAR)
+    def spans_of(batch):
         return batch.map(lambda t: [] if t is None else [
             {"label": s[0], "start": s[1], "end": s[2], "score": s[3]} for s in analyzer(t, labels)])
 

@@ -7,7 +7,9 @@ that Java agrees code point by code point with Python's ``re`` on ``str``:
 
 * a word character is a letter, a number or ``_`` (no combining marks);
 * white space also covers the separators U+001C..U+001F;
-* a caseless ``[A-Z]`` also covers U+0130, U+0131, U+017F and U+212A.
+* a caseless ``[A-Z]`` also covers U+0130, U+0131, U+017F and U+212A;
+* a lookbehind names one letter or digit beyond U+FFFF (already in its class),
+  because only then does Java look back by whole code points.
 """
 
 from __future__ import annotations
@@ -33,11 +35,11 @@ INPUT_FORMATS = ("csv", "json", "txt", "pdf", "sql")
 REPORT_FORMATS = ("json", "html")
 
 EMAIL_PATTERN = (
-    r"(?<![\p{L}\p{N}_.-])[A-Za-zİıſK0-9._%+-]++"
+    r"(?<![\p{L}\p{N}_.𝐀-])[A-Za-zİıſK0-9._%+-]++"
     r"@[A-Za-zİıſK0-9.-]+\.[A-Za-zİıſK]{2,}(?![\p{L}\p{N}_.-])"
 )
 PHONE_PATTERN = (
-    r"(?<!\p{Nd})(?:\+\p{Nd}{1,3}[\p{IsWhite_Space}\x1C-\x1F]?)?"
+    r"(?<![\p{Nd}𝟎])(?:\+\p{Nd}{1,3}[\p{IsWhite_Space}\x1C-\x1F]?)?"
     r"(?:\(\p{Nd}{2,4}\)[\p{IsWhite_Space}\x1C-\x1F]?)?"
     r"\p{Nd}{2,4}[\p{IsWhite_Space}\x1C-\x1F.-]?\p{Nd}{3,4}[\p{IsWhite_Space}\x1C-\x1F.-]?\p{Nd}{3,4}(?!\p{Nd})"
 )
@@ -52,11 +54,11 @@ IBAN_PATTERN = (
     r"(?![A-Za-zİıſK0-9])"
 )
 BIRTH_DATE_PATTERN = (
-    r"(?<!\p{Nd})(?:(?:0?[1-9]|[12]\p{Nd}|3[01])[/-](?:0?[1-9]|1[0-2])[/-](?:19\p{Nd}{2}|20\p{Nd}{2})"
+    r"(?<![\p{Nd}𝟎])(?:(?:0?[1-9]|[12]\p{Nd}|3[01])[/-](?:0?[1-9]|1[0-2])[/-](?:19\p{Nd}{2}|20\p{Nd}{2})"
     r"|(?:19\p{Nd}{2}|20\p{Nd}{2})[/-](?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12]\p{Nd}|3[01]))(?!\p{Nd})"
 )
 IP_ADDRESS_PATTERN = (
-    r"(?<!\p{Nd})(?:(?:25[0-5]|2[0-4]\p{Nd}|1\p{Nd}\p{Nd}|[1-9]?\p{Nd})\.){3}"
+    r"(?<![\p{Nd}𝟎])(?:(?:25[0-5]|2[0-4]\p{Nd}|1\p{Nd}\p{Nd}|[1-9]?\p{Nd})\.){3}"
     r"(?:25[0-5]|2[0-4]\p{Nd}|1\p{Nd}\p{Nd}|[1-9]?\p{Nd})(?!\p{Nd})"
 )
 # Possessive quantifiers: word characters and white space are disjoint, so no
