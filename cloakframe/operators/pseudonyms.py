@@ -86,7 +86,7 @@ def number_new(new: DataFrame, known: DataFrame) -> DataFrame:
     order = ["entity_type", *[f"first.{n}" for n in _ORDER]]
     ranged = cut(
         new.repartitionByRange(*order).sortWithinPartitions(*order)
-        .withColumn("_row", F.monotonically_increasing_id())
+        .withColumn("_row", F.monotonically_increasing_id()), "ranged"
     ).withColumn("_part", F.shiftright("_row", 33))
     counters = known.groupBy("entity_type").agg(F.max("pseudonym_no").alias("_used"))
     before = Window.partitionBy("entity_type").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,8 +106,8 @@ def number_new(new: DataFrame, known: DataFrame) -> DataFrame:
 
 def assign(found: DataFrame, known: DataFrame, detector: Detector | None = None) -> tuple[DataFrame, DataFrame]:
     """``(lookup, new)``: pseudonyms of all values in ``found``, and the entries to add to the table."""
-    values = cut(first_seen(found, detector).join(known, KEYS, "left"))
-    new = cut(number_new(values.filter("pseudonym is null").select(*KEYS, "first", "n"), known))
+    values = cut(first_seen(found, detector).join(known, KEYS, "left"), "values")
+    new = cut(number_new(values.filter("pseudonym is null").select(*KEYS, "first", "n"), known), "new-values")
     old = values.filter("pseudonym is not null").select(*KEYS, "pseudonym_no", "pseudonym", "n")
     return old.unionByName(new), new.drop("n")
 
@@ -141,7 +141,7 @@ def pseudonymize_hits(annotated: DataFrame, known: DataFrame,
     through untouched; only records with hits are written and shuffled.
     """
     # The generated id keeps the filter above the rules; pushed below, it would run them twice.
-    hit_rows = cut(annotated.withColumn("_id", F.monotonically_increasing_id()).filter(F.size("hits") > 0))
+    hit_rows = cut(annotated.withColumn("_id", F.monotonically_increasing_id()).filter(F.size("hits") > 0), "hit-rows")
     lookup, new = assign(detections(hit_rows), known, detector)
     values = hit_rows.select("_id", F.posexplode("hits").alias("_pos", "_hit")).select(
         "_id", "_pos", F.col("_hit.entity_type").alias("entity_type"), F.col("_hit.value").alias("value"))

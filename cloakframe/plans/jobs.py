@@ -19,7 +19,7 @@ from ..operators.pseudonyms import PseudonymStore, pseudonymize_hits
 from ..operators.records import texts_from
 from ..operators.sanitize import protect_hits, write_back
 from ..rules import check_mode
-from ..shared import lookup_join, shared_dir, staging_path
+from ..shared import cut, lookup_join, shared_dir
 from ..sinks.write import write_report, write_sanitized
 from ..sources import csv, files, json, text
 from ..sources.query import load_query
@@ -52,9 +52,7 @@ def audited(df: DataFrame, transformed: bool) -> DataFrame:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder, read back, and resolve row positions."""
-    path = staging_path(df.sparkSession, name)
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back = cut(df, name)
     return index_records(back) if "position" in back.columns else back
 
 

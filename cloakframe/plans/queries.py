@@ -46,6 +46,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _spread_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A table for rule evaluation; a small single-split file is dealt out to all cores first."""
+    return spread(_table(spark, folder, name), key)
+
+
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as records: one source per ``source``, keyed by ``doc_id``."""
     docs = spread(_table(spark, folder, "documents").select("doc_id", "source", "text"), "doc_id")
@@ -95,7 +100,7 @@ def _addresses(spark: SparkSession, folder: str) -> DataFrame:
 
 def _profiles(spark: SparkSession, folder: str) -> DataFrame:
     """Customer profiles holding all eight entity types, with one nested list."""
-    people = _table(spark, folder, "customer").select(
+    people = _spread_table(spark, folder, "customer", "c_custkey").select(
         "c_custkey", "c_mktsegment",
         F.expr("concat(initcap(c_mktsegment), ' Rossi')").alias("full_name"),
         F.expr("date_add(date'1950-01-01', cast(c_custkey % 20000 as int))").alias("birth_date"),
@@ -152,7 +157,7 @@ def detect_iban(spark, folder):
 @register
 def detect_birth_date_cells(spark, folder):
     """Any date counts, also the date part of a timestamp."""
-    records = records_from(_table(spark, folder, "orders"), "orders", "o_orderkey",
+    records = records_from(_spread_table(spark, folder, "orders", "o_orderkey"), "orders", "o_orderkey",
                            ["o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
     return _keyed(detect(records), "o_orderkey", "field_path", *HIT_COLUMNS)
 
@@ -160,7 +165,7 @@ def detect_birth_date_cells(spark, folder):
 @register
 def detect_event_cells(spark, folder):
     """Timestamps with fractions hold a date and, in their last digits, a phone shape."""
-    records = records_from(_table(spark, folder, "events"), "events", "event_id",
+    records = records_from(_spread_table(spark, folder, "events", "event_id"), "events", "event_id",
                            ["ts", "event_type", "value", "props"])
     return _keyed(detect(records), "event_id", "field_path", *HIT_COLUMNS)
 
@@ -168,7 +173,7 @@ def detect_event_cells(spark, folder):
 @register
 def detect_lineitem_cells(spark, folder):
     """A wide numeric table: hits per field and entity type."""
-    records = records_from(_table(spark, folder, "lineitem"), "lineitem")
+    records = records_from(_spread_table(spark, folder, "lineitem", "l_orderkey"), "lineitem")
     return detect(records).groupBy("field_path", "entity_type").agg(
         F.count("*").alias("hits"), F.sum("char_start").alias("start_sum"), F.sum("char_end").alias("end_sum"))
 
@@ -241,7 +246,7 @@ def detection_order_listing(spark, folder):
 
 
 def _nested_events(spark: SparkSession, folder: str) -> DataFrame:
-    events = _table(spark, folder, "events").select(
+    events = _spread_table(spark, folder, "events", "event_id").select(
         "event_id", "event_type", "value", "user_id",
         F.from_json("props", "k int").alias("props"),
         F.expr("array(named_struct('kind', event_type, 'big', user_id > 50), "
@@ -258,14 +263,14 @@ def flatten_cells(spark, folder):
 
 @register
 def flatten_customer_cells(spark, folder):
-    found = cell_table(records_from(_table(spark, folder, "customer"), "customer", "c_custkey"))
+    found = cell_table(records_from(_spread_table(spark, folder, "customer", "c_custkey"), "customer", "c_custkey"))
     return _keyed(found, "c_custkey", "field_path", "field_name", "value")
 
 
 @register
 def flatten_variant_cells(spark, folder):
     """Cells of JSON whose keys are data."""
-    docs = _table(spark, folder, "events").select("event_id", F.expr(
+    docs = _spread_table(spark, folder, "events", "event_id").select("event_id", F.expr(
         "concat('{\"', event_type, '\":{\"v\":[', user_id, ',null,true]},\"p\":', props, '}')").alias("doc"))
     records = docs.select(F.lit("events").alias("source_id"), F.col("event_id").alias("record_index"),
                           F.parse_json("doc").alias("content"))
@@ -404,7 +409,7 @@ def sanitize_documents_pseudonymize(spark, folder):
 @register
 def sanitize_numeric_cells(spark, folder):
     """A number or date with a hit becomes text; numbers no rule fits keep their text."""
-    orders = _table(spark, folder, "orders").select(
+    orders = _spread_table(spark, folder, "orders", "o_orderkey").select(
         "o_orderkey", F.expr("if(o_orderkey % 2 = 0, 3330000000L + o_orderkey, o_orderkey)").alias("phone"),
         "o_orderdate", "o_totalprice", F.expr("o_orderkey % 3 = 0").alias("flag"))
     records = records_from(orders, "orders", "o_orderkey", ["phone", "o_orderdate", "o_totalprice", "flag"])
@@ -578,7 +583,7 @@ CASE event_id % 4
 @register
 def json_normalize(spark, folder):
     """Lists, ``records`` wrappers, single objects and scalars become records."""
-    docs = _table(spark, folder, "events").select("event_id", F.expr(_JSON_DOC).alias("doc"))
+    docs = _spread_table(spark, folder, "events", "event_id").select("event_id", F.expr(_JSON_DOC).alias("doc"))
     found = json.normalize_json(docs, F.col("event_id"), F.col("doc"))
     return found.select(F.col("source_id").cast("bigint").alias("event_id"), "record_index", "units", "content")
 
@@ -586,7 +591,7 @@ def json_normalize(spark, folder):
 @register
 def json_typed_records(spark, folder):
     """Records of mixed shape under their merged schema."""
-    docs = _table(spark, folder, "events").select("event_id", F.expr(_JSON_DOC).alias("doc"))
+    docs = _spread_table(spark, folder, "events", "event_id").select("event_id", F.expr(_JSON_DOC).alias("doc"))
     found = json.typed_records(json.normalize_json(docs, F.col("event_id"), F.col("doc")))
     return found.select(F.col("source_id").cast("bigint").alias("event_id"), "record_index",
                         F.col("content.k").cast("bigint").alias("k"), F.col("content.a.k").cast("bigint").alias("a_k"),
@@ -608,7 +613,7 @@ def query_source(spark, folder):
 @register
 def query_scan_job(spark, folder):
     """Query scan: transformations listed, no data written."""
-    _table(spark, folder, "events").createOrReplaceTempView("events")
+    _spread_table(spark, folder, "events", "event_id").createOrReplaceTempView("events")
     out = staging_path(spark, "query-scan")
     jobs.query_scan(spark, "select ts, event_type, value, props, user_id from events", "redact", out)
     listed = spark.read.schema(

@@ -35,8 +35,8 @@ INPUT_FORMATS = ("csv", "json", "txt", "pdf", "sql")
 REPORT_FORMATS = ("json", "html")
 
 EMAIL_PATTERN = (
-    r"(?<![\p{L}\p{N}_.𝐀-])[A-Za-zİıſK0-9._%+-]++"
-    r"@[A-Za-zİıſK0-9.-]+\.[A-Za-zİıſK]{2,}(?![\p{L}\p{N}_.-])"
+    r"(?<![\p{L}\p{N}_.𝐀-])[A-Za-z\u0130\u0131\u017F\u212A0-9._%+-]++"
+    r"@[A-Za-z\u0130\u0131\u017F\u212A0-9.-]+\.[A-Za-z\u0130\u0131\u017F\u212A]{2,}(?![\p{L}\p{N}_.-])"
 )
 PHONE_PATTERN = (
     r"(?<![\p{Nd}𝟎])(?:\+\p{Nd}{1,3}[\p{IsWhite_Space}\x1C-\x1F]?)?"
@@ -44,14 +44,14 @@ PHONE_PATTERN = (
     r"\p{Nd}{2,4}[\p{IsWhite_Space}\x1C-\x1F.-]?\p{Nd}{3,4}[\p{IsWhite_Space}\x1C-\x1F.-]?\p{Nd}{3,4}(?!\p{Nd})"
 )
 TAX_CODE_PATTERN = (
-    r"(?<![A-Za-zİıſK0-9])[A-Za-zİıſK]{6}\p{Nd}{2}"
-    r"[A-Za-zİıſK]\p{Nd}{2}[A-Za-zİıſK]\p{Nd}{3}"
-    r"[A-Za-zİıſK](?![A-Za-zİıſK0-9])"
+    r"(?<![A-Za-z\u0130\u0131\u017F\u212A0-9])[A-Za-z\u0130\u0131\u017F\u212A]{6}\p{Nd}{2}"
+    r"[A-Za-z\u0130\u0131\u017F\u212A]\p{Nd}{2}[A-Za-z\u0130\u0131\u017F\u212A]\p{Nd}{3}"
+    r"[A-Za-z\u0130\u0131\u017F\u212A](?![A-Za-z\u0130\u0131\u017F\u212A0-9])"
 )
 IBAN_PATTERN = (
-    r"(?<![A-Za-zİıſK0-9])[Iiİı][Tt]\p{Nd}{2}"
-    r"[A-Za-zİıſK]\p{Nd}{10}[A-Za-zİıſK0-9]{12}"
-    r"(?![A-Za-zİıſK0-9])"
+    r"(?<![A-Za-z\u0130\u0131\u017F\u212A0-9])[Ii\u0130\u0131][Tt]\p{Nd}{2}"
+    r"[A-Za-z\u0130\u0131\u017F\u212A]\p{Nd}{10}[A-Za-z\u0130\u0131\u017F\u212A0-9]{12}"
+    r"(?![A-Za-z\u0130\u0131\u017F\u212A0-9])"
 )
 BIRTH_DATE_PATTERN = (
     r"(?<![\p{Nd}𝟎])(?:(?:0?[1-9]|[12]\p{Nd}|3[01])[/-](?:0?[1-9]|1[0-2])[/-](?:19\p{Nd}{2}|20\p{Nd}{2})"
@@ -152,8 +152,8 @@ class ContextRule:
 
 _DIGITS_GAP = r"\p{Nd}{2}[\p{IsWhite_Space}\x1C-\x1F.-]?\p{Nd}{3,4}[\p{IsWhite_Space}\x1C-\x1F.-]?\p{Nd}{3}"
 _CODE_TAIL = (
-    r"\p{Nd}{2}[A-Za-zİıſK]\p{Nd}{2}"
-    r"[A-Za-zİıſK]\p{Nd}{3}"
+    r"\p{Nd}{2}[A-Za-z\u0130\u0131\u017F\u212A]\p{Nd}{2}"
+    r"[A-Za-z\u0130\u0131\u017F\u212A]\p{Nd}{3}"
 )
 
 DEFAULT_RULES = (
@@ -161,7 +161,7 @@ DEFAULT_RULES = (
     Rule("PHONE", PHONE_PATTERN, 0.70, "phone-regex", min_bytes=8, gate=_DIGITS_GAP),
     Rule("TAX_CODE", TAX_CODE_PATTERN, 0.95, "tax-code-regex", min_bytes=16, gate=_CODE_TAIL),
     Rule("IBAN", IBAN_PATTERN, 0.95, "iban-regex", min_bytes=27,
-         gate=r"\p{Nd}{2}[A-Za-zİıſK]\p{Nd}{10}"),
+         gate=r"\p{Nd}{2}[A-Za-z\u0130\u0131\u017F\u212A]\p{Nd}{10}"),
     Rule("BIRTH_DATE", BIRTH_DATE_PATTERN, 0.85, "birth-date-regex", min_bytes=8,
          gate=r"[/-](?:0?[1-9]|1[0-2])[/-]"),
     Rule("IP_ADDRESS", IP_ADDRESS_PATTERN, 0.90, "ip-address-regex", min_bytes=7, literal=".",

@@ -27,23 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="cloakframe-")
-    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and go on from there.
+def staging_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    Used where a later step needs exactly the rows, partitions or generated ids
-    an earlier step saw, also after an executor is lost.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` to the shared folder once and go on from there.
 
-def staging_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    Used where later steps need exactly the rows and generated ids an earlier
+    one saw, also after an executor is lost.  Unlike a checkpoint the written
+    table is read column by column, and its size is known to the planner.
+    """
+    path = staging_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt: Column,

@@ -33,14 +33,14 @@ def header_groups(spark: SparkSession, path: str) -> list[tuple[list[str], list[
     )
     groups: dict[str, list[str]] = defaultdict(list)
     for row in heads.toLocalIterator():
-        groups[row["header"].lstrip("﻿").rstrip("\r")].append(plain_path(row["source_id"]))
+        groups[row["header"].lstrip("\ufeff").rstrip("\r")].append(plain_path(row["source_id"]))
     return [(_names(spark, paths[:1]), sorted(paths)) for _, paths in sorted(groups.items())]
 
 
 def _names(spark: SparkSession, paths: list[str]) -> list[str]:
     first = spark.read.options(multiLine=True, **_OPTIONS, **_glob()).csv(paths).first()
     names = [("" if v is None else str(v)) for v in first]
-    return [names[0].lstrip("﻿"), *names[1:]]
+    return [names[0].lstrip("\ufeff"), *names[1:]]
 
 
 def load_csv(spark: SparkSession, path: str | list[str], names: list[str] | None = None,

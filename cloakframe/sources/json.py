@@ -43,7 +43,7 @@ def normalize_json(documents: DataFrame, source_id: Column, text: Column) -> Dat
                            as_object(value).alias("content"))).cast(item)
     return (
         documents.select(source_id.cast("string").alias("source_id"),
-                         F.parse_json(F.regexp_replace(text, "\\A﻿", "")).alias("_v"))
+                         F.parse_json(F.regexp_replace(text, "\\A\ufeff", "")).alias("_v"))
         .withColumn("_list", listed)
         .select("source_id", F.inline_outer(F.when(F.col("_list").isNotNull(), many).otherwise(one)))
         .filter(F.col("content").isNotNull())

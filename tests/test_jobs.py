@@ -13,7 +13,7 @@ from cloakframe.plans import jobs
 from cloakframe.sources import csv, json as json_source, text
 
 CUSTOMERS = (
-    "﻿record_id,full_name,birth_date,address,ip_address,email,phone,tax_code,iban,notes\n"
+    "\ufeffrecord_id,full_name,birth_date,address,ip_address,email,phone,tax_code,iban,notes\n"
     "1,Mario Rossi,1985-06-14,Via Roma 10,192.168.1.42,mario.rossi@gmail.com,+39 3331234567,"
     "RSSMRA85M01H501Z,IT60X0542811101000000123456,Synthetic training record\n"
     "2,Anna Bianchi,1990-01-01,Viale Europa 25,10.24.8.15,anna.bianchi@example.it,+39 3477654321,"
@@ -95,7 +95,7 @@ def test_csv_record_index_with_many_files_and_splits(spark, tmp_path):
 
 def test_json_normalization(spark, tmp_path):
     (tmp_path / "a.json").write_text(
-        "﻿" + json.dumps([{"email": "mario@example.it"}, "just a string", 42, None, [1]]), encoding="utf-8")
+        "\ufeff" + json.dumps([{"email": "mario@example.it"}, "just a string", 42, None, [1]]), encoding="utf-8")
     (tmp_path / "b.json").write_text(json.dumps({"records": [{"email": "anna@example.it"}, 7]}), encoding="utf-8")
     (tmp_path / "c.json").write_text(json.dumps({"email": "x@y.it", "n": {"k": [1, "a@b.it"]}}), encoding="utf-8")
     (tmp_path / "d.json").write_text("[]", encoding="utf-8")
