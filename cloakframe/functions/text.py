@@ -23,6 +23,11 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def identifier(name: str) -> str:
+    """Column name as SQL text, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def strip_sql(text: str) -> str:
     """``strip_unicode`` as SQL text."""
     return f"regexp_replace({text}, {quoted(_STRIP)}, '')"

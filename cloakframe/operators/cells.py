@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import ROOT_PATH, FieldPath, cell_text, quoted
+from ..functions.text import ROOT_PATH, FieldPath, cell_text, identifier, quoted
 
 CELLS_TYPE = "array<struct<path:string,name:string,text:string,name_bits:int>>"
 NO_CELLS = f"cast(array() as {CELLS_TYPE})"
@@ -43,7 +43,7 @@ def any_text(value: str, dtype: T.DataType) -> str | None:
 
 
 def field_of(value: str, name: str) -> str:
-    return f"{value}.`{name.replace('`', '``')}`"
+    return f"{value}.{identifier(name)}"
 
 
 def static_leaves(value: str, dtype: T.DataType, path: FieldPath = FieldPath(), name: str | None = None):

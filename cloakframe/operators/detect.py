@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import PandasUDFType
 
 from .. import rules as R
 from ..functions.matching import NO_HITS, Place, context_hits, joined, single_hit, text_hits
 from ..functions.text import ROOT_PATH, FieldPath, cell_text, name_fits, name_fits_sql
+from ..shared import join_many_to_one
 from .cells import cells, is_leaf, is_text, static_leaves
 
 # Up to this many plain leaves get their own compiled expression; a wider
@@ -217,11 +218,11 @@ def external_detections(texts: DataFrame, spans: DataFrame, key: str,
                         text: str = "text", entities: Iterable[str] | None = None) -> DataFrame:
     """Detections from a table of analyzer spans ``(key, label, start, end, score)``.
 
-    Only the requested labels are read; a span is cut out of its own text, so
-    the join is on ``key`` and each text is shuffled once at most.
+    Only the requested labels are read.  A span is cut out of its own text, so
+    the join is on ``key``; a text with very many spans is salted.
     """
     chosen = spans.filter(F.col("label").isin(*wanted_labels(entities)))
-    return texts.select(key, text).join(chosen, key).select(
+    return join_many_to_one(chosen, texts.select(key, text), key, F.col("start")).select(
         key, *_span_fields(F.col(text), F.col("label"), F.col("start"), F.col("end"), F.col("score")))
 
 
@@ -246,8 +247,8 @@ def analyze_texts(texts: DataFrame, analyzer: Callable, text: str = "text",
     """
     labels = list(wanted_labels(entities))
 
-    @F.pandas_udf(SPANS_SCHEMA, PandasUDFType.SCALAR)
-    def spans_of(batch):
+    @F.pandas_udf(SPANS_SCHEMA)
+    def spans_of(batch: pd.Series) -> pd.Series:
         return batch.map(lambda t: [] if t is None else [
             {"label": s[0], "start": s[1], "end": s[2], "score": s[3]} for s in analyzer(t, labels)])
 

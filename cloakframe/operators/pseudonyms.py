@@ -106,9 +106,12 @@ def number_new(new: DataFrame, known: DataFrame) -> DataFrame:
 
 def assign(found: DataFrame, known: DataFrame, detector: Detector | None = None) -> tuple[DataFrame, DataFrame]:
     """``(lookup, new)``: pseudonyms of all values in ``found``, and the entries to add to the table."""
-    values = cut(first_seen(found, detector).join(known, KEYS, "left"), "values")
-    new = cut(number_new(values.filter("pseudonym is null").select(*KEYS, "first", "n"), known), "new-values")
-    old = values.filter("pseudonym is not null").select(*KEYS, "pseudonym_no", "pseudonym", "n")
+    values = cut(first_seen(found, detector), "values")
+    # The table may be far larger than one run's values: cut it down to them first.  The planner
+    # knows the size of the written values and broadcasts them when they are few.
+    met = cut(known.join(values.select(*KEYS), KEYS, "left_semi"), "known-values")
+    new = cut(number_new(values.join(met, KEYS, "left_anti"), known), "new-values")
+    old = values.join(met, KEYS).select(*KEYS, "pseudonym_no", "pseudonym", "n")
     return old.unionByName(new), new.drop("n")
 
 

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import identifier
+
 META = ("source_id", "record_index", "units")
 
 
@@ -37,7 +39,7 @@ def records_from(
         source.cast("string").alias("source_id"),
         index.cast("bigint").alias("record_index"),
         F.lit(1).cast("bigint").alias("units"),
-        F.struct(*[F.col(f"`{c}`").alias(c) for c in fields]).alias("content"),
+        F.struct(*[F.col(identifier(c)).alias(c) for c in fields]).alias("content"),
     )
 
 

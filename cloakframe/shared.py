@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
+# A key with more than this share of all rows is spread over SALTS tasks.
+HOT_SHARE = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,3 +66,23 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt: Co
         .join(salted, [*keys, "_salt"], how)
         .drop("_salt")
     )
+
+
+def join_many_to_one(many: DataFrame, one: DataFrame, key: str, salt: Column) -> DataFrame:
+    """Join rows that may pile up on a few keys with a large table of one row per key.
+
+    Few enough rows are broadcast, so the large table is not shuffled.
+    Otherwise keys that hold more than 1/1000 of the rows each (at most 1000
+    keys) are salted: their rows are spread by ``salt`` and only their partners
+    are copied.
+    """
+    if many.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return one.join(F.broadcast(many), key)
+    counts = many.groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0]
+    hot = F.broadcast(counts.filter(F.col("_n") * HOT_SHARE > total).select(key, F.lit(True).alias("_hot")))
+    spread_many = many.join(hot, key, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(salt, F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    copied_one = one.join(hot, key, "left").withColumn("_salt", F.explode(
+        F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return copied_one.join(spread_many, [key, "_salt"]).drop("_salt")

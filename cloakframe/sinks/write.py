@@ -34,7 +34,9 @@ def write_text(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 def write_sanitized(sanitized: DataFrame, input_format: str, mode: str, path: str) -> None:
     """Sanitized records of one format, one folder per source."""
-    named = sanitized.withColumn("output_file", sanitized_name(F.col("source_id"), mode))
+    # The writer groups a task's rows by output file anyway; the record order comes with the same sort.
+    named = sanitized.withColumn("output_file", sanitized_name(F.col("source_id"), mode)) \
+        .sortWithinPartitions("output_file", "record_index")
     if input_format == "csv":
         write_csv(named.select("output_file", "content.*"), path, ["output_file"])
     elif input_format == "json":

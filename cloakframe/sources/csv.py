@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import identifier
 from .files import FILE_PATH, any_case, plain_path
 
 _OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "encoding": "UTF-8"}
@@ -49,7 +50,8 @@ def load_csv(spark: SparkSession, path: str | list[str], names: list[str] | None
 
     All values are strings; missing and empty ones are ``""``; surplus values
     are dropped; of two equal header names the later one counts.  A file with
-    another header makes the read fail; ``header_groups`` tells such files apart.  Quoted
+    another header makes the read fail; ``header_groups`` tells such files apart.
+    Header names that differ only in case need ``spark.sql.caseSensitive``.  Quoted
     newlines make a file unsplittable: pass ``multi_line=False`` for large
     files known to have none, and they are read in parallel splits.
 
@@ -74,7 +76,7 @@ def load_csv(spark: SparkSession, path: str | list[str], names: list[str] | None
         F.col(FILE_PATH).alias("source_id"),
         F.lit(None).cast("bigint").alias("record_index"),
         F.lit(1).cast("bigint").alias("units"),
-        F.struct(*[F.coalesce(F.col(f"`{columns[i]}`"), F.lit("")).alias(names[i] or f"_c{i}") for i in kept]).alias("content"),
+        F.struct(*[F.coalesce(F.col(identifier(columns[i])), F.lit("")).alias(names[i] or f"_c{i}") for i in kept]).alias("content"),
         F.struct(F.col("_metadata.file_block_start").alias("block"),
                  F.monotonically_increasing_id().alias("seq")).alias("position"),
     )

@@ -166,6 +166,26 @@ def test_salted_lookup_join_keeps_every_row(spark, monkeypatch):
     assert salted.count() == 1000
 
 
+def test_hot_keys_are_salted_in_many_to_one_joins(spark, monkeypatch):
+    many = spark.range(4000).select(F.expr("if(id % 3 = 0, 0, id % 50)").alias("k"), F.col("id").alias("start"))
+    one = spark.range(60).select(F.col("id").alias("k"), F.concat(F.lit("t"), "id").alias("v"))
+    plain_join = sorted(map(tuple, one.join(many, "k").select("k", "start", "v").collect()))
+    for limit in (200_000, 0):
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", limit)
+        got = shared.join_many_to_one(many, one, "k", F.col("start")).select("k", "start", "v")
+        assert sorted(map(tuple, got.collect())) == plain_join
+
+
+def test_odd_column_names(spark, tmp_path):
+    from cloakframe.plans import jobs
+    (tmp_path / "odd.csv").write_text('a.b,"x,y;z",`q`,full name\nm@n.it,1,2,Anna Bianchi\n', encoding="utf-8")
+    out = str(tmp_path / "out")
+    jobs.sanitize(jobs.load_path(spark, str(tmp_path / "odd.csv")), "csv", "redact", out)
+    (row,) = spark.read.option("header", True).csv(f"{out}/sanitized/output_file=odd_redact_sanitized.csv").collect()
+    assert list(row.asDict().items()) == [
+        ("a.b", "[REDACTED_EMAIL]"), ("x,y;z", "1"), ("`q`", "2"), ("full name", "[REDACTED_PERSON_NAME]")]
+
+
 def test_rules_are_evaluated_once_per_record(spark):
     """No plan repeats the pattern search for a filter or an unfolding."""
     frame = spark.createDataFrame([(1, "a@b.it")], "id int, t string")
