@@ -113,8 +113,3 @@ def safe_preview(value: Column, visible: int = 2) -> Column:
     """First and last ``visible`` characters around ``***``; short values all stars."""
     return F.when(F.length(value) <= 2 * visible, F.repeat(F.lit("*"), F.length(value))).otherwise(
         F.concat(F.substring(value, 1, visible), F.lit("***"), F.right(value, F.lit(visible))))
-
-
-def join_values(values: list[Column]) -> Column:
-    """One line per value; a missing value is spelled ``None``."""
-    return F.concat_ws("\n", *[F.coalesce(v, F.lit("None")) for v in values])

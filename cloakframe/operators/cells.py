@@ -91,6 +91,18 @@ def cells(value: str, dtype: T.DataType, leaf_text: LeafText = any_text, path: F
             f"'name_bits', {name_bits(name, key)})) as {CELLS_TYPE})")
 
 
+def record_text(dtype: T.DataType, content: str = "content") -> str:
+    """A record as text (SQL): one line per top-level value, a missing one spelled ``None``; texts as they are."""
+    if not isinstance(dtype, T.StructType):
+        return content
+    lines = []
+    for f in dtype.fields:
+        value = field_of(content, f.name)
+        text = cell_text(value, f.dataType) if is_leaf(f.dataType) else f"to_json({value})"
+        lines.append(f"coalesce({text}, 'None')")
+    return f"concat_ws('\\n', {', '.join(lines)})"
+
+
 def cell_table(records: DataFrame) -> DataFrame:
     """One row per non-null scalar: ``source_id, record_index, field_ordinal, field_path, field_name, value``."""
     found = cells("content", records.schema["content"].dataType) or NO_CELLS

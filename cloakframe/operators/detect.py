@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import rules as R
-from ..functions.matching import NO_HITS, Place, context_hits, joined, single_hit, text_hits
+from ..functions.matching import HIT_TYPE, NO_HITS, Place, context_hits, joined, single_hit, text_hits
 from ..functions.text import ROOT_PATH, FieldPath, cell_text, name_fits, name_fits_sql
 from ..shared import join_many_to_one
-from .cells import cells, is_leaf, is_text, static_leaves
+from .cells import cells, is_leaf, is_text, record_text, static_leaves
 
 # Up to this many plain leaves get their own compiled expression; a wider
 # record is walked as an array of cells, which keeps the plan small.
@@ -148,17 +148,19 @@ class Detector:
                 parts.append(part)
         return texts, joined(parts)
 
+    def annotate(self, records: DataFrame) -> DataFrame:
+        texts, hits = self.hits(records.schema["content"].dataType)
+        staged = records.withColumns({name: F.expr(text) for name, text in texts.items()}) if texts else records
+        return staged.withColumn("hits", F.expr(hits)).drop(*texts)
+
 
 def _phone_sized(value: str) -> str:
     return f"({value} BETWEEN 10000000 AND 999999999999 OR {value} BETWEEN -999999999999 AND -10000000)"
 
 
-def annotate(records: DataFrame, detector: Detector | None = None) -> DataFrame:
+def annotate(records: DataFrame, detector: Detector | ExternalDetector | None = None) -> DataFrame:
     """Add ``hits`` to every record: one scan, all rules, no shuffle."""
-    detector = detector or Detector()
-    texts, hits = detector.hits(records.schema["content"].dataType)
-    staged = records.withColumns({name: F.expr(text) for name, text in texts.items()}) if texts else records
-    return staged.withColumn("hits", F.expr(hits)).drop(*texts)
+    return (detector or Detector()).annotate(records)
 
 
 def unfold(annotated: DataFrame, *keep: str | Column) -> DataFrame:
@@ -238,22 +240,40 @@ def _span_fields(text: Column, label: Column, start: Column, end: Column, score:
     ]
 
 
-def analyze_texts(texts: DataFrame, analyzer: Callable, text: str = "text",
-                  entities: Iterable[str] | None = None) -> DataFrame:
-    """Run an analyzer over every text in Arrow batches and map its spans.
+class ExternalDetector:
+    """Runs an analyzer over every text, or every record written out as text, in Arrow batches.
 
     ``analyzer(text, labels)`` returns ``(label, start, end, score)`` tuples.
-    It is the one place where Python sees the texts.
+    It is the one place where Python sees the texts.  Hits sit at the root, so
+    whole texts are rewritten while the fields of structured records are not.
     """
-    labels = list(wanted_labels(entities))
-
-    @F.pandas_udf(SPANS_SCHEMA)
-    def spans_of(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: [] if t is None else [
-            {"label": s[0], "start": s[1], "end": s[2], "score": s[3]} for s in analyzer(t, labels)])
-
-    others = [c for c in texts.columns if c != text]
-    found = texts.select(*others, text, F.explode_outer(spans_of(F.col(text))).alias("span")) \
-        .filter(F.col("span").isNotNull())
-    return found.select(*others, *_span_fields(
-        F.col(text), F.col("span.label"), F.col("span.start"), F.col("span.end"), F.col("span.score")))
+
+    rules: tuple = ()
+
+    def __init__(self, analyzer: Callable, entities: Iterable[str] | None = None):
+        self.analyzer, self.labels = analyzer, list(wanted_labels(entities))
+
+    def candidate_text(self, value: str, dtype: T.DataType) -> str | None:
+        return value if is_text(dtype) else None
+
+    def annotate(self, records: DataFrame) -> DataFrame:
+        analyzer, labels = self.analyzer, self.labels
+
+        @F.pandas_udf(SPANS_SCHEMA)
+        def spans_of(batch: pd.Series) -> pd.Series:
+            return batch.map(lambda t: [] if t is None else [
+                {"label": s[0], "start": s[1], "end": s[2], "score": s[3]} for s in analyzer(t, labels)])
+
+        def hit(span: Column, i: Column) -> Column:
+            fields = dict(zip(("entity_type", "value", "field_path", "char_start", "char_end", "confidence",
+                               "detector_name"), _span_fields(F.col("_text"), *[
+                                   span[f] for f in ("label", "start", "end", "score")])))
+            fields |= {"field_ordinal": F.lit(0), "item_ordinal": F.lit(0), "rule_rank": i}
+            return F.struct(*[fields[f.name].cast(f.dataType).alias(f.name) for f in HIT_TYPE.fields])
+
+        return (
+            records.withColumn("_text", F.expr(record_text(records.schema["content"].dataType)))
+            .withColumn("_spans", spans_of("_text"))
+            .withColumn("hits", F.coalesce(F.transform("_spans", hit), F.expr(NO_HITS)))
+            .drop("_text", "_spans")
+        )

@@ -55,6 +55,16 @@ class PseudonymStore:
             return self.spark.createDataFrame([], MAP_SCHEMA)
         return self.spark.read.schema(MAP_SCHEMA).parquet(*paths)
 
+    def import_json(self, path: str) -> None:
+        """Take over a map kept as one JSON document with ``values: {"TYPE::value": pseudonym}``."""
+        text = self.spark.read.text(path, wholetext=True)
+        entries = text.select(F.explode(F.from_json("value", "values map<string,string>")["values"]).alias("k", "pseudonym"))
+        cut_at = F.instr("k", "::")
+        self.save(entries.select(
+            F.substring("k", F.lit(1), cut_at - 1).alias("entity_type"),
+            F.substring("k", cut_at + 2, F.length("k")).alias("value"),
+            F.regexp_extract("pseudonym", "_([0-9]+)$", 1).cast("bigint").alias("pseudonym_no"), "pseudonym"))
+
     def save(self, new: DataFrame) -> None:
         """Add entries as the next version."""
         root = self._path(self.path)

@@ -14,18 +14,21 @@ from pyspark.sql import functions as F
 
 from ..functions.text import safe_preview
 from ..operators import report as rep
-from ..operators.detect import Detector, annotate
+from ..operators.detect import Detector, ExternalDetector, annotate
 from ..operators.pseudonyms import PseudonymStore, pseudonymize_hits
 from ..operators.records import texts_from
 from ..operators.sanitize import protect_hits, write_back
-from ..rules import check_mode
+from ..rules import REPORT_FORMATS, check_mode
 from ..shared import cut, lookup_join, shared_dir
 from ..sinks.write import write_report, write_sanitized
 from ..sources import csv, files, json, text
 from ..sources.query import load_query
 
 
-def protect(annotated: DataFrame, mode: str, detector: Detector,
+AnyDetector = Detector | ExternalDetector
+
+
+def protect(annotated: DataFrame, mode: str, detector: AnyDetector,
             store: PseudonymStore | None = None) -> DataFrame:
     """Give every hit its sanitized value in any mode; new pseudonyms are saved before any is used."""
     if check_mode(mode) != "pseudonymize":
@@ -86,10 +89,16 @@ def _complete(summary: DataFrame, sources: DataFrame | None, input_format: str)
 
 def _write_audit(rows: DataFrame, sources: DataFrame | None, input_format: str, mode: str, out_dir: str,
                  sanitized: bool, transformed: bool, report_format: str) -> None:
+    if report_format not in REPORT_FORMATS:
+        raise ValueError(f"{report_format!r} is not one of {', '.join(REPORT_FORMATS)}")
     summary = _complete(rep.source_summary(rows), sources, input_format)
+    hits = rows.filter(F.size("hits") > 0).select("source_id", "record_index", F.inline("hits"))
+    if report_format == "html":  # the report for people: header facts and one short row per detection
+        write_report(rep.display_header(summary, mode), f"{out_dir}/reports")
+        write_report(rep.display_listing(hits), f"{out_dir}/display")
+        return
     report = rep.audit_report(summary, mode, out_dir, sanitized, report_format=report_format)
     write_report(report, f"{out_dir}/reports")
-    hits = rows.filter(F.size("hits") > 0).select("source_id", "record_index", F.inline("hits"))
     write_report(hits.select(
         "source_id", "entity_type", "field_path", "record_index", "char_start", "char_end",
         "confidence", "detector_name", "value_preview"), f"{out_dir}/detections")
@@ -106,12 +115,12 @@ def _audit_columns(df: DataFrame) -> list[str]:
     return [*_AUDIT, *(["position"] if "position" in df.columns else [])]
 
 
-def scan(records: DataFrame, detector: Detector | None = None) -> DataFrame:
+def scan(records: DataFrame, detector: AnyDetector | None = None) -> DataFrame:
     """Counts per source; nothing is written."""
     return rep.source_summary(annotate(records, detector))
 
 
-def sanitize(records: DataFrame, input_format: str, mode: str, out_dir: str, detector: Detector | None = None,
+def sanitize(records: DataFrame, input_format: str, mode: str, out_dir: str, detector: AnyDetector | None = None,
              store: PseudonymStore | None = None, sources: DataFrame | None = None,
              report_format: str = "json") -> None:
     """Write the sanitized sources, their reports and both listings."""
@@ -122,7 +131,7 @@ def sanitize(records: DataFrame, input_format: str, mode: str, out_dir: str, det
     _write_audit(rows, sources, input_format, mode, out_dir, True, True, report_format)
 
 
-def report(records: DataFrame, input_format: str, mode: str, out_dir: str, detector: Detector | None = None,
+def report(records: DataFrame, input_format: str, mode: str, out_dir: str, detector: AnyDetector | None = None,
            sources: DataFrame | None = None, report_format: str = "json") -> None:
     """Write reports and the detection listing; no sanitized output, no transformations."""
     found = annotate(records, detector)
@@ -131,7 +140,7 @@ def report(records: DataFrame, input_format: str, mode: str, out_dir: str, detec
 
 
 def query_scan(spark: SparkSession, query: str, mode: str, out_dir: str, url: str | None = None,
-               key: str | None = None, options: Mapping[str, str] | None = None, detector: Detector | None = None,
+               key: str | None = None, options: Mapping[str, str] | None = None, detector: AnyDetector | None = None,
                store: PseudonymStore | None = None, report_format: str = "json") -> None:
     """Scan a query's rows: transformations are listed and pseudonyms kept, no data is written."""
     detector = detector or Detector()
@@ -178,7 +187,7 @@ def folder_records(spark: SparkSession, folder: str,
 
 
 def batch(spark: SparkSession, folder: str, action: str, mode: str = "mask", out_dir: str = "outputs",
-          detector: Detector | None = None, store: PseudonymStore | None = None, pages: DataFrame | None = None,
+          detector: AnyDetector | None = None, store: PseudonymStore | None = None, pages: DataFrame | None = None,
           report_format: str = "json") -> list[DataFrame]:
     """``scan``, ``sanitize`` or ``report`` over a folder; an empty folder is a no-op.
 

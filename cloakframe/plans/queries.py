@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import protect as P
-from ..functions.text import cell_text, name_fits_sql, normalize_name_sql, safe_preview
+from ..functions.text import name_fits_sql, normalize_name_sql, safe_preview
 from ..operators import report as rep
-from ..operators.cells import cell_table, variant_cells
+from ..operators.cells import cell_table, record_text, variant_cells
 from ..operators.detect import Detector, annotate, detect, detections, external_detections
 from ..operators.pseudonyms import assign, pseudonymize_hits
 from ..operators.records import records_from, spread, texts_from
@@ -303,12 +303,11 @@ def field_hint_predicate(spark, folder):
 
 @register
 def flatten_record_text(spark, folder):
-    from ..functions.text import join_values
-
     supplier = _table(spark, folder, "supplier").withColumn(
         "note", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")))
-    values = [F.expr(cell_text(f"`{f.name}`", f.dataType)) for f in supplier.schema.fields]
-    return supplier.select("s_suppkey", join_values(values).alias("record_text"))
+    records = records_from(supplier, "supplier", "s_suppkey")
+    return records.select(F.col("record_index").alias("s_suppkey"), F.expr(
+        record_text(records.schema["content"].dataType)).alias("record_text"))
 
 
 # --- protection -------------------------------------------------------------

@@ -71,6 +71,18 @@ def test_report_only_claims_no_output(spark, tmp_path):
     assert not os.path.exists(f"{out}/sanitized") and not os.path.exists(f"{out}/transformations")
 
 
+def test_html_report_is_a_short_listing(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("full_name,email\nMario Rossi,mario.rossi@example.it\n", encoding="utf-8")
+    out = str(tmp_path / "out")
+    jobs.report(jobs.load_path(spark, str(tmp_path / "c.csv")), "csv", "mask", out, report_format="html")
+    assert read_json(f"{out}/reports") == [
+        {"input_file": "c.csv", "sanitization_mode": "mask", "total_detections": 2}]
+    assert sorted((r["type"], r["field"], r["record"]) for r in read_json(f"{out}/display")) == [
+        ("EMAIL", "email", 0), ("PERSON_NAME", "full_name", 0)]
+    with pytest.raises(ValueError):
+        jobs.report(jobs.load_path(spark, str(tmp_path / "c.csv")), "csv", "mask", out, report_format="pdf")
+
+
 def test_csv_quirks(spark, tmp_path):
     (tmp_path / "q.csv").write_text(
         'a,b,a\n1,"x\ny",3,4\n\n5\n"q ""z""",,7\n', encoding="utf-8")
@@ -190,3 +202,8 @@ def test_pseudonyms_are_stable_across_runs(spark, tmp_path):
     assert run(["z@x.it", "a@x.it", "c@x.it"]) == ["EMAIL_004", "EMAIL_002", "EMAIL_005"]
     assert store.versions() == [1, 2]
     assert store.load().count() == 5
+    old = tmp_path / "old.json"
+    old.write_text(json.dumps({"counters": {"EMAIL": 12}, "values": {"EMAIL::q::x@x.it": "EMAIL_012"}}))
+    other = PseudonymStore(spark, str(tmp_path / "other"))
+    other.import_json(str(old))
+    assert [tuple(r) for r in other.load().collect()] == [("EMAIL", "q::x@x.it", 12, "EMAIL_012")]

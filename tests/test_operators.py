@@ -10,7 +10,7 @@ from cloakframe import shared
 from cloakframe.functions.text import name_fits, normalize_name, safe_preview
 from cloakframe.operators import pseudonyms as ps
 from cloakframe.operators.cells import cell_table, variant_cells
-from cloakframe.operators.detect import (Detector, analyze_texts, annotate, detect, detection_order, detections,
+from cloakframe.operators.detect import (Detector, ExternalDetector, annotate, detect, detection_order, detections,
                                          external_detections)
 from cloakframe.operators.records import records_from, texts_from
 from cloakframe.operators.report import audit_report, source_summary
@@ -116,8 +116,17 @@ def test_external_spans(spark):
         assert labels == ["EMAIL_ADDRESS"]
         return [("EMAIL_ADDRESS", t.index("mario"), len(t), 0.99)]
 
-    (hit,) = analyze_texts(texts, fake_analyzer, entities=["EMAIL_ADDRESS"]).collect()
-    assert hit["value"] == "mario.rossi@example.it" and hit["id"] == 1
+    detector = ExternalDetector(fake_analyzer, ["EMAIL_ADDRESS"])
+    found = annotate(texts_from(texts, F.col("id"), "text"), detector)
+    (hit,) = detections(found).collect()
+    assert hit["value"] == "mario.rossi@example.it" and hit["field_path"] == "<root>" and hit["confidence"] == 0.99
+    done = write_back(protect_hits(found, "redact"), detector).first()
+    assert done["content"] == "My email is [REDACTED_EMAIL]"
+    record = records_from(spark.createDataFrame([(1, None, "x mario")], "n int, gone string, t string"), "s")
+    found = annotate(record, detector)
+    (hit,) = detections(found).collect()
+    assert (hit["value"], hit["char_start"]) == ("mario", 9)  # "1", "None" and "x mario" on three lines
+    assert write_back(protect_hits(found, "redact"), detector).first()["content"]["t"] == "x mario"
 
 
 def _hit_rows(spark, n):
