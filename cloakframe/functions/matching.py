@@ -39,8 +39,10 @@ class Place(NamedTuple):
     path: str = quoted(ROOT_PATH)
 
 
-# Any digit rule needs a digit next to a digit or one of these separators.
+# Any digit rule needs a digit next to a digit or one of these separators …
 _DIGIT_GATE = r"\p{Nd}[\p{Nd}./-]"
+# … and the gate of every such rule starts with one of these characters.
+_GATE_START = r"(?=[\p{Nd}/-])"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -134,8 +136,10 @@ def text_hits(text: str, rules: tuple[Rule, ...], place: Place = Place(),
               usable: set[str] | None = None) -> str:
     """Hits of all regular-expression rules in one text, rule by rule.
 
-    ``usable`` names the entity types this text can hold (default: all).  One
-    shared digit check lets a text without digits skip every digit rule.
+    ``usable`` names the entity types this text can hold (default: all).  Two
+    shared checks let a text skip all digit rules: one for digits at all, one
+    for the gate of any of the rules.  Each is one pass, where the rules' own
+    gates would be one pass each.
     """
     parts: list[str] = []
     run: list[tuple[int, Rule]] = []
@@ -143,9 +147,12 @@ def text_hits(text: str, rules: tuple[Rule, ...], place: Place = Place(),
     def flush() -> None:
         if run:
             shortest = min(r.min_bytes for _, r in run)
-            parts.append(
-                f"CASE WHEN octet_length({text}) >= {shortest} AND rlike({text}, {quoted(_DIGIT_GATE)}) "
-                f"THEN {joined([rule_hits(text, r, k, place) for k, r in run])} ELSE {NO_HITS} END")
+            checks = [f"octet_length({text}) >= {shortest}", f"rlike({text}, {quoted(_DIGIT_GATE)})"]
+            if len(run) > 1:
+                any_gate = f"{_GATE_START}(?:{'|'.join(r.gate for _, r in run)})"
+                checks.append(f"rlike({text}, {quoted(any_gate)})")
+            hits = joined([rule_hits(text, r, k, place) for k, r in run])
+            parts.append(f"CASE WHEN {' AND '.join(checks)} THEN {hits} ELSE {NO_HITS} END")
             run.clear()
 
     for rank, rule in enumerate(rules):

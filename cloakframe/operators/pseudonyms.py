@@ -93,7 +93,8 @@ def number_new(new: DataFrame, known: DataFrame) -> DataFrame:
     type and partition) makes the numbers consecutive.  The partitions are
     written once, so counting and numbering see the same ones.
     """
-    order = ["entity_type", *[f"first.{n}" for n in _ORDER]]
+    # Rows without a key share their position; the value then decides, so a rerun gives the same numbers.
+    order = ["entity_type", *[f"first.{n}" for n in _ORDER], "value"]
     ranged = cut(
         new.repartitionByRange(*order).sortWithinPartitions(*order)
         .withColumn("_row", F.monotonically_increasing_id()), "ranged"

@@ -83,8 +83,10 @@ def _complete(summary: DataFrame, sources: DataFrame | None, input_format: str)
     if sources is None:
         return summary.withColumn("input_format", F.lit(input_format))
     known = sources.select("source_id").withColumn("input_format", F.lit(input_format))
-    return known.join(summary, "source_id", "left").fillna(
-        0, ["record_count", "entities_found", *rep.SORTED_TYPES])
+    # A list without items counts no record; a text counts one even when it is empty.
+    return known.join(summary, "source_id", "left") \
+        .fillna(0 if input_format in ("csv", "json") else 1, ["record_count"]) \
+        .fillna(0, ["entities_found", *rep.SORTED_TYPES])
 
 
 def _write_audit(rows: DataFrame, sources: DataFrame | None, input_format: str, mode: str, out_dir: str,
@@ -175,8 +177,8 @@ def folder_records(spark: SparkSession, folder: str,
     for fmt in sorted(present - {"pdf"}):
         sources = listed.filter(F.col("input_format") == fmt)
         if fmt == "csv":
-            for names, paths in csv.header_groups(spark, folder):
-                yield fmt, csv.load_csv(spark, paths, names), None
+            for records, files_read in csv.load_csv_groups(spark, folder, sources):
+                yield fmt, records, files_read
         elif fmt == "json":
             yield fmt, json.load_json(spark, folder), sources
         else:

@@ -19,7 +19,7 @@ def _glob() -> dict[str, str]:
 
 
 def header_groups(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
-    """Files of a folder grouped by their header: ``(field names, paths)``.
+    """Files of a folder grouped by their header: ``(field names, source ids)``.
 
     Reads the first line of every file.  The result is as long as the file
     listing the Spark driver keeps for the same read.
@@ -34,8 +34,28 @@ def header_groups(spark: SparkSession, path: str) -> list[tuple[list[str], list[
     )
     groups: dict[str, list[str]] = defaultdict(list)
     for row in heads.toLocalIterator():
-        groups[row["header"].lstrip("\ufeff").rstrip("\r")].append(plain_path(row["source_id"]))
-    return [(_names(spark, paths[:1]), sorted(paths)) for _, paths in sorted(groups.items())]
+        groups[row["header"].lstrip("\ufeff").rstrip("\r")].append(row["source_id"])
+    return [(_names(spark, [plain_path(ids[0])]), sorted(ids)) for _, ids in sorted(groups.items())]
+
+
+def load_csv_groups(spark: SparkSession, path: str, listed: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Records and sources of the CSV files in a folder, one pair per distinct header.
+
+    ``listed`` names all the files; those without any line have no header and
+    are counted with the first group, as sources without records.
+    """
+    groups = header_groups(spark, path)
+    if not groups:
+        nothing = spark.createDataFrame(
+            [], "source_id string, record_index bigint, units bigint, content struct<value: string>")
+        return [(nothing, listed)]
+    later = [(i,) for _, ids in groups[1:] for i in ids]
+    pairs = []
+    for k, (names, ids) in enumerate(groups):
+        sources = spark.createDataFrame([(i,) for i in ids], "source_id string") if k else listed.select(
+            "source_id").join(spark.createDataFrame(later, "source_id string"), "source_id", "left_anti")
+        pairs.append((load_csv(spark, [plain_path(i) for i in ids], names), sources))
+    return pairs
 
 
 def _names(spark: SparkSession, paths: list[str]) -> list[str]:

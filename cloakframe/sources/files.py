@@ -67,7 +67,7 @@ def any_case(suffix: str) -> str:
 def list_files(spark: SparkSession, path: str, formats: Iterable[str] = INPUT_FORMATS) -> DataFrame:
     """``source_id, input_format`` of the supported files in a folder (not below it).
 
-    Only names are listed; no file is opened.
+    Only names are listed; no file is opened.  Files of zero bytes are left out.
     """
     return (
         spark.read.format("binaryFile").load(path)

@@ -137,14 +137,20 @@ def test_batch_over_a_mixed_folder(spark, tmp_path):
     (folder / "list.json").write_text('[{"phone": 3331234567, "ok": true}]', encoding="utf-8")
     (folder / "dump.sql").write_text("insert into t values ('anna@example.it');\n", encoding="utf-8")
     (folder / "skip.bin").write_text("x@y.it", encoding="utf-8")
+    (folder / "header only.csv").write_text("email,id\n", encoding="utf-8")
+    (folder / "blank.csv").write_text("\n", encoding="utf-8")
+    (folder / "blank.txt").write_text("\n", encoding="utf-8")
     counts = {}
     for summary in jobs.batch(spark, str(folder), "scan"):
         for r in summary.collect():
             counts[os.path.basename(r["source_id"])] = (r["record_count"], r["entities_found"])
     assert counts == {"one.csv": (3, 24), "two%20files.CSV": (1, 1), "note.txt": (1, 1), "empty.json": (0, 0),
-                      "list.json": (1, 1), "dump.sql": (1, 1)}
+                      "list.json": (1, 1), "dump.sql": (1, 1),
+                      "header%20only.csv": (0, 0),
+                      "blank.csv": (0, 0), "blank.txt": (1, 0)}
     jobs.batch(spark, str(folder), "sanitize", "redact", out)
     names = {os.path.basename(p)[len("output_file="):] for p in glob.glob(f"{out}/sanitized/output_file=*")}
+    names -= {"blank_redact_sanitized.txt"}
     assert names == {"one_redact_sanitized.csv", "two files_redact_sanitized.csv", "note_redact_sanitized.txt",
                      "list_redact_sanitized.json", "dump_redact_sanitized.sql"}
     (note,) = glob.glob(f"{out}/sanitized/output_file=note_redact_sanitized.txt/part-*")
@@ -152,7 +158,7 @@ def test_batch_over_a_mixed_folder(spark, tmp_path):
     assert read_json(f"{out}/sanitized/output_file=list_redact_sanitized.json") == [
         {"ok": True, "phone": "[REDACTED_PHONE]"}]
     reports = {r["input_file"]: r for r in read_json(f"{out}/reports")}
-    assert len(reports) == 6 and reports["empty.json"]["confidence"] is None
+    assert len(reports) == 9 and reports["empty.json"]["confidence"] is None
     assert reports["empty.json"]["entity_counts"] == {} and reports["empty.json"]["record_count"] == 0
     empty = tmp_path / "none"
     empty.mkdir()
