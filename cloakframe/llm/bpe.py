@@ -7,11 +7,15 @@ as a whole; all others are merged by a heap over linked bytes.
 from __future__ import annotations
 
 import base64
-import heapq
+from array import array
 from collections.abc import Callable
+from heapq import heapify
+from heapq import heappop as pop
+from heapq import heappush as push
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import blocks, table
 
 # Pre-tokens a worker remembers; beyond it starts anew, so its memory is bounded.
-REMEMBERED = 200_000
+REMEMBERED = 1_000_000
+# Bytes of text that are encoded at once: distinct stretches recur in larger blocks.
+ENCODED = 16 << 20
 # Longer pre-tokens are worked out each time and not remembered.
 SHORT = 64
 
@@ -35,11 +41,12 @@ class PerfectHash:
     """Minimal perfect hash of a fixed key set (hash and displace).
 
     Keys are dealt to buckets; buckets, largest first, look for a displacement
-    that sends all their keys to free slots.  The table has as many slots as
-    keys; a stored key tells members from others.
+    that sends all their keys to free slots, and buckets of one key are given a
+    free slot outright (a negative displacement).  The table has as many slots
+    as keys; a stored key tells members from others.
     """
 
-    def __init__(self, keys: dict[bytes, int], load: int = 4) -> None:
+    def __init__(self, keys: dict[bytes, int], load: int = 2) -> None:
         n = max(1, len(keys))
         self.slots: list[bytes | None] = [None] * n
         self.values = [0] * n
@@ -48,7 +55,11 @@ class PerfectHash:
         for key in keys:
             h = xxhash.xxh3_64_intdigest(key)
             buckets.setdefault(h % len(self.shift), []).append((key, h))
+        single = []
         for b, own in sorted(buckets.items(), key=lambda kv: (-len(kv[1]), kv[0])):
+            if len(own) == 1:
+                single.append((b, own[0][0]))
+                continue
             d = 0
             while True:
                 places = {self._place(h, d) for _, h in own}
@@ -57,10 +68,18 @@ class PerfectHash:
                 d += 1
             self.shift[b] = d
             for key, h in own:
-                self.slots[self._place(h, d)] = key
-                self.values[self._place(h, d)] = keys[key]
+                self._put(self._place(h, d), key, keys[key])
+        free = [p for p, key in enumerate(self.slots) if key is None]
+        for (b, key), p in zip(single, free):
+            self.shift[b] = -1 - p
+            self._put(p, key, keys[key])
+
+    def _put(self, p: int, key: bytes, value: int) -> None:
+        self.slots[p], self.values[p] = key, value
 
     def _place(self, h: int, d: int) -> int:
+        if d < 0:
+            return -1 - d
         return (((h ^ (d * 0x9E3779B97F4A7C15)) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF) >> 20) % len(self.slots)
 
     def get(self, key: bytes) -> int | None:
@@ -69,71 +88,104 @@ class PerfectHash:
         return self.values[p] if self.slots[p] == key else None
 
 
-def merge(piece: bytes, find: Callable[[bytes], int | None]) -> list[int]:
+def merge(piece: bytes, rank_of: Callable[[bytes], int | None]) -> list[int]:
     """Ids of one pre-token: the lowest-ranked adjacent pair is joined first, the leftmost of equals.
 
     The bytes are a linked list of parts given by their starts; the heap holds
-    candidate joins and stale ones are passed over, so long pre-tokens take
-    ``n log n`` steps.
+    candidate joins (rank, start and end in one integer) and stale ones are
+    passed over, so a long pre-token takes ``n log n`` steps.
     """
     n = len(piece)
-    after = list(range(1, n + 1))
+    bits = 8 if n < 256 else n.bit_length()
+    mask = (1 << bits) - 1
+    after = list(range(1, n + 2))
     before = list(range(-1, n))
-    alive = [True] * n
-    heap = []
-    for i in range(n - 1):
-        rank = find(piece[i:i + 2])
-        if rank is not None:
-            heap.append((rank, i, i + 2))
-    heapq.heapify(heap)
+    heap = [((rank << bits | i) << bits) | i + 2 for i, rank in enumerate(
+        [rank_of(piece[i:i + 2]) for i in range(n - 1)]) if rank is not None]
+    heapify(heap)
     while heap:
-        _, i, end = heapq.heappop(heap)
-        j = after[i] if alive[i] else n
-        if j >= n or after[j] != end:
+        top = pop(heap)
+        end = top & mask
+        i = top >> bits & mask
+        j = after[i]
+        if j >= n or after[j] != end:  # one of the parts is no longer there; a joined part has after -1
             continue
-        alive[j] = False
         after[i] = end
+        after[j] = -1
         if end < n:
             before[end] = i
-            rank = find(piece[i:after[end]])
+            right = after[end]
+            rank = rank_of(piece[i:right])
             if rank is not None:
-                heapq.heappush(heap, (rank, i, after[end]))
-        h = before[i]
-        if h >= 0:
-            rank = find(piece[h:end])
+                push(heap, ((rank << bits | i) << bits) | right)
+        left = before[i]
+        if left >= 0:
+            rank = rank_of(piece[left:end])
             if rank is not None:
-                heapq.heappush(heap, (rank, h, end))
+                push(heap, ((rank << bits | left) << bits) | end)
     ids, i = [], 0
     while i < n:
-        ids.append(find(piece[i:after[i]]))
+        ids.append(rank_of(piece[i:after[i]]))
         i = after[i]
     return ids
 
 
+# A space next to other white space: there the pattern looks beyond the space.
+_BLANK = r"[\s\p{Z}\x{85}\x0b\x1c-\x1f]"
+_TOUCHING = f"{_BLANK} | {_BLANK}"
+
+
 class Encoder:
-    """Encodes texts to packed little-endian 32-bit ids."""
+    """Encodes a block of texts to 32-bit ids.
+
+    Where every space stands alone between other characters, the pattern never
+    joins what a space separates.  Such texts are cut at their spaces, and each
+    distinct stretch of the block (with its space in front) is encoded once.
+    """
 
     def __init__(self, vocabulary: PerfectHash, pattern: str) -> None:
         self.split = regex.compile(pattern).findall
         self.find = vocabulary.get
+        self.rank_of = dict(zip(vocabulary.slots, vocabulary.values)).get
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, token: str) -> bytes:
+    def _token(self, token: str) -> bytes:
         piece = token.encode("utf-8", "surrogatepass")
         whole = self.find(piece)
-        ids = [whole] if whole is not None else merge(piece, self.find)
+        ids = [whole] if whole is not None else merge(piece, self.rank_of)
         if None in ids:
             raise ValueError("the vocabulary lacks a single byte")
-        packed = np.array(ids, "<i4").tobytes()
+        packed = array("i", ids).tobytes()
         if len(token) <= SHORT:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[token] = packed
         return packed
 
-    def __call__(self, text: str) -> bytes:
-        known, ids = self.known.get, self._ids
-        return b"".join([known(t) or ids(t) for t in self.split(text)])
+    def text(self, text: str) -> bytes:
+        """Packed ids of one text."""
+        known, own = self.known.get, self._token
+        return b"".join([known(t) or own(t) for t in self.split(text)])
+
+    def block(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of each text; ``texts`` has no nulls."""
+        texts = texts.cast(pa.large_string())
+        whole = pc.match_substring_regex(texts, _TOUCHING)
+        cut = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        starts = cut.offsets.to_numpy()
+        stretches = cut.flatten().dictionary_encode()
+        known, own, text = self.known.get, self._token, self.text
+        packed = [(known(t := " " + r) or own(t)) if r.isalpha() else text(" " + r) for r in stretches.dictionary.to_pylist()]
+        # The first stretch of a text has no space in front; a text that cannot be cut is one stretch.
+        firsts = pc.if_else(whole, texts, pc.list_element(cut, 0)).to_pylist() if len(texts) else []
+        codes = stretches.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        codes[starts[:-1]] = len(packed) + np.arange(len(texts))
+        packed += [text(t) for t in firsts]
+        sizes = np.array([len(p) for p in packed], np.int64) // 4
+        table = pa.LargeListArray.from_arrays(
+            np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])[starts - starts[0]]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), table.take(pa.array(codes)).flatten())
 
 
 _READY: dict = {}
@@ -159,10 +211,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     def run(batches):
         encoder = _encoder(shared, pattern)
         for batch in batches:
-            for part in blocks(batch, text_col):
-                packed = [encoder(t or "") for t in part.column(text_col).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            for part in blocks(batch, text_col, ENCODED):
+                ids = encoder.block(part.column(text_col).fill_null(""))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
 
     return rest.mapInArrow(run, rest.select("*", F.array(F.lit(0)).alias("ids")).schema)

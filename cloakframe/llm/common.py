@@ -154,12 +154,12 @@ def shingles(hashes: np.ndarray, starts: np.ndarray, k: int = 5) -> Words:
     return value[keep], kept
 
 
-def blocks(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``BLOCK`` bytes of text; a longer text is a slice of its own."""
+def blocks(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of text; a longer text is a slice of its own."""
     size = np.diff(raw_bytes(batch.column(column))[1])
     at = 0
     total = np.concatenate([[0], np.cumsum(size)])
     while at < len(size):
-        last = max(at + 1, int(np.searchsorted(total, total[at] + BLOCK, side="right")) - 1)
+        last = max(at + 1, int(np.searchsorted(total, total[at] + most, side="right")) - 1)
         yield batch.slice(at, last - at)
         at = last
