@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from .bpe import op4_bpe_round_trip
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .language import op3_language_id
 from .mixing import op8_source_mix
 from .quality import op10_quality_rules
 from .secrets import op2_secret_scan
+from .suffix_tree import op6_lm_score
+from .warc import OP7_SQL, op7_warc_round_trip
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_secret_scan, op4_bpe_round_trip, op8_source_mix, op10_quality_rules)}
-ORACLE = {"op1_exact_dedup": OP1_SQL}
+    op1_exact_dedup, op2_secret_scan, op3_language_id, op4_bpe_round_trip, op6_lm_score, op7_warc_round_trip,
+    op8_source_mix, op10_quality_rules)}
+ORACLE = {"op1_exact_dedup": OP1_SQL, "op7_warc_round_trip": OP7_SQL}
