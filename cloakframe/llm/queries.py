@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .bpe import op4_bpe_round_trip
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .jaccard_join import op5_jaccard_join
 from .language import op3_language_id
+from .line_dedup import op9_line_dedup
 from .mixing import op8_source_mix
 from .quality import op10_quality_rules
 from .secrets import op2_secret_scan
@@ -12,6 +14,6 @@ from .suffix_tree import op6_lm_score
 from .warc import OP7_SQL, op7_warc_round_trip
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_secret_scan, op3_language_id, op4_bpe_round_trip, op6_lm_score, op7_warc_round_trip,
-    op8_source_mix, op10_quality_rules)}
+    op1_exact_dedup, op2_secret_scan, op3_language_id, op4_bpe_round_trip, op5_jaccard_join, op6_lm_score, op7_warc_round_trip,
+    op8_source_mix, op9_line_dedup, op10_quality_rules)}
 ORACLE = {"op1_exact_dedup": OP1_SQL, "op7_warc_round_trip": OP7_SQL}
