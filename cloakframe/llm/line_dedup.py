@@ -197,6 +197,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     last.  Lines at the same place of rows that share an identifier are not
     later than each other.  Shingles are compared by 64-bit hashes.
     """
+    docs = docs.drop("_lines", "_removed", "_gone")
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("_id"), F.xxhash64(text_col).alias("_h"),
                        F.col(text_col).alias("_t"))
     classes = rarity(rows, line_sets)
@@ -219,9 +220,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("_late") | (F.col("_id") != F.col("f_id")) | (F.col("line") != F.col("f_line")))
     # One entry per line of a text at most.
     per_text = cut(gone.groupBy("_id", "_h").agg(F.collect_set("line").alias("_gone")), "removed-lines")
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))).withColumn("_h", F.xxhash64(text_col))
     few = per_text.limit(100_001).count() <= 100_000
-    joined = keyed.join(F.broadcast(per_text) if few else per_text, ["_id", "_h"], "left").drop("_id", "_h")
+    joined = docs.join(
+        F.broadcast(per_text) if few else per_text,
+        (F.coalesce(docs[id_col].cast("bigint"), F.lit(LAST)) == per_text["_id"]) & (F.xxhash64(docs[text_col]) == per_text["_h"]),
+        "left").select(*[docs[c] for c in docs.columns], "_gone")
     names = [c for c in joined.columns if c != "_gone"]
     at = names.index(text_col)
 

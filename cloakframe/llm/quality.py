@@ -38,12 +38,12 @@ def _words(text: Column) -> Column:
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with one struct column ``_q`` of counts and measures; one projection, nothing is shuffled.
+    """``_row`` (all columns of ``docs``) and ``_q`` (counts and measures); one projection, nothing is shuffled.
 
     A null text counts as empty.  Windows are compared by a 64-bit hash.
     """
-    t = text_of(text_col)
-    held = docs.withColumn("_w", _words(t))
+    t = text_of(f"_row.{text_col}")
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row")).withColumn("_w", _words(t))
     held = held.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
     held = held.withColumn("_win", F.when(F.size("_h") >= WINDOW, F.transform(
         F.sequence(F.lit(0), F.size("_h") - WINDOW),
@@ -91,7 +91,7 @@ def histograms(measures: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame
     names = [m[0] for m in MEASURES]
     return (
         measures.filter(~F.col("_q.base_failed"))
-        .select(*group, F.explode(F.array(*[F.struct(
+        .select(*[F.col(f"_row.{g}").alias(g) for g in group], F.explode(F.array(*[F.struct(
             F.lit(i).alias("measure"), F.col(f"_q.{m}").alias("bucket")) for i, m in enumerate(names)])).alias("m"))
         .groupBy(*group, "m.measure", "m.bucket").agg(F.count("*").alias("n"))
     )
@@ -141,21 +141,20 @@ def judge(docs: DataFrame, text_col: str = "text", group: tuple[str, ...] = GROU
     The measured rows are written once to the shared folder, so texts are
     searched once.  Null languages or sources are groups of their own; rows
     that repeat an identifier are judged one by one; an empty table gives an
-    empty result.
+    empty result; an existing column ``_q`` is replaced.
     """
     held = cut(measured(docs, text_col), "quality")
     accepted = cut(limits(histograms(held, group), group), "quality-limits")
     # One row per language and source: the planner broadcasts it when its size allows and splits hot groups otherwise.
-    keys = [accepted[g].alias(f"_{g}") for g in group]
-    accepted = accepted.select(*keys, "_ranges")
     same = F.lit(True)
     for g in group:
-        same = same & held[g].eqNullSafe(accepted[f"_{g}"])
+        same = same & F.col(f"_row.{g}").eqNullSafe(accepted[g])
     measures = F.array(*[F.col(f"_q.{m[0]}") for m in MEASURES])
     fits = F.coalesce(F.forall(F.arrays_zip(measures.alias("v"), F.col("_ranges").alias("r")), lambda x: (
         x["v"] >= x["r"]["low"]) & (x["v"] <= x["r"]["high"])), F.lit(True))
-    return held.join(accepted, same, "left").withColumn(
-        "_q", F.col("_q").withField("kept", ~F.col("_q.base_failed") & fits)).select(*docs.columns, "_q")
+    return held.join(accepted, same, "left").select(
+        *[F.col(f"_row.{c}") for c in docs.columns if c != "_q"],
+        F.col("_q").withField("kept", ~F.col("_q.base_failed") & fits).alias("_q"))
 
 
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
