@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import blocks, table
 
-# Pre-tokens a worker remembers; beyond it starts anew, so its memory is bounded.
-REMEMBERED = 1_000_000
+# Pre-tokens a worker remembers, twice over; beyond it forgets the older half, so its memory is bounded.
+REMEMBERED = 300_000
 # Bytes of text that are encoded at once: distinct stretches recur in larger blocks.
-ENCODED = 16 << 20
+ENCODED = 8 << 20
 # Longer pre-tokens are worked out each time and not remembered.
 SHORT = 64
 
@@ -88,27 +88,35 @@ class PerfectHash:
         return self.values[p] if self.slots[p] == key else None
 
 
-def merge(piece: bytes, rank_of: Callable[[bytes], int | None]) -> list[int]:
+def merge(piece: bytes, rank_of: Callable[[bytes], int | None], pairs: list[int | None]) -> list[int]:
     """Ids of one pre-token: the lowest-ranked adjacent pair is joined first, the leftmost of equals.
 
     The bytes are a linked list of parts given by their starts; the heap holds
     candidate joins (rank, start and end in one integer) and stale ones are
-    passed over, so a long pre-token takes ``n log n`` steps.
+    passed over, so a long pre-token takes ``n log n`` steps.  ``pairs`` has
+    the rank of every pair of bytes.
     """
     n = len(piece)
     bits = 8 if n < 256 else n.bit_length()
-    mask = (1 << bits) - 1
+    mask, two = (1 << bits) - 1, 2 * bits
     after = list(range(1, n + 2))
     before = list(range(-1, n))
-    heap = [((rank << bits | i) << bits) | i + 2 for i, rank in enumerate(
-        [rank_of(piece[i:i + 2]) for i in range(n - 1)]) if rank is not None]
+    # An entry is rank, start, end; one step to the right adds one to start and to end.
+    step, at, heap = (1 << bits) + 1, 2, []
+    left = piece[0]
+    for right in piece[1:]:
+        rank = pairs[left << 8 | right]
+        if rank is not None:
+            heap.append((rank << two) + at)
+        left = right
+        at += step
     heapify(heap)
     while heap:
         top = pop(heap)
         end = top & mask
         i = top >> bits & mask
         j = after[i]
-        if j >= n or after[j] != end:  # one of the parts is no longer there; a joined part has after -1
+        if j < 0 or j >= n or after[j] != end:  # a part is no longer there; one that was joined has after -1
             continue
         after[i] = end
         after[j] = -1
@@ -117,16 +125,17 @@ def merge(piece: bytes, rank_of: Callable[[bytes], int | None]) -> list[int]:
             right = after[end]
             rank = rank_of(piece[i:right])
             if rank is not None:
-                push(heap, ((rank << bits | i) << bits) | right)
-        left = before[i]
-        if left >= 0:
+                push(heap, rank << two | i << bits | right)
+        if i:
+            left = before[i]
             rank = rank_of(piece[left:end])
             if rank is not None:
-                push(heap, ((rank << bits | left) << bits) | end)
+                push(heap, rank << two | left << bits | end)
     ids, i = [], 0
     while i < n:
-        ids.append(rank_of(piece[i:after[i]]))
-        i = after[i]
+        j = after[i]
+        ids.append(rank_of(piece[i:j]))
+        i = j
     return ids
 
 
@@ -147,18 +156,22 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.find = vocabulary.get
         self.rank_of = dict(zip(vocabulary.slots, vocabulary.values)).get
+        self.pairs = [self.rank_of(bytes((a, b))) for a in range(256) for b in range(256)]
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _token(self, token: str) -> bytes:
-        piece = token.encode("utf-8", "surrogatepass")
-        whole = self.find(piece)
-        ids = [whole] if whole is not None else merge(piece, self.rank_of)
-        if None in ids:
-            raise ValueError("the vocabulary lacks a single byte")
-        packed = array("i", ids).tobytes()
+        packed = self.before.get(token)
+        if packed is None:
+            piece = token.encode("utf-8", "surrogatepass")
+            whole = self.find(piece)
+            ids = [whole] if whole is not None else merge(piece, self.rank_of, self.pairs)
+            if None in ids:
+                raise ValueError("the vocabulary lacks a single byte")
+            packed = array("i", ids).tobytes()
         if len(token) <= SHORT:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
+            if len(self.known) >= REMEMBERED:  # the older half goes, and what is met again is kept
+                self.before, self.known = self.known, {}
             self.known[token] = packed
         return packed
 
@@ -191,12 +204,16 @@ class Encoder:
 _READY: dict = {}
 
 
-def _encoder(shared, pattern: str) -> Encoder:
+def _encoder(shared, name: str, pattern: str) -> Encoder:
     """The worker's encoder, with what it remembers, kept between tasks of one vocabulary."""
-    if (shared.id, pattern) not in _READY:
+    if (name, pattern) not in _READY:
         _READY.clear()
-        _READY[shared.id, pattern] = Encoder(shared.value, pattern)
-    return _READY[shared.id, pattern]
+        _READY[name, pattern] = Encoder(shared.value, pattern)
+    return _READY[name, pattern]
+
+
+def _name(ranks: dict[bytes, int]) -> str:
+    return xxhash.xxh3_128_hexdigest(b" ".join(t + b"%d" % r for t, r in sorted(ranks.items())))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -205,11 +222,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     The vocabulary file is read on the driver and broadcast: its size is fixed.
     Nothing is shuffled; an existing ``ids`` column is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(PerfectHash(read_ranks(path)))
+    ranks = read_ranks(path)
+    name = _name(ranks)
+    shared = docs.sparkSession.sparkContext.broadcast(PerfectHash(ranks))
     rest = docs.drop("ids")
 
     def run(batches):
-        encoder = _encoder(shared, pattern)
+        encoder = _encoder(shared, name, pattern)
         for batch in batches:
             for part in blocks(batch, text_col, ENCODED):
                 ids = encoder.block(part.column(text_col).fill_null(""))
@@ -218,39 +237,65 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     return rest.mapInArrow(run, rest.select("*", F.array(F.lit(0)).alias("ids")).schema)
 
 
-def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with the bytes of the ids in ``decoded``; null ids give null, unknown ids fail.
-
-    All tokens of a batch are taken from one array, whose bytes then already
-    stand one after another.
-    """
+def _tokens_by_rank(path: str) -> list[bytes]:
     ranks = read_ranks(path)
     tokens = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
-    shared = encoded.sparkSession.sparkContext.broadcast(tokens)
+    return tokens
+
+
+def decoded(vocabulary: pa.Array, lists: pa.ListArray) -> pa.Array:
+    """Bytes of each list of ids: tokens taken in a row already stand one after another."""
+    flat = vocabulary.take(lists.flatten())
+    ends = np.frombuffer(flat.buffers()[1], np.int32)[:len(flat) + 1]
+    n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    starts = ends[np.concatenate([[0], np.cumsum(n)]).astype(np.int64)]
+    valid = pc.cast(lists.is_valid(), pa.bool_()).buffers()[1] if lists.null_count else None
+    return pa.Array.from_buffers(pa.binary(), len(lists), [valid, pa.py_buffer(np.ascontiguousarray(starts)), flat.buffers()[2]])
+
+
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
+    """``encoded`` with the bytes of the ids in ``decoded``; null ids give null, unknown ids fail."""
+    shared = encoded.sparkSession.sparkContext.broadcast(_tokens_by_rank(path))
     rest = encoded.drop("decoded")
 
     def run(batches):
         vocabulary = pa.array(shared.value, pa.binary())
         for batch in batches:
-            step = max(1, int((1 << 20) * len(batch) / (1 + len(batch.column(ids_col).flatten()))))
+            step = max(1, (1 << 20) * len(batch) // (1 + len(batch.column(ids_col).flatten())))
             for at in range(0, len(batch), step):
                 part = batch.slice(at, step)
-                lists = part.column(ids_col)
-                flat = vocabulary.take(lists.flatten())
-                ends = np.concatenate([[0], np.cumsum(np.diff(np.frombuffer(flat.buffers()[1], np.int32)[:len(flat) + 1]))])
-                n = np.array([len(x) if x is not None else 0 for x in lists]) if lists.null_count else \
-                    lists.value_lengths().to_numpy()
-                starts = ends[np.concatenate([[0], np.cumsum(n)])].astype(np.int32)
-                whole = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(starts), flat.buffers()[2]])
-                if lists.null_count:
-                    whole = pa.array([w if ok else None for w, ok in zip(whole.to_pylist(), lists.is_valid().to_pylist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, whole], [*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, decoded(vocabulary, part.column(ids_col))], [*part.schema.names, "decoded"])
 
     return rest.mapInArrow(run, rest.select("*", F.lit(b"").alias("decoded")).schema)
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """``docs`` without the text, with its ``ids`` and the bytes ``decoded`` from them, in one pass over the texts.
+
+    As ``encode`` and ``decode`` one after the other, but one worker does both
+    and the texts do not leave it again.
+    """
+    ranks = read_ranks(path)
+    name = _name(ranks)
+    shared = docs.sparkSession.sparkContext.broadcast(PerfectHash(ranks))
+    tokens = docs.sparkSession.sparkContext.broadcast(_tokens_by_rank(path))
+    rest = docs.drop("ids", "decoded")
+    kept = [c for c in rest.columns if c != text_col]
+
+    def run(batches):
+        encoder, vocabulary = _encoder(shared, name, pattern), pa.array(tokens.value, pa.binary())
+        for batch in batches:
+            for part in blocks(batch, text_col, ENCODED):
+                ids = encoder.block(part.column(text_col).fill_null(""))
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in kept], ids, decoded(vocabulary, ids)], [*kept, "ids", "decoded"])
+
+    return rest.mapInArrow(run, rest.select(*kept, F.array(F.lit(0)).alias("ids"), F.lit(b"").alias("decoded")).schema)
+
+
 def public_vocabulary() -> tuple[str, str]:
     """Path and split pattern of the vocabulary that the registered query uses."""
     import public_tokenizers
@@ -262,8 +307,7 @@ def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of all document texts, and the texts decoded from them, as digests."""
     path, pattern = public_vocabulary()
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    both = decode(encode(docs, path, pattern).drop("text"), path)
-    return both.select(
+    return round_trip(docs, path, pattern).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm.bpe import decode, encode, public_vocabulary
+from cloakframe.llm.bpe import public_vocabulary, round_trip
 from cloakframe.llm.common import SPACES, cut, table
 from cloakframe.llm.jaccard_join import near_duplicates
 from cloakframe.llm.line_dedup import dedup_lines
@@ -50,10 +50,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text that is left, and whether decoding gives the text back."""
     path, pattern = public_vocabulary()
-    tokens = decode(encode(docs.select("doc_id", "lang", "source", "text"), path, pattern), path)
+    tokens = round_trip(docs.select(
+        "doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha"), "text"), path, pattern)
     return tokens.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("restored"))
+        (F.sha2("decoded", 256) == F.col("_sha")).alias("restored"))
 
 
 STAGES = [
