@@ -115,6 +115,8 @@ def rule_hits(text: str, rule: Rule, rank: int, place: Place) -> str:
     the interpreted part runs only for texts that may hold a match.
     """
     found = find_all_sql(text, rule.pattern, _hit(rule, rank, place, "v", "s", "s + length(v)"))
+    if rule.passes_over:
+        found = f"filter({found}, h -> contains(h.value, {quoted(rule.literal)}))"
     if rule.min_bytes <= 1:
         found = f"filter({found}, h -> length(h.value) > 0)"
     return f"CASE WHEN {may_match(text, rule)} THEN coalesce({found}, {NO_HITS}) ELSE {NO_HITS} END"

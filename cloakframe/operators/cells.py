@@ -6,7 +6,8 @@ record, so flattening needs no join and no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,13 +132,26 @@ ELSE array(cell) END
 """
 
 
-def variant_cells(records: DataFrame, max_depth: int = 16) -> DataFrame:
+def variant_depth(records: DataFrame) -> int:
+    """Deepest nesting of objects and lists in a VARIANT ``content``, measured on the executors."""
+    schema = F.schema_of_variant("content")
+    marks = F.filter(F.split(F.regexp_replace(schema, "`(?:[^`]|``)*`|[^<>]", ""), ""), lambda c: c != "")
+    depth = F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda acc, c: F.struct(
+        (acc["now"] + F.when(c == "<", 1).otherwise(-1)).alias("now"),
+        F.greatest(acc["most"], acc["now"] + F.when(c == "<", 1).otherwise(0)).alias("most")))["most"]
+    # An empty list or object has no brackets in its schema's innermost place but is one level all the same.
+    return (records.agg(F.max(depth)).first()[0] or 0) + 1
+
+
+def variant_cells(records: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``cell_table`` for a ``content`` of type VARIANT, whose keys are data.
 
     Every level opens objects and lists one step and passes scalars on; all
-    levels are narrow.  Content nested deeper than ``max_depth`` raises, so no
-    cell is lost silently.
+    levels are narrow.  Without ``max_depth`` the depth is measured first.
+    Content nested deeper than a given ``max_depth`` raises, so no cell is lost
+    silently.
     """
+    max_depth = variant_depth(records) if max_depth is None else max_depth
     frame = records.select("source_id", "record_index", F.expr(
         "named_struct('path', '', 'name', cast(null as string), 'value', content, "
         "'ordinal', cast(array() as array<int>))").alias("cell"))
@@ -155,26 +169,33 @@ def variant_cells(records: DataFrame, max_depth: int = 16) -> DataFrame:
     ).filter(F.col("value").isNotNull())
 
 
-# Gives a leaf its new value: (expression, type, path) -> expression, or None to leave it alone.
-LeafRewrite = Callable[[str, T.DataType, FieldPath], "str | None"]
+# Gives a leaf its new value: (expression, type, path, ordinal of its static leaf) -> expression, or None to leave it.
+LeafRewrite = Callable[[str, T.DataType, FieldPath, int], "str | None"]
 
 
-def rewrite(value: str, dtype: T.DataType, change: LeafRewrite,
-            path: FieldPath = FieldPath(), depth: int = 0) -> str:
-    """SQL text that rebuilds a nested value with changed leaves, keeping nulls and field order."""
+def rewrite(value: str, dtype: T.DataType, change: LeafRewrite, path: FieldPath = FieldPath(), depth: int = 0,
+            ordinal: int | None = None, ordinals: Iterator[int] | None = None) -> str:
+    """SQL text that rebuilds a nested value with changed leaves, keeping nulls and field order.
+
+    ``ordinals`` counts the leaves in the order of ``static_leaves``; what lies
+    inside a list or map has the ordinal of the whole.
+    """
+    ordinals = ordinals or count()
+    if ordinal is None and not isinstance(dtype, T.StructType):
+        ordinal = next(ordinals)
     x, i, k = f"x{depth}", f"i{depth}", f"k{depth}"
     if isinstance(dtype, T.StructType):
         if not dtype.fields:
             return value
-        fields = [f"{quoted(f.name)}, " + rewrite(field_of(value, f.name), f.dataType, change, path.key(f.name), depth)
+        fields = [f"{quoted(f.name)}, " + rewrite(field_of(value, f.name), f.dataType, change, path.key(f.name), depth, ordinal, ordinals)
                   for f in dtype.fields]
         return f"CASE WHEN {value} IS NOT NULL THEN named_struct({', '.join(fields)}) END"
     if isinstance(dtype, T.ArrayType):
-        inner = rewrite(x, dtype.elementType, change, path.index(i), depth + 1)
+        inner = rewrite(x, dtype.elementType, change, path.index(i), depth + 1, ordinal)
         return f"transform({value}, ({x}, {i}) -> {inner})"
     if isinstance(dtype, T.MapType):
-        inner = rewrite(x, dtype.valueType, change, path.data_key(f"cast({k} as string)"), depth + 1)
+        inner = rewrite(x, dtype.valueType, change, path.data_key(f"cast({k} as string)"), depth + 1, ordinal)
         return f"transform_values({value}, ({k}, {x}) -> {inner})"
     is_leaf(dtype)
-    changed = change(value, dtype, path)
+    changed = change(value, dtype, path, ordinal)
     return value if changed is None else changed

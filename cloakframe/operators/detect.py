@@ -20,8 +20,9 @@ from ..functions.text import ROOT_PATH, FieldPath, cell_text, name_fits, name_fi
 from ..shared import join_many_to_one
 from .cells import cells, is_leaf, is_text, record_text, static_leaves
 
-# Up to this many plain leaves get their own compiled expression; a wider
-# record is walked as an array of cells, which keeps the plan small.
+# Up to this many plain leaves get their own compiled expression; those of a
+# wider record are walked as an array of cells, which keeps the plan small.
+# Hits and their ordinals are the same either way.
 INLINE_LEAVES = 40
 
 _FULL_INT_TYPES = (T.IntegerType, T.LongType)
@@ -119,6 +120,24 @@ class Detector:
         hits = joined([text_hits("c.text", self.rules, place), context_hits("c.text", fitting, place)])
         return f"coalesce(flatten(transform({found}, (c, ci) -> {hits})), {NO_HITS})"
 
+    def _wide(self, leaves: list) -> str | None:
+        """Hits of the plain leaves of a wide record, walked as one array of cells with their ordinals."""
+        made = []
+        for ordinal, (value, leaf, path, name) in leaves:
+            text = self.candidate_text(value, leaf)
+            if text is not None:
+                bits = self._name_bits(name, None) if is_text(leaf) else "0"
+                made.append(f"named_struct('ordinal', {ordinal}, 'path', {path.sql()}, 'text', {text}, 'name_bits', {bits}, "
+                            f"'any_rule', {str(is_text(leaf) or isinstance(leaf, _TIME_TYPES) or bool(self.custom)).lower()})")
+        if not made:
+            return None
+        place = Place("c.ordinal", "0", "c.path")
+        fitting = [(len(self.rules) + k, r, f"(c.name_bits & {1 << k}) > 0") for k, r in enumerate(self.context)]
+        numbers = text_hits("c.text", self.rules, place, {"PHONE"})
+        hits = joined([f"CASE WHEN c.any_rule THEN {text_hits('c.text', self.rules, place)} ELSE {numbers} END",
+                       context_hits("c.text", fitting, place)])
+        return f"coalesce(flatten(transform(array({', '.join(made)}), c -> {hits})), {NO_HITS})"
+
     def hits(self, dtype: T.DataType, content: str = "content") -> tuple[dict[str, str], str]:
         """Hits of a record or text, ``array<struct<field_ordinal, item_ordinal, field_path, …>>``.
 
@@ -127,10 +146,14 @@ class Detector:
         """
         texts: dict[str, str] = {}
         leaves = list(static_leaves(content, dtype))
-        if len(leaves) > INLINE_LEAVES:
-            return texts, self._walked(content, dtype, None) or NO_HITS
+        numbered = list(enumerate(leaves))
         parts = []
-        for ordinal, (value, leaf_type, path, name) in enumerate(leaves):
+        if len(leaves) > INLINE_LEAVES:
+            plain = [(k, leaf) for k, leaf in numbered if not isinstance(leaf[1], (T.ArrayType, T.MapType)) and is_leaf(leaf[1])]
+            wide = self._wide(plain)
+            parts += [wide] if wide else []
+            numbered = [(k, leaf) for k, leaf in numbered if isinstance(leaf[1], (T.ArrayType, T.MapType))]
+        for ordinal, (value, leaf_type, path, name) in numbered:
             if isinstance(leaf_type, (T.ArrayType, T.MapType)):
                 part = self._walked(value, leaf_type, ordinal, path, name)
             else:
@@ -223,7 +246,7 @@ def external_detections(texts: DataFrame, spans: DataFrame, key: str,
     Only the requested labels are read.  A span is cut out of its own text, so
     the join is on ``key``; a text with very many spans is salted.
     """
-    chosen = spans.filter(F.col("label").isin(*wanted_labels(entities)))
+    chosen = spans.filter(F.col("label").isin(*wanted_labels(entities))).select(key, "label", "start", "end", "score")
     return join_many_to_one(chosen, texts.select(key, text), key, F.col("start")).select(
         key, *_span_fields(F.col(text), F.col("label"), F.col("start"), F.col("end"), F.col("score")))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..shared import BROADCAST_BYTES, BROADCAST_ROWS, cut
 from .detect import Detector, detection_order, detections
+from .records import index_records
 
 MAP_SCHEMA = "entity_type string, value string, pseudonym_no bigint, pseudonym string"
 KEYS = ["entity_type", "value"]
@@ -140,22 +141,33 @@ def with_pseudonyms(hits: DataFrame, lookup: DataFrame) -> DataFrame:
     if size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES:
         return hits.join(F.broadcast(names), KEYS)
     # Values are cut out of texts and can be long; a hot one that is stays on the shuffle side.
-    is_hot = (F.col("n") * HOT_SHARE > size["hits"]) & (F.octet_length("value") <= BROADCAST_BYTES // HOT_SHARE)
-    hot = lookup.filter(is_hot).select(*KEYS, "pseudonym")
-    rare = lookup.filter(~is_hot).select(*KEYS, "pseudonym")
-    return hits.join(F.broadcast(hot), KEYS).unionByName(
-        hits.join(F.broadcast(hot.select(*KEYS)), KEYS, "left_anti").join(rare, KEYS))
+    is_hot = F.col("n") * HOT_SHARE > size["hits"]
+    is_short = F.octet_length("value") <= BROADCAST_BYTES // HOT_SHARE
+    hot = lookup.filter(is_hot & is_short).select(*KEYS, "pseudonym")
+    # Everything else is shuffled, on as many salts as its hits need.
+    share = max(1, size["hits"] // HOT_SHARE)
+    rest = lookup.filter(~(is_hot & is_short)).select(*KEYS, "pseudonym", F.explode(
+        F.sequence(F.lit(0), F.floor(F.col("n") / share).cast("int"))).alias("_salt"), F.floor(F.col("n") / share).cast("int").alias("_last"))
+    # At most HOT_SHARE digests of long values are broadcast to say how many salts a value has.
+    digest = F.sha2(F.concat_ws(":", *KEYS), 256)
+    many = rest.filter("_last > 0 and _salt = 0").select(digest.alias("_k"), "_last")
+    left = hits.join(F.broadcast(hot.select(*KEYS)), KEYS, "left_anti").withColumn("_k", digest) \
+        .join(F.broadcast(many), "_k", "left") \
+        .withColumn("_salt", F.pmod(F.xxhash64("_id", "_pos"), F.coalesce("_last", F.lit(0)) + 1).cast("int")).drop("_k", "_last")
+    return hits.join(F.broadcast(hot), KEYS).unionByName(left.join(rest.drop("_last"), [*KEYS, "_salt"]).drop("_salt"))
 
 
 def pseudonymize_hits(annotated: DataFrame, known: DataFrame,
                       detector: Detector | None = None) -> tuple[DataFrame, DataFrame]:
     """Add ``sanitized`` to every hit from the pseudonym table.
 
-    Returns the records and the new table entries.  Records without a hit pass
-    through untouched; only records with hits are written and shuffled.
+    Returns the records and the new table entries.  The annotated records are
+    written once, so the source is read and searched once and both parts see
+    the same rows.  Rows of files get their place in the file first, because
+    numbers follow it.  Only records with hits are shuffled.
     """
-    # The generated id keeps the filter above the rules; pushed below, it would run them twice.
-    hit_rows = cut(annotated.withColumn("_id", F.monotonically_increasing_id()).filter(F.size("hits") > 0), "hit-rows")
+    held = index_records(cut(annotated.withColumn("_id", F.monotonically_increasing_id()), "annotated"))
+    hit_rows = held.filter(F.size("hits") > 0)
     lookup, new = assign(detections(hit_rows), known, detector)
     values = hit_rows.select("_id", F.posexplode("hits").alias("_pos", "_hit")).select(
         "_id", "_pos", F.col("_hit.entity_type").alias("entity_type"), F.col("_hit.value").alias("value"))
@@ -165,6 +177,6 @@ def pseudonymize_hits(annotated: DataFrame, known: DataFrame,
     )
     protected = hit_rows.join(names, "_id").withColumn("hits", F.zip_with(
         "hits", "_names", lambda h, n: h.withField("sanitized", n["pseudonym"]))).drop("_id", "_names")
-    untouched = annotated.filter(F.size("hits") == 0).withColumn(
+    untouched = held.filter(F.size("hits") == 0).drop("_id").withColumn(
         "hits", F.array().cast(protected.schema["hits"].dataType))
     return untouched.unionByName(protected), new

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import identifier
+from ..shared import lookup_join
 
 META = ("source_id", "record_index", "units")
 
@@ -53,13 +54,23 @@ def texts_from(df: DataFrame, source_id: Column, text: Column | str) -> DataFram
     )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on an input too small to be split into enough scan tasks.
+def index_records(df: DataFrame) -> DataFrame:
+    """Turn ``position`` into ``record_index``, the row's 0-based place in its file.
 
-    A scan with at least one task per core is left alone, so a large table is
-    never shuffled here; a smaller one holds at most one split per core.
+    ``seq`` grows within a file split.  The table of splits (one row each) gives
+    every split its first index; rows are joined with it, never sorted.  A
+    table without ``position`` is returned as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores * 2:
+    if "position" not in df.columns:
         return df
-    return df.repartition(cores, key)
+    before = Window.partitionBy("source_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (
+        df.groupBy("source_id", F.col("position.block").alias("block"))
+        .agg(F.count("*").alias("_n"), F.min("position.seq").alias("_first"))
+        .select("source_id", "block", (
+            F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    )
+    joined = lookup_join(df.withColumn("block", F.col("position.block")), splits,
+                         ["source_id", "block"], F.col("position.seq"))
+    return joined.withColumn("record_index", F.col("position.seq") + F.col("_shift")) \
+        .drop("position", "block", "_shift")

@@ -105,16 +105,21 @@ def transformation_listing(applied: DataFrame) -> DataFrame:
         safe_preview(F.col("sanitized")).alias("sanitized_preview"))
 
 
+def listing_facts() -> list[Column]:
+    return [file_name(F.col("source_id")).alias("input_file"), F.col("entity_type").alias("type"),
+            F.col("field_path").alias("field"), F.col("record_index").alias("record")]
+
+
 def display_listing(found: DataFrame) -> DataFrame:
     """Rows of the human-readable report."""
-    return found.select(
-        file_name(F.col("source_id")).alias("input_file"), F.col("entity_type").alias("type"),
-        F.col("field_path").alias("field"), F.col("record_index").alias("record"))
+    return found.select(*listing_facts())
+
+
+def header_facts(mode: str) -> list[Column]:
+    return [file_name(F.col("source_id")).alias("input_file"), F.lit(check_mode(mode)).alias("sanitization_mode"),
+            F.col("entities_found").alias("total_detections")]
 
 
 def display_header(summary: DataFrame, mode: str) -> DataFrame:
     """Header facts of the human-readable report."""
-    return summary.select(
-        file_name(F.col("source_id")).alias("input_file"),
-        F.lit(check_mode(mode)).alias("sanitization_mode"),
-        F.col("entities_found").alias("total_detections"))
+    return summary.select(*header_facts(mode))

@@ -30,14 +30,16 @@ def write_back(protected: DataFrame, detector: Detector | None = None) -> DataFr
     """
     detector = detector or Detector()
 
-    def change(value: str, leaf: T.DataType, path: FieldPath) -> str | None:
+    def change(value: str, leaf: T.DataType, path: FieldPath, ordinal: int) -> str | None:
         if detector.candidate_text(value, leaf) is None:
             return None
-        mine = f"filter(hits, h -> h.field_path = {path.sql()})"
+        # Printed paths of different fields can be equal; the field's ordinal tells them apart.
+        own = f"h.field_ordinal = {ordinal} AND h.field_path = {path.sql()}"
+        mine = f"filter(hits, h -> {own})"
         if is_text(leaf):
             return f"CASE WHEN size(hits) = 0 THEN {value} ELSE {REPLACE_IN_ORDER.format(hits=mine, text=value)} END"
         as_text = cell_text(value, leaf)
-        return (f"CASE WHEN exists(hits, h -> h.field_path = {path.sql()}) "
+        return (f"CASE WHEN exists(hits, h -> {own}) "
                 f"THEN {REPLACE_WHOLE.format(hits=mine)} ELSE {as_text} END")
 
     return protected.withColumn("content", F.expr(

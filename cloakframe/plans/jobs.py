@@ -1,25 +1,27 @@
 """Whole jobs: scan, sanitize, report, batch over a folder, query scan.
 
-Each job evaluates the rules once.  What several outputs need (the sanitized
-content, the hits with previews) is written once to a staging table in the
-shared folder, and every output is a column-pruned read of it.
+Each job reads its source and evaluates the rules once.  What several outputs
+need (the sanitized content, the hits with previews) is written once to a
+staging table in the shared folder, and every output is a column-pruned read of
+it.  Staged tables are removed when the job ends.  Outputs replace those of an
+earlier run over the same sources.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_preview
 from ..operators import report as rep
 from ..operators.detect import Detector, ExternalDetector, annotate
 from ..operators.pseudonyms import PseudonymStore, pseudonymize_hits
-from ..operators.records import texts_from
+from ..operators.records import index_records, texts_from
 from ..operators.sanitize import protect_hits, write_back
 from ..rules import REPORT_FORMATS, check_mode
-from ..shared import cut, lookup_join, shared_dir
+from ..shared import cut, scratch
 from ..sinks.write import write_report, write_sanitized
 from ..sources import csv, files, json, text
 from ..sources.query import load_query
@@ -30,11 +32,14 @@ AnyDetector = Detector | ExternalDetector
 
 def protect(annotated: DataFrame, mode: str, detector: AnyDetector,
             store: PseudonymStore | None = None) -> DataFrame:
-    """Give every hit its sanitized value in any mode; new pseudonyms are saved before any is used."""
+    """Give every hit its sanitized value in any mode; new pseudonyms are saved before any is used.
+
+    Pseudonyms need a ``store`` in a place the caller names and keeps.
+    """
     if check_mode(mode) != "pseudonymize":
         return protect_hits(annotated, mode)
-    store = store or PseudonymStore(
-        annotated.sparkSession, f"{shared_dir(annotated.sparkSession).rstrip('/')}/pseudonyms")
+    if store is None:
+        raise ValueError("mode pseudonymize needs a PseudonymStore: the map must outlive the run")
     protected, new = pseudonymize_hits(annotated, store.load(), detector)
     store.save(new)
     return protected
@@ -55,27 +60,7 @@ def audited(df: DataFrame, transformed: bool) -> DataFrame:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder, read back, and resolve row positions."""
-    back = cut(df, name)
-    return index_records(back) if "position" in back.columns else back
-
-
-def index_records(df: DataFrame) -> DataFrame:
-    """Turn ``position`` into ``record_index``, the row's 0-based place in its file.
-
-    ``seq`` grows within a file split.  The table of splits (one row each) gives
-    every split its first index; rows are joined with it, never sorted.
-    """
-    before = Window.partitionBy("source_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = (
-        df.groupBy("source_id", F.col("position.block").alias("block"))
-        .agg(F.count("*").alias("_n"), F.min("position.seq").alias("_first"))
-        .select("source_id", "block", (
-            F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    )
-    joined = lookup_join(df.withColumn("block", F.col("position.block")), splits,
-                         ["source_id", "block"], F.col("position.seq"))
-    return joined.withColumn("record_index", F.col("position.seq") + F.col("_shift")) \
-        .drop("position", "block", "_shift")
+    return index_records(cut(df, name))
 
 
 def _complete(summary: DataFrame, sources: DataFrame | None, input_format: str) -> DataFrame:
@@ -93,21 +78,24 @@ def _write_audit(rows: DataFrame, sources: DataFrame | None, input_format: str,
                  sanitized: bool, transformed: bool, report_format: str) -> None:
     if report_format not in REPORT_FORMATS:
         raise ValueError(f"{report_format!r} is not one of {', '.join(REPORT_FORMATS)}")
-    summary = _complete(rep.source_summary(rows), sources, input_format)
+    summary = cut(_complete(rep.source_summary(rows), sources, input_format), "summary")
+    # The order of a listing can be restored from its ordinals.
     hits = rows.filter(F.size("hits") > 0).select("source_id", "record_index", F.inline("hits"))
+    order = ("rule_rank", "field_ordinal", "item_ordinal")
+    names = summary.select("source_id")
     if report_format == "html":  # the report for people: header facts and one short row per detection
-        write_report(rep.display_header(summary, mode), f"{out_dir}/reports")
-        write_report(rep.display_listing(hits), f"{out_dir}/display")
+        write_report(summary.select("source_id", *rep.header_facts(mode)), mode, f"{out_dir}/reports", report_format, names)
+        write_report(hits.select("source_id", *rep.listing_facts(), *order), mode, f"{out_dir}/display", report_format, names)
         return
     report = rep.audit_report(summary, mode, out_dir, sanitized, report_format=report_format)
-    write_report(report, f"{out_dir}/reports")
+    write_report(report, mode, f"{out_dir}/reports", report_format, names)
     write_report(hits.select(
         "source_id", "entity_type", "field_path", "record_index", "char_start", "char_end",
-        "confidence", "detector_name", "value_preview"), f"{out_dir}/detections")
+        "confidence", "detector_name", "value_preview", *order), mode, f"{out_dir}/detections", report_format, names)
     if transformed:
         write_report(hits.select(
             "source_id", "entity_type", F.lit(mode).alias("mode"), "field_path", "record_index",
-            "sanitized_preview"), f"{out_dir}/transformations")
+            "sanitized_preview", "char_start", *order), mode, f"{out_dir}/transformations", report_format, names)
 
 
 _AUDIT = ("source_id", "record_index", "units", "hits")
@@ -126,46 +114,55 @@ def sanitize(records: DataFrame, input_format: str, mode: str, out_dir: str, det
              store: PseudonymStore | None = None, sources: DataFrame | None = None,
              report_format: str = "json") -> None:
     """Write the sanitized sources, their reports and both listings."""
-    detector = detector or Detector()
-    protected = protect(annotate(records, detector), mode, detector, store)
-    rows = staged(audited(write_back(protected, detector), True), "sanitize")
-    write_sanitized(rows, input_format, mode, f"{out_dir}/sanitized")
-    _write_audit(rows, sources, input_format, mode, out_dir, True, True, report_format)
+    with scratch(records.sparkSession):
+        detector = detector or Detector()
+        protected = protect(annotate(records, detector), mode, detector, store)
+        rows = staged(audited(write_back(protected, detector), True), "sanitize")
+        write_sanitized(rows, input_format, mode, f"{out_dir}/sanitized")
+        _write_audit(rows, sources, input_format, mode, out_dir, True, True, report_format)
 
 
 def report(records: DataFrame, input_format: str, mode: str, out_dir: str, detector: AnyDetector | None = None,
            sources: DataFrame | None = None, report_format: str = "json") -> None:
     """Write reports and the detection listing; no sanitized output, no transformations."""
-    found = annotate(records, detector)
-    rows = staged(audited(found.select(*_audit_columns(found)), False), "report")
-    _write_audit(rows, sources, input_format, mode, out_dir, False, False, report_format)
+    with scratch(records.sparkSession):
+        found = annotate(records, detector)
+        rows = staged(audited(found.select(*_audit_columns(found)), False), "report")
+        _write_audit(rows, sources, input_format, mode, out_dir, False, False, report_format)
 
 
 def query_scan(spark: SparkSession, query: str, mode: str, out_dir: str, url: str | None = None,
                key: str | None = None, options: Mapping[str, str] | None = None, detector: AnyDetector | None = None,
                store: PseudonymStore | None = None, report_format: str = "json") -> None:
     """Scan a query's rows: transformations are listed and pseudonyms kept, no data is written."""
-    detector = detector or Detector()
-    records = load_query(spark, query, url, key, options)
-    protected = protect(annotate(records, detector), mode, detector, store)
-    rows = staged(audited(protected.select(*_audit_columns(protected)), True), "query")
-    _write_audit(rows, None, "db", mode, out_dir, False, True, report_format)
+    with scratch(spark):
+        detector = detector or Detector()
+        records = load_query(spark, query, url, key, options)
+        protected = protect(annotate(records, detector), mode, detector, store)
+        rows = staged(audited(protected.select(*_audit_columns(protected)), True), "query")
+        _write_audit(rows, None, "db", mode, out_dir, False, True, report_format)
+
 
+def load_path(spark: SparkSession, path: str, input_format: str | None = None, multi_line: bool = True,
+              schema: str | None = None, json_lines: bool = False) -> DataFrame:
+    """Records of one file, by its suffix.
 
-def load_path(spark: SparkSession, path: str, input_format: str | None = None) -> DataFrame:
-    """Records of one file, by its suffix."""
+    ``multi_line=False`` (CSV) and ``json_lines=True`` read large files in
+    splits; ``schema`` of the JSON records saves the pass that finds it.
+    """
     fmt = input_format or files.infer_format(path)
     if fmt == "csv":
-        return csv.load_csv(spark, path)
+        return csv.load_csv(spark, path, multi_line=multi_line)
     if fmt == "json":
-        return json.load_json(spark, path)
+        return json.load_json(spark, path, schema, json_lines)
     if fmt in ("txt", "sql"):
         return text.load_text(spark, path, fmt)
     raise ValueError("PDF input is a table of extracted pages; see sources.text.assemble_pages")
 
 
-def folder_records(spark: SparkSession, folder: str,
-                   pages: DataFrame | None = None) -> Iterator[tuple[str, DataFrame, DataFrame | None]]:
+def folder_records(spark: SparkSession, folder: str, pages: DataFrame | None = None, multi_line: bool = True,
+                   schema: str | None = None,
+                   json_lines: bool = False) -> Iterator[tuple[str, DataFrame, DataFrame | None]]:
     """``(format, records, sources)`` for every format in a folder.
 
     All files of a format are one read; CSV files are one read per distinct
@@ -177,10 +174,10 @@ def folder_records(spark: SparkSession, folder: str,
     for fmt in sorted(present - {"pdf"}):
         sources = listed.filter(F.col("input_format") == fmt)
         if fmt == "csv":
-            for records, files_read in csv.load_csv_groups(spark, folder, sources):
+            for records, files_read in csv.load_csv_groups(spark, folder, sources, multi_line):
                 yield fmt, records, files_read
         elif fmt == "json":
-            yield fmt, json.load_json(spark, folder), sources
+            yield fmt, json.load_json(spark, folder, schema, json_lines), sources
         else:
             yield fmt, text.load_text(spark, folder, fmt), sources
     if pages is not None:
@@ -190,15 +187,18 @@ def folder_records(spark: SparkSession, folder: str,
 
 def batch(spark: SparkSession, folder: str, action: str, mode: str = "mask", out_dir: str = "outputs",
           detector: AnyDetector | None = None, store: PseudonymStore | None = None, pages: DataFrame | None = None,
-          report_format: str = "json") -> list[DataFrame]:
+          report_format: str = "json", multi_line: bool = True, schema: str | None = None,
+          json_lines: bool = False) -> list[DataFrame]:
     """``scan``, ``sanitize`` or ``report`` over a folder; an empty folder is a no-op.
 
+    The read options are those of ``load_path``.
+
     ``scan`` returns one summary per read, the other actions write and return nothing.
     """
     if action not in ("scan", "sanitize", "report"):
         raise ValueError(f"{action!r} is not one of scan, sanitize, report")
     summaries = []
-    for fmt, records, sources in folder_records(spark, folder, pages):
+    for fmt, records, sources in folder_records(spark, folder, pages, multi_line, schema, json_lines):
         if action == "scan":
             summaries.append(_complete(scan(records, detector), sources, fmt))
         elif action == "report":

@@ -305,11 +305,11 @@ ORACLE: dict[str, str] = {
     "detect_iban": f"SELECT c_custkey, {_HIT} FROM ({_hits(_CODES, 'c_custkey', 'iban_text', 'IBAN')})",
     "detect_birth_date_cells": f"SELECT o_orderkey, field_path, {_HIT} FROM ("
     + _hits_of_fields("orders", "o_orderkey", {
-        "o_orderstatus": "o_orderstatus", "o_totalprice": "CAST(o_totalprice AS VARCHAR)",
+        "o_custkey": "CAST(o_custkey AS VARCHAR)", "o_orderstatus": "o_orderstatus", "o_totalprice": "CAST(o_totalprice AS VARCHAR)",
         "o_orderdate": _plain("o_orderdate"), "o_orderpriority": "o_orderpriority"}) + ")",
     "detect_event_cells": f"SELECT event_id, field_path, {_HIT} FROM ("
     + _hits_of_fields("events", "event_id", {
-        "ts": _plain("ts"), "event_type": "event_type", "value": "CAST(value AS VARCHAR)", "props": "props"}) + ")",
+        "ts": _plain("ts"), "user_id": "CAST(user_id AS VARCHAR)", "event_type": "event_type", "value": "CAST(value AS VARCHAR)", "props": "props"}) + ")",
     "detect_lineitem_cells": "SELECT field_path, entity_type, count(*) AS hits, "
     "CAST(sum(char_start) AS BIGINT) AS start_sum, CAST(sum(char_end) AS BIGINT) AS end_sum FROM ("
     + _hits_of_fields("lineitem", "l_orderkey, l_linenumber", _LINEITEM) + ") GROUP BY 1, 2",
@@ -344,7 +344,8 @@ WHERE entity_type IN ('EMAIL', 'IP_ADDRESS') GROUP BY 1, 2""",
         "role": "role",
         "text": "CASE WHEN turn % 2 = 0 THEN text || ' <' || role || conv_id || '@chat.example.com>' ELSE text END"})
     + ")",
-    "detection_order_listing": f"SELECT doc_id, entity_type, rule_rank, char_start FROM ({_DOC_HITS})",
+    "detection_order_listing": f"""SELECT doc_id, entity_type, rule_rank, char_start, CAST(row_number() OVER (
+  PARTITION BY doc_id ORDER BY rule_rank, char_start) AS INTEGER) AS listing_rank FROM ({_DOC_HITS})""",
     "flatten_cells": f"SELECT * FROM ({_EVENT_CELLS}) WHERE value IS NOT NULL",
     "flatten_customer_cells": """
 SELECT c_custkey, 'c_custkey' AS field_path, 'c_custkey' AS field_name, CAST(c_custkey AS VARCHAR) AS value FROM customer
@@ -428,10 +429,15 @@ FROM (SELECT page_id, lower(ltrim({_SUFFIX}, '.')) AS suffix FROM {_FILE})""",
     "csv_roundtrip": """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
   CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment,
   CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'a "q", b' || chr(10) || c_name || ' ' END AS note FROM customer""",
-    "json_roundtrip": "SELECT CAST(4 AS BIGINT) AS units, s_acctbal, s_name, "
-    "CAST(s_nationkey AS BIGINT) AS s_nationkey, s_suppkey FROM supplier",
-    "text_roundtrip": """SELECT lang, lang || ' file' || chr(10) || count(*) || chr(10)
-  || CAST(sum(n_chars) AS BIGINT) || chr(10) AS content FROM documents GROUP BY lang""",
+    "json_roundtrip": """SELECT CAST(1 AS BIGINT) AS units, s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal,
+  CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS note FROM supplier""",
+    "json_lines_and_arrays": """SELECT form, CAST(1 AS BIGINT) AS units, event_id, user_id, event_type, props
+FROM events, (VALUES ('lines'), ('splits'), ('arrays')) f(form)""",
+    "text_roundtrip": """SELECT doc_id, regexp_replace(replace(regexp_replace(text, chr(10) || '$', ''), chr(13) || chr(10), chr(10)),
+  chr(13), chr(10), 'g') || chr(10) AS content FROM documents""",
+    "sql_dump_scan": "SELECT c_nationkey, entity_type, count(*) AS hits FROM ("
+    + _all_hits("""(SELECT c_nationkey, 'insert into customer values (' || c_custkey || ', ' || chr(39) || lower(replace(c_name, '#', '.'))
+  || '@example.it' || chr(39) || ', ' || chr(39) || c_mktsegment || chr(39) || ');' AS t FROM customer)""", "c_nationkey", "t") + ") GROUP BY 1, 2",
     "json_normalize": f"""
 SELECT event_id, CAST(0 AS BIGINT) AS record_index, CAST(1 AS BIGINT) AS units, {_K} AS content
   FROM {_JSON_BASE} WHERE event_id % 4 IN (0, 1)
@@ -464,5 +470,27 @@ UNION ALL SELECT 'txt', 0, count(*), {_counts()}
 FROM ({_all_hits("(SELECT n_nationkey, n_name || '@example.com and 10.0.0.' || n_nationkey AS t FROM nation)", 'n_nationkey', 't')})""",
     "sanitize_job": f"""
 SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, {_tokens('full_name')} AS full_name, {_tokens('birth_date')} AS birth_date,
-  {_tokens('address')} AS address, {_ip('ip_address')} AS ip_address FROM {_PROFILES}""",
+  {_tokens('address')} AS address, {_ip('ip_address')} AS ip_address, {_phone('phone')} AS phone, {_email('email_0')} AS email,
+  (SELECT count(*) FROM customer) AS reported_records, (SELECT count(*) FROM ({_PROFILE_HITS})
+    WHERE field_path <> 'contacts[1].email') AS reported_entities, true AS reported_output
+FROM {_PROFILES}""",
+    "report_job": f"""SELECT 'redact' AS sanitization_mode, true AS no_output, entity_type, count(*) AS hits FROM ({_PROFILE_HITS})
+WHERE field_path IN ('full_name', 'birth_date', 'address', 'ip_address') GROUP BY entity_type""",
+    "batch_sanitize": """SELECT form, c_custkey AS key, '[REDACTED_EMAIL]' AS value FROM customer, (VALUES ('csv'), ('json')) f(form)
+UNION ALL SELECT 'txt', n_nationkey, 'nation ' || n_nationkey || ' at [REDACTED_IP_ADDRESS]' FROM nation""",
+    "pseudonymize_csv_job": """
+SELECT c_custkey, 'EMAIL_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS mail
+FROM (SELECT c_custkey, c_custkey * 7919 % 211 AS v FROM customer) JOIN (
+  SELECT v, row_number() OVER (ORDER BY f.s, f.r) AS n FROM (
+    SELECT c_custkey * 7919 % 211 AS v, min({'s': c_nationkey || '/', 'r': -c_custkey}) AS f FROM customer GROUP BY 1)) USING (v)""",
+    "query_scan_pseudonyms": """
+SELECT 'EMAIL' AS entity_type, 'u' || user_id || '@x.it' AS value, n AS pseudonym_no,
+  'EMAIL_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS pseudonym,
+  (SELECT count(*) FROM events) AS transformations
+FROM (SELECT user_id, row_number() OVER (ORDER BY min(event_id)) AS n FROM events GROUP BY user_id)""",
+    "sanitize_dotted_fields": """SELECT c_custkey, '[REDACTED_EMAIL]' AS dotted, CAST(c_custkey AS VARCHAR) AS nested FROM customer""",
+    "detect_wide_records": f"SELECT o_orderkey, CAST(o AS INTEGER) AS field_ordinal, field_path, {_HIT} FROM ("
+    + _hits_of_fields("(SELECT *, 'o' || o_orderkey || '@x.it' AS mail FROM orders)", "o_orderkey", {
+        "mail": "mail", "phone": "CAST(3330000000 + o_orderkey AS VARCHAR)", "o_orderdate": _plain("o_orderdate")})
+    + ") JOIN (VALUES ('mail', 40), ('phone', 41), ('o_orderdate', 42)) f(field_path, o) USING (field_path)",
 }

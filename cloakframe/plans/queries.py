@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,9 +16,9 @@ from ..functions import protect as P
 from ..functions.text import name_fits_sql, normalize_name_sql, safe_preview
 from ..operators import report as rep
 from ..operators.cells import cell_table, record_text, variant_cells
-from ..operators.detect import Detector, annotate, detect, detections, external_detections
-from ..operators.pseudonyms import assign, pseudonymize_hits
-from ..operators.records import records_from, spread, texts_from
+from ..operators.detect import Detector, annotate, detect, detection_order, external_detections
+from ..operators.pseudonyms import PseudonymStore, assign, pseudonymize_hits
+from ..operators.records import records_from, texts_from
 from ..operators.sanitize import protect_hits, transformations, write_back
 from ..rules import ADDRESS_HINTS, PERSON_NAME_HINTS
 from ..shared import staging_path
@@ -46,14 +46,9 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _spread_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
-    """A table for rule evaluation; a small single-split file is dealt out to all cores first."""
-    return spread(_table(spark, folder, name), key)
-
-
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as records: one source per ``source``, keyed by ``doc_id``."""
-    docs = spread(_table(spark, folder, "documents").select("doc_id", "source", "text"), "doc_id")
+    docs = _table(spark, folder, "documents").select("doc_id", "source", "text")
     return records_from(docs, F.col("source"), "doc_id", ["text"])
 
 
@@ -100,7 +95,7 @@ def _addresses(spark: SparkSession, folder: str) -> DataFrame:
 
 def _profiles(spark: SparkSession, folder: str) -> DataFrame:
     """Customer profiles holding all eight entity types, with one nested list."""
-    people = _spread_table(spark, folder, "customer", "c_custkey").select(
+    people = _table(spark, folder, "customer").select(
         "c_custkey", "c_mktsegment",
         F.expr("concat(initcap(c_mktsegment), ' Rossi')").alias("full_name"),
         F.expr("date_add(date'1950-01-01', cast(c_custkey % 20000 as int))").alias("birth_date"),
@@ -157,23 +152,23 @@ def detect_iban(spark, folder):
 @register
 def detect_birth_date_cells(spark, folder):
     """Any date counts, also the date part of a timestamp."""
-    records = records_from(_spread_table(spark, folder, "orders", "o_orderkey"), "orders", "o_orderkey",
-                           ["o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
+    records = records_from(_table(spark, folder, "orders"), "orders", "o_orderkey",
+                           ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
     return _keyed(detect(records), "o_orderkey", "field_path", *HIT_COLUMNS)
 
 
 @register
 def detect_event_cells(spark, folder):
     """Timestamps with fractions hold a date and, in their last digits, a phone shape."""
-    records = records_from(_spread_table(spark, folder, "events", "event_id"), "events", "event_id",
-                           ["ts", "event_type", "value", "props"])
+    records = records_from(_table(spark, folder, "events"), "events", "event_id",
+                           ["ts", "user_id", "event_type", "value", "props"])
     return _keyed(detect(records), "event_id", "field_path", *HIT_COLUMNS)
 
 
 @register
 def detect_lineitem_cells(spark, folder):
     """A wide numeric table: hits per field and entity type."""
-    records = records_from(_spread_table(spark, folder, "lineitem", "l_orderkey"), "lineitem")
+    records = records_from(_table(spark, folder, "lineitem"), "lineitem")
     return detect(records).groupBy("field_path", "entity_type").agg(
         F.count("*").alias("hits"), F.sum("char_start").alias("start_sum"), F.sum("char_end").alias("end_sum"))
 
@@ -220,7 +215,7 @@ def entity_subset_filter(spark, folder):
 @register
 def scan_pages(spark, folder):
     """Hits per raw web page and entity type."""
-    pages = spread(_table(spark, folder, "pages").select("page_id", "html"), "page_id")
+    pages = _table(spark, folder, "pages").select("page_id", "html")
     found = detect(texts_from(pages, F.col("page_id"), "html"))
     return found.groupBy(F.col("source_id").cast("bigint").alias("page_id"), "entity_type").agg(
         F.count("*").alias("hits"), F.min("char_start").alias("first_start"), F.max("char_end").alias("last_end"))
@@ -229,7 +224,7 @@ def scan_pages(spark, folder):
 @register
 def scan_conversations(spark, folder):
     """Every hit in a conversation turn; every other turn is signed with an address."""
-    turns = spread(_table(spark, folder, "conversations"), "conv_id").withColumn("text", F.expr(
+    turns = _table(spark, folder, "conversations").withColumn("text", F.expr(
         "if(turn % 2 = 0, concat(text, ' <', role, conv_id, '@chat.example.com>'), text)"))
     found = detect(records_from(turns, F.col("conv_id"), "turn", ["role", "text"]))
     return found.select(F.col("source_id").cast("bigint").alias("conv_id"), F.col("record_index").alias("turn"),
@@ -240,14 +235,16 @@ def scan_conversations(spark, folder):
 def detection_order_listing(spark, folder):
     """Rank of every hit in listing order within its document."""
     found = _document_hits(spark, folder)
-    return _keyed(found, "doc_id", "entity_type", "rule_rank", "char_start")
+    listing = Window.partitionBy("record_index").orderBy(*detection_order())
+    return _keyed(found.withColumn("listing_rank", F.row_number().over(listing)),
+                  "doc_id", "entity_type", "rule_rank", "char_start", "listing_rank")
 
 
 # --- cells, paths, names ----------------------------------------------------
 
 
 def _nested_events(spark: SparkSession, folder: str) -> DataFrame:
-    events = _spread_table(spark, folder, "events", "event_id").select(
+    events = _table(spark, folder, "events").select(
         "event_id", "event_type", "value", "user_id",
         F.from_json("props", "k int").alias("props"),
         F.expr("array(named_struct('kind', event_type, 'big', user_id > 50), "
@@ -264,18 +261,18 @@ def flatten_cells(spark, folder):
 
 @register
 def flatten_customer_cells(spark, folder):
-    found = cell_table(records_from(_spread_table(spark, folder, "customer", "c_custkey"), "customer", "c_custkey"))
+    found = cell_table(records_from(_table(spark, folder, "customer"), "customer", "c_custkey"))
     return _keyed(found, "c_custkey", "field_path", "field_name", "value")
 
 
 @register
 def flatten_variant_cells(spark, folder):
     """Cells of JSON whose keys are data."""
-    docs = _spread_table(spark, folder, "events", "event_id").select("event_id", F.expr(
+    docs = _table(spark, folder, "events").select("event_id", F.expr(
         "concat('{\"', event_type, '\":{\"v\":[', user_id, ',null,true]},\"p\":', props, '}')").alias("doc"))
     records = docs.select(F.lit("events").alias("source_id"), F.col("event_id").alias("record_index"),
                           F.parse_json("doc").alias("content"))
-    return _keyed(variant_cells(records, max_depth=4), "event_id", "field_path", "field_name", "value")
+    return _keyed(variant_cells(records), "event_id", "field_path", "field_name", "value")
 
 
 @register
@@ -375,13 +372,14 @@ def pseudonymize_values(spark, folder):
 
 @register
 def pseudonym_map_merge(spark, folder):
-    """A second run over all documents keeps the numbers a first run over some sources gave."""
+    """A second run over all documents keeps the numbers a first run over some sources stored."""
+    store = PseudonymStore(spark, staging_path(spark, "pseudonym-map"))
     found = _document_hits(spark, folder)
     sources = _table(spark, folder, "documents").agg(F.min("source").alias("source_id"))
-    _, known = assign(found.join(F.broadcast(sources), "source_id", "left_semi"),
-                      spark.createDataFrame([], _NO_MAP))
-    lookup, _ = assign(found, known)
-    return lookup.select("entity_type", "value", "pseudonym_no", "pseudonym")
+    for part in (found.join(F.broadcast(sources), "source_id", "left_semi"), found):
+        _, new = assign(part, store.load())
+        store.save(new)
+    return store.load()
 
 
 def _sanitized_documents(spark: SparkSession, folder: str, mode: str) -> DataFrame:
@@ -409,7 +407,7 @@ def sanitize_documents_pseudonymize(spark, folder):
 @register
 def sanitize_numeric_cells(spark, folder):
     """A number or date with a hit becomes text; numbers no rule fits keep their text."""
-    orders = _spread_table(spark, folder, "orders", "o_orderkey").select(
+    orders = _table(spark, folder, "orders").select(
         "o_orderkey", F.expr("if(o_orderkey % 2 = 0, 3330000000L + o_orderkey, o_orderkey)").alias("phone"),
         "o_orderdate", "o_totalprice", F.expr("o_orderkey % 3 = 0").alias("flag"))
     records = records_from(orders, "orders", "o_orderkey", ["phone", "o_orderdate", "o_totalprice", "flag"])
@@ -552,23 +550,62 @@ def csv_roundtrip(spark, folder):
 
 @register
 def json_roundtrip(spark, folder):
+    """JSON Lines as the engine writes them, read back by file; nulls are kept."""
     path = staging_path(spark, "json")
-    sinks.write_json(_table(spark, folder, "supplier"), path)
-    back = spark.read.text(path)
-    return json.typed_records(
-        json.normalize_json(back, F.lit("supplier"), F.col("value"))).select("units", "content.*")
+    supplier = _table(spark, folder, "supplier").withColumn("note", F.expr("if(s_suppkey % 2 = 0, s_name, null)"))
+    sinks.write_json(supplier, path)
+    return json.load_json(spark, path).select("units", "content.*")
+
+
+@register
+def json_lines_and_arrays(spark, folder):
+    """The same events as JSON Lines (whole files and splits) and as arrays of a thousand."""
+    lines, arrays = staging_path(spark, "json-lines"), staging_path(spark, "json-arrays")
+    events = _table(spark, folder, "events").select("event_id", "user_id", "event_type", "props")
+    sinks.write_json(events, lines)
+    made = events.groupBy(F.expr("event_id div 1000").alias("part")).agg(
+        F.array_join(F.collect_list(F.to_json(F.struct("event_id", "user_id", "event_type", "props"))), ", ").alias("items"))
+    # One file per array: a file of the text sink holds the rows of one partition value.
+    sinks.write_text(made.select("part", F.concat(F.lit("["), "items", F.lit("]")).alias("value")), arrays, ["part"])
+    texts = spark.read.text(f"{arrays}/part=*", wholetext=True)
+    forms = {
+        "lines": json.load_json(spark, lines), "splits": json.load_json(spark, lines, lines=True),
+        "arrays": json.typed_records(json.normalize_json(texts, F.col(files.FILE_PATH), F.col("value")))}
+    found = [f.select(F.lit(k).alias("form"), "units", "content.event_id", "content.user_id", "content.event_type", "content.props")
+             for k, f in forms.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @register
 def text_roundtrip(spark, folder):
-    """One text file per document source; loaded back whole, line ends unified."""
+    """One text file per document, loaded back whole, line ends unified."""
     path = staging_path(spark, "text")
-    pieces = _table(spark, folder, "documents").groupBy("lang").agg(
-        F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))
-    lines = pieces.select("lang", F.concat_ws("\r\n", F.concat("lang", F.lit(" file")), "docs", "chars").alias("value"))
-    sinks.write_text(lines, path, ["lang"])
-    loaded = text.load_text(spark, f"{path}/lang=*")
-    return loaded.select(F.regexp_extract("source_id", "lang=([^/]+)", 1).alias("lang"), "content")
+    sinks.write_text(_table(spark, folder, "documents").select("doc_id", F.col("text").alias("value")), path, ["doc_id"])
+    loaded = text.load_text(spark, f"{path}/doc_id=*")
+    return loaded.select(F.regexp_extract("source_id", "doc_id=([^/]+)", 1).cast("bigint").alias("doc_id"), "content")
+
+
+@register
+def sql_dump_scan(spark, folder):
+    """Statements of a dump are text: hits per source table of a folder of ``.sql`` files."""
+    path = staging_path(spark, "dump")
+    rows = _table(spark, folder, "customer").select("c_nationkey", F.format_string(
+        "insert into customer values (%d, '%s@example.it', '%s');", "c_custkey", F.lower(F.replace("c_name", F.lit("#"), F.lit("."))),
+        "c_mktsegment").alias("value"))
+    sinks.write_text(rows, path, ["c_nationkey"])
+    _rename_suffix(spark, path, ".sql")
+    found = detect(text.load_sql_dump(spark, f"{path}/c_nationkey=*"))
+    return found.groupBy(F.regexp_extract("source_id", "c_nationkey=([0-9]+)", 1).cast("int").alias("c_nationkey"), "entity_type") \
+        .agg(F.count("*").alias("hits"))
+
+
+def _rename_suffix(spark: SparkSession, path: str, suffix: str) -> None:
+    """Give the files two levels below ``path`` another suffix; Spark's writers choose their own."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/*/part-*")):
+        name = status.getPath().toString()
+        fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(name.rsplit(".", 1)[0] + suffix))
 
 
 _JSON_DOC = """
@@ -583,7 +620,7 @@ CASE event_id % 4
 @register
 def json_normalize(spark, folder):
     """Lists, ``records`` wrappers, single objects and scalars become records."""
-    docs = _spread_table(spark, folder, "events", "event_id").select("event_id", F.expr(_JSON_DOC).alias("doc"))
+    docs = _table(spark, folder, "events").select("event_id", F.expr(_JSON_DOC).alias("doc"))
     found = json.normalize_json(docs, F.col("event_id"), F.col("doc"))
     return found.select(F.col("source_id").cast("bigint").alias("event_id"), "record_index", "units", "content")
 
@@ -591,7 +628,7 @@ def json_normalize(spark, folder):
 @register
 def json_typed_records(spark, folder):
     """Records of mixed shape under their merged schema."""
-    docs = _spread_table(spark, folder, "events", "event_id").select("event_id", F.expr(_JSON_DOC).alias("doc"))
+    docs = _table(spark, folder, "events").select("event_id", F.expr(_JSON_DOC).alias("doc"))
     found = json.typed_records(json.normalize_json(docs, F.col("event_id"), F.col("doc")))
     return found.select(F.col("source_id").cast("bigint").alias("event_id"), "record_index",
                         F.col("content.k").cast("bigint").alias("k"), F.col("content.a.k").cast("bigint").alias("a_k"),
@@ -613,11 +650,11 @@ def query_source(spark, folder):
 @register
 def query_scan_job(spark, folder):
     """Query scan: transformations listed, no data written."""
-    _spread_table(spark, folder, "events", "event_id").createOrReplaceTempView("events")
+    _table(spark, folder, "events").createOrReplaceTempView("events")
     out = staging_path(spark, "query-scan")
     jobs.query_scan(spark, "select ts, event_type, value, props, user_id from events", "redact", out)
-    listed = spark.read.schema(
-        "entity_type string, mode string, field_path string, sanitized_preview string").json(f"{out}/transformations")
+    listed = spark.read.schema("entity_type string, mode string, field_path string, sanitized_preview string") \
+        .option("recursiveFileLookup", True).json(f"{out}/transformations")
     return listed.groupBy("entity_type", "mode", "field_path", "sanitized_preview").agg(
         F.count("*").alias("transformations"))
 
@@ -625,13 +662,15 @@ def query_scan_job(spark, folder):
 @register
 def batch_scan(spark, folder):
     """Scan of a folder of CSV and text files written from the tables."""
-    path = staging_path(spark, "folder")
+    path, profiled, nations = (staging_path(spark, n) for n in ("folder", "folder-csv", "folder-txt"))
     profiles = _profiles(spark, folder).select(
         "c_custkey", "full_name", F.col("birth_date").cast("string"), "ip_address",
         F.expr("contacts[1].email").alias("email"))
-    sinks.write_csv(profiles, path)
+    sinks.write_csv(profiles, profiled)
     sinks.write_text(_table(spark, folder, "nation").select(
-        F.concat("n_name", F.lit("@example.com and 10.0.0."), "n_nationkey").alias("value")), path)
+        F.concat("n_name", F.lit("@example.com and 10.0.0."), "n_nationkey").alias("value")), nations)
+    for part in (profiled, nations):
+        _gather(spark, part, path)
     found = [s.select("input_format", "record_count", "entities_found", *rep.SORTED_TYPES)
              for s in jobs.batch(spark, path, "scan")]
     union = found[0]
@@ -646,12 +685,111 @@ def batch_scan(spark, folder):
 
 @register
 def sanitize_job(spark, folder):
-    """The whole job on a CSV of profiles: sanitized output read back."""
+    """The whole job on a CSV of profiles, run twice into one folder: output and reports read back."""
     src, out = staging_path(spark, "profiles"), staging_path(spark, "sanitized")
     profiles = _profiles(spark, folder).select(
-        "c_custkey", "full_name", F.col("birth_date").cast("string"), "address", "ip_address")
+        "c_custkey", "full_name", F.col("birth_date").cast("string"), "address", "ip_address",
+        F.col("phone").cast("string"), F.expr("contacts[0].email").alias("email"))
     sinks.write_csv(profiles, src)
-    jobs.sanitize(csv.load_csv(spark, src), "csv", "mask", out)
-    columns = ["c_custkey", "full_name", "birth_date", "address", "ip_address"]
+    for _ in range(2):
+        jobs.sanitize(csv.load_csv(spark, src), "csv", "mask", out)
+    columns = ["c_custkey", "full_name", "birth_date", "address", "ip_address", "phone", "email"]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).option("header", True).csv(f"{out}/sanitized").select(*columns)
+    rows = spark.read.schema(schema).options(header=True, recursiveFileLookup=True).csv(f"{out}/sanitized").select(*columns)
+    reports = spark.read.schema("record_count bigint, entities_found bigint, sanitized_output_generated boolean") \
+        .option("recursiveFileLookup", True).json(f"{out}/reports")
+    totals = reports.agg(F.sum("record_count").alias("reported_records"), F.sum("entities_found").alias("reported_entities"),
+                         F.bool_and("sanitized_output_generated").alias("reported_output"))
+    return rows.join(F.broadcast(totals))  # a single row of totals
+
+
+@register
+def report_job(spark, folder):
+    """Report without output over a CSV of profiles: counts by entity type of the reports written."""
+    src, out = staging_path(spark, "profiles"), staging_path(spark, "reports")
+    sinks.write_csv(_profiles(spark, folder).select(
+        "full_name", F.col("birth_date").cast("string"), "address", "ip_address"), src)
+    jobs.report(csv.load_csv(spark, src), "csv", "redact", out)
+    reports = spark.read.schema("sanitization_mode string, output_file string, entity_counts map<string,bigint>") \
+        .option("recursiveFileLookup", True).json(f"{out}/reports")
+    return reports.select("sanitization_mode", F.col("output_file").isNull().alias("no_output"), F.explode("entity_counts").alias("entity_type", "n")) \
+        .groupBy("sanitization_mode", "no_output", "entity_type").agg(F.sum("n").alias("hits"))
+
+
+@register
+def batch_sanitize(spark, folder):
+    """A folder of CSV, JSON and text files sanitized in one batch and read back."""
+    path, out = staging_path(spark, "folder"), staging_path(spark, "batch")
+    for fmt, write in (("csv", sinks.write_csv), ("json", sinks.write_json)):
+        part = staging_path(spark, f"folder-{fmt}")
+        write(_table(spark, folder, "customer").select("c_custkey", F.expr("concat('user', c_custkey, '@mail.example.com')").alias("mail")), part)
+        _gather(spark, part, path)
+    nations = staging_path(spark, "folder-txt")
+    sinks.write_text(_table(spark, folder, "nation").select(F.concat(
+        F.lit("nation "), "n_nationkey", F.lit(" at 10.0.0."), "n_nationkey").alias("value")), nations)
+    _gather(spark, nations, path)
+    jobs.batch(spark, path, "sanitize", "redact", out)
+    csv_rows = spark.read.schema("c_custkey string, mail string").options(recursiveFileLookup=True, header=True) \
+        .csv(f"{out}/sanitized", pathGlobFilter="*.csv")
+    json_rows = spark.read.schema("c_custkey bigint, mail string").json(
+        f"{out}/sanitized", pathGlobFilter="*.json", recursiveFileLookup=True)
+    text_rows = spark.read.text(f"{out}/sanitized", pathGlobFilter="*.txt", recursiveFileLookup=True)
+    return csv_rows.select(F.lit("csv").alias("form"), F.col("c_custkey").cast("bigint").alias("key"), F.col("mail").alias("value")) \
+        .unionByName(json_rows.select(F.lit("json").alias("form"), F.col("c_custkey").alias("key"), F.col("mail").alias("value"))) \
+        .unionByName(text_rows.filter("value != ''").select(
+            F.lit("txt").alias("form"), F.regexp_extract("value", "nation ([0-9]+)", 1).cast("bigint").alias("key"), "value"))
+
+
+def _gather(spark: SparkSession, source: str, target: str) -> None:
+    """Move the part files of one folder into another."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(target))
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{source}/part-*")):
+        fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(f"{target}/{status.getPath().getName()}"))
+
+
+@register
+def pseudonymize_csv_job(spark, folder):
+    """Pseudonyms of CSV files are numbered file by file, in the order of their rows."""
+    src, out = staging_path(spark, "customers"), staging_path(spark, "pseudonymized")
+    customers = _table(spark, folder, "customer").select(
+        "c_nationkey", "c_custkey", F.expr("concat('u', c_custkey * 7919 % 211, '@x.it')").alias("mail"))
+    # One file per nation, rows by falling key.
+    sinks.write_csv(customers.repartition("c_nationkey").sortWithinPartitions("c_nationkey", F.desc("c_custkey")), src, ["c_nationkey"])
+    jobs.sanitize(csv.load_csv(spark, f"{src}/c_nationkey=*"), "csv", "pseudonymize", out,
+                  store=PseudonymStore(spark, staging_path(spark, "map")))
+    return spark.read.schema("c_custkey bigint, mail string").options(header=True, recursiveFileLookup=True).csv(f"{out}/sanitized")
+
+
+@register
+def query_scan_pseudonyms(spark, folder):
+    """Query scan in mode pseudonymize: one read, and the map it leaves."""
+    _table(spark, folder, "events").createOrReplaceTempView("events")
+    out, store = staging_path(spark, "query-scan"), PseudonymStore(spark, staging_path(spark, "map"))
+    jobs.query_scan(spark, "select event_id, concat('u', user_id, '@x.it') as mail from events", "pseudonymize", out,
+                    key="event_id", store=store)
+    listed = spark.read.schema("entity_type string").option("recursiveFileLookup", True).json(f"{out}/transformations")
+    total = listed.agg(F.count("*").alias("transformations"))
+    return store.load().join(F.broadcast(total))  # a single number
+
+
+@register
+def sanitize_dotted_fields(spark, folder):
+    """A column named like the path of a nested field is not taken for it."""
+    rows = _table(spark, folder, "customer").select(
+        "c_custkey", F.expr("concat('u', c_custkey, '@x.it')").alias("a.b"), F.expr("named_struct('b', c_custkey)").alias("a"))
+    done = write_back(protect_hits(annotate(records_from(rows, "customer", "c_custkey", ["a.b", "a"])), "redact"))
+    return done.select(F.col("record_index").alias("c_custkey"), F.col("content.`a.b`").alias("dotted"),
+                       F.col("content.a.b").cast("string").alias("nested"))
+
+
+@register
+def detect_wide_records(spark, folder):
+    """Fields of a record of more than forty leaves are numbered as those of a narrow one."""
+    flags = [F.expr(f"o_orderkey % {i + 2} = 0").alias(f"flag_{i}") for i in range(40)]
+    wide = _table(spark, folder, "orders").select(
+        "o_orderkey", *flags, F.expr("concat('o', o_orderkey, '@x.it')").alias("mail"),
+        F.expr("3330000000L + o_orderkey").alias("phone"), "o_orderdate", F.initcap("o_orderpriority").alias("note"))
+    fields = [c for c in wide.columns if c != "o_orderkey"]
+    return _keyed(detect(records_from(wide, "orders", "o_orderkey", fields)), "o_orderkey", "field_ordinal", "field_path", *HIT_COLUMNS)

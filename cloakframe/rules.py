@@ -38,6 +38,11 @@ EMAIL_PATTERN = (
     r"(?<![\p{L}\p{N}_.𝐀-])[A-Za-z\u0130\u0131\u017F\u212A0-9._%+-]++"
     r"@[A-Za-z\u0130\u0131\u017F\u212A0-9.-]+\.[A-Za-z\u0130\u0131\u017F\u212A]{2,}(?![\p{L}\p{N}_.-])"
 )
+# A long run of address characters is passed over as a whole where no address can start in it: from its beginning if
+# no @ follows, and from the first place an address could start if the part after the @ does not fit (any later place
+# in the run meets the same @).  Without this, the search would start anew at every plus sign of an encoded token.
+_RUN = r"[A-Za-z\u0130\u0131\u017F\u212A0-9._%+-]"
+EMAIL_SEARCH = rf"{EMAIL_PATTERN}|(?<!{_RUN}){_RUN}{{256,}}+(?!@)|(?<![\p{{L}}\p{{N}}_.𝐀-]){_RUN}{{256,}}+"
 PHONE_PATTERN = (
     r"(?<![\p{Nd}𝟎])(?:\+\p{Nd}{1,3}[\p{IsWhite_Space}\x1C-\x1F]?)?"
     r"(?:\(\p{Nd}{2,4}\)[\p{IsWhite_Space}\x1C-\x1F]?)?"
@@ -137,6 +142,8 @@ class Rule:
     min_bytes: int = 1
     literal: str | None = None
     gate: str | None = None
+    # The pattern also matches stretches that are no hit; a hit contains ``literal``, those do not.
+    passes_over: bool = False
 
 
 @dataclass(frozen=True)
@@ -157,7 +164,7 @@ _CODE_TAIL = (
 )
 
 DEFAULT_RULES = (
-    Rule("EMAIL", EMAIL_PATTERN, 0.90, "email-regex", min_bytes=6, literal="@"),
+    Rule("EMAIL", EMAIL_SEARCH, 0.90, "email-regex", min_bytes=6, literal="@", passes_over=True),
     Rule("PHONE", PHONE_PATTERN, 0.70, "phone-regex", min_bytes=8, gate=_DIGITS_GAP),
     Rule("TAX_CODE", TAX_CODE_PATTERN, 0.95, "tax-code-regex", min_bytes=16, gate=_CODE_TAIL),
     Rule("IBAN", IBAN_PATTERN, 0.95, "iban-regex", min_bytes=27,

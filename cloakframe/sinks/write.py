@@ -1,8 +1,9 @@
 """Writing sanitized outputs and reports.
 
 One job writes the outputs of all sources of a format: rows are partitioned by
-``output_file``, so ``<dir>/output_file=<name>/part-*`` holds one source.  Rows
-are not shuffled for it.
+output name and source, so ``<dir>/output_file=<name>/source=<key>/part-*``
+holds one source.  Rows are not shuffled for it.  A source that is written
+again replaces its earlier output; outputs of other sources stay.
 """
 
 from __future__ import annotations
@@ -11,42 +12,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import INPUT_FORMATS
-from ..sources.files import sanitized_name
+from ..shared import delete_path
+from ..sources.files import report_name, sanitized_name, source_key
+
+BY = ["output_file", "source"]
+
+
+def _writer(df: DataFrame, by: list[str] | None):
+    """Whole folders are replaced; with ``by``, the partitions that ``df`` has rows for."""
+    return df.write.mode("overwrite").partitionBy(*(by or [])).option(
+        "partitionOverwriteMode", "dynamic" if by else "static")
 
 
 def write_csv(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """CSV with a header; absent values are empty."""
-    df.write.partitionBy(*(by or [])).options(
+    _writer(df, by).options(
         header=True, quote='"', escape='"', nullValue="", emptyValue="",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).mode("append").csv(path)
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_json(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """One JSON object per line."""
-    df.write.partitionBy(*(by or [])).mode("append").json(path)
+    """One JSON object per line, null fields included."""
+    _writer(df, by).option("ignoreNullFields", "false").json(path)
 
 
 def write_text(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Whole texts; the writer ends every text with a newline, so one that has it already gives it up."""
-    df.select(*(by or []), F.regexp_replace("value", "\n\\z", "").alias("value")) \
-        .write.partitionBy(*(by or [])).mode("append").text(path)
+    _writer(df.select(*(by or []), F.regexp_replace("value", "\n\\z", "").alias("value")), by).text(path)
 
 
 def write_sanitized(sanitized: DataFrame, input_format: str, mode: str, path: str) -> None:
     """Sanitized records of one format, one folder per source."""
     # The writer groups a task's rows by output file anyway; the record order comes with the same sort.
     named = sanitized.withColumn("output_file", sanitized_name(F.col("source_id"), mode)) \
-        .sortWithinPartitions("output_file", "record_index")
+        .withColumn("source", source_key(F.col("source_id"))).sortWithinPartitions(*BY, "record_index")
     if input_format == "csv":
-        write_csv(named.select("output_file", "content.*"), path, ["output_file"])
+        write_csv(named.select(*BY, "content.*"), path, BY)
     elif input_format == "json":
-        write_json(named.select("output_file", "content.*"), path, ["output_file"])
+        write_json(named.select(*BY, "content.*"), path, BY)
     elif input_format in ("txt", "pdf", "sql"):
-        write_text(named.select("output_file", F.col("content").alias("value")), path, ["output_file"])
+        write_text(named.select(*BY, F.col("content").alias("value")), path, BY)
     else:
         raise ValueError(f"Unsupported output format: {input_format}; one of {', '.join(INPUT_FORMATS)}")
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """Report rows as JSON lines, null fields included."""
-    report.write.mode("append").option("ignoreNullFields", "false").json(path)
+def write_report(rows: DataFrame, mode: str, path: str, report_format: str = "json", sources: DataFrame | None = None) -> None:
+    """Report or listing rows (with ``source_id``) as JSON lines, one folder per source, null fields included.
+
+    ``sources`` names all sources of the run: what an earlier run left for one
+    that has no rows now is removed.
+    """
+    by = ["report", "source"]
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.withColumn("report", report_name(F.col("source_id"), mode, report_format)) \
+            .withColumn("source", source_key(F.col("source_id")))
+
+    if sources is not None:
+        escape = sources.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for row in named(sources).select(*by).distinct().toLocalIterator():  # one row per source
+            delete_path(sources.sparkSession, f"{path}/report={escape(row['report'])}/source={row['source']}")
+    _writer(named(rows), by).option("ignoreNullFields", "false").json(path)

@@ -38,7 +38,8 @@ def header_groups(spark: SparkSession, path: str) -> list[tuple[list[str], list[
     return [(_names(spark, [plain_path(ids[0])]), sorted(ids)) for _, ids in sorted(groups.items())]
 
 
-def load_csv_groups(spark: SparkSession, path: str, listed: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+def load_csv_groups(spark: SparkSession, path: str, listed: DataFrame,
+                    multi_line: bool = True) -> list[tuple[DataFrame, DataFrame]]:
     """Records and sources of the CSV files in a folder, one pair per distinct header.
 
     ``listed`` names all the files; those without any line have no header and
@@ -54,7 +55,7 @@ def load_csv_groups(spark: SparkSession, path: str, listed: DataFrame) -> list[t
     for k, (names, ids) in enumerate(groups):
         sources = spark.createDataFrame([(i,) for i in ids], "source_id string") if k else listed.select(
             "source_id").join(spark.createDataFrame(later, "source_id string"), "source_id", "left_anti")
-        pairs.append((load_csv(spark, [plain_path(i) for i in ids], names), sources))
+        pairs.append((load_csv(spark, [plain_path(i) for i in ids], names, multi_line), sources))
     return pairs
 
 

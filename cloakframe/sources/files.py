@@ -54,6 +54,11 @@ def sanitized_name(path: Column, mode: str) -> Column:
                     F.when(suffix == ".pdf", F.lit(".txt")).otherwise(suffix))
 
 
+def source_key(path: Column) -> Column:
+    """Short name of a source that keeps outputs of equally named files apart."""
+    return F.lower(F.hex(F.xxhash64(path)))
+
+
 def report_name(path: Column, mode: str, report_format: str = "json") -> Column:
     """``<stem>_<mode>_report.<format>``."""
     return F.concat(stem(path), F.lit(f"_{mode}_report.{report_format}"))
@@ -67,11 +72,16 @@ def any_case(suffix: str) -> str:
 def list_files(spark: SparkSession, path: str, formats: Iterable[str] = INPUT_FORMATS) -> DataFrame:
     """``source_id, input_format`` of the supported files in a folder (not below it).
 
-    Only names are listed; no file is opened.  Files of zero bytes are left out.
+    Only names are listed; no file is opened.  Files of zero bytes, which
+    readers skip, are listed as well.
     """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath().toUri().toString() for s in system.listStatus(root) if s.isFile()]
+    # Readers name local files with a single slash.
+    names = [(f.replace("file:///", "file:/", 1),) for f in found if not f.rsplit("/", 1)[-1].startswith(("_", "."))]
     return (
-        spark.read.format("binaryFile").load(path)
-        .select(F.col(FILE_PATH).alias("source_id"))
+        spark.createDataFrame(names, "source_id string")
         .withColumn("input_format", format_of(F.col("source_id")))
         .filter(F.col("input_format").isin(*formats))
     )

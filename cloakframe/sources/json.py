@@ -1,53 +1,101 @@
-"""JSON documents as records."""
+"""JSON documents and JSON Lines as records."""
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import ship
 from .files import FILE_PATH, any_case
 
+_BLANK = " \t\r\n"
+_RECORDS = "source_id string, record_index bigint, units bigint, content string"
 
-def _is(value: Column, kind: str) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit(kind)), F.lit(False))
+
+def _values(text: str) -> list:
+    """The document as one JSON value, or as one value per line; anything else raises.
+
+    Whatever follows the first value is either read or an error.  Of repeated
+    keys the last counts.
+    """
+    text = text.removeprefix("\ufeff")
+    try:
+        return [json.loads(text)]
+    except json.JSONDecodeError as whole:
+        lines = [line for line in text.split("\n") if line.strip(_BLANK)]
+        if len(lines) < 2:
+            raise
+        try:
+            return [[json.loads(line) for line in lines]]
+        except json.JSONDecodeError:
+            raise whole from None
+
+
+def _record(value: object) -> str:
+    return json.dumps(value if isinstance(value, dict) else {"value": value}, ensure_ascii=False, separators=(",", ":"))
+
+
+def _records(text: str) -> Iterator[tuple[int | None, int, str]]:
+    for value in _values(text):
+        if isinstance(value, dict) and isinstance(value.get("records"), list):
+            value = value["records"]
+        if isinstance(value, list):
+            for i, item in enumerate(value):
+                yield i, 1, _record(item)
+        else:
+            yield None, len(value) if isinstance(value, dict) else 1, _record(value)
 
 
 def normalize_json(documents: DataFrame, source_id: Column, text: Column) -> DataFrame:
     """Records of JSON documents, each still a JSON object in ``content``.
 
-    A list gives one record per item; a ``records`` list inside an object is
-    taken for the object; any other object is one document (no index, its
-    record count is its number of keys); what is not an object is wrapped as
-    ``{"value": …}``.
+    A list gives one record per item, and JSON Lines one per line; a
+    ``records`` list inside an object is taken for the object; any other object
+    is one document (no index, its record count is its number of keys); what is
+    not an object is wrapped as ``{"value": …}``.  A document is parsed as a
+    whole by one task, in Arrow batches; a null document gives no record.
     """
-    value = F.col("_v")
-    records = F.try_variant_get(value, "$.records", "variant")
-    listed = (
-        F.when(_is(value, "ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
-        .when(_is(value, "OBJECT") & _is(records, "ARRAY"), F.try_variant_get(records, "$", "array<variant>"))
-    )
-
-    def as_object(v: Column) -> Column:
-        return F.when(_is(v, "OBJECT"), F.to_json(v)).otherwise(
-            F.concat(F.lit('{"value":'), F.coalesce(F.to_json(v), F.lit("null")), F.lit("}")))
-
-    item = "array<struct<record_index:bigint,units:bigint,content:string>>"
-    many = F.transform(F.col("_list"), lambda v, i: F.struct(
-        i.cast("bigint").alias("record_index"), F.lit(1).cast("bigint").alias("units"),
-        as_object(v).alias("content"))).cast(item)
-    keys = F.when(_is(value, "OBJECT"), F.size(F.map_keys(
-        F.try_variant_get(value, "$", "map<string,variant>")))).otherwise(1)
-    one = F.array(F.struct(F.lit(None).cast("bigint").alias("record_index"), keys.cast("bigint").alias("units"),
-                           as_object(value).alias("content"))).cast(item)
-    return (
-        documents.select(source_id.cast("string").alias("source_id"),
-                         F.parse_json(F.regexp_replace(text, "\\A\ufeff", "")).alias("_v"))
-        .withColumn("_list", listed)
-        .select("source_id", F.inline_outer(F.when(F.col("_list").isNotNull(), many).otherwise(one)))
-        .filter(F.col("content").isNotNull())
-    )
+    def parse(batches):
+        for batch in batches:
+            for source, document in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = [] if document is None else list(_records(document))
+                for at in range(0, len(found), 1000):
+                    index, units, content = zip(*found[at:at + 1000])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([source] * len(index), pa.string()), pa.array(index, pa.int64()),
+                        pa.array(units, pa.int64()), pa.array(content, pa.string())],
+                        ["source_id", "record_index", "units", "content"])
+
+    ship(documents.sparkSession)
+    return documents.select(source_id.cast("string").alias("source_id"), text.alias("text")).mapInArrow(parse, _RECORDS)
+
+
+def json_lines(lines: DataFrame, source_id: Column, text: Column) -> DataFrame:
+    """Records of JSON Lines read line by line, so large files are read in splits.
+
+    ``position`` orders the rows inside a file; ``index_records`` turns it into
+    ``record_index`` once the rows are written somewhere.
+    """
+    def parse(batches):
+        for batch in batches:
+            values = [json.loads(t.removeprefix("\ufeff")) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("source_id"), pa.array([_record(v) for v in values], pa.string()), batch.column("block"),
+                 batch.column("seq")], ["source_id", "content", "block", "seq"])
+
+    ship(lines.sparkSession)
+    filled = lines.filter(F.trim(F.regexp_replace(text, "[\\t\\r\ufeff]", "")) != "")
+    kept = filled.select(
+        source_id.cast("string").alias("source_id"), text.alias("text"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"))
+    return kept.mapInArrow(parse, "source_id string, content string, block bigint, seq bigint").select(
+        "source_id", F.lit(None).cast("bigint").alias("record_index"), F.lit(1).cast("bigint").alias("units"), "content",
+        F.struct("block", "seq").alias("position"))
 
 
 # Type names of the merged variant schema that the struct schema spells differently.
@@ -85,7 +133,14 @@ def variant_records(records: DataFrame) -> DataFrame:
     return records.withColumn("content", F.parse_json("content"))
 
 
-def load_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Records of JSON files; every file is one document."""
-    files = spark.read.option("pathGlobFilter", any_case("json")).text(path, wholetext=True)
-    return typed_records(normalize_json(files, F.col(FILE_PATH), F.col("value")), schema)
+def load_json(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """Records of JSON files.
+
+    Every file is one document, or one value per line.  Pass ``lines=True`` for
+    large files known to be JSON Lines, and they are read in parallel splits;
+    pass ``schema`` to save the pass that finds the common one.
+    """
+    reader = spark.read.option("pathGlobFilter", any_case("json"))
+    if lines:
+        return typed_records(json_lines(reader.text(path), F.col(FILE_PATH), F.col("value")), schema)
+    return typed_records(normalize_json(reader.text(path, wholetext=True), F.col(FILE_PATH), F.col("value")), schema)

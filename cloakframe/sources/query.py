@@ -6,6 +6,7 @@ from collections.abc import Mapping
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.records import records_from
 
@@ -24,11 +25,14 @@ def load_query(spark: SparkSession, query: str, url: str | None = None, key: str
     """Records of a query, run by Spark or, with ``url``, by a database over JDBC.
 
     JDBC options such as ``partitionColumn``, ``lowerBound``, ``upperBound`` and
-    ``numPartitions`` split the read over the executors.
+    ``numPartitions`` split the read over the executors.  Without a ``key``
+    rows are numbered in the order they arrive (``position``, see ``index_records``).
     """
     if url is None:
         rows = spark.sql(query)
     else:
         rows = spark.read.format("jdbc").option("url", url).options(**(options or {})) \
             .option("dbtable", f"({query}) q").load()
-    return records_from(rows, source_label(url), key)
+    records = records_from(rows, source_label(url), key)
+    return records if key is not None else records.withColumn("position", F.struct(
+        F.spark_partition_id().cast("bigint").alias("block"), F.monotonically_increasing_id().alias("seq")))

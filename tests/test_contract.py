@@ -28,11 +28,13 @@ def _plain(value):
     return repr(round(value, 9)) if isinstance(value, float) else repr(value)
 
 
-def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE)
+def test_every_query_of_the_reference_part_has_sql():
+    from cloakframe.plans.queries import all_queries
 
+    assert set(all_queries()) <= set(ORACLE) <= set(QUERIES)
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, duck, name):
     frame = QUERIES[name](spark, FOLDER)
     columns = sorted(frame.columns)

@@ -170,3 +170,24 @@ def test_custom_rules(spark):
     for bad in ({"NOPE": "x"}, {"EMAIL": "("}, {"EMAIL": "x*"}):
         with pytest.raises(ValueError):
             Detector(spark, bad)
+
+
+def test_email_search_is_linear_on_long_runs(spark):
+    """Ten megabytes without an address start, and addresses at the edges of long runs."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from cloakframe.operators.detect import Detector, detect
+    from cloakframe.operators.records import texts_from
+
+    run = "aB3+" * 100
+    texts = [f"{run}@", f"{run}@x.it", f"é{run}@x.it", f"{run}@bad@x.it", f"x@y.it {run} z@y.it", f"{run}%q@x", f"é{'a' * 400}@x.it"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    email = Detector(entities=["EMAIL"])
+    got = {(r["source_id"], r["value"], r["char_start"]) for r in detect(texts_from(frame, F.col("i"), "t"), email).collect()}
+    assert got == {(str(i), h[1], h[2]) for i, t in enumerate(texts) for h in plain.find(t) if h[0] == "EMAIL"}
+    start = time.perf_counter()
+    long = spark.createDataFrame([("aB3+" * 2_500_000 + " end@x.it",)], "t string")
+    assert detect(texts_from(long, F.lit("s"), "t"), email).count() == 1
+    assert time.perf_counter() - start < 60

@@ -18,6 +18,7 @@ from cloakframe.operators.sanitize import protect_hits, write_back
 from cloakframe.rules import ADDRESS_HINTS, PERSON_NAME_HINTS
 from cloakframe.sources import files
 
+# Published sample values.
 DOC = {
     "full_name": "Mario Rossi", "birth_date": "1985-06-14", "address": " Via Roma 10 ", "ip_address": "192.168.100.42",
     "email": "mario.rossi@example.it", "phone": "02 1234 56", "tax_code": "RSSMRA85M01H501Z",
@@ -28,9 +29,7 @@ DOC = {
 def test_all_types_on_one_record(spark):
     found = detect(records_from(spark.createDataFrame([DOC]), "s")).orderBy(*detection_order()).collect()
     assert [r["entity_type"] for r in found] == [
-        "EMAIL", "PHONE", "PHONE", "TAX_CODE", "IBAN", "BIRTH_DATE", "IP_ADDRESS", "ADDRESS", "PERSON_NAME"] \
-        or {r["entity_type"] for r in found} == {
-        "EMAIL", "PHONE", "TAX_CODE", "IBAN", "BIRTH_DATE", "IP_ADDRESS", "ADDRESS", "PERSON_NAME"}
+        "EMAIL", "PHONE", "TAX_CODE", "IBAN", "BIRTH_DATE", "IP_ADDRESS", "ADDRESS", "PERSON_NAME"]
     row = write_back(protect_hits(annotate(records_from(spark.createDataFrame([DOC]), "s")), "mask")).first()["content"]
     assert row["address"] == " V*a R**a ** " and row["ip_address"] == "192.16*.100.42" and row["phone"] == "02 1234 56"
 
@@ -190,7 +189,7 @@ def test_odd_column_names(spark, tmp_path):
     (tmp_path / "odd.csv").write_text('a.b,"x,y;z",`q`,full name\nm@n.it,1,2,Anna Bianchi\n', encoding="utf-8")
     out = str(tmp_path / "out")
     jobs.sanitize(jobs.load_path(spark, str(tmp_path / "odd.csv")), "csv", "redact", out)
-    (row,) = spark.read.option("header", True).csv(f"{out}/sanitized/output_file=odd_redact_sanitized.csv").collect()
+    (row,) = spark.read.option("header", True).csv(f"{out}/sanitized/output_file=odd_redact_sanitized.csv/source=*").collect()
     assert list(row.asDict().items()) == [
         ("a.b", "[REDACTED_EMAIL]"), ("x,y;z", "1"), ("`q`", "2"), ("full name", "[REDACTED_PERSON_NAME]")]
 
