@@ -731,11 +731,11 @@ def batch_sanitize(spark, folder):
     jobs.batch(spark, path, "sanitize", "redact", out)
     csv_rows = spark.read.schema("c_custkey string, mail string").options(recursiveFileLookup=True, header=True) \
         .csv(f"{out}/sanitized", pathGlobFilter="*.csv")
-    json_rows = spark.read.schema("c_custkey bigint, mail string").json(
+    json_rows = spark.read.schema("c_custkey string, mail string").json(  # a number that a rule can match becomes text
         f"{out}/sanitized", pathGlobFilter="*.json", recursiveFileLookup=True)
     text_rows = spark.read.text(f"{out}/sanitized", pathGlobFilter="*.txt", recursiveFileLookup=True)
     return csv_rows.select(F.lit("csv").alias("form"), F.col("c_custkey").cast("bigint").alias("key"), F.col("mail").alias("value")) \
-        .unionByName(json_rows.select(F.lit("json").alias("form"), F.col("c_custkey").alias("key"), F.col("mail").alias("value"))) \
+        .unionByName(json_rows.select(F.lit("json").alias("form"), F.col("c_custkey").cast("bigint").alias("key"), F.col("mail").alias("value"))) \
         .unionByName(text_rows.filter("value != ''").select(
             F.lit("txt").alias("form"), F.regexp_extract("value", "nation ([0-9]+)", 1).cast("bigint").alias("key"), "value"))
 
