@@ -726,7 +726,7 @@ def batch_sanitize(spark, folder):
         _gather(spark, part, path)
     nations = staging_path(spark, "folder-txt")
     sinks.write_text(_table(spark, folder, "nation").select(F.concat(
-        F.lit("nation "), "n_nationkey", F.lit(" at 10.0.0."), "n_nationkey").alias("value")), nations)
+        F.lit("nation "), "n_nationkey", F.lit(" at 10.0.0."), F.col("n_nationkey") + 100).alias("value")), nations)
     _gather(spark, nations, path)
     jobs.batch(spark, path, "sanitize", "redact", out)
     csv_rows = spark.read.schema("c_custkey string, mail string").options(recursiveFileLookup=True, header=True) \
