@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import cut, ship
 
 # White space between words: the space and the characters 9 to 13.
 SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
 # Texts are taken through numpy in blocks of about this many bytes, so the working arrays stay small.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 __all__ = ["BLOCK", "SPACES", "WORD", "Words", "blocks", "cut", "hot_slots", "partitions", "raw_bytes", "shingles", "ship", "table", "text_of", "words"]
 
@@ -29,21 +25,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, unless their path already has it."""
-    root = Path(__file__).resolve().parents[2]
-    known = [os.path.realpath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
-    context = spark.sparkContext
-    if str(root) in known or getattr(context, "_sent_package", False):
-        return
-    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{__package__.split('.')[0]}.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted((root / __package__.split(".")[0]).rglob("*.py")):
-            out.write(file, file.relative_to(root))
-    context.addPyFile(str(archive))
-    context._sent_package = True
-
-
 def text_of(column: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -92,7 +73,26 @@ def _byte_values(lower: bool) -> np.ndarray:
 
 
 _BYTES = {True: _byte_values(True), False: _byte_values(False)}
-_PLACES = _mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x51ED2701)) | np.uint64(1)
+# Odd factors for places and their inverses: a word's hash is a sum over its bytes, taken as a
+# difference of running sums and shifted to the start of the word.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse; kept for the usual block size."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    made = []
+    for base in (_BASE, _UNBASE):
+        row = np.full(max(n, BLOCK + 4096), base)
+        row[0] = 1
+        made.append(np.multiply.accumulate(row))
+    if n <= BLOCK + 4096:
+        _POWERS[:] = made
+    return made[0], made[1]
+
 
 Words = tuple[np.ndarray, np.ndarray]
 
@@ -123,10 +123,11 @@ def words(data: np.ndarray, ends: np.ndarray, lower: bool = True) -> Words:
         last = max(at + 1, int(np.searchsorted(starts, starts[at] + BLOCK)))
         end = starts[last] if last < len(starts) else len(data)
         own = starts[at:last] - starts[at]
-        place = np.arange(end - starts[at]) - np.repeat(own, np.diff(np.append(own, end - starts[at])))
-        values = _BYTES[lower][data[starts[at]:end]] * _PLACES[place & 0xFFFF]
-        values += values * (place >> 16).astype(np.uint64)
-        hashes[at:last] = _mix(np.add.reduceat(values, own))
+        size = int(end - starts[at])
+        power, unpower = _powers(size)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_BYTES[lower][data[starts[at]:end]] * power[:size], out=sums[1:])
+        hashes[at:last] = _mix((sums[np.append(own[1:], size)] - sums[own]) * unpower[own])
         at = last
     return hashes, counts
 

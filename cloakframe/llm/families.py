@@ -16,14 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _mix, blocks, partitions, raw_bytes, shingles, words
+from .common import _mix, blocks, cut, partitions, raw_bytes, shingles, words
 
 SHINGLE = 5
 # Similarity of three quarters, as whole numbers: 4 * intersection >= 3 * union.
 ABOVE, BELOW = 3, 4
 # Buckets of the rarity sketch; its size does not depend on the data.
-BUCKETS = 1 << 20
+BITS = 22
+BUCKETS = 1 << BITS
 PIECES = 256
+_SHIFT = np.uint64(64 - BITS)
 # Members of a family that one task compares with each other.
 FAMILY_BLOCK = 1024
 
@@ -45,45 +47,63 @@ def text_shingles(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rarity(docs: DataFrame, sets: Sets) -> np.ndarray:
-    """How frequent each shingle bucket is over all rows, as the bit length of its count.
+    """How frequent each shingle bucket is over all rows, as the bit length of its count (at most 63).
 
     Every task counts into an array of fixed size; the arrays are added in
     pieces, so the sums are spread over tasks and read as a stream.
     """
+    size = BUCKETS // PIECES
+
     def count(batches):
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for part in blocks(batch, "_t"):
+            for part in blocks(batch, "_t", 8 << 20):
                 values, _ = sets(part)
-                total += np.bincount((values >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
-        size = BUCKETS // PIECES
+                total += np.bincount((values >> _SHIFT).astype(np.int64), minlength=BUCKETS)
+        # Most counts of one task are small: a byte each, and the rest added as a short list.
+        large = np.flatnonzero(total > 255)
+        rest = np.searchsorted(large, np.arange(PIECES + 1) * size)
+        rows = [(i, total[i * size:(i + 1) * size].clip(max=255).astype(np.uint8).tobytes(),
+                 large[rest[i]:rest[i + 1]] - i * size, total[large[rest[i]:rest[i + 1]]] - 255) for i in range(PIECES)]
+        piece, small, places, more = zip(*rows)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(PIECES), pa.int32()), pa.array([total[i * size:(i + 1) * size].astype("<u4").tobytes() for i in range(PIECES)], pa.binary())],
-            ["piece", "counts"])
+            [pa.array(piece, pa.int32()), pa.array(small, pa.binary()), pa.array(places, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64()))],
+            ["piece", "small", "places", "more"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for piece, data in zip(batch.column("piece").to_pylist(), batch.column("counts")):
-                sums[piece] = sums.get(piece, 0) + np.frombuffer(data.as_buffer(), "<u4").astype(np.int64)
+            for i, piece in enumerate(batch.column("piece").to_pylist()):
+                own = sums.setdefault(piece, np.zeros(size, np.int64))
+                own += np.frombuffer(batch.column("small")[i].as_buffer(), np.uint8)
+                own[np.array(batch.column("places")[i].as_py(), np.int64)] += np.array(batch.column("more")[i].as_py(), np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sums.keys(), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["piece", "counts"])
+                [pa.array(sums.keys(), pa.int32()), pa.array([np.ceil(np.log2(s + 1)).astype(np.uint8).tobytes() for s in sums.values()], pa.binary())],
+                ["piece", "classes"])
 
     spark = docs.sparkSession
-    rows = docs.select("_t").mapInArrow(count, "piece int, counts binary") \
-        .repartition(min(PIECES, partitions(spark)), "piece").mapInArrow(add, "piece int, counts binary").collect()
-    total = np.zeros(BUCKETS, np.int64)  # a fixed number of rows and bytes
+    rows = docs.select("_t").mapInArrow(count, "piece int, small binary, places array<bigint>, more array<bigint>") \
+        .repartition(min(PIECES, partitions(spark)), "piece").mapInArrow(add, "piece int, classes binary").collect()
+    classes = np.zeros(BUCKETS, np.uint8)  # a fixed number of rows and bytes
     for r in rows:
-        total[r["piece"] * (BUCKETS // PIECES):(r["piece"] + 1) * (BUCKETS // PIECES)] = np.frombuffer(r["counts"], np.int64)
-    return np.ceil(np.log2(total + 1)).astype(np.uint8)
+        classes[r["piece"] * size:(r["piece"] + 1) * size] = np.frombuffer(r["classes"], np.uint8)
+    return classes
 
 
 def ordered_sets(values: np.ndarray, starts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sets without repeats, each in the global order (rarity class, then hash), and where each begins."""
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    order = np.lexsort((values, classes[(values >> np.uint64(44)).astype(np.int64)], owner))
-    owner, values = owner[order], values[order]
+    owner = np.repeat(np.arange(len(starts) - 1, dtype=np.uint64), np.diff(starts))
+    rank = classes[(values >> _SHIFT).astype(np.int64)].astype(np.uint64)
+    width = np.uint64(max(1, int(len(starts)).bit_length()))
+    short = np.uint64(64 - 6) - width
+    # Owner, class and the first bits of the hash in one number; where those bits are equal, the whole hash decides.
+    key = (owner << (np.uint64(64) - width)) | (rank << short) | (values >> (np.uint64(64) - short))
+    order = np.argsort(key)
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if len(same) and np.any(values[order[same + 1]] != values[order[same]]):
+        order = np.lexsort((values, rank, owner))
+    owner, values = owner[order].astype(np.int64), values[order]
     new = np.ones(len(values), bool)
     new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
     owner, values = owner[new], values[new]
@@ -91,9 +111,10 @@ def ordered_sets(values: np.ndarray, starts: np.ndarray, classes: np.ndarray) ->
 
 
 def digests(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each set, in two halves; zero for empty sets."""
+    """112 bits for each set: 48, which name it in postings, and 64 more."""
     sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(values ^ np.uint64(seed)))]) for seed in (0x5D1, 0xC0FFEE)]
-    return tuple(_mix(s[starts[1:]] - s[starts[:-1]]).view(np.int64) for s in sums)
+    first, second = (_mix(s[starts[1:]] - s[starts[:-1]]) for s in sums)
+    return (first >> np.uint64(16)).view(np.int64), second.view(np.int64)
 
 
 def prefixes(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +122,8 @@ def prefixes(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     n = np.diff(starts)
     owner = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(values)) - starts[owner] <= n[owner] // 4
-    return owner[inside], values[inside].view(np.int64)
+    # 48 bits of a hash are enough to bring sets together: a chance clash only makes a family larger.
+    return owner[inside], (values[inside] & np.uint64(0xFFFFFFFFFFFF0000)).view(np.int64)
 
 
 def families(postings: DataFrame, member: list[str]) -> DataFrame:
@@ -139,21 +161,22 @@ def families(postings: DataFrame, member: list[str]) -> DataFrame:
 
 
 def with_leaders(pairs: DataFrame, member: list[str]) -> DataFrame:
-    """The pairs, with each leader as a member of its own family."""
+    """The pairs, with each leader as a member of its own family; the pairs are written once."""
+    pairs = cut(pairs, "families")
     lead = [f"l_{m}" for m in member]
     own = pairs.select(*lead).distinct()
     return pairs.unionByName(own.select(*lead, *[F.col(f"l_{m}").alias(m) for m in member]))
 
 
-def dealt(rows: DataFrame, member: list[str]) -> DataFrame:
-    """``rows`` of families with ``_b``, the block of each member, and ``_nb``, the number of blocks of the family.
+def dealt(pairs: DataFrame, member: list[str]) -> DataFrame:
+    """The pairs with ``_b``, the block of each member, and ``_nb``, the number of blocks of the family.
 
     Members go to blocks by a hash, so a block has about ``FAMILY_BLOCK``
     members however large the family is.
     """
     lead = [f"l_{m}" for m in member]
-    sizes = rows.groupBy(*lead).agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("_nb"))
-    return rows.join(sizes, lead).withColumn("_b", F.pmod(F.xxhash64(*member), F.col("_nb")).cast("int"))
+    sizes = pairs.groupBy(*lead).agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("_nb"))
+    return pairs.join(sizes, lead).withColumn("_b", F.pmod(F.xxhash64(*member), F.col("_nb")).cast("int"))
 
 
 def each_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:

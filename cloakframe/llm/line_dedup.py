@@ -12,15 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import lookup_join
+from ..shared import BROADCAST_BYTES
 from .common import blocks, cut, partitions, raw_bytes, shingles, table, words
-from .families import (ABOVE, BELOW, SHINGLE, dealt, digests, each_group, families, least_common, ordered_sets, prefixes, rarity,
-                       similar, with_leaders)
+from .families import (ABOVE, BELOW, SHINGLE, dealt, digests, each_group, families, least_common, ordered_sets, prefixes,
+                       rarity, similar, with_leaders)
 from .jaccard_join import fetch
 
 # Lines of fewer words carry too little to tell a repeat from chance; they stay.
 MIN_WORDS = 5
 LAST = (1 << 63) - 1
+# Places of family lines are broadcast up to this many (five numbers each); beyond, they meet the lines by shuffle.
+BROADCAST_LINES = 500_000
 
 
 def line_ends(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,7 +66,7 @@ def line_table(rows: DataFrame, classes: np.ndarray) -> DataFrame:
 def line_postings(rows: DataFrame, classes: np.ndarray) -> DataFrame:
     """``key, d1``: prefix shingles of the lines; equal lines of a block are posted once.
 
-    Half a digest names a line here: a chance clash only makes a family larger.
+    The first part of the digest names a line here: a chance clash only makes a family larger.
     """
     shared = rows.sparkSession.sparkContext.broadcast(classes)
 
@@ -140,19 +142,18 @@ def _members(group: pa.RecordBatch) -> tuple[list[np.ndarray], list[tuple]]:
     return sets, list(zip(group.column("f_id").to_pylist(), group.column("f_line").to_pylist()))
 
 
-def later_lines(rows: DataFrame) -> DataFrame:
+def later_lines(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """``d1, d2`` of the lines that match an earlier one.
 
-    ``rows`` has the families: ``l_d1, d1, d2, f_id, f_line, set``.  Families
+    ``pairs`` are the dealt families, ``held`` has ``d1, d2, f_id, f_line, set``.  Families
     above one block are worked through block by block; members that found no
     match there are then compared with the other blocks.
     """
-    parts = partitions(rows.sparkSession)
-    sizes = rows.groupBy("l_d1").agg(F.count("*").alias("_c"))
-    placed = cut(dealt(rows.join(sizes.filter("_c > 1"), "l_d1").drop("_c").withColumn("l_d2", F.lit(0)), ["d1", "d2"]), "line-families")
-    is_leader = F.col("d1") == F.col("l_d1")
-    first = placed.filter(~is_leader).unionByName(
-        placed.filter(is_leader).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))))
+    parts = partitions(pairs.sparkSession)
+    several = pairs.filter("_nb > 1").limit(1).count() > 0
+    placed = cut(pairs.join(held, "d1"), "line-families") if several else pairs.join(held, "d1")
+    first = placed.withColumn("_b", F.explode(F.when(
+        F.col("d1") == F.col("l_d1"), F.sequence(F.lit(0), F.col("_nb") - 1)).otherwise(F.array("_b")))) if several else placed
 
     def inside(batches):
         for group in each_group(batches, ["l_d1", "_b"]):
@@ -167,7 +168,7 @@ def later_lines(rows: DataFrame) -> DataFrame:
     found = cut(first.repartition(parts, "l_d1", "_b").sortWithinPartitions("l_d1", "_b", "f_id", "f_line").mapInArrow(
         inside, "l_d1 bigint, d1 bigint, d2 bigint, matched boolean"), "line-matches")
     matches = found.filter("matched").select("d1", "d2")
-    if placed.filter("_nb > 1").limit(1).count() == 0:
+    if not several:
         return matches.distinct()
     asking = placed.join(found.filter("not matched").select("l_d1", "d1", "d2").distinct(), ["l_d1", "d1", "d2"]) \
         .withColumn("_i", F.col("_b")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))) \
@@ -206,21 +207,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.min(F.struct("_id", "line", "_h")).alias("_f"), F.count("*").alias("_n")).select(
         "d1", "d2", F.col("_f._id").alias("f_id"), F.col("_f.line").alias("f_line"), F.col("_f._h").alias("f_h"), "_n"), "first-lines")
 
-    pairs = cut(with_leaders(families(line_postings(rows, classes), ["d1"]), ["d1"]), "line-pairs")
-    wanted = cut(firsts.join(pairs.select("d1").distinct(), "d1", "left_semi"), "family-lines")
+    pairs = cut(dealt(with_leaders(families(line_postings(rows, classes), ["d1"]), ["d1"]), ["d1"]), "line-pairs")
+    wanted = cut(firsts.join(pairs.select("d1").distinct(), "d1", "left_semi").drop("_n"), "family-lines")
     sets = packed_lines(fetch(rows, wanted.select(F.col("f_id").alias("_id")).distinct()), classes)
-    held = wanted.join(sets.dropDuplicates(["_id", "_h", "line"]), (wanted.f_id == sets._id) & (wanted.f_line == sets.line) & (
-        wanted.f_h == sets._h)).select("d1", "d2", "f_id", "f_line", "set")
-    later = later_lines(pairs.join(held, "d1"))
+    few = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    held = sets.join(F.broadcast(wanted) if few else wanted, (F.col("f_id") == sets["_id"]) & (F.col("f_line") == sets["line"]) & (
+        F.col("f_h") == sets["_h"])).select("d1", "d2", "f_id", "f_line", "set")
+    later = later_lines(pairs, held)
 
     # Only classes with a copy or an earlier match have lines to remove.
     telling = firsts.join(later.withColumn("_late", F.lit(True)), ["d1", "d2"], "left").filter("_n > 1 or _late") \
         .select("d1", "d2", "f_id", "f_line", F.coalesce("_late", F.lit(False)).alias("_late"))
-    gone = lookup_join(lines, telling, ["d1", "d2"], F.xxhash64("_id", "line"), "inner", 128).filter(
+    # A line that very many texts share is split by the planner's handling of skewed joins.
+    gone = lines.join(telling, ["d1", "d2"]).filter(
         F.col("_late") | (F.col("_id") != F.col("f_id")) | (F.col("line") != F.col("f_line")))
     # One entry per line of a text at most.
     per_text = cut(gone.groupBy("_id", "_h").agg(F.collect_set("line").alias("_gone")), "removed-lines")
-    few = per_text.limit(100_001).count() <= 100_000
+    size = per_text.agg(F.count("*").alias("rows"), F.sum(F.size("_gone") * 8 + 64).alias("bytes")).first()
+    few = size["rows"] <= BROADCAST_LINES and (size["bytes"] or 0) <= BROADCAST_BYTES
     joined = docs.join(
         F.broadcast(per_text) if few else per_text,
         (F.coalesce(docs[id_col].cast("bigint"), F.lit(LAST)) == per_text["_id"]) & (F.xxhash64(docs[text_col]) == per_text["_h"]),
