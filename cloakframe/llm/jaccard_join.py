@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..shared import lookup_join
 from .common import blocks, cut, partitions, table
 from .components import components
-from .families import (SHINGLE, Sets, dealt, digests, each_group, families, least_common, ordered_sets, prefixes, rarity,
-                       similar, text_shingles, with_leaders)
+from .families import (ABOVE, BELOW, Sets, dealt, digests, each_group, families, least_common, ordered_sets, prefixes,
+                       rarity, similar, text_shingles, with_leaders)
 
 FANOUT = 6
 # Identifiers that select texts are broadcast up to this many; beyond, texts and identifiers meet by shuffle.
@@ -26,37 +26,112 @@ BROADCAST_IDS = 500_000
 
 
 class Node:
-    """A node of the tree: bitmap, bounds of the sizes and of the bits lost to collisions, children or one leaf."""
-
-    __slots__ = ("bits", "low", "high", "lost", "children", "leaf", "closed")
-
-    def __init__(self, children: list[Node] | None = None, leaf: int = -1, bits: int = 0, size: int = 0) -> None:
-        self.leaf, self.children, self.closed = leaf, children or [], leaf >= 0
-        if children:
-            self.bits = 0
-            for c in children:
-                self.bits |= c.bits
-            self.low, self.high = min(c.low for c in children), max(c.high for c in children)
-            self.lost = max(c.lost for c in children)
+    """A node of the tree: the union of its leaves' bitmaps at two widths, size range, and children or one leaf.
+
+    ``lost`` is the largest number of tokens that any leaf loses because they
+    share a bit, at each width.  ``done`` says that nothing new can come from
+    pairs of the node's own leaves.
+    """
+
+    __slots__ = ("width", "bits", "half", "lost", "half_lost", "low", "high", "children", "leaf", "done")
+
+    def __init__(self, leaf: int, width: int, bits: int, size: int) -> None:
+        self.leaf, self.width, self.bits, self.low, self.high = leaf, width, bits, size, size
+        self.half = (bits | bits >> width // 2) & ((1 << width // 2) - 1)
+        self.lost, self.half_lost = size - bits.bit_count(), size - self.half.bit_count()
+        self.children, self.done = [], False
+
+    @classmethod
+    def over(cls, children: list[Node]) -> Node:
+        made = cls(-1, min(c.width for c in children), 0, 0)
+        made.children = children
+        made.low, made.high = min(c.low for c in children), max(c.high for c in children)
+        made.lost = made.half_lost = 0
+        for c in children:
+            # Children of twice the width are folded; of more, they would say nothing: every bit is set.
+            bits, lost = (c.bits, c.lost) if c.width == made.width else (c.half, c.half_lost) if c.width == 2 * made.width \
+                else ((1 << made.width) - 1, c.high)
+            made.bits |= bits
+            made.half |= (bits | bits >> made.width // 2) & ((1 << made.width // 2) - 1)
+            made.lost = max(made.lost, lost)
+            made.half_lost = max(made.half_lost, c.half_lost if c.width == made.width else c.high)
+        return made
+
+
+def bitmap(tokens: np.ndarray) -> tuple[int, int]:
+    """``(width, bits)``: a bit for every token, in at least twice as many bits as tokens."""
+    width = 128
+    while width < 2 * len(tokens):
+        width *= 2
+    bits = np.zeros(width, np.uint8)
+    bits[(tokens >> np.uint64(20)).astype(np.int64) & (width - 1)] = 1
+    return width, int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
+def may_overlap(a: Node, b: Node) -> bool:
+    """Whether some leaf of ``a`` and some leaf of ``b`` can be similar, by sizes and largest possible overlap."""
+    if BELOW * a.high < ABOVE * b.low or BELOW * b.high < ABOVE * a.low:
+        return False
+    if a.width == b.width:
+        most = (a.bits & b.bits).bit_count() + min(a.lost, b.lost)
+    elif a.width == 2 * b.width:
+        most = (a.half & b.bits).bit_count() + min(a.half_lost, b.lost)
+    elif b.width == 2 * a.width:
+        most = (a.bits & b.half).bit_count() + min(a.lost, b.half_lost)
+    else:
+        return True
+    return most >= least_common(a.low, b.low)
+
+
+def build(leaves: list[Node]) -> Node:
+    """A tree over some leaves, similar sizes side by side."""
+    level = sorted(leaves, key=lambda n: (n.low, n.leaf))
+    while len(level) > 1:
+        level = [Node.over(level[i:i + FANOUT]) for i in range(0, len(level), FANOUT)]
+    return level[0]
+
+
+def traverse(a: Node, b: Node, settled, meet) -> None:
+    """Dual traversal: ``meet(leaf, leaf)`` for pairs of leaves that may overlap, unless ``settled(node, node)``."""
+    stack = [(a, b)]
+    while stack:
+        a, b = stack.pop()
+        if a is b and a.leaf >= 0 or not may_overlap(a, b) or settled(a, b):
+            continue
+        if a.leaf >= 0 and b.leaf >= 0:
+            meet(a.leaf, b.leaf)
+        elif a is b:
+            stack += [(x, y) for i, x in enumerate(a.children) for y in a.children[i:]]
+        elif b.leaf >= 0 or a.leaf < 0 and a.high - a.low >= b.high - b.low:
+            stack += [(x, b) for x in a.children]
         else:
-            self.bits, self.low, self.high, self.lost = bits, size, size, size - bits.bit_count()
+            stack += [(a, y) for y in b.children]
+
+
+def with_candidates(leaves: list[Node]) -> np.ndarray:
+    """Which of the leaves may be similar to another one, by their bitmaps alone."""
+    found = np.zeros(len(leaves), bool)
+
+    def all_found(node: Node) -> bool:
+        if not node.done:
+            node.done = bool(found[node.leaf]) if node.leaf >= 0 else all(map(all_found, node.children))
+        return node.done
+
+    def meet(x: int, y: int) -> None:
+        found[[x, y]] = True
+
+    root = build(leaves)
+    traverse(root, root, lambda a, b: all_found(a) and all_found(b), meet)
+    return found
 
 
 class SignatureTree:
-    """Links between sets, found by dual traversal."""
+    """Links between sets, found by dual traversal; pairs that are connected already are left out."""
 
-    def __init__(self, sets: list[np.ndarray], queries: set[int] | None = None) -> None:
+    def __init__(self, sets: list[np.ndarray]) -> None:
         self.sets, self.links = sets, []
         self.root_of = list(range(len(sets)))
-        self.queries = queries
-        width = 256
-        while width < 4 * max(map(len, sets), default=1):
-            width *= 2
-        self.leaves = []
-        for i, s in enumerate(sets):
-            packed = np.zeros(width, np.uint8)
-            packed[(s & np.uint64(width - 1)).astype(np.int64)] = 1
-            self.leaves.append(Node(leaf=i, bits=int.from_bytes(np.packbits(packed).tobytes(), "big"), size=len(s)))
+        self.leaves = [Node(i, *bitmap(s), len(s)) for i, s in enumerate(sets)]
 
     def find(self, i: int) -> int:
         while self.root_of[i] != i:
@@ -65,55 +140,36 @@ class SignatureTree:
         return i
 
     def build(self, which: list[int]) -> Node:
-        """A tree over some sets, similar sizes side by side."""
-        level = [self.leaves[i] for i in sorted(which, key=lambda i: (len(self.sets[i]), i))]
-        while len(level) > 1:
-            level = [Node(level[i:i + FANOUT]) for i in range(0, len(level), FANOUT)]
-        return level[0]
+        return build([self.leaves[i] for i in which])
 
-    def _connected(self, node: Node) -> int:
+    def _component(self, node: Node) -> int:
         """The component of all leaves of a node, or -1 if they have several."""
-        if node.leaf >= 0:
-            return self.find(node.leaf)
-        if not node.closed:
-            roots = {self._connected(c) for c in node.children}
-            node.closed = len(roots) == 1 and -1 not in roots
-            if not node.closed:
+        if not node.done and node.leaf < 0:
+            roots = {self._component(c) for c in node.children}
+            node.done = len(roots) == 1 and -1 not in roots
+            if not node.done:
                 return -1
-        at = node
-        while at.leaf < 0:
-            at = at.children[0]
-        return self.find(at.leaf)
+        while node.leaf < 0:
+            node = node.children[0]
+        return self.find(node.leaf)
+
+    def _connected(self, a: Node, b: Node) -> bool:
+        root = self._component(a)
+        return root >= 0 and root == self._component(b)
+
+    def _meet(self, i: int, j: int) -> None:
+        x, y = self.sets[i], self.sets[j]
+        if similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
+            self.links.append((i, j))
+            self.root_of[self.find(j)] = self.find(i)
 
     def join(self, a: Node, b: Node) -> None:
         """Link all similar leaves of two nodes, unless they are connected already."""
-        stack = [(a, b)]
-        while stack:
-            a, b = stack.pop()
-            if a is b and a.leaf >= 0:
-                continue
-            if 4 * a.high < 3 * b.low or 4 * b.high < 3 * a.low:
-                continue
-            if (a.bits & b.bits).bit_count() + min(a.lost, b.lost) < least_common(a.low, b.low):
-                continue
-            root = self._connected(a)
-            if root >= 0 and root == self._connected(b):
-                continue
-            if a.leaf >= 0 and b.leaf >= 0:
-                x, y = self.sets[a.leaf], self.sets[b.leaf]
-                if similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
-                    self.links.append((a.leaf, b.leaf))
-                    self.root_of[self.find(b.leaf)] = self.find(a.leaf)
-            elif a is b:
-                stack += [(x, y) for i, x in enumerate(a.children) for y in a.children[i:]]
-            elif b.leaf >= 0 or (a.leaf < 0 and len(a.children) and a.high - a.low >= b.high - b.low):
-                stack += [(x, b) for x in a.children]
-            else:
-                stack += [(a, y) for y in b.children]
+        traverse(a, b, self._connected, self._meet)
 
 
 def narrow(docs: DataFrame, sets: Sets, classes: np.ndarray) -> DataFrame:
-    """``_id, n, d1, d2``: size and digest of every row's set."""
+    """``_id, n, d1, d2, bits``: size, digest and bitmap of every row's set."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
@@ -121,10 +177,15 @@ def narrow(docs: DataFrame, sets: Sets, classes: np.ndarray) -> DataFrame:
             for part in blocks(batch, "_t"):
                 values, starts = ordered_sets(*sets(part), shared.value)
                 d1, d2 = digests(values, starts)
+                bits = []
+                for a, b in zip(starts, starts[1:]):
+                    width, own = bitmap(values[a:b])
+                    bits.append(own.to_bytes(width // 8, "little"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), pa.array(np.diff(starts)), pa.array(d1), pa.array(d2)], ["_id", "n", "d1", "d2"])
+                    [part.column("_id"), pa.array(np.diff(starts)), pa.array(d1), pa.array(d2), pa.array(bits, pa.binary())],
+                    ["_id", "n", "d1", "d2", "bits"])
 
-    return docs.mapInArrow(run, "_id bigint, n bigint, d1 bigint, d2 bigint")
+    return docs.mapInArrow(run, "_id bigint, n bigint, d1 bigint, d2 bigint, bits binary")
 
 
 def postings(docs: DataFrame, sets: Sets, classes: np.ndarray) -> DataFrame:
@@ -146,6 +207,27 @@ def postings(docs: DataFrame, sets: Sets, classes: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "key bigint, _id bigint")
 
 
+def promising(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The members of each family that may be similar to another one, by bitmaps alone.
+
+    Bitmaps are a small part of the sets, and most members of a family share
+    too little with any other; only the rest is compared whole.  Families of
+    several blocks are passed on as they are.
+    """
+    def run(batches):
+        for group in each_group(batches, ["l__id"]):
+            leaves = [Node(i, 8 * len(b), int.from_bytes(b, "little"), n) for i, (b, n) in enumerate(
+                zip(group.column("bits").to_pylist(), group.column("n").to_pylist()))]
+            found = pa.array(with_candidates(leaves))
+            kept = [group.column(c).filter(found) for c in ("l__id", "_id", "_nb", "_b")]
+            yield pa.RecordBatch.from_arrays(kept, ["l__id", "_id", "_nb", "_b"])
+
+    small = pairs.filter("_nb = 1").join(bits, "_id").select("l__id", "_id", "_nb", "_b", "n", "bits")
+    return pairs.filter("_nb > 1").select("l__id", "_id", "_nb", "_b").unionByName(
+        small.repartition(partitions(pairs.sparkSession), "l__id").sortWithinPartitions("l__id", "_id").mapInArrow(
+            run, "l__id bigint, _id bigint, _nb int, _b int"))
+
+
 def fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` whose ``_id`` is among ``ids``; texts are shuffled only if the identifiers are too many to broadcast."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -156,21 +238,24 @@ def _numbered(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column("set")]
 
 
-def family_links(rows: DataFrame) -> DataFrame:
+def family_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``u, v``: links inside families, enough to connect all that are connected.
 
-    ``rows`` has ``l__id, _id, set`` (the shingles as packed 64-bit numbers).
+    ``pairs`` are the dealt families, ``sets`` has ``_id, set`` (the shingles
+    as packed 64-bit numbers).
     Families above one block are joined in two steps: every block by itself
     together with the leader, then those not connected to the leader with the
     other blocks.  Near copies of one text connect in the first step, so the
     second is small unless a family has many unrelated members.
     """
-    parts = partitions(rows.sparkSession)
-    placed = cut(dealt(rows, ["_id"]), "families")
+    parts = partitions(pairs.sparkSession)
+    several = pairs.filter("_nb > 1").limit(1).count() > 0
+    # Only families of several blocks are read again.
+    placed = cut(pairs.join(sets, "_id"), "families") if several else pairs.join(sets, "_id")
     is_leader = F.col("_id") == F.col("l__id")
     # The leader takes part in every block.
-    first = placed.filter(~is_leader).unionByName(
-        placed.filter(is_leader).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))))
+    first = placed.withColumn("_b", F.explode(F.when(
+        is_leader, F.sequence(F.lit(0), F.col("_nb") - 1)).otherwise(F.array("_b")))) if several else placed
 
     def inside(batches):
         for group in each_group(batches, ["l__id", "_b"]):
@@ -179,7 +264,7 @@ def family_links(rows: DataFrame) -> DataFrame:
             everything = tree.build(list(range(len(ids))))
             tree.join(everything, everything)
             lead = np.flatnonzero(ids == group.column("l__id").to_numpy()[0])
-            with_leader = {tree.find(int(i)) for i in lead}
+            with_leader = {tree.find(int(i)) for i in lead}  # a leader without a candidate is not there
             far = np.array([tree.find(i) not in with_leader for i in range(len(ids))])
             far &= group.column("_nb").to_numpy() > 1
             u = [ids[a] for a, _ in tree.links] + [i for i, f in zip(ids, far) if f]
@@ -192,7 +277,7 @@ def family_links(rows: DataFrame) -> DataFrame:
     found = cut(first.repartition(parts, "l__id", "_b").sortWithinPartitions("l__id", "_b", "_id").mapInArrow(
         inside, "u bigint, v bigint, l__id bigint"), "links")
     links = found.filter("u != v").select("u", "v")
-    if placed.filter("_nb > 1").limit(1).count() == 0:
+    if not several:
         return links
     # Second step: each unconnected member against the other blocks of its family.
     far = found.filter("u = v").select("l__id", F.col("u").alias("_id")).distinct()
@@ -241,7 +326,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "_id", "n", F.when((F.col("n") > 0) & F.col("_rep").isNotNull(), F.col("_rep")).otherwise(F.col("_id")).alias("_rep")), "copies")
 
     known = rows.filter(F.col("_id").isNotNull())
-    pairs = cut(with_leaders(families(postings(known, sets, classes), ["_id"]), ["_id"]), "pairs")
+    pairs = dealt(with_leaders(families(postings(known, sets, classes), ["_id"]), ["_id"]), ["_id"])
+    # Rows that share an identifier have a bitmap each.
+    pairs = cut(promising(cut(pairs, "pairs"), filled.select("_id", "n", "bits")).distinct(), "promising")
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def pack(batches):
@@ -252,11 +339,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     [values[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary())], ["_id", "set"])
 
     taken = fetch(known, pairs.select("_id").distinct()).mapInArrow(pack, "_id bigint, set binary")
-    links = family_links(pairs.join(taken, "_id"))
+    links = family_links(pairs, taken)
     # Copies stand for each other: links are followed between representatives.
     copies = named.filter("_id != _rep").select(F.col("_id").alias("u"), F.col("_rep").alias("v"))
     group = components(links.unionByName(copies))
-    return lookup_join(named, group.withColumnRenamed("node", "_id"), ["_id"], F.col("_id"), "left", 64).select(
+    return named.join(group.withColumnRenamed("node", "_id"), "_id", "left").select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component_id"))
 
 
