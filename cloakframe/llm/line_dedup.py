@@ -45,43 +45,31 @@ def line_sets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_table(rows: DataFrame, classes: np.ndarray) -> DataFrame:
-    """``_id, _h, line, d1, d2``: place and digest of every line that has shingles."""
+    """``_id, _h, line, d1, d2, keys``: place and digest of every line that has shingles, and its prefix shingles.
+
+    Equal lines of a block have their prefix once; the others' ``keys`` are empty.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
         for batch in batches:
-            for part in blocks(batch, "_t"):
+            for part in blocks(batch, "_t", 4 << 20):
                 _, _, owner, number = line_ends(part)
                 values, starts = ordered_sets(*line_sets(part), shared.value)
                 d1, d2 = digests(values, starts)
                 at = np.flatnonzero(np.diff(starts))
+                first = np.zeros(len(d1), bool)
+                first[at[np.unique(np.stack([d1[at], d2[at]]), axis=1, return_index=True)[1]]] = True
+                line, keys = prefixes(values, starts)
+                sizes = np.bincount(line[first[line]], minlength=len(d1))[at]
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys[first[line]]))
                 texts = pa.array(owner[at])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id").take(texts), part.column("_h").take(texts), pa.array(number[at]), pa.array(d1[at]), pa.array(d2[at])],
-                    ["_id", "_h", "line", "d1", "d2"])
-
-    return rows.mapInArrow(run, "_id bigint, _h bigint, line bigint, d1 bigint, d2 bigint")
-
-
-def line_postings(rows: DataFrame, classes: np.ndarray) -> DataFrame:
-    """``key, d1``: prefix shingles of the lines; equal lines of a block are posted once.
-
-    The first part of the digest names a line here: a chance clash only makes a family larger.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(classes)
-
-    def run(batches):
-        for batch in batches:
-            for part in blocks(batch, "_t", 8 << 20):
-                values, starts = ordered_sets(*line_sets(part), shared.value)
-                d1, _ = digests(values, starts)
-                first = np.zeros(len(d1), bool)
-                first[np.unique(d1, return_index=True)[1]] = True
-                owner, keys = prefixes(values, starts)
-                posted = first[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[posted]), pa.array(d1[owner[posted]])], ["key", "d1"])
+                    [part.column("_id").take(texts), part.column("_h").take(texts), pa.array(number[at]), pa.array(d1[at]), pa.array(d2[at]),
+                     lists], ["_id", "_h", "line", "d1", "d2", "keys"])
 
-    return rows.mapInArrow(run, "key bigint, d1 bigint")
+    return rows.mapInArrow(run, "_id bigint, _h bigint, line bigint, d1 bigint, d2 bigint, keys array<bigint>")
 
 
 def packed_lines(rows: DataFrame, classes: np.ndarray) -> DataFrame:
@@ -207,7 +195,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.min(F.struct("_id", "line", "_h")).alias("_f"), F.count("*").alias("_n")).select(
         "d1", "d2", F.col("_f._id").alias("f_id"), F.col("_f.line").alias("f_line"), F.col("_f._h").alias("f_h"), "_n"), "first-lines")
 
-    pairs = cut(dealt(with_leaders(families(line_postings(rows, classes), ["d1"]), ["d1"]), ["d1"]), "line-pairs")
+    # The first part of the digest names a line here: a chance clash only makes a family larger.
+    posted = lines.select("d1", F.explode("keys").alias("key"))
+    pairs = cut(dealt(with_leaders(families(posted, ["d1"]), ["d1"]), ["d1"]), "line-pairs")
     wanted = cut(firsts.join(pairs.select("d1").distinct(), "d1", "left_semi").drop("_n"), "family-lines")
     sets = packed_lines(fetch(rows, wanted.select(F.col("f_id").alias("_id")).distinct()), classes)
     few = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
