@@ -265,7 +265,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
         for batch in batches:
             step = max(1, (1 << 20) * len(batch) // (1 + len(batch.column(ids_col).flatten())))
             for at in range(0, len(batch), step):
-                part = batch.slice(at, step)
+                part = pa.ipc.read_record_batch(batch.slice(at, step).serialize(), batch.schema)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, decoded(vocabulary, part.column(ids_col))], [*part.schema.names, "decoded"])
 

@@ -156,11 +156,14 @@ def shingles(hashes: np.ndarray, starts: np.ndarray, k: int = 5) -> Words:
 
 
 def blocks(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``most`` bytes of text; a longer text is a slice of its own."""
+    """The batch in parts of about ``most`` bytes of text; a longer text is a part of its own.
+
+    Parts are copied out of the batch: some Arrow functions misread arrays that start inside a buffer.
+    """
     size = np.diff(raw_bytes(batch.column(column))[1])
     at = 0
     total = np.concatenate([[0], np.cumsum(size)])
     while at < len(size):
         last = max(at + 1, int(np.searchsorted(total, total[at] + most, side="right")) - 1)
-        yield batch.slice(at, last - at)
+        yield pa.ipc.read_record_batch(batch.slice(at, last - at).serialize(), batch.schema)
         at = last

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloakframe.llm import bpe, language, mixing, suffix_tree, warc
-from cloakframe.llm.common import raw_bytes, words
+from cloakframe.llm.common import blocks, raw_bytes, words
 from cloakframe.llm.components import components
 from cloakframe.llm.exact_dedup import exact_groups
 from cloakframe.llm.jaccard_join import SignatureTree, near_duplicates
@@ -283,3 +283,22 @@ def test_words_in_any_block(monkeypatch):
     monkeypatch.setattr("cloakframe.llm.common.BLOCK", 3)
     parted = words(*raw_bytes(texts))
     assert whole[0].tolist() == parted[0].tolist() and whole[1].tolist() == [0, 3, 3, 3, 5, 6]
+
+
+def test_blocks_can_be_read_by_every_arrow_function(vocabulary):
+    """Parts of a batch give what whole texts give, also to functions that misread slices."""
+    path, pattern = vocabulary
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["thé", "Øre", "ñandú", "x.", "and", "été;"]) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["_t"])
+    encoder = bpe.Encoder(bpe.PerfectHash(bpe.read_ranks(path)), pattern)
+    seen = 0
+    for part in blocks(batch, "_t", 5000):
+        own = part.column("_t").to_pylist()
+        assert own == texts[seen:seen + len(own)]
+        assert encoder.block(part.column("_t")).to_pylist() == [np.frombuffer(encoder.text(t), np.int32).tolist() for t in own]
+        starts, entries = suffix_tree._tokens(part.column("_t"))
+        spelled = [entries.dictionary[i].as_py() for i in entries.indices.to_pylist()]
+        assert [[w for w in spelled[a:b] if w] for a, b in zip(starts, starts[1:])] == [brute.words(t) for t in own]
+        seen += len(own)
+    assert seen == len(texts)
