@@ -14,13 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, cut, raw_bytes, table
 
 # Longest context in bytes.
-DEPTH = 4
+DEPTH = 3
 # Contexts are kept only above this share of all symbols, so there are at most DEPTH * KEPT of them.
 KEPT = 20_000
 # Least divergence from the shorter context, in nats over all its occurrences.
@@ -30,9 +31,13 @@ LEAST = 1e-5
 SPACE, END = 32, 10
 SYMBOLS = 256
 # Words above one in so many tokens, of at most LONGEST bytes, are broadcast with their counts: at most FREQUENT words.
-FREQUENT = 1_000_000
-LONGEST = 64
-TEXTS = 16 << 20
+FREQUENT = 4_000_000
+LONGEST = 32
+TEXTS = 6 << 20
+# Counted contexts that a task gathers before it hands them on.
+GATHERED = 1_000_000
+# Seed of the 64-bit hash by which Spark and the workers name rare words alike.
+SEED = 42
 # The end of a text is counted under this key, which no word can equal.
 END_KEY = " "
 
@@ -92,19 +97,34 @@ def contexts(row: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarr
 
 
 def gram_counts(counts: DataFrame) -> DataFrame:
-    """``context, symbol, n`` over all words with their counts, for every depth; summed per batch before the shuffle."""
+    """``context, symbol, n`` over all words with their counts, for every depth; summed per task before the shuffle."""
+    def summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kept, inverse = np.unique(grams, return_inverse=True)
+        return kept, np.bincount(inverse, weights=n, minlength=len(kept))
+
     def count(batches):
+        held = [(np.zeros(0, np.uint64), np.zeros(0))]
+
+        def handed() -> pa.RecordBatch:
+            grams, n = summed(*map(np.concatenate, zip(*held)))
+            held[:] = held[:0]
+            return pa.RecordBatch.from_arrays(
+                [pa.array((grams >> np.uint64(8)).astype(np.int64)), pa.array((grams & np.uint64(255)).astype(np.int32)),
+                 pa.array(n.astype(np.int64))], ["context", "symbol", "n"])
+
         for batch in batches:
-            for at in range(0, len(batch), 1 << 16):
-                part = batch.slice(at, 1 << 16)
+            for at in range(0, len(batch), 1 << 15):
+                part = pa.ipc.read_record_batch(batch.slice(at, 1 << 15).serialize(), batch.schema)
                 row, place, starts = symbols(part.column("word"))
                 times = np.repeat(part.column("c").to_numpy().astype(np.float64), np.diff(starts))
-                for _, own, keys in contexts(row, place):
-                    grams, inverse = np.unique((keys << np.uint64(8)) | row[own], return_inverse=True)
-                    n = np.bincount(inverse, weights=times[own], minlength=len(grams))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array((grams >> np.uint64(8)).astype(np.int64)), pa.array((grams & np.uint64(255)).astype(np.int32)),
-                         pa.array(n.astype(np.int64))], ["context", "symbol", "n"])
+                held.append(summed(*map(np.concatenate, zip(*[
+                    ((keys << np.uint64(8)) | row[own], times[own]) for _, own, keys in contexts(row, place)]))))
+                if sum(len(g) for g, _ in held) > GATHERED:
+                    held[:] = [summed(*map(np.concatenate, zip(*held)))]
+                    if len(held[0][0]) > GATHERED // 2:
+                        yield handed()
+        if held:
+            yield handed()
 
     return counts.mapInArrow(count, "context bigint, symbol int, n bigint") \
         .groupBy("context", "symbol").agg(F.sum("n").alias("n"))
@@ -173,7 +193,8 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     that repeat an identifier are scored one by one.
 
     Counts of frequent words are broadcast (at most ``FREQUENT`` short words);
-    occurrences of all other words meet their counts in one join.
+    occurrences of all other words meet their counts in one join, on a 64-bit
+    hash of the word.
     """
     spark = docs.sparkSession
     counts = cut(word_counts(train, text_col), "word-counts")
@@ -205,34 +226,38 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
 
                 n = len(part)
                 keys = part.column("_k")
-                yield pa.RecordBatch.from_arrays([
-                    keys, pc.binary_join_element_wise(pa.array([END_KEY] * n), keys.cast(pa.string()), ""), pa.array([0] * n, pa.int64()),
+                text = pa.StructArray.from_arrays([
                     part.column("_id"), pa.array(per_text(real.astype(np.int64)) + 1, pa.int64()),
                     pa.array(per_text((real & (at < len(known))).astype(np.int64)) + (end >= 0), pa.int64()),
                     pa.array(per_text(np.where(real, logs[at], 0.0)) + logs[end] * (end >= 0), pa.float64()),
-                    pa.array(per_text(scores) + end_score, pa.float64())], names)
+                    pa.array(per_text(scores) + end_score, pa.float64())], ["id", "n_tokens", "known", "logs", "score"])
+                # The row of the text itself carries no word: its hash is only there to spread such rows.
+                yield pa.RecordBatch.from_arrays(
+                    [keys, pa.array(keys.to_numpy() * np.int64(0x9E3779B97F4A7C1)), pa.array(np.zeros(n, np.int64)), text], names)
+                names_of = np.zeros(len(words), np.uint64)
+                spelled = words.take(pa.array(np.flatnonzero(rare))).to_pylist()
+                names_of[rare] = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in spelled), np.uint64, len(spelled))
+                names_of = names_of.view(np.int64)
                 where = np.flatnonzero(rare[codes])
                 owner = np.searchsorted(starts, where, side="right") - 1
                 pairs, often = np.unique(owner * len(words) + codes[where], return_counts=True)
-                m = len(pairs)
                 yield pa.RecordBatch.from_arrays([
-                    keys.take(pa.array(pairs // max(1, len(words)))), words.take(pa.array(pairs % max(1, len(words)))).cast(pa.string()),
-                    pa.array(often, pa.int64()), pa.nulls(m, part.column("_id").type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
-                    pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names)
+                    keys.take(pa.array(pairs // max(1, len(words)))), pa.array(names_of[pairs % max(1, len(words))]),
+                    pa.array(often, pa.int64()), pa.nulls(len(pairs), text.type)], names)
 
-    names = ["_k", "word", "k", "_id", "n_tokens", "known", "logs", "score"]
+    names = ["_k", "h", "k", "text"]
     id_type = docs.schema[id_col].dataType.simpleString()
     # Rows are told apart by their place in the scan, which a rerun of a task repeats.
     rows = docs.select(F.monotonically_increasing_id().alias("_k"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t")) \
-        .mapInArrow(run, f"_k bigint, word string, k bigint, _id {id_type}, n_tokens bigint, known bigint, logs double, score double")
-    met = rows.join(counts, "word", "left")
+        .mapInArrow(run, f"_k bigint, h bigint, k bigint, text struct<id:{id_type},n_tokens:bigint,known:bigint,logs:double,score:double>")
+    met = rows.join(counts.select(F.xxhash64("word").alias("h"), "c"), "h", "left")
     return met.groupBy("_k").agg(
-        F.max("_id").alias(id_col), F.max("n_tokens").alias("n_tokens"),
-        (F.max("known") + F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0))).alias("n_known"),
+        F.max("text.id").alias(id_col), F.max("text.n_tokens").alias("n_tokens"),
+        (F.max("text.known") + F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.max("logs") + F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 1)) -
-         F.max("n_tokens") * math.log10(int(total) + int(kinds) + 1)).alias("base_score"),
-        F.max("score").alias("score")).drop("_k")
+        (F.max("text.logs") + F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 1)) -
+         F.max("text.n_tokens") * math.log10(int(total) + int(kinds) + 1)).alias("base_score"),
+        F.max("text.score").alias("score")).drop("_k")
 
 
 def op6_lm_score(spark: SparkSession, folder: str) -> DataFrame:
