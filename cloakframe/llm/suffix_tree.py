@@ -1,7 +1,8 @@
 """Language model scores: exact unigram counts and a probabilistic suffix tree.
 
-The tree predicts the next byte of a word from the bytes before it, back to the
-space in front of the word.  Contexts of several lengths are kept where their
+A text is read as a stream of bytes: its words, each with a space before and
+after it, and its end.  The tree predicts the next byte from the bytes before
+it, across word borders.  Contexts of several lengths are kept where their
 next-byte distribution diverges from that of the next shorter context; a byte
 is scored by the longest kept suffix of what precedes it.
 """
@@ -18,12 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, raw_bytes, table
+from .common import _IS_SPACE, _mix, blocks, cut, partitions, raw_bytes, table
 
-# Longest context in bytes.
+# Longest context in bytes; codes have room for ROOM.
 DEPTH = 3
-# Contexts are kept only above this share of all symbols, so there are at most DEPTH * KEPT of them.
-KEPT = 20_000
+ROOM = 7
+# A context is kept only if it was seen this often, at any size of the input.
+LEAST_SEEN = 24
 # Least divergence from the shorter context, in nats over all its occurrences.
 DIVERGENCE = 12.0
 # Probability that every symbol has in every state.
@@ -34,13 +36,24 @@ SYMBOLS = 256
 FREQUENT = 4_000_000
 LONGEST = 32
 TEXTS = 6 << 20
-# Counted contexts that a task gathers before it hands them on.
-GATHERED = 1_000_000
+# Texts are turned into contexts in blocks of this many bytes, and a task counts this many symbols at a time.
+GRAMS = 2 << 20
+GATHERED = 12 << 20
+# A tree of more (context, symbol) rows meets the texts by shuffle.
+BROADCAST_TREE = 6_000_000
+# Rows of one task are put in whole contexts of SHARED bytes; shorter contexts are summed over tasks.
+SHARED = min(3, DEPTH)
+CHUNK = 1_000_000
 # Seed of the 64-bit hash by which Spark and the workers name rare words alike.
 SEED = 42
 # The end of a text is counted under this key, which no word can equal.
 END_KEY = " "
 
+# A-Z lowered.  255, which UTF-8 never uses, fills the codes of short contexts and is no symbol.
+_SYMBOL = np.arange(256, dtype=np.uint8)
+_SYMBOL[65:91] += 32
+_SYMBOL[255] = 254
+
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     """Words with A-Z lowered: where each text's entries start, and the entries as codes (the empty one is no word)."""
@@ -63,94 +76,174 @@ def word_counts(train: DataFrame, text_col: str) -> DataFrame:
         .groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def symbols(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All symbols of the words in a row, how many bytes precede each in its word, and where words start.
+def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols of the texts in a row, and where each text starts.
 
-    A word is read as a space, its bytes and a space; the first space is never
-    predicted.  ``END_KEY`` is read as a space and the end symbol.
+    A text starts with ``ROOM`` symbols that are never predicted, ends and a
+    space; its words follow, each with a space after it, and its end.
     """
-    data, ends = raw_bytes(words)
-    sizes = np.diff(ends)
-    whole = sizes + 2
-    starts = np.concatenate([[0], np.cumsum(whole)])
-    row = np.full(starts[-1], SPACE, np.uint64)
-    place = np.arange(starts[-1]) - np.repeat(starts[:-1], whole)
-    inner = (place > 0) & (place <= np.repeat(sizes, whole))
-    row[inner] = data
-    if len(words):
-        end = np.flatnonzero(pc.equal(words, END_KEY).to_numpy(zero_copy_only=False))
-        row[starts[end] + 1] = END
-        place[starts[end] + 2] = 0  # nothing follows the end
-    return row, place, starts
-
-
-def contexts(row: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(depth, positions, keys)``: the context of each depth before every predicted symbol that has one."""
-    code = np.zeros(len(row), np.uint64)
-    for depth in range(DEPTH + 1):
-        at = np.flatnonzero((place > 0) & (place >= depth))
-        yield depth, at, np.uint64(depth << 32) | code[at]
-        if depth < DEPTH and len(row) > depth + 1:
-            older = np.zeros(len(row), np.uint64)
-            older[depth + 1:] = row[:len(row) - depth - 1]
-            code = code | (older << np.uint64(8 * depth))
-
-
-def gram_counts(counts: DataFrame) -> DataFrame:
-    """``context, symbol, n`` over all words with their counts, for every depth; summed per task before the shuffle."""
-    def summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        kept, inverse = np.unique(grams, return_inverse=True)
-        return kept, np.bincount(inverse, weights=n, minlength=len(kept))
+    data, ends = raw_bytes(texts)
+    inside = ~_IS_SPACE[data]
+    kept = inside.copy()
+    kept[1:] |= inside[:-1]
+    first = ends[:-1][np.diff(ends) > 0]
+    kept[first] = inside[first]
+    sums = np.concatenate([[0], np.cumsum(kept)])
+    sizes = np.diff(sums[ends])
+    open_ = np.zeros(len(sizes), np.int64)  # the last word has no white space after it
+    some = np.diff(ends) > 0
+    open_[some] = inside[ends[1:][some] - 1]
+    starts = np.concatenate([[0], np.cumsum(sizes + open_ + ROOM + 1)])
+    row = np.full(starts[-1], END, np.uint8)
+    row[starts[:-1] + ROOM - 1] = SPACE
+    row[starts[1:][open_ > 0] - 2] = SPACE
+    row[np.arange(sums[-1]) + np.repeat(starts[:-1] + ROOM - sums[ends[:-1]], sizes)] = np.where(inside, _SYMBOL[data], SPACE)[kept]
+    return row, starts
+
+
+def grams(row: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Code of every predicted symbol and its longest context: the latest byte of the context highest, the symbol lowest."""
+    if not len(row):
+        return np.zeros(0, np.uint64)
+    window = np.zeros(len(row) - ROOM, np.uint64)
+    for j in range(min(ROOM + 1, len(window))):
+        own = window[j::ROOM + 1]
+        own[:] = np.frombuffer(row, "<u8", len(own), j)
+    inside = np.ones(len(window), bool)
+    inside[(starts[1:-1, None] - 1 - np.arange(ROOM)).ravel()] = False
+    window = window[inside]
+    return shortened((window << np.uint64(8)) | (window >> np.uint64(56)), DEPTH)
+
+
+def shortened(codes: np.ndarray, depth: int) -> np.ndarray:
+    """The codes with contexts of ``depth`` bytes; the room of older ones is filled."""
+    return codes | np.uint64((1 << 64) - (1 << 8) & ((1 << 8 * (ROOM + 1 - depth)) - 1))
+
+
+def text_grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(codes, starts)`` of the texts block by block, and where each text's codes start."""
+    for part in blocks(pa.RecordBatch.from_arrays([texts], ["_t"]), "_t", GRAMS):
+        row, starts = symbols(part.column("_t"))
+        yield grams(row, starts), starts - ROOM * np.arange(len(starts))
+
+
+def runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """``gram, n`` of the texts in the first column, summed per task; ``c``, if there, says how often a text counts."""
+    name = texts.columns[0]
+    if "c" in texts.columns:
+        texts = texts.select(name, F.explode(F.sequence(F.lit(1).cast("long"), "c")))
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        codes = np.concatenate(held)
+        held.clear()
+        codes.sort()
+        first = runs(codes)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(codes[first].view(np.int64)), pa.array(np.diff(first, append=len(codes)))], ["gram", "n"])
 
     def count(batches):
-        held = [(np.zeros(0, np.uint64), np.zeros(0))]
-
-        def handed() -> pa.RecordBatch:
-            grams, n = summed(*map(np.concatenate, zip(*held)))
-            held[:] = held[:0]
-            return pa.RecordBatch.from_arrays(
-                [pa.array((grams >> np.uint64(8)).astype(np.int64)), pa.array((grams & np.uint64(255)).astype(np.int32)),
-                 pa.array(n.astype(np.int64))], ["context", "symbol", "n"])
-
+        held: list[np.ndarray] = []
         for batch in batches:
-            for at in range(0, len(batch), 1 << 15):
-                part = pa.ipc.read_record_batch(batch.slice(at, 1 << 15).serialize(), batch.schema)
-                row, place, starts = symbols(part.column("word"))
-                times = np.repeat(part.column("c").to_numpy().astype(np.float64), np.diff(starts))
-                held.append(summed(*map(np.concatenate, zip(*[
-                    ((keys << np.uint64(8)) | row[own], times[own]) for _, own, keys in contexts(row, place)]))))
-                if sum(len(g) for g, _ in held) > GATHERED:
-                    held[:] = [summed(*map(np.concatenate, zip(*held)))]
-                    if len(held[0][0]) > GATHERED // 2:
-                        yield handed()
+            for codes, _ in text_grams(batch.column(name)):
+                held.append(codes)
+                if sum(map(len, held)) > GATHERED:
+                    yield counted(held)
         if held:
-            yield handed()
+            yield counted(held)
+
+    return texts.select(name).mapInArrow(count, "gram bigint, n bigint")
+
+
+def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(codes)
+    codes, n = codes[order], n[order]
+    first = runs(codes)
+    return codes[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _totals(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each row how often its context was seen."""
+    first = runs(codes >> np.uint64(8))
+    return np.repeat(np.add.reduceat(n, first), np.diff(first, append=len(codes))) if len(first) else n
 
-    return counts.mapInArrow(count, "context bigint, symbol int, n bigint") \
-        .groupBy("context", "symbol").agg(F.sum("n").alias("n"))
 
+def grown(codes: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``codes, n, totals``: all rows of ``SHARED`` bytes of context, then the kept rows of each longer context."""
+    levels = [_summed(codes, n)]
+    for depth in range(DEPTH - 1, SHARED - 1, -1):
+        levels.append(_summed(shortened(levels[-1][0], depth), levels[-1][1]))
+    shorter = levels.pop()
+    totals = _totals(*shorter)
+    yield *shorter, totals
+    for depth in range(SHARED + 1, DEPTH + 1):
+        own = levels.pop()
+        seen = _totals(*own)
+        at = np.searchsorted(shorter[0], shortened(own[0], depth - 1))
+        gain = own[1] * np.log(own[1] / seen * totals[at] / shorter[1][at])
+        first = runs(own[0] >> np.uint64(8))
+        kept = np.repeat((np.add.reduceat(gain, first) >= DIVERGENCE) & (seen[first] >= LEAST_SEEN), np.diff(first, append=len(seen)))
+        yield own[0][kept], own[1][kept], seen[kept]
+        shorter, totals = own, seen
 
-def tree(grams: DataFrame) -> DataFrame:
+
+def tree(counted: DataFrame) -> DataFrame:
     """Kept contexts with their next-symbol counts: ``context, symbol, n, total``.
 
-    A context below the frequency limit is dropped; of the rest those stay
-    whose distribution differs enough from that of the context one symbol
-    shorter (log-likelihood ratio).  The empty context always stays.
+    A context seen less than ``LEAST_SEEN`` times is dropped; of the rest those
+    stay whose distribution differs enough from that of the context one symbol
+    shorter (log-likelihood ratio).  The empty context always stays.  So the
+    tree grows with the variety of the input.
     """
-    own = grams.withColumn("total", F.sum("n").over(Window.partitionBy("context")))
-    depth = F.shiftright("context", 32)
-    symbols_seen = own.filter(depth == 0).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_all"))
-    frequent = own.join(F.broadcast(symbols_seen)).filter((depth == 0) | (F.col("total") * KEPT >= F.col("_all"))).drop("_all")
-    shorter = frequent.select(F.col("context").alias("_c"), F.col("symbol").alias("_s"), (F.col("n") / F.col("total")).alias("_p"))
-    # The oldest symbol stands in the highest byte of the code.
-    tested = frequent.filter(depth > 0).withColumn("_below", F.expr(
-        "shiftleft(shiftright(context, 32) - 1, 32) + (context & (shiftleft(1L, cast(8 * (shiftright(context, 32) - 1) as int)) - 1))"))
+    spark = counted.sparkSession
+
+    def grow(batches):
+        held: list[pa.RecordBatch] = []
+
+        def handed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            columns = (rows["gram"].to_numpy().view(np.uint64), rows["n"].to_numpy())
+            for i, (codes, n, totals) in enumerate(grown(*columns)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((codes >> np.uint64(8)).view(np.int64)), pa.array((codes & np.uint64(255)).astype(np.int32)), pa.array(n),
+                     pa.array(totals), pa.array(np.full(len(n), i == 0))], ["context", "symbol", "n", "total", "shared"])
+
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+            if sum(map(len, held)) > CHUNK:
+                rows = pa.Table.from_batches(held)
+                first = runs(rows["gram"].to_numpy().view(np.uint64) >> np.uint64(64 - 8 * SHARED))
+                if first[-1]:  # the last context may go on
+                    yield from handed(rows.slice(0, first[-1]))
+                    held = rows.slice(first[-1]).combine_chunks().to_batches()
+        if held:
+            yield from handed(pa.Table.from_batches(held))
+
+    whole = cut(counted.withColumn("_s", F.shiftright("gram", 64 - 8 * SHARED)).repartition(partitions(spark), "_s").drop("_s")
+                .sortWithinPartitions("gram").mapInArrow(grow, "context bigint, symbol int, n bigint, total bigint, shared boolean"), "contexts")
+    # The fill of a short context: all but its first bytes.
+    filled = [(1 << 8 * (ROOM - d)) - 1 for d in range(SHARED + 1)]
+    own = whole.filter("shared").select(F.explode(F.array([F.struct(
+        F.col("context").bitwiseOR(F.lit(m)).alias("context"), F.lit(d).alias("depth")) for d, m in enumerate(filled)])).alias("_c"), "symbol", "n") \
+        .groupBy("_c.context", "_c.depth", "symbol").agg(F.sum("n").alias("n")) \
+        .withColumn("total", F.sum("n").over(Window.partitionBy("context")))
+    shorter = own.select(F.col("context").alias("_c"), F.col("symbol").alias("_s"), (F.col("n") / F.col("total")).alias("_p"))
+    below = F.element_at(F.array([F.lit(m) for m in filled]), F.col("depth"))  # that of the depth before: positions count from one
     kept = (
-        tested.join(shorter, (F.col("_below") == F.col("_c")) & (F.col("symbol") == F.col("_s")))
+        own.filter(f"depth > 0 and total >= {LEAST_SEEN}").withColumn("_below", F.col("context").bitwiseOR(below))
+        .join(shorter, (F.col("_below") == F.col("_c")) & (F.col("symbol") == F.col("_s")))
         .groupBy("context").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("_p"))).alias("_d"))
         .filter(F.col("_d") >= DIVERGENCE).select("context")
     )
-    return frequent.filter(depth == 0).unionByName(frequent.join(kept, "context")).select("context", "symbol", "n", "total")
+    columns = ["context", "symbol", "n", "total"]
+    return own.filter("depth = 0").select(columns).unionByName(own.join(kept, "context").select(columns)) \
+        .unionByName(whole.filter("not shared").select(columns))
 
 
 class Tree:
@@ -165,22 +258,54 @@ class Tree:
         self.contexts = np.unique(context)
         self.other = math.log10(LEAST) if len(keys) else -math.log10(SYMBOLS)
 
-    def word_scores(self, words: pa.Array) -> np.ndarray:
-        """log10 probability of every word with the space that ends it, or of the text's end."""
-        row, place, starts = symbols(words)
-        state = np.zeros(len(row), np.uint64)
-        for depth, at, keys in contexts(row, place):
-            if depth and len(self.contexts):
-                found = self.contexts[np.minimum(np.searchsorted(self.contexts, keys), len(self.contexts) - 1)] == keys
-                at, keys = at[found], keys[found]
-                state[at] = keys
-        grams = (state << np.uint64(8)) | row
-        score = np.full(len(row), self.other)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
-            score = np.where(self.keys[at] == grams, self.log10[at], self.other)
-        score[place == 0] = 0.0
-        return np.add.reduceat(score, starts[:-1]) if len(words) else np.zeros(0)
+    def code_scores(self, codes: np.ndarray) -> np.ndarray:
+        """log10 probability of each code, which stand in order: that of its symbol after the longest kept context."""
+        if not len(self.keys):
+            return np.full(len(codes), self.other)
+        first = runs(codes >> np.uint64(8))
+        own = codes[first] >> np.uint64(8)
+        state = np.full(len(own), (1 << 8 * ROOM) - 1, np.uint64)
+        for depth in range(1, DEPTH + 1):
+            shorter = own | np.uint64((1 << 8 * (ROOM - depth)) - 1)
+            once = runs(shorter)
+            at = np.minimum(np.searchsorted(self.contexts, shorter[once]), len(self.contexts) - 1)
+            found = np.repeat(self.contexts[at] == shorter[once], np.diff(once, append=len(own)))
+            state[found] = shorter[found]
+        keys = (np.repeat(state, np.diff(first, append=len(codes))) << np.uint64(8)) | (codes & np.uint64(255))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.log10[at], self.other)
+
+    def word_scores(self, texts: pa.Array) -> np.ndarray:
+        """log10 probability of the words of every text, with the spaces between and after them, and of its end."""
+        sums = []
+        for codes, starts in text_grams(texts):
+            # Places in the order of a part of the codes' hashes: sorting plain numbers is several times faster than argsort.
+            width = np.uint64(len(codes).bit_length())
+            order = (_mix(codes) >> width << width) | np.arange(len(codes), dtype=np.uint64)
+            order.sort()
+            order = (order & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64)
+            sorted_ = codes[order]
+            first = runs(sorted_)
+            distinct = sorted_[first]
+            by_code = np.argsort(distinct)
+            own = np.empty(len(distinct))
+            own[by_code] = self.code_scores(distinct[by_code])
+            scores = np.empty(len(codes))
+            scores[order] = np.repeat(own, np.diff(first, append=len(codes)))
+            sums.append(np.add.reduceat(scores, starts[:-1]))
+        return np.concatenate(sums) if sums else np.zeros(0)
+
+
+def code_scores(codes: DataFrame, kept: DataFrame) -> DataFrame:
+    """``gram, lp`` for the distinct ``gram`` of ``codes``: what ``Tree.code_scores`` gives, by joins with the written tree."""
+    distinct = codes.select("gram").distinct().withColumn("_own", F.shiftrightunsigned("gram", 8))
+    # Of the contexts that begin alike the longest has the smallest code.
+    states = distinct.select("_own").distinct().withColumn("context", F.explode(F.array_distinct(F.array(
+        [F.col("_own").bitwiseOR(F.lit((1 << 8 * (ROOM - d)) - 1)) for d in range(DEPTH + 1)])))) \
+        .join(kept.select("context").distinct(), "context").groupBy("_own").agg(F.min("context").alias("context"))
+    return distinct.join(states, "_own").withColumn("symbol", F.col("gram").bitwiseAND(F.lit(255)).cast("int")) \
+        .join(kept, ["context", "symbol"], "left").select(
+            "gram", F.log10(F.coalesce((1 - SYMBOLS * LEAST) * F.col("n") / F.col("total"), F.lit(0.0)) + LEAST).alias("lp"))
 
 
 def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,20 +319,21 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
 
     Counts of frequent words are broadcast (at most ``FREQUENT`` short words);
     occurrences of all other words meet their counts in one join, on a 64-bit
-    hash of the word.
+    hash of the word.  The tree is broadcast up to ``BROADCAST_TREE`` rows;
+    beyond, the distinct contexts of the texts meet it by joins.
     """
     spark = docs.sparkSession
     counts = cut(word_counts(train, text_col), "word-counts")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    grown = tree(cut(gram_counts(counts), "gram-counts"))
+    kept = cut(tree(gram_counts(train.select(text_col))), "tree")
+    few = kept.limit(BROADCAST_TREE + 1).count() <= BROADCAST_TREE
     frequent = counts.filter((F.col("c") * FREQUENT >= total) & (F.octet_length("word") <= LONGEST)).toArrow()
     shared = spark.sparkContext.broadcast((
-        Tree(grown.toArrow()), frequent["word"].combine_chunks().cast(pa.large_string()), np.append(frequent["c"].to_numpy(), 0)))
+        Tree(kept.toArrow()) if few else None, frequent["word"].combine_chunks().cast(pa.large_string()), np.append(frequent["c"].to_numpy(), 0)))
 
     def run(batches):
         model, known, times = shared.value
         logs = np.log10(times + 1.0)
-        end_score = model.word_scores(pa.array([END_KEY]))[0]
         end = known.index(END_KEY).as_py()
         for batch in batches:
             for part in blocks(batch, "_t", TEXTS):
@@ -217,7 +343,6 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
                 real = ~pc.equal(words, "").to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, bool)
                 at = pc.index_in(words, value_set=known).fill_null(len(known)).to_numpy(zero_copy_only=False) \
                     if len(words) else np.zeros(0, np.int64)
-                scores = np.where(real, model.word_scores(words), 0.0)
                 rare = real & (at == len(known))
 
                 def per_text(values):
@@ -230,10 +355,10 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
                     part.column("_id"), pa.array(per_text(real.astype(np.int64)) + 1, pa.int64()),
                     pa.array(per_text((real & (at < len(known))).astype(np.int64)) + (end >= 0), pa.int64()),
                     pa.array(per_text(np.where(real, logs[at], 0.0)) + logs[end] * (end >= 0), pa.float64()),
-                    pa.array(per_text(scores) + end_score, pa.float64())], ["id", "n_tokens", "known", "logs", "score"])
+                    pa.array(model.word_scores(part.column("_t")) if few else np.zeros(n), pa.float64())], ["id", "n_tokens", "known", "logs", "score"])
                 # The row of the text itself carries no word: its hash is only there to spread such rows.
                 yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(keys.to_numpy() * np.int64(0x9E3779B97F4A7C1)), pa.array(np.zeros(n, np.int64)), text], names)
+                    [keys, pa.array(keys.to_numpy() * np.int64(0x9E3779B97F4A7C1)), pa.array(np.zeros(n, np.int64)), text, pa.nulls(n, pa.int64())], names)
                 names_of = np.zeros(len(words), np.uint64)
                 spelled = words.take(pa.array(np.flatnonzero(rare))).to_pylist()
                 names_of[rare] = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in spelled), np.uint64, len(spelled))
@@ -243,21 +368,38 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
                 pairs, often = np.unique(owner * len(words) + codes[where], return_counts=True)
                 yield pa.RecordBatch.from_arrays([
                     keys.take(pa.array(pairs // max(1, len(words)))), pa.array(names_of[pairs % max(1, len(words))]),
-                    pa.array(often, pa.int64()), pa.nulls(len(pairs), text.type)], names)
-
-    names = ["_k", "h", "k", "text"]
+                    pa.array(often, pa.int64()), pa.nulls(len(pairs), text.type), pa.nulls(len(pairs), pa.int64())], names)
+                at = 0
+                for codes, begins in text_grams(part.column("_t")) if not few else ():
+                    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+                    order = np.lexsort((codes, owner))
+                    owner, codes = owner[order], codes[order]
+                    first = np.union1d(runs(owner), runs(codes))
+                    yield pa.RecordBatch.from_arrays([
+                        keys.take(pa.array(at + owner[first])), pa.nulls(len(first), pa.int64()),
+                        pa.array(np.diff(first, append=len(codes))), pa.nulls(len(first), text.type),
+                        pa.array(codes[first].view(np.int64))], names)
+                    at += len(begins) - 1
+
+    names = ["_k", "h", "k", "text", "gram"]
     id_type = docs.schema[id_col].dataType.simpleString()
     # Rows are told apart by their place in the scan, which a rerun of a task repeats.
     rows = docs.select(F.monotonically_increasing_id().alias("_k"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t")) \
-        .mapInArrow(run, f"_k bigint, h bigint, k bigint, text struct<id:{id_type},n_tokens:bigint,known:bigint,logs:double,score:double>")
-    met = rows.join(counts.select(F.xxhash64("word").alias("h"), "c"), "h", "left")
+        .mapInArrow(run, f"_k bigint, h bigint, k bigint, text struct<id:{id_type},n_tokens:bigint,known:bigint,logs:double,score:double>, gram bigint")
+    if not few:
+        rows = cut(rows, "occurrences")
+    met = rows.filter("gram is null").join(counts.select(F.xxhash64("word").alias("h"), "c"), "h", "left").withColumn("lp", F.lit(0.0))
+    if not few:
+        own = rows.filter("gram is not null")
+        met = met.unionByName(own.join(code_scores(own, kept), "gram").select(
+            "_k", (F.col("k") * F.col("lp")).alias("lp"), F.lit(0).cast("long").alias("k")), allowMissingColumns=True)
     return met.groupBy("_k").agg(
         F.max("text.id").alias(id_col), F.max("text.n_tokens").alias("n_tokens"),
         (F.max("text.known") + F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.max("text.logs") + F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 1)) -
          F.max("text.n_tokens") * math.log10(int(total) + int(kinds) + 1)).alias("base_score"),
-        F.max("text.score").alias("score")).drop("_k")
+        (F.max("text.score") + F.sum("lp")).alias("score")).drop("_k")
 
 
 def op6_lm_score(spark: SparkSession, folder: str) -> DataFrame:

@@ -89,3 +89,29 @@ def base_scores(texts: dict[int, str | None]) -> dict[int, tuple]:
     total, kinds = sum(counts.values()), len(counts)
     return {d: (len(own), sum(counts[t] > 0 for t in own), total,
                 sum(math.log10((counts[t] + 1) / (total + kinds + 1)) for t in own), held[d]) for d, own in tokens.items()}
+
+
+def tree_scores(train: list, texts: list, depth: int, least: int, divergence: float, chance: float = 1e-5) -> list[float]:
+    """Score of every text by the suffix tree of ``train``, over bytes and across words."""
+    def stream(text):
+        return b"\n" * 6 + b" " + b"".join(w.encode() + b" " for w in words(text)) + b"\n"
+
+    seen = defaultdict(Counter)
+    for s in map(stream, train):
+        for i in range(7, len(s)):
+            for d in range(depth + 1):
+                seen[s[i - d:i]][s[i]] += 1
+    kept = {b""}
+    for context, own in seen.items():
+        if context and own.total() >= least:
+            below = seen[context[1:]]
+            if sum(n * math.log(n / own.total() * below.total() / below[x]) for x, n in own.items()) >= divergence:
+                kept.add(context)
+    scores = []
+    for s in map(stream, texts):
+        score = 0.0
+        for i in range(7, len(s)):
+            own = next(seen[s[i - d:i]] for d in range(depth, -1, -1) if s[i - d:i] in kept)
+            score += math.log10((1 - 256 * chance) * own[s[i]] / own.total() + chance)
+        scores.append(score)
+    return scores

@@ -229,6 +229,37 @@ def test_suffix_tree_is_a_distribution(spark):
     assert seen > unseen
 
 
+def lm_texts():
+    draw = random.Random(7)
+    names = ["the", "old", "new", "House", "\u0434\u043e\u043c", "\u0440\u0435\u043a\u0430", "\u5c71\u6c34\u753b", "x", "water"]
+    made = [" ".join(names[min(8, int(draw.expovariate(0.4)))] for _ in range(60)) + draw.choice(["", " \n\t", "\x0b z"]) for _ in range(60)]
+    return [None, "", "  ", *made]
+
+
+@pytest.mark.parametrize("most", [6_000_000, 10])
+def test_lm_equals_brute_force(spark, monkeypatch, most):
+    """Broadcast or joined, in one block or many, the tree gives the same scores."""
+    monkeypatch.setattr(suffix_tree, "BROADCAST_TREE", most)
+    monkeypatch.setattr(suffix_tree, "GRAMS", 1000)
+    texts = lm_texts()
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    expected = brute.tree_scores(texts[:40], texts, suffix_tree.DEPTH, suffix_tree.LEAST_SEEN, suffix_tree.DIVERGENCE)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_texts(made, made.filter("doc_id < 40")).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(expected, rel=1e-9)
+
+
+def test_rare_contexts_stay_in_a_large_corpus(spark):
+    """Contexts seen 30 times among 3 million symbols, which a share of one in 20,000 leaves out."""
+    def gram(context: bytes, symbol: bytes) -> int:
+        code = int.from_bytes(context[::-1].ljust(7, b"\xff") + symbol, "big")
+        return code - (code >> 63 << 64)
+
+    made = spark.createDataFrame(
+        [(gram(b"abc", b"a"), 1_500_000), (gram(b"abc", b"b"), 1_500_000), (gram(b"xyz", b"q"), 30), (gram(b"wyz", b"r"), 30)], "gram bigint, n bigint")
+    kept = {r["context"] for r in suffix_tree.tree(made).collect()}
+    assert {int.from_bytes(c[::-1].ljust(7, b"\xff"), "big") for c in (b"z", b"xyz", b"wyz")} <= kept
+
+
 def test_warc(spark, tmp_path):
     same = "<p>" + "x" * 120
     pages = [(1, "http://a/ü\r\n", same), (2, None, same), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"),
