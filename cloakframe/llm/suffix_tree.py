@@ -16,13 +16,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import _IS_SPACE, _mix, blocks, cut, partitions, raw_bytes, table
 
 # Longest context in bytes; codes have room for ROOM.
-DEPTH = 3
+DEPTH = 6
 ROOM = 7
 # A context is kept only if it was seen this often, at any size of the input.
 LEAST_SEEN = 24
@@ -38,7 +38,7 @@ LONGEST = 32
 TEXTS = 6 << 20
 # Texts are turned into contexts in blocks of this many bytes, and a task counts this many symbols at a time.
 GRAMS = 2 << 20
-GATHERED = 12 << 20
+GATHERED = 8 << 20
 # A tree of more (context, symbol) rows meets the texts by shuffle.
 BROADCAST_TREE = 6_000_000
 # Rows of one task are put in whole contexts of SHARED bytes; shorter contexts are summed over tasks.
@@ -254,10 +254,20 @@ class Tree:
         keys = (context << np.uint64(8)) | rows["symbol"].to_numpy().astype(np.uint64)
         chance = (1 - SYMBOLS * LEAST) * rows["n"].to_numpy() / np.maximum(rows["total"].to_numpy(), 1) + LEAST
         order = np.argsort(keys)
-        self.keys, self.log10 = keys[order], np.log10(chance[order])
-        self.contexts = np.unique(context)
+        self._hold(keys[order], np.log10(chance[order]))
+
+    def _hold(self, keys: np.ndarray, log10: np.ndarray) -> None:
+        self.keys, self.log10 = keys, log10
+        self.contexts = keys[runs(keys >> np.uint64(8))] >> np.uint64(8)
         self.other = math.log10(LEAST) if len(keys) else -math.log10(SYMBOLS)
 
+    @classmethod
+    def of(cls, keys: np.ndarray, log10: np.ndarray) -> Tree:
+        """The tree of ``collected`` arrays."""
+        made = cls.__new__(cls)
+        made._hold(keys, log10)
+        return made
+
     def code_scores(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of each code, which stand in order: that of its symbol after the longest kept context."""
         if not len(self.keys):
@@ -296,6 +306,19 @@ class Tree:
         return np.concatenate(sums) if sums else np.zeros(0)
 
 
+def _log10() -> Column:
+    return F.log10(F.coalesce((1 - SYMBOLS * LEAST) * F.col("n") / F.col("total"), F.lit(0.0)) + LEAST)
+
+
+def collected(kept: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all rows of the tree in order and their log10 probabilities; Spark sorts them, so the driver holds little more."""
+    rows = kept.select(F.shiftleft("context", 8).bitwiseOR(F.col("symbol").cast("bigint")).alias("key"), _log10().alias("lp")) \
+        .orderBy("key").toArrow()
+    keys, log10 = rows["key"].to_numpy(), rows["lp"].to_numpy()
+    at = np.searchsorted(keys, 0)  # Spark's numbers have a sign: the upper half of the codes comes first
+    return np.concatenate([keys[at:], keys[:at]]).view(np.uint64), np.concatenate([log10[at:], log10[:at]])
+
+
 def code_scores(codes: DataFrame, kept: DataFrame) -> DataFrame:
     """``gram, lp`` for the distinct ``gram`` of ``codes``: what ``Tree.code_scores`` gives, by joins with the written tree."""
     distinct = codes.select("gram").distinct().withColumn("_own", F.shiftrightunsigned("gram", 8))
@@ -305,7 +328,7 @@ def code_scores(codes: DataFrame, kept: DataFrame) -> DataFrame:
         .join(kept.select("context").distinct(), "context").groupBy("_own").agg(F.min("context").alias("context"))
     return distinct.join(states, "_own").withColumn("symbol", F.col("gram").bitwiseAND(F.lit(255)).cast("int")) \
         .join(kept, ["context", "symbol"], "left").select(
-            "gram", F.log10(F.coalesce((1 - SYMBOLS * LEAST) * F.col("n") / F.col("total"), F.lit(0.0)) + LEAST).alias("lp"))
+            "gram", _log10().alias("lp"))
 
 
 def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,11 +351,13 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     kept = cut(tree(gram_counts(train.select(text_col))), "tree")
     few = kept.limit(BROADCAST_TREE + 1).count() <= BROADCAST_TREE
     frequent = counts.filter((F.col("c") * FREQUENT >= total) & (F.octet_length("word") <= LONGEST)).toArrow()
+    pa.default_memory_pool().release_unused()
     shared = spark.sparkContext.broadcast((
-        Tree(kept.toArrow()) if few else None, frequent["word"].combine_chunks().cast(pa.large_string()), np.append(frequent["c"].to_numpy(), 0)))
+        collected(kept) if few else None, frequent["word"].combine_chunks().cast(pa.large_string()), np.append(frequent["c"].to_numpy(), 0)))
 
     def run(batches):
-        model, known, times = shared.value
+        arrays, known, times = shared.value
+        model = Tree.of(*arrays) if few else None
         logs = np.log10(times + 1.0)
         end = known.index(END_KEY).as_py()
         for batch in batches:

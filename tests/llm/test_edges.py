@@ -260,6 +260,15 @@ def test_rare_contexts_stay_in_a_large_corpus(spark):
     assert {int.from_bytes(c[::-1].ljust(7, b"\xff"), "big") for c in (b"z", b"xyz", b"wyz")} <= kept
 
 
+def test_lm_knows_the_order_of_words(spark):
+    """Shuffled words score lower, and two characters of three bytes each are one context."""
+    made = spark.createDataFrame([(i, "one two six \u5c71\u6c34\u753b " * 30) for i in range(9)], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(0, "one two six one two six"), (1, "two one six two one six"),
+                                   (2, "\u5c71\u6c34\u753b"), (3, "\u6c34\u5c71\u753b")], "doc_id bigint, text string")
+    score = {r["doc_id"]: r["score"] for r in suffix_tree.score_texts(asked, made).collect()}
+    assert score[0] > score[1] and score[2] > score[3] and suffix_tree.DEPTH >= 6
+
+
 def test_warc(spark, tmp_path):
     same = "<p>" + "x" * 120
     pages = [(1, "http://a/ü\r\n", same), (2, None, same), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"),
