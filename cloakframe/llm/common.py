@@ -145,12 +145,13 @@ def shingles(hashes: np.ndarray, starts: np.ndarray, k: int = 5) -> Words:
             run = _mix(run) + hashes[j:total - k + 1 + j]
         value[:total - k + 1] = _mix(run)
         keep[:total - k + 1] = owner[:total - k + 1] == owner[k - 1:]
-    for d in np.flatnonzero((n > 0) & (n < k)):
-        run = np.uint64(n[d]) + hashes[starts[d]:starts[d] + 1]
-        for j in range(1, n[d]):
-            run = _mix(run) + hashes[starts[d] + j:starts[d] + j + 1]
-        value[starts[d]] = _mix(run)[0]
-        keep[starts[d]] = True
+    for m in range(1, k):
+        at = starts[:-1][n == m]
+        run = np.uint64(m) + hashes[at]
+        for j in range(1, m):
+            run = _mix(run) + hashes[at + j]
+        value[at] = _mix(run)
+        keep[at] = True
     kept = np.concatenate([[0], np.cumsum(np.where(n >= k, n - k + 1, np.minimum(n, 1)))])
     return value[keep], kept
 

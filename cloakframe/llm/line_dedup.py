@@ -1,7 +1,7 @@
 """Near-duplicate lines: an exact set-similarity join that removes later matches.
 
-The tokens of a line are its five-word shingles.  They are put in order of
-rarity; the prefix filter brings lines that may match into one family, where
+The tokens of a line are its five-word shingles; a shorter line is one token.
+They are put in order of rarity; the prefix filter brings lines that may match into one family, where
 positional and length filters leave few pairs to verify.
 """
 
@@ -18,8 +18,6 @@ from .families import (ABOVE, BELOW, SHINGLE, dealt, digests, each_group, famili
                        rarity, similar, with_leaders)
 from .jaccard_join import fetch
 
-# Lines of fewer words carry too little to tell a repeat from chance; they stay.
-MIN_WORDS = 5
 LAST = (1 << 63) - 1
 # Places of family lines are broadcast up to this many (five numbers each); beyond, they meet the lines by shuffle.
 BROADCAST_LINES = 500_000
@@ -35,13 +33,9 @@ def line_ends(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def line_sets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of every line with enough words; other lines have none."""
+    """Shingles of every line; all words of a line of fewer than five are its one shingle, and lines without words have none."""
     data, cuts, _, _ = line_ends(part)
-    hashes, starts = words(data, cuts)
-    long = np.diff(starts) >= MIN_WORDS
-    values, begins = shingles(hashes, starts, SHINGLE)
-    kept = np.repeat(long, np.diff(begins))
-    return values[kept], np.concatenate([[0], np.cumsum(np.where(long, np.diff(begins), 0))])
+    return shingles(*words(data, cuts), SHINGLE)
 
 
 def line_table(rows: DataFrame, classes: np.ndarray) -> DataFrame:
@@ -180,8 +174,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` without the lines that repeat an earlier one, and with ``_lines`` and ``_removed``, their numbers before.
 
     Lines are parted by ``\\n`` and ordered by identifier, then place.  A line
-    of at least ``MIN_WORDS`` words goes if any earlier line, removed or not,
-    has a Jaccard similarity of three quarters or more; other lines stay.
+    goes if any earlier line, removed or not, has a Jaccard similarity of
+    three quarters or more; lines without words stay.
     Null texts stay null, empty ones empty.  Rows without identifier come
     last.  Lines at the same place of rows that share an identifier are not
     later than each other.  Shingles are compared by 64-bit hashes.

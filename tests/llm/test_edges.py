@@ -206,6 +206,16 @@ def test_line_dedup(spark, docs, nothing):
     assert dedup_lines(nothing).count() == 0
 
 
+def test_short_lines_are_compared(spark):
+    """Lines of one to four words go when they repeat an earlier one, whatever the case; blank lines stay."""
+    texts = {1: "Menu\nall rights reserved.\n\none two three four", 2: "menu\nAll Rights  reserved.\n\none two three five\nfour",
+             3: "one two three four five\none two three four\n \nrights all reserved."}
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    gone = brute.later_lines(texts, least=1)
+    assert gone == {(2, 0), (2, 1), (3, 1)}
+    assert got == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in texts.items()}
+
+
 def test_lm(spark, docs, nothing):
     got = suffix_tree.score_texts(docs, docs).collect()
     assert len(got) == docs.count()
