@@ -63,11 +63,11 @@ def component_ids(texts: dict[int, str | None]) -> dict[int, int]:
     return {d: find(d) for d in texts}
 
 
-def later_lines(texts: dict[int, str | None], least: int = 5) -> set[tuple[int, int]]:
+def later_lines(texts: dict[int, str | None]) -> set[tuple[int, int]]:
     lines = {}
     for d in sorted(texts):
         for i, line in enumerate((texts[d] or "").split("\n")):
-            if len(words(line)) >= least:
+            if words(line):
                 lines[d, i] = shingles(words(line))
     return {later for later, _ in similar_pairs(lines)}
 
@@ -115,3 +115,57 @@ def tree_scores(train: list, texts: list, depth: int, least: int, divergence: fl
             score += math.log10((1 - 256 * chance) * own[s[i]] / own.total() + chance)
         scores.append(score)
     return scores
+
+
+def planted_words(key: int | None, text: str | None) -> list[str]:
+    """The words of a text, repeated from some word on if its identifier's checksum says so."""
+    own = WORD.findall(text or "")
+    h = zlib.crc32(str(key).encode())
+    if key is None or h % 10 or not own:
+        return own
+    g, n = h // 10, len(own)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [own[a + (i - a) % p] if i >= a else own[i] for i in range(n)]
+
+
+def periodic_runs(own: list) -> list[tuple[int, int, int]]:
+    """Start, length and smallest period of all runs, by a scan for every period."""
+    found: dict[tuple[int, int], int] = {}
+    for q in range(1, len(own) // 3 + 1):
+        i = 0
+        while i + q < len(own):
+            j = i
+            while j + q < len(own) and own[j] == own[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(24, 3 * q):
+                found.setdefault((i, j - i + q), q)
+            i = max(i + 1, j)
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def collapsed(own: list[str], found: list[tuple[int, int, int]]) -> str:
+    dropped = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(own) if i not in dropped)
+
+
+# The patterns of the contract.
+PERSONAL = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_personal(text: str) -> list[tuple]:
+    def good(kind: str, value: str) -> bool:
+        digits = [int(c) for c in value if c in "0123456789"]
+        if kind == "ip":
+            return all(int(p) <= 255 for p in value.split("."))
+        if kind == "phone":
+            return 10 <= len(digits) <= 15
+        if kind == "card":
+            checked = sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(reversed(digits)))
+            return 14 <= len(digits) <= 19 and checked % 10 == 0
+        return True
+
+    return sorted((m.start(), i, m.end(), kind) for i, (kind, pattern) in enumerate(PERSONAL.items())
+                  for m in re.finditer(pattern, text) if good(kind, m[0]))

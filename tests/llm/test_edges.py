@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cloakframe.llm import bpe, language, mixing, suffix_tree, warc
+from cloakframe.llm import bpe, language, mixing, periodic, personal, suffix_tree, warc, whitening
 from cloakframe.llm.common import blocks, raw_bytes, words
 from cloakframe.llm.components import components
 from cloakframe.llm.exact_dedup import exact_groups
@@ -211,7 +211,7 @@ def test_short_lines_are_compared(spark):
     texts = {1: "Menu\nall rights reserved.\n\none two three four", 2: "menu\nAll Rights  reserved.\n\none two three five\nfour",
              3: "one two three four five\none two three four\n \nrights all reserved."}
     got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
-    gone = brute.later_lines(texts, least=1)
+    gone = brute.later_lines(texts)
     assert gone == {(2, 0), (2, 1), (3, 1)}
     assert got == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in texts.items()}
 
@@ -352,3 +352,139 @@ def test_blocks_can_be_read_by_every_arrow_function(vocabulary):
         assert [[w for w in spelled[a:b] if w] for a, b in zip(starts, starts[1:])] == [brute.words(t) for t in own]
         seen += len(own)
     assert seen == len(texts)
+
+
+def test_periodic(spark, docs, nothing):
+    got = {r["doc_id"]: r for r in periodic.periodic_runs(docs).collect()}
+    assert len(got) == 15
+    for d, left in ((0, ""), (1, ""), (2, ""), (5, "tie tie tie"), (None, "no id")):  # null, empty, blank and short texts
+        assert (got[d]["runs"], got[d]["strongest"], got[d]["collapsed"]) == ([], None, left)
+    assert [tuple(r) for r in got[6]["runs"]] == [(0, 30_000, 977)] and len(got[6]["collapsed"].split(" ")) == 977
+    assert tuple(got[12]["strongest"]) == (0, 96, 16) and got[11]["runs"] == []
+    assert [tuple(r) for r in got[12]["runs"]] == brute.periodic_runs(brute.WORD.findall(TEXTS[12]))
+    assert periodic.periodic_runs(nothing).count() == 0
+    assert periodic.periodic_runs(docs, edit=lambda key, n: (0, 1)).filter("doc_id = 8").first()["collapsed"] == "one"
+
+
+def test_runs_equal_brute_force():
+    chance = random.Random(3)
+    texts = []
+    for _ in range(300):
+        own = [b"%d" % chance.randrange(chance.choice([1, 2, 3, 30])) for _ in range(chance.randrange(24, 150))]
+        for _ in range(chance.randrange(3)):
+            a, p = chance.randrange(len(own)), chance.randrange(1, 12)
+            for i in range(a + p, min(len(own), a + chance.randrange(1, 90))):
+                own[i] = own[i - p]
+        texts.append(own)
+    windows = [np.array([hash(tuple(t[i:i + 8])) & (2 ** 62 - 1) for i in range(len(t) - 7)], np.uint64) for t in texts]
+    assert periodic.runs(texts, windows) == [brute.periodic_runs(t) for t in texts]
+
+
+def test_common_extension_of_any_two_places():
+    chance = random.Random(4)
+    texts = [[chance.randrange(k) for _ in range(n)] for k, n in ((1, 40), (2, 90), (2, 1), (3, 64), (2, 0), (50, 200))]
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    grammar = periodic.Grammar(np.concatenate(texts), starts)
+    asked = [(k, i, j) for k, t in enumerate(texts) for i in range(len(t)) for j in range(i + 1, len(t))]
+    k, i, j = np.array(asked).T
+    for (k, i, j), n in zip(asked, grammar.common(k, starts[k] + i, starts[k] + j).tolist()):
+        own = texts[k]
+        assert n == next((m for m in range(len(own) - j) if own[i + m] != own[j + m]), len(own) - j)
+
+
+VECTORS = "vec_id bigint, embedding array<float>, n int, whitened string, _v string"
+
+
+def test_whitening_of_odd_rows(spark):
+    chance = np.random.default_rng(1)
+    made = [(i if i else None, [float(x) for x in chance.normal(size=3)], 1, "x", "y") for i in range(50)]
+    bad = [(100, None), (101, [1.0, None, 2.0]), (102, [1.0, float("nan"), 2.0]), (103, [float("inf"), 0.0, 0.0]), (104, [1.0, 2.0]), (105, [])]
+    rows = spark.createDataFrame([*made, *[(d, v, 1, "x", "y") for d, v in bad], made[7]], VECTORS).repartition(4)
+    got = whitening.whiten(rows).collect()
+    assert len(got) == 3 * 51 and {r["vec_id"] for r in got} == {r[0] for r in made}
+    assert sum(r["explained"] for r in got if r["vec_id"] == 3) == pytest.approx(1) and got[0]["identity_error"] < 1e-9
+    assert len([r for r in got if r["vec_id"] == 7]) == 6 and all(r["deviation"] == r["deviation_exact"] for r in got)
+    for few in (rows.limit(0), rows.filter("vec_id = 9"), rows.filter("vec_id = 100")):
+        assert whitening.whiten(few).count() == 0
+    flat = whitening.whiten(spark.createDataFrame([(i, [1.0, float(i % 3), 2.0 * (i % 3)]) for i in range(9)], "vec_id bigint, embedding array<float>"))
+    assert {r["component"] for r in flat.collect()} == {1}
+    large = whitening.whiten(spark.createDataFrame([(i, [1e9 * i, -1e11 * i * i]) for i in range(5)], "vec_id bigint, embedding array<double>")).collect()
+    x = np.array([[int(np.floor(1024 * 1e9 * i)), int(np.floor(1024 * -1e11 * i * i))] for i in range(5)], object)
+    assert {r["vec_id"]: int(r["deviation_exact"]) for r in large} == {
+        i: int(sum((5 * v - s) ** 2 for v, s in zip(x[i], x.sum(axis=0)))) for i in range(5)}
+    assert all(r["deviation"] is None for r in large if r["deviation_exact"] > 2 ** 63) and large[0]["identity_error"] < 1e-4
+
+
+def test_factor_and_rotation():
+    chance = np.random.default_rng(2)
+    for d, rank, spread in ((1, 1, 0), (6, 6, 0), (9, 4, 0), (12, 12, 7), (5, 0, 0)):
+        a = chance.normal(size=(d, rank)) * 10.0 ** (-spread * np.arange(rank) / max(1, rank))
+        values, vectors = whitening.principal(a @ a.T)
+        assert len(values) == rank and (np.diff(values) <= 0).all()
+        assert np.allclose(vectors.T @ vectors, np.eye(rank), atol=1e-13)
+        assert np.allclose(vectors * values @ vectors.T, a @ a.T, rtol=1e-12, atol=1e-12)
+
+
+def test_personal(spark, docs, nothing):
+    assert all(r["base"] == [] and r["added"] == [] for r in personal.find_personal(docs).collect())
+    assert personal.find_personal(docs).count() == docs.count() and personal.find_personal(nothing).count() == 0
+    texts = [None, "", "é a.b@c.de 1.2.3.4 +39 333 123 4567", "x" * 300_000 + "@", "1" * 300_000, "1." * 100_000, "+1" + " " * 100_000,
+             "a@b.c@d.e", "@b.c@d.e", "4111 1111 1111 1111", "999.1.1.1 1.2.3.4.5.6.7.8"]
+    got = personal.find_personal(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string"), personal.Field.zero()).collect()
+    for r in got:
+        if r["doc_id"] not in (3, 4, 5, 6):  # the patterns themselves take too long there
+            assert [(x["s"], x["e"], x["kind"]) for x in r["base"]] == [(s, e, k) for s, _, e, k in brute.base_personal(texts[r["doc_id"]] or "")]
+    assert [x["kind"] for x in got[2]["base"]] == ["email", "ip", "phone"]
+
+
+def test_base_personal_equals_patterns():
+    chance = random.Random(8)
+    for _ in range(20_000):
+        text = "".join(chance.choice("19 .-+@a(") for _ in range(chance.randrange(40)))
+        assert [(s, personal.KINDS[k], e) for s, k, e in personal.base_spans(text)] == [(s, k, e) for s, _, e, k in brute.base_personal(text)]
+
+
+def test_field_equals_all_segmentations():
+    """The forward sum and the best segmentation, against a list of all segmentations."""
+    chance = np.random.default_rng(6)
+    field = personal.Field(chance.normal(size=personal.Field.zero().weights.shape), chance.normal(size=(5, 5)))
+    for text in ("1234567 x", "a@b.c", "12 345 6789", "+1 (234) 5678"):
+        own = personal.lattice(text, 0, len(text))
+        n = len(own.places) - 1
+        moves = [(i, i + 1, 0, 0.0) for i in range(n)] + [
+            (i, j, y, field.weights[on, y - 1].sum()) for i, j, on in own.segments for y in range(1, 5)]
+        ways = []
+
+        def walk(at, label, score, taken):
+            if at == n:
+                ways.append((score, taken))
+            for i, j, y, s in moves:
+                if i == at:
+                    walk(j, y, score + s + field.follow[label, y], [*taken, (i, j, y - 1)] if y else taken)
+
+        walk(0, 0, 0.0, [])
+        edges = personal.Edges([own])
+        marginal, whole = edges.marginals(field, edges.scores(field))
+        total = np.logaddexp.reduce([s for s, _ in ways])
+        assert whole[0] == pytest.approx(total)
+        best = max(ways)[1]
+        got = edges.decode(field)
+        assert [(i, j, y) for _, i, j, y, _ in sorted(got)] == best
+        for _, i, j, y, p in got:
+            assert p == pytest.approx(np.exp(np.logaddexp.reduce([s for s, t in ways if (i, j, y) in t]) - total))
+
+
+def test_field_finds_unknown_spellings(spark):
+    chance = random.Random(12)
+    digits = lambda n: "".join(chance.choice("0123456789") for _ in range(n))
+    made = []
+    for i in range(600):
+        value = chance.choice([f"+1 ({digits(3)}) 555-{digits(4)}", f"a{digits(2)}@mail{digits(1)}.example.com",
+                               ".".join(str(chance.randrange(256)) for _ in range(4)), f"order {digits(6)} of 2021-03-{digits(2)}"])
+        made.append((i, f"some words before {value} and after"))
+    asked = {10_000: "call (415) 555-2671 now", 10_001: "john @ mail.example.com wrote", 10_002: "on 2021-03-04 12:30:55 it rained",
+             10_003: "version 1.2.3 of 300 parts", 10_004: "just 123456 things"}
+    frame = spark.createDataFrame([*made, *asked.items()], "doc_id bigint, text string")
+    got = {r["doc_id"]: [(asked[r["doc_id"]][x["s"]:x["e"]], x["kind"]) for x in r["added"]]
+           for r in personal.find_personal(frame).filter("doc_id >= 10000").collect()}
+    assert got == {10_000: [("(415) 555-2671", "phone")], 10_001: [("john @ mail.example.com", "email")], 10_002: [], 10_003: [], 10_004: []}

@@ -4,6 +4,7 @@ import base64
 import os
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 
@@ -13,6 +14,7 @@ if not os.path.isdir(FOLDER):
     pytest.skip("no test tables", allow_module_level=True)
 
 import duckdb  # noqa: E402
+import numpy as np  # noqa: E402
 import public_tokenizers  # noqa: E402
 import tiktoken  # noqa: E402
 
@@ -117,6 +119,50 @@ def test_quality_rules(spark, texts):
     assert verdicts[1, False] == 0 and verdicts[0, True] <= verdicts[0, False]
 
 
+def test_periodic_runs(spark, texts):
+    several = 0
+    for d, r in rows(spark, "op11_periodic_runs").items():
+        own = brute.planted_words(d, texts[d])
+        found = brute.periodic_runs(own)
+        best = min(found, key=lambda x: (-Fraction(x[1], x[2]), x[0], x[2]), default=(None, None, None))
+        several += len(found) > 1
+        assert (r["n_runs"], r["start"], r["length"], r["period"]) == (len(found), *best)
+        assert r["exponent_milli"] == (1000 * best[1] // best[2] if found else None)
+        assert r["runs_sha256"] == brute.sha("".join(f"{s},{n},{q}\n" for s, n, q in found))
+        assert r["collapsed_sha256"] == brute.sha(brute.collapsed(own, found))
+    assert several
+
+
+def test_embedding_whitening(spark):
+    given = duckdb.sql(f"select vec_id, embedding from '{FOLDER}/embeddings.parquet' order by vec_id").fetchall()
+    x = np.floor(1024 * np.array([v for _, v in given], np.float64)).astype(np.int64) + 100_000
+    n, total = len(x), x.sum(axis=0)
+    far = x - total / n
+    values, vectors = np.linalg.eigh(far.T @ far / n)
+    got = {(r["vec_id"], r["component"]): r for r in QUERIES["op12_embedding_whitening"](spark, FOLDER).collect()}
+    assert len(got) == 8 * n
+    for k in range(1, 9):
+        expected = far @ vectors[:, -k] / np.sqrt(values[-k])
+        own = np.array([got[d, k]["whitened"] for d, _ in given])
+        assert min(np.abs(own - expected).max(), np.abs(own + expected).max()) < 1e-8
+        assert got[given[0][0], k]["explained"] == pytest.approx(values[-k] / values.sum(), rel=1e-9)
+    for i, (d, _) in enumerate(given):
+        r = got[d, 1]
+        assert (r["n"], r["deviation"]) == (n, int(((n * x[i] - total) ** 2).sum())) and r["identity_error"] < 1e-9
+
+
+def test_personal_data(spark, texts):
+    for d, r in rows(spark, "op13_personal_data").items():
+        base = brute.base_personal(texts[d] or "")
+        listed = [f"{k}:{s}:{e}" for s, _, e, k in base]
+        assert r["base_sha256"] == brute.sha(",".join(listed))
+        assert tuple(r[f"n_{k}"] for k in brute.PERSONAL) == tuple(sum(x[3] == k for x in base) for k in brute.PERSONAL)
+        spans = [x for x in r["spans"].split(",") if x]
+        assert set(listed) <= set(spans)
+        for kind, s, e in (x.split(":") for x in set(spans) - set(listed)):
+            assert kind in brute.PERSONAL and not any(a < int(e) and int(s) < b for a, _, b, _ in base)
+
+
 def test_pipeline_stages(spark, tmp_path, reference_encoding):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns, before = docs.columns, None
