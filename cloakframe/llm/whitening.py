@@ -139,7 +139,8 @@ def whiten(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
             for width in np.unique(sizes).tolist():
                 for part, x in whole_vectors(batch.filter(pa.array(sizes == width)), width):
                     n, s = sums.get(width, (0, np.zeros(width, object)))
-                    sums[width] = n + len(x), s + x.sum(axis=0).astype(object)
+                    fits = (int(np.abs(x).max(initial=0)) + 1) * len(x) < 1 << 62
+                    sums[width] = n + len(x), s + (x if fits else x.astype(object)).sum(axis=0).astype(object)
         for width, (n, s) in sums.items():
             yield pa.RecordBatch.from_arrays([
                 pa.array([width] * (width + 1), pa.int32()), pa.array(range(-1, width), pa.int32()), _decimals([n, *s])], ["width", "k", "s"])

@@ -408,8 +408,8 @@ def test_whitening_of_odd_rows(spark):
         assert whitening.whiten(few).count() == 0
     flat = whitening.whiten(spark.createDataFrame([(i, [1.0, float(i % 3), 2.0 * (i % 3)]) for i in range(9)], "vec_id bigint, embedding array<float>"))
     assert {r["component"] for r in flat.collect()} == {1}
-    large = whitening.whiten(spark.createDataFrame([(i, [1e9 * i, -1e11 * i * i]) for i in range(5)], "vec_id bigint, embedding array<double>")).collect()
-    x = np.array([[int(np.floor(1024 * 1e9 * i)), int(np.floor(1024 * -1e11 * i * i))] for i in range(5)], object)
+    large = whitening.whiten(spark.createDataFrame([(i, [1e9 * i, -1e10 * i * i]) for i in range(5)], "vec_id bigint, embedding array<double>")).collect()
+    x = np.array([[int(np.floor(1024 * 1e9 * i)), int(np.floor(1024 * -1e10 * i * i))] for i in range(5)], object)
     assert {r["vec_id"]: int(r["deviation_exact"]) for r in large} == {
         i: int(sum((5 * v - s) ** 2 for v, s in zip(x[i], x.sum(axis=0)))) for i in range(5)}
     assert all(r["deviation"] is None for r in large if r["deviation_exact"] > 2 ** 63) and large[0]["identity_error"] < 1e-4
