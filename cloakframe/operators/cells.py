@@ -133,22 +133,26 @@ ELSE array(cell) END
 
 
 def variant_depth(records: DataFrame) -> int:
-    """Deepest nesting of objects and lists in a VARIANT ``content``, measured on the executors."""
-    schema = F.schema_of_variant("content")
-    marks = F.filter(F.split(F.regexp_replace(schema, "`(?:[^`]|``)*`|[^<>]", ""), ""), lambda c: c != "")
+    """Deepest nesting of objects and lists in a VARIANT ``content``, measured on the executors.
+
+    Brackets of the printed value are followed, outside its texts; the schema
+    of a list of mixed kinds would hide what lies below.
+    """
+    plain = F.regexp_replace(F.to_json("content"), r"\\\\.", "")
+    marks = F.filter(F.split(F.regexp_replace(plain, r'"[^"]*+"|[^\[\]{}]', ""), ""), lambda c: c != "")
     depth = F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda acc, c: F.struct(
-        (acc["now"] + F.when(c == "<", 1).otherwise(-1)).alias("now"),
-        F.greatest(acc["most"], acc["now"] + F.when(c == "<", 1).otherwise(0)).alias("most")))["most"]
-    # An empty list or object has no brackets in its schema's innermost place but is one level all the same.
-    return (records.agg(F.max(depth)).first()[0] or 0) + 1
+        (acc["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"),
+        F.greatest(acc["most"], acc["now"] + F.when(c.isin("[", "{"), 1).otherwise(0)).alias("most")))["most"]
+    return records.agg(F.max(depth)).first()[0] or 0
 
 
 def variant_cells(records: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``cell_table`` for a ``content`` of type VARIANT, whose keys are data.
 
     Every level opens objects and lists one step and passes scalars on; all
-    levels are narrow.  Without ``max_depth`` the depth is measured first.
-    Content nested deeper than a given ``max_depth`` raises, so no cell is lost
+    levels are narrow.  Without ``max_depth`` the depth is measured first, so
+    containers are opened until none is left, whatever their shape.  Content
+    nested deeper than a given ``max_depth`` raises, so no cell is lost
     silently.
     """
     max_depth = variant_depth(records) if max_depth is None else max_depth

@@ -59,18 +59,19 @@ def index_records(df: DataFrame) -> DataFrame:
 
     ``seq`` grows within a file split.  The table of splits (one row each) gives
     every split its first index; rows are joined with it, never sorted.  A
-    table without ``position`` is returned as it is.
+    table without ``position`` is returned as it is, and a row with a null one
+    keeps its index.
     """
     if "position" not in df.columns:
         return df
     before = Window.partitionBy("source_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = (
-        df.groupBy("source_id", F.col("position.block").alias("block"))
+        df.filter("position is not null").groupBy("source_id", F.col("position.block").alias("block"))
         .agg(F.count("*").alias("_n"), F.min("position.seq").alias("_first"))
         .select("source_id", "block", (
             F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
     )
     joined = lookup_join(df.withColumn("block", F.col("position.block")), splits,
                          ["source_id", "block"], F.col("position.seq"))
-    return joined.withColumn("record_index", F.col("position.seq") + F.col("_shift")) \
+    return joined.withColumn("record_index", F.coalesce(F.col("position.seq") + F.col("_shift"), F.col("record_index"))) \
         .drop("position", "block", "_shift")

@@ -252,7 +252,8 @@ UNION ALL SELECT event_id, 2, 'props.k', 'k', json_extract_string(props, '$.k')
 UNION ALL SELECT event_id, 3, 'items[0].kind', 'kind', event_type FROM events
 UNION ALL SELECT event_id, 4, 'items[0].big', 'big', CASE WHEN user_id > 50 THEN 'True' ELSE 'False' END FROM events
 UNION ALL SELECT event_id, 6, 'items[1].big', 'big', 'False' FROM events
-UNION ALL SELECT event_id, 7, 'extra.the key', 'the key', CAST(user_id AS VARCHAR) FROM events"""
+UNION ALL SELECT event_id, 7, 'extra.the key', 'the key', CAST(user_id AS VARCHAR) FROM events
+UNION ALL SELECT event_id, 8, 'ts', 'ts', """ + _plain("ts") + " FROM events"
 
 _PATHS = """(SELECT page_id, regexp_replace(url, '^https?://|[?].*$', '', 'g')
   || ['.CSV', '.json', '.tar.Txt', '', '.exe', '.pdf'][CAST(page_id % 6 + 1 AS INTEGER)] AS path FROM pages)"""
@@ -288,12 +289,6 @@ FROM (SELECT c_mktsegment AS source_id, count(*) AS record_count FROM customer G
 JOIN (SELECT c_mktsegment AS source_id, count(*) AS entities_found, {_counts()}
       FROM ({_PROFILE_HITS}) GROUP BY 1) h USING (source_id)"""
 
-_BATCH_PROFILE_HITS = (
-    _hits_of_fields(_PROFILES, "c_custkey", {
-        "c_custkey": "CAST(c_custkey AS VARCHAR)", "full_name": "full_name", "birth_date": "birth_date",
-        "ip_address": "ip_address", "email": "email_1"})
-    + f" UNION ALL SELECT c_custkey, 'full_name', 6, 'PERSON_NAME', full_name, 0, 0, 0.72, '' FROM {_PROFILES}")
-
 _QUERY_ROWS = """(SELECT c_custkey, c_name || '@' || lower(n_name) || '.example.it' AS email,
   CAST(8800000000 + c_custkey AS VARCHAR) AS phone FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
@@ -358,6 +353,11 @@ SELECT event_id, event_type || '.v[0]' AS field_path, CAST(NULL AS VARCHAR) AS f
   CAST(user_id AS VARCHAR) AS value FROM events
 UNION ALL SELECT event_id, event_type || '.v[2]', NULL, 'True' FROM events
 UNION ALL SELECT event_id, 'p.k', 'k', json_extract_string(props, '$.k') FROM events""",
+    "variant_mixed_lists": """
+SELECT event_id, 'v[0].a[0]' AS field_path, CAST(NULL AS VARCHAR) AS field_name, CAST(user_id AS VARCHAR) AS value FROM events
+UNION ALL SELECT event_id, 'v[0].a[1].b', 'b', event_type FROM events
+UNION ALL SELECT event_id, 'v[1]', NULL, '5' FROM events
+UNION ALL SELECT event_id, 'v[2][0][0].k', 'k', json_extract_string(props, '$.k') FROM events""",
     "field_paths": f"""SELECT field_path, count(*) AS cells FROM ({_EVENT_CELLS}) WHERE value IS NOT NULL
 GROUP BY field_path""",
     "normalize_field_name": "SELECT p_partkey, "
@@ -431,8 +431,18 @@ FROM (SELECT page_id, lower(ltrim({_SUFFIX}, '.')) AS suffix FROM {_FILE})""",
   CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'a "q", b' || chr(10) || c_name || ' ' END AS note FROM customer""",
     "json_roundtrip": """SELECT CAST(1 AS BIGINT) AS units, s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal,
   CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS note FROM supplier""",
-    "json_lines_and_arrays": """SELECT form, CAST(1 AS BIGINT) AS units, event_id, user_id, event_type, props
-FROM events, (VALUES ('lines'), ('splits'), ('arrays')) f(form)""",
+    "json_lines_and_arrays": """SELECT form, CAST(1 AS BIGINT) AS units, event_id, user_id, event_type, props, value,
+  strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM events, (VALUES ('lines'), ('splits'), ('arrays')) f(form)""",
+    "json_large_array": """SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS record_index, CAST(1 AS BIGINT) AS units,
+  event_type, props, '}],{ ' || event_type AS signs FROM events""",
+    "json_odd_values": """SELECT event_id, CAST(0 AS BIGINT) AS record_index, CAST(1 AS BIGINT) AS units,
+  '{"a":"NaN","b":[' || user_id || ',"-Infinity"]}' AS content FROM events
+UNION ALL SELECT event_id, 1, 1, '{"a":"' || chr(65533) || event_type || '"}' FROM events""",
+    "csv_quoted_splits": """SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS record_index, c_custkey,
+  'a "' || c_name || '",' || chr(10) || CASE WHEN c_custkey % 5 = 0 THEN repeat(chr(10) || '"', 40) ELSE c_mktsegment END AS note,
+  c_mktsegment FROM customer""",
+    "csv_header_groups": """SELECT 'c_custkey|name, of' || chr(10) || 'all' AS header, count(*) AS records, count(*) AS "rows" FROM customer
+UNION ALL SELECT 's_suppkey|s_name|s_acctbal', count(*), count(*) FROM supplier""",
     "text_roundtrip": """SELECT doc_id, regexp_replace(replace(regexp_replace(text, chr(10) || '$', ''), chr(13) || chr(10), chr(10)),
   chr(13), chr(10), 'g') || chr(10) AS content FROM documents""",
     "sql_dump_scan": "SELECT c_nationkey, entity_type, count(*) AS hits FROM ("
@@ -465,17 +475,15 @@ SELECT entity_type, 'redact' AS mode, field_path, '[R***' || right(entity_type,
         "user_id": "CAST(user_id AS VARCHAR)"}) + ") GROUP BY ALL",
     "batch_scan": f"""
 SELECT 'csv' AS input_format, (SELECT count(*) FROM customer) AS csv_records, count(*) AS entities_found, {_counts()}
-FROM ({_BATCH_PROFILE_HITS})
+FROM ({_PROFILE_HITS})
 UNION ALL SELECT 'txt', 0, count(*), {_counts()}
 FROM ({_all_hits("(SELECT n_nationkey, n_name || '@example.com and 10.0.0.' || n_nationkey AS t FROM nation)", 'n_nationkey', 't')})""",
     "sanitize_job": f"""
 SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, {_tokens('full_name')} AS full_name, {_tokens('birth_date')} AS birth_date,
-  {_tokens('address')} AS address, {_ip('ip_address')} AS ip_address, {_phone('phone')} AS phone, {_email('email_0')} AS email,
-  (SELECT count(*) FROM customer) AS reported_records, (SELECT count(*) FROM ({_PROFILE_HITS})
-    WHERE field_path <> 'contacts[1].email') AS reported_entities, true AS reported_output
+  {_tokens('address')} AS address, {_ip('ip_address')} AS ip_address, {_phone('phone')} AS phone, {_email('email_0')} AS email_0, {_email('email_1')} AS email_1,
+  (SELECT count(*) FROM customer) AS reported_records, (SELECT count(*) FROM ({_PROFILE_HITS})) AS reported_entities, true AS reported_output
 FROM {_PROFILES}""",
-    "report_job": f"""SELECT 'redact' AS sanitization_mode, true AS no_output, entity_type, count(*) AS hits FROM ({_PROFILE_HITS})
-WHERE field_path IN ('full_name', 'birth_date', 'address', 'ip_address') GROUP BY entity_type""",
+    "report_job": f"""SELECT 'redact' AS sanitization_mode, true AS no_output, entity_type, count(*) AS hits FROM ({_PROFILE_HITS}) GROUP BY entity_type""",
     "batch_sanitize": """SELECT form, c_custkey AS key, '[REDACTED_EMAIL]' AS value FROM customer, (VALUES ('csv'), ('json')) f(form)
 UNION ALL SELECT 'txt', n_nationkey, 'nation ' || n_nationkey || ' at [REDACTED_IP_ADDRESS]' FROM nation""",
     "pseudonymize_csv_job": """

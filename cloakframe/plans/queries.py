@@ -249,8 +249,8 @@ def _nested_events(spark: SparkSession, folder: str) -> DataFrame:
         F.from_json("props", "k int").alias("props"),
         F.expr("array(named_struct('kind', event_type, 'big', user_id > 50), "
                "named_struct('kind', cast(null as string), 'big', false))").alias("items"),
-        F.expr("map('the key', cast(user_id as string))").alias("extra"))
-    return records_from(events, "events", "event_id", ["event_type", "value", "props", "items", "extra"])
+        F.expr("map('the key', cast(user_id as string))").alias("extra"), "ts")
+    return records_from(events, "events", "event_id", ["event_type", "value", "props", "items", "extra", "ts"])
 
 
 @register
@@ -275,6 +275,16 @@ def flatten_variant_cells(spark, folder):
     return _keyed(variant_cells(records), "event_id", "field_path", "field_name", "value")
 
 
+@register
+def variant_mixed_lists(spark, folder):
+    """Cells of lists that hold objects, lists and scalars side by side, without a schema."""
+    docs = _table(spark, folder, "events").select("event_id", F.expr(
+        "concat('{\"v\":[{\"a\":[', user_id, ',{\"b\":\"', event_type, '\"}]},5,[[', props, ']],null],\"w\":{\"x\":[]}}')").alias("doc"))
+    records = docs.select(F.lit("events").alias("source_id"), F.col("event_id").alias("record_index"),
+                          F.parse_json("doc").alias("content"))
+    return _keyed(variant_cells(records), "event_id", "field_path", "field_name", "value")
+
+
 @register
 def field_paths(spark, folder):
     """Distinct printable paths of the nested event records."""
@@ -561,21 +571,80 @@ def json_roundtrip(spark, folder):
 def json_lines_and_arrays(spark, folder):
     """The same events as JSON Lines (whole files and splits) and as arrays of a thousand."""
     lines, arrays = staging_path(spark, "json-lines"), staging_path(spark, "json-arrays")
-    events = _table(spark, folder, "events").select("event_id", "user_id", "event_type", "props")
+    events = _table(spark, folder, "events").select(
+        "event_id", "user_id", "event_type", "props", "value", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
     sinks.write_json(events, lines)
     made = events.groupBy(F.expr("event_id div 1000").alias("part")).agg(
-        F.array_join(F.collect_list(F.to_json(F.struct("event_id", "user_id", "event_type", "props"))), ", ").alias("items"))
+        F.array_join(F.collect_list(F.to_json(F.struct(*events.columns))), ", ").alias("items"))
     # One file per array: a file of the text sink holds the rows of one partition value.
     sinks.write_text(made.select("part", F.concat(F.lit("["), "items", F.lit("]")).alias("value")), arrays, ["part"])
     texts = spark.read.text(f"{arrays}/part=*", wholetext=True)
     forms = {
         "lines": json.load_json(spark, lines), "splits": json.load_json(spark, lines, lines=True),
         "arrays": json.typed_records(json.normalize_json(texts, F.col(files.FILE_PATH), F.col("value")))}
-    found = [f.select(F.lit(k).alias("form"), "units", "content.event_id", "content.user_id", "content.event_type", "content.props")
+    found = [f.select(F.lit(k).alias("form"), "units", "content.event_id", "content.user_id", "content.event_type",
+                      "content.props", F.col("content.value").cast("double").alias("value"), "content.ts")
              for k, f in forms.items()]
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+@register
+def json_large_array(spark, folder):
+    """All events as one JSON array in one file, read by as many tasks as it has splits, and numbered."""
+    path = staging_path(spark, "json-array")
+    events = _table(spark, folder, "events")
+    first = events.agg(F.min("event_id")).first()[0]
+    events = events.select(
+        F.lit(1).alias("at"), "event_id", F.concat(F.when(F.col("event_id") != first, ",").otherwise(""), F.to_json(
+            F.struct("event_id", "event_type", "props", F.array(F.lit("}],{"), "event_type").alias("signs")))).alias("value"))
+    marks = spark.createDataFrame([(0, 0, "["), (2, 0, "]")], "at int, event_id bigint, value string")
+    # A file is one task's work to write, whatever its size.
+    events.unionByName(marks).coalesce(1).sortWithinPartitions("at", "event_id").select("value").write.text(f"{path}/one")
+    _rename_suffix(spark, path, ".json")
+    found = json.load_json(spark, f"{path}/one", large=1_000)
+    return found.select("content.event_id", "record_index", "units", "content.event_type", "content.props",
+                        F.array_join("content.signs", " ").alias("signs"))
+
+
+@register
+def json_odd_values(spark, folder):
+    """NaN, the infinities and half characters, which JSON texts may hold and tables may not."""
+    docs = _table(spark, folder, "events").select("event_id", F.expr(
+        r"concat('[{\"a\":NaN,\"b\":[', user_id, ',-Infinity]},{\"a\":\"\\ud800', event_type, '\"}]')").alias("doc"))
+    found = json.normalize_json(docs, F.col("event_id"), F.col("doc"))
+    return found.select(F.col("source_id").cast("bigint").alias("event_id"), "record_index", "units", "content")
+
+
+@register
+def csv_quoted_splits(spark, folder):
+    """CSV files with line ends and quotes inside values, read in splits; rows are numbered per file."""
+    path = staging_path(spark, "csv-quoted")
+    customers = _table(spark, folder, "customer").select("c_nationkey", "c_custkey", F.expr(
+        "concat('a \"', c_name, '\",\\n', if(c_custkey % 5 = 0, repeat('\\n\"', 40), c_mktsegment))").alias("note"), "c_mktsegment")
+    sinks.write_csv(customers.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey"), path, ["c_nationkey"])
+    loaded = jobs.staged(csv.load_csv(spark, f"{path}/c_nationkey=*", large=1_000), "csv-rows")
+    return loaded.select(F.regexp_extract("source_id", "c_nationkey=([0-9]+)", 1).cast("int").alias("c_nationkey"), "record_index",
+                         F.col("content.c_custkey").cast("bigint").alias("c_custkey"), "content.note", "content.c_mktsegment")
+
+
+@register
+def csv_header_groups(spark, folder):
+    """A folder of CSV files with different headers: records of every header."""
+    path = staging_path(spark, "csv-headers")
+    for part in (_table(spark, folder, "customer").select("c_custkey", F.col("c_name").alias("name, of\nall")),
+                 _table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_acctbal")):
+        written = staging_path(spark, "csv-part")
+        sinks.write_csv(part, written)
+        _gather(spark, written, path)
+    groups = csv.load_csv_groups(spark, path, files.list_files(spark, path))
+    union = None
+    for records, _ in groups:
+        names = "|".join(f.name for f in records.schema["content"].dataType.fields)
+        counted = records.select(F.lit(names).alias("header"), F.col("content").cast("string").alias("row"))
+        union = counted if union is None else union.unionByName(counted)
+    return union.groupBy("header").agg(F.count("*").alias("records"), F.countDistinct("row").alias("rows"))
+
+
 @register
 def text_roundtrip(spark, folder):
     """One text file per document, loaded back whole, line ends unified."""
@@ -659,13 +728,17 @@ def query_scan_job(spark, folder):
         F.count("*").alias("transformations"))
 
 
+# Every field of a profile as a column that CSV can hold.
+_FLAT_PROFILE = ["full_name", F.expr("cast(birth_date as string)").alias("birth_date"), "address", "ip_address",
+                 F.expr("cast(phone as string)").alias("phone"), F.expr("contacts[0].email").alias("email_0"),
+                 F.expr("contacts[1].email").alias("email_1")]
+
+
 @register
 def batch_scan(spark, folder):
     """Scan of a folder of CSV and text files written from the tables."""
     path, profiled, nations = (staging_path(spark, n) for n in ("folder", "folder-csv", "folder-txt"))
-    profiles = _profiles(spark, folder).select(
-        "c_custkey", "full_name", F.col("birth_date").cast("string"), "ip_address",
-        F.expr("contacts[1].email").alias("email"))
+    profiles = _profiles(spark, folder).select("c_custkey", *_FLAT_PROFILE)
     sinks.write_csv(profiles, profiled)
     sinks.write_text(_table(spark, folder, "nation").select(
         F.concat("n_name", F.lit("@example.com and 10.0.0."), "n_nationkey").alias("value")), nations)
@@ -687,13 +760,11 @@ def batch_scan(spark, folder):
 def sanitize_job(spark, folder):
     """The whole job on a CSV of profiles, run twice into one folder: output and reports read back."""
     src, out = staging_path(spark, "profiles"), staging_path(spark, "sanitized")
-    profiles = _profiles(spark, folder).select(
-        "c_custkey", "full_name", F.col("birth_date").cast("string"), "address", "ip_address",
-        F.col("phone").cast("string"), F.expr("contacts[0].email").alias("email"))
+    profiles = _profiles(spark, folder).select("c_custkey", *_FLAT_PROFILE)
     sinks.write_csv(profiles, src)
     for _ in range(2):
         jobs.sanitize(csv.load_csv(spark, src), "csv", "mask", out)
-    columns = ["c_custkey", "full_name", "birth_date", "address", "ip_address", "phone", "email"]
+    columns = profiles.columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     rows = spark.read.schema(schema).options(header=True, recursiveFileLookup=True).csv(f"{out}/sanitized").select(*columns)
     reports = spark.read.schema("record_count bigint, entities_found bigint, sanitized_output_generated boolean") \
@@ -707,8 +778,7 @@ def sanitize_job(spark, folder):
 def report_job(spark, folder):
     """Report without output over a CSV of profiles: counts by entity type of the reports written."""
     src, out = staging_path(spark, "profiles"), staging_path(spark, "reports")
-    sinks.write_csv(_profiles(spark, folder).select(
-        "full_name", F.col("birth_date").cast("string"), "address", "ip_address"), src)
+    sinks.write_csv(_profiles(spark, folder).select(*_FLAT_PROFILE), src)
     jobs.report(csv.load_csv(spark, src), "csv", "redact", out)
     reports = spark.read.schema("sanitization_mode string, output_file string, entity_counts map<string,bigint>") \
         .option("recursiveFileLookup", True).json(f"{out}/reports")

@@ -83,6 +83,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete_path(spark, path)
 
 
+def in_scratch() -> bool:
+    """Whether what ``cut`` writes now will be removed."""
+    return bool(_OPEN)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder once and go on from there.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from urllib.parse import unquote
 
@@ -90,3 +91,8 @@ def list_files(spark: SparkSession, path: str, formats: Iterable[str] = INPUT_FO
 def plain_path(source_id: str) -> str:
     """The path to open for a listed ``source_id``."""
     return unquote(source_id)
+
+
+def bare_path(path: str) -> str:
+    """A listed path with one slash after its scheme; readers spell local files with one or three."""
+    return re.sub(r"\A(\w+:)/{2,3}(?=[^/])", r"\1/", path)
