@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import safe_preview
 from ..operators import report as rep
 from ..operators.detect import Detector, ExternalDetector, annotate
-from ..operators.pseudonyms import PseudonymStore, pseudonymize_hits
+from ..operators.pseudonyms import PseudonymStore, pseudonymize_with
 from ..operators.records import index_records, texts_from
 from ..operators.sanitize import protect_hits, write_back
 from ..rules import REPORT_FORMATS, check_mode
@@ -40,9 +40,7 @@ def protect(annotated: DataFrame, mode: str, detector: AnyDetector,
         return protect_hits(annotated, mode)
     if store is None:
         raise ValueError("mode pseudonymize needs a PseudonymStore: the map must outlive the run")
-    protected, new = pseudonymize_hits(annotated, store.load(), detector)
-    store.save(new)
-    return protected
+    return pseudonymize_with(annotated, store, detector)
 
 
 def audited(df: DataFrame, transformed: bool) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import identifier
 from ..shared import ship
-from .files import FILE_PATH, any_case, bare_path, plain_path
+from .files import FILE_PATH, any_case, bare_path, plain_path, spread
 
 _OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "encoding": "UTF-8"}
 # A file of more bytes is read by several tasks, also when quoted values hold line ends.
@@ -181,9 +181,10 @@ def _schema(names: list[str]) -> T.StructType:
 def _read(spark: SparkSession, paths: list[str], names: list[str], multi_line: bool) -> DataFrame:
     """The files' rows in columns ``_c0``, ``_c1`` and so on, and where they stand."""
     reader = spark.read.options(header=True, multiLine=multi_line, **_OPTIONS, **_glob())
-    return reader.schema(_schema(names)).csv(paths).select(
+    frame = reader.schema(_schema(names)).csv(paths).select(
         "*", F.col(FILE_PATH).alias("source_id"), F.struct(
             F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")).alias("position"))
+    return spread(frame) if multi_line else frame
 
 
 def _records(frame: DataFrame, names: list[str]) -> DataFrame:

@@ -96,3 +96,14 @@ def plain_path(source_id: str) -> str:
 def bare_path(path: str) -> str:
     """A listed path with one slash after its scheme; readers spell local files with one or three."""
     return re.sub(r"\A(\w+:)/{2,3}(?=[^/])", r"\1/", path)
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Rows of files that cannot be split, dealt to all cores if the files keep less than half of them busy.
+
+    For a frame that comes straight from a reader: its number of tasks is
+    planned without running anything.  Files that can be split are split finer
+    than that unless they are small, so only work is moved that would wait.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if 2 * frame.rdd.getNumPartitions() <= cores else frame

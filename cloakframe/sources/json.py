@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import cut, in_scratch, ship
-from .files import FILE_PATH, any_case, bare_path, plain_path
+from .files import FILE_PATH, any_case, bare_path, plain_path, spread
 from .json_blocks import large_documents
 
 _BLANK = " \t\r\n"
@@ -183,7 +183,8 @@ def load_json_text(spark: SparkSession, path: str, lines: bool = False, large: i
         return json_lines(reader.text(paths), F.col(FILE_PATH), F.col("value"))
 
     def whole(paths: str | list[str]) -> DataFrame:
-        return normalize_json(reader.text(paths, wholetext=True), F.col(FILE_PATH), F.col("value"))
+        texts = spread(reader.text(paths, wholetext=True).select(F.col(FILE_PATH).alias("p"), "value"))
+        return normalize_json(texts, F.col("p"), F.col("value"))
 
     if lines:
         return by_line(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_unicode
 from ..operators.records import texts_from
-from .files import FILE_PATH, any_case
+from .files import FILE_PATH, any_case, spread
 
 # Pages are first joined in runs of this many, so a document with very many
 # pages reaches its last task as a few long pieces.
@@ -22,7 +22,7 @@ def unix_newlines(text: Column) -> Column:
 def load_text(spark: SparkSession, path: str, suffix: str = "txt") -> DataFrame:
     """Whole text files; statements of a ``.sql`` dump are text like any other."""
     frame = spark.read.option("pathGlobFilter", any_case(suffix)).text(path, wholetext=True)
-    return texts_from(frame, F.col(FILE_PATH), unix_newlines(F.col("value")))
+    return texts_from(spread(frame.select(F.col(FILE_PATH).alias("p"), "value")), F.col("p"), unix_newlines(F.col("value")))
 
 
 def load_sql_dump(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import glob
 import json
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from cloakframe.operators.detect import Detector, annotate, detect
 from cloakframe.operators.pseudonyms import PseudonymStore
 from cloakframe.plans import jobs
+from cloakframe.sinks import write
 from cloakframe.sources import csv, json as json_source, text
 
 # The published sample file, row for row.
@@ -264,3 +266,86 @@ def test_pseudonyms_are_stable_across_runs(spark, tmp_path):
     other = PseudonymStore(spark, str(tmp_path / "other"))
     other.import_json(str(old))
     assert [tuple(r) for r in other.load().collect()] == [("EMAIL", "q::x@x.it", 12, "EMAIL_012")]
+
+
+def test_runs_that_add_pseudonyms_at_once(spark, tmp_path, monkeypatch):
+    """Another run adds a version between reading the map and claiming the next one: nothing is given twice."""
+    store, other = (PseudonymStore(spark, str(tmp_path / "map")) for _ in range(2))
+    order = "struct<source:string,rank:int,record:bigint,field:int,item:int,rule:int,start:int>"
+
+    def values(*names):
+        return spark.createDataFrame([(n, i) for i, n in enumerate(names)], "value string, i bigint").select(
+            F.lit("EMAIL").alias("entity_type"), "value",
+            F.expr(f"cast(named_struct('a', 's', 'b', 0, 'c', i, 'd', 0, 'e', 0, 'f', 0, 'g', 0) as {order})").alias("first"), F.lit(1).alias("n"))
+
+    store.name(values("a", "b"))
+    add, turns = PseudonymStore._add, []
+
+    def late(self, new, version, counters):
+        if self is store and not turns:
+            turns.append(1)
+            other.name(values("c", "x", "b"))
+        add(self, new, version, counters)
+
+    monkeypatch.setattr(PseudonymStore, "_add", late)
+    got = {r["value"]: r["pseudonym"] for r in store.name(values("d", "c", "a")).collect()}
+    assert got == {"a": "EMAIL_001", "c": "EMAIL_003", "d": "EMAIL_005"}
+    known = [tuple(r) for r in store.load().select("value", "pseudonym_no").orderBy("pseudonym_no").collect()]
+    assert known == [("a", 1), ("b", 2), ("c", 3), ("x", 4), ("d", 5)] and store.versions() == [1, 2, 3]
+    folders = [p for p in os.listdir(tmp_path / "map") if p.startswith("data-")]
+    assert len(folders) == 3  # the one that came too late is gone
+    store.compact()
+    store.vacuum()
+    assert len([p for p in os.listdir(tmp_path / "map") if p.startswith("data-")]) == 1
+    assert [tuple(r) for r in other.load().select("value", "pseudonym_no").orderBy("pseudonym_no").collect()] == known
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: PseudonymStore(spark, str(tmp_path / "map")).name(values(f"t{k}", "shared", f"u{k}")).count(), range(4)))
+    numbers = [r["pseudonym_no"] for r in store.load().collect()]
+    assert sorted(numbers) == list(range(1, 15))
+
+
+def test_a_run_reads_only_the_parts_it_meets(spark, tmp_path):
+    store = PseudonymStore(spark, str(tmp_path / "map"))
+    store.save(spark.range(1000).select(F.lit("EMAIL").alias("entity_type"), F.concat(F.lit("v"), "id").alias("value"),
+                                        (F.col("id") + 1).alias("pseudonym_no"), F.concat(F.lit("EMAIL_"), "id").alias("pseudonym")))
+    known = store._read(store._log()).filter(F.col("bucket").isin([3, 5]))
+    assert len(known.inputFiles()) > 2 and 0 < known.count() < 100
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters", 1)[1].split("]")[0]
+
+
+@pytest.mark.parametrize("point", ["write", "decide", "between", "end"])
+def test_a_run_that_ends_leaves_the_old_or_the_new_output(spark, tmp_path, monkeypatch, point):
+    path = str(tmp_path / "out")
+
+    def save(n, sources):
+        write.write_json(spark.createDataFrame([(f"f{s}", f"k{s}", n) for s in sources], "output_file string, source string, n int"), path, write.BY,
+                         lambda: [f"output_file=f{s}/source=k{s}" for s in (1, 2, 3, 4)])
+
+    def found():
+        return {r["source"]: r["n"] for r in spark.read.json(path).collect()}
+
+    save(1, [1, 2, 3])
+    assert found() == {"k1": 1, "k2": 1, "k3": 1}
+    with monkeypatch.context() as broken:
+        if point == "write":
+            broken.setattr(write.Replacement, "decide", lambda *a: 1 / 0)
+        elif point == "decide":
+            broken.setattr(write.Replacement, "carry_out", lambda *a: 1 / 0)
+        elif point == "between":
+            class Weak:
+                def __init__(self, fs): self.fs, self.left = fs, 1
+                def __getattr__(self, name): return getattr(self.fs, name)
+                def rename(self, *a):
+                    self.left -= 1
+                    return self.fs.rename(*a) if self.left >= 0 else 1 / 0
+            made = write.Replacement.__init__
+            broken.setattr(write.Replacement, "__init__", lambda self, *a: (made(self, *a), setattr(self, "_fs", Weak(self._fs)))[0])
+        if point == "end":
+            save(2, [1, 2, 4])
+        else:
+            with pytest.raises(ZeroDivisionError):
+                save(2, [1, 2, 4])
+    write.recover(spark, path)
+    assert found() == ({"k1": 1, "k2": 1, "k3": 1} if point == "write" else {"k1": 2, "k2": 2, "k4": 2})
+    assert not [n for n in os.listdir(path) if n.startswith(("_new", "_journal"))]
