@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,10 @@ SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
 # Texts are taken through numpy in blocks of about this many bytes, so the working arrays stay small.
 BLOCK = 1 << 20
+# Running sums over the bytes of a block are taken in strides that stay in the processor's cache.
+STRIDE = 1 << 16
 
-__all__ = ["BLOCK", "SPACES", "WORD", "Words", "blocks", "cut", "hot_slots", "partitions", "raw_bytes", "shingles", "ship", "table", "text_of", "words"]
+__all__ = ["BLOCK", "SPACES", "WORD", "Words", "blocks", "cut", "hot_slots", "partitions", "raw_bytes", "shingles", "ship", "table", "text_of", "unused", "words"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +32,14 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(name: str, taken: Iterable[str]) -> str:
+    """A column name like ``name`` that is not among ``taken``, whatever the case."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -86,10 +96,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return _POWERS[0], _POWERS[1]
     made = []
     for base in (_BASE, _UNBASE):
-        row = np.full(max(n, BLOCK + 4096), base)
+        row = np.full(max(n, 2 * STRIDE), base)
         row[0] = 1
         made.append(np.multiply.accumulate(row))
-    if n <= BLOCK + 4096:
+    if n <= 2 * STRIDE:
         _POWERS[:] = made
     return made[0], made[1]
 
@@ -120,7 +130,7 @@ def words(data: np.ndarray, ends: np.ndarray, lower: bool = True) -> Words:
     hashes = np.zeros(len(starts), np.uint64)
     at = 0
     while at < len(starts):
-        last = max(at + 1, int(np.searchsorted(starts, starts[at] + BLOCK)))
+        last = max(at + 1, int(np.searchsorted(starts, starts[at] + STRIDE)))
         end = starts[last] if last < len(starts) else len(data)
         own = starts[at:last] - starts[at]
         size = int(end - starts[at])

@@ -55,16 +55,16 @@ def rarity(docs: DataFrame, sets: Sets) -> np.ndarray:
     size = BUCKETS // PIECES
 
     def count(batches):
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.uint32)  # no task reads 2 ** 32 shingles
         for batch in batches:
-            for part in blocks(batch, "_t", 8 << 20):
+            for part in blocks(batch, "_t", 2 << 20):
                 values, _ = sets(part)
-                total += np.bincount((values >> _SHIFT).astype(np.int64), minlength=BUCKETS)
+                np.add.at(total, (values >> _SHIFT).astype(np.int64), np.uint32(1))
         # Most counts of one task are small: a byte each, and the rest added as a short list.
         large = np.flatnonzero(total > 255)
         rest = np.searchsorted(large, np.arange(PIECES + 1) * size)
         rows = [(i, total[i * size:(i + 1) * size].clip(max=255).astype(np.uint8).tobytes(),
-                 large[rest[i]:rest[i + 1]] - i * size, total[large[rest[i]:rest[i + 1]]] - 255) for i in range(PIECES)]
+                 large[rest[i]:rest[i + 1]] - i * size, total[large[rest[i]:rest[i + 1]]].astype(np.int64) - 255) for i in range(PIECES)]
         piece, small, places, more = zip(*rows)
         yield pa.RecordBatch.from_arrays(
             [pa.array(piece, pa.int32()), pa.array(small, pa.binary()), pa.array(places, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64()))],
@@ -111,12 +111,21 @@ def ordered_sets(values: np.ndarray, starts: np.ndarray, classes: np.ndarray) ->
 
 
 def digests(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """112 bits for each set: 48, which name it in postings, and 64 more."""
-    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(values ^ np.uint64(seed)))]) for seed in (0x5D1, 0xC0FFEE)]
+    """112 bits for each set or list, whatever its order: 48, which name it in postings, and 64 more."""
+    # The values are evenly spread hashes themselves.
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(v)]) for v in (_mix(values ^ np.uint64(0x5D1)), values)]
     first, second = (_mix(s[starts[1:]] - s[starts[:-1]]) for s in sums)
     return (first >> np.uint64(16)).view(np.int64), second.view(np.int64)
 
 
+def taken(values: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists numbered ``which`` (rising), and where each begins."""
+    n = np.diff(starts)
+    kept = np.zeros(len(n), bool)
+    kept[which] = True
+    return values[np.repeat(kept, n)], np.concatenate([[0], np.cumsum(n[which])])
+
+
 def prefixes(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(owner, shingle)`` of the first ``n // 4 + 1`` shingles of each set."""
     n = np.diff(starts)

@@ -13,10 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import BROADCAST_BYTES
-from .common import blocks, cut, partitions, raw_bytes, shingles, table, words
+from .common import blocks, cut, partitions, raw_bytes, shingles, table, unused, words
 from .families import (ABOVE, BELOW, SHINGLE, dealt, digests, each_group, families, least_common, ordered_sets, prefixes,
-                       rarity, similar, with_leaders)
-from .jaccard_join import fetch
+                       rarity, similar, taken, with_leaders)
 
 LAST = (1 << 63) - 1
 # Places of family lines are broadcast up to this many (five numbers each); beyond, they meet the lines by shuffle.
@@ -41,23 +40,30 @@ def line_sets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def line_table(rows: DataFrame, classes: np.ndarray) -> DataFrame:
     """``_id, _h, line, d1, d2, keys``: place and digest of every line that has shingles, and its prefix shingles.
 
-    Equal lines of a block have their prefix once; the others' ``keys`` are empty.
+    The digest is over the shingles as they come, repeats counted, so equal
+    lines are known before they are put in order.  A line that a task meets
+    again has its prefix once; the others' ``keys`` are empty.
     """
     shared = rows.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
+        met = np.zeros(0, np.int64)  # first digests of this task's lines, eight bytes each
         for batch in batches:
-            for part in blocks(batch, "_t", 4 << 20):
+            for part in blocks(batch, "_t", 2 << 20):
                 _, _, owner, number = line_ends(part)
-                values, starts = ordered_sets(*line_sets(part), shared.value)
+                values, starts = line_sets(part)
                 d1, d2 = digests(values, starts)
                 at = np.flatnonzero(np.diff(starts))
-                first = np.zeros(len(d1), bool)
-                first[at[np.unique(np.stack([d1[at], d2[at]]), axis=1, return_index=True)[1]]] = True
-                line, keys = prefixes(values, starts)
-                sizes = np.bincount(line[first[line]], minlength=len(d1))[at]
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys[first[line]]))
+                # Half a digest that was met is taken for the line: a clash only leaves prefixes to one of two, which 48 bits make
+                # rarer than a fault of the machine; classes are kept apart by the whole digest.
+                own, first = np.unique(d1[at], return_index=True)
+                new = first[~np.isin(own, met, assume_unique=True)]
+                met = np.union1d(met, own)
+                which = np.sort(at[new])
+                line, keys = prefixes(*ordered_sets(*taken(values, starts, which), shared.value))
+                sizes = np.zeros(len(d1), np.int64)
+                sizes[which] = np.bincount(line, minlength=len(which))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[at])]), pa.int32()), pa.array(keys))
                 texts = pa.array(owner[at])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_id").take(texts), part.column("_h").take(texts), pa.array(number[at]), pa.array(d1[at]), pa.array(d2[at]),
@@ -67,19 +73,22 @@ def line_table(rows: DataFrame, classes: np.ndarray) -> DataFrame:
 
 
 def packed_lines(rows: DataFrame, classes: np.ndarray) -> DataFrame:
-    """``_id, _h, line, set`` of every line that has shingles, in the order of rarity."""
+    """``_id, _h, line, set`` of the lines that ``_wanted`` numbers, in the order of rarity."""
     shared = rows.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
         for batch in batches:
             for part in blocks(batch, "_t"):
                 _, _, owner, number = line_ends(part)
-                values, starts = ordered_sets(*line_sets(part), shared.value)
-                at = np.flatnonzero(np.diff(starts))
-                texts = pa.array(owner[at])
+                values, starts = line_sets(part)
+                wanted = part.column("_wanted")
+                asked = np.repeat(np.arange(len(part)), wanted.value_lengths().to_numpy()) * (1 << 32) + wanted.flatten().to_numpy()
+                which = np.flatnonzero(np.isin(owner * (1 << 32) + number, asked))
+                values, starts = ordered_sets(*taken(values, starts, which), shared.value)
+                texts = pa.array(owner[which])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id").take(texts), part.column("_h").take(texts), pa.array(number[at]),
-                     pa.array([values[starts[i]:starts[i + 1]].tobytes() for i in at], pa.binary())], ["_id", "_h", "line", "set"])
+                    [part.column("_id").take(texts), part.column("_h").take(texts), pa.array(number[which]),
+                     pa.array([values[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary())], ["_id", "_h", "line", "set"])
 
     return rows.mapInArrow(run, "_id bigint, _h bigint, line bigint, set binary")
 
@@ -170,8 +179,12 @@ def later_lines(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return matches.unionByName(second).distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the lines that repeat an earlier one, and with ``_lines`` and ``_removed``, their numbers before.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "_lines",
+                removed_col: str = "_removed") -> DataFrame:
+    """``docs`` without the lines that repeat an earlier one, and with the numbers of lines before and of lines removed.
+
+    ``lines_col`` and ``removed_col`` name these two, with underscores added
+    where ``docs`` has a column of that name, which stays as it is.
 
     Lines are parted by ``\\n`` and ordered by identifier, then place.  A line
     goes if any earlier line, removed or not, has a Jaccard similarity of
@@ -180,7 +193,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     last.  Lines at the same place of rows that share an identifier are not
     later than each other.  Shingles are compared by 64-bit hashes.
     """
-    docs = docs.drop("_lines", "_removed", "_gone")
+    lines_col, removed_col = unused(lines_col, docs.columns), unused(removed_col, docs.columns)
+    gone_col = unused("_gone", [*docs.columns, lines_col, removed_col])
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("_id"), F.xxhash64(text_col).alias("_h"),
                        F.col(text_col).alias("_t"))
     classes = rarity(rows, line_sets)
@@ -193,8 +207,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     posted = lines.select("d1", F.explode("keys").alias("key"))
     pairs = cut(dealt(with_leaders(families(posted, ["d1"]), ["d1"]), ["d1"]), "line-pairs")
     wanted = cut(firsts.join(pairs.select("d1").distinct(), "d1", "left_semi").drop("_n"), "family-lines")
-    sets = packed_lines(fetch(rows, wanted.select(F.col("f_id").alias("_id")).distinct()), classes)
     few = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    # One entry per line of a text at most.
+    by_text = wanted.groupBy(F.col("f_id").alias("_id"), F.col("f_h").alias("_h")).agg(F.collect_set("f_line").alias("_wanted"))
+    sets = packed_lines(rows.join(F.broadcast(by_text) if few else by_text, ["_id", "_h"]), classes)
     held = sets.join(F.broadcast(wanted) if few else wanted, (F.col("f_id") == sets["_id"]) & (F.col("f_line") == sets["line"]) & (
         F.col("f_h") == sets["_h"])).select("d1", "d2", "f_id", "f_line", "set")
     later = later_lines(pairs, held)
@@ -212,26 +228,28 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     joined = docs.join(
         F.broadcast(per_text) if few else per_text,
         (F.coalesce(docs[id_col].cast("bigint"), F.lit(LAST)) == per_text["_id"]) & (F.xxhash64(docs[text_col]) == per_text["_h"]),
-        "left").select(*[docs[c] for c in docs.columns], "_gone")
-    names = [c for c in joined.columns if c != "_gone"]
+        "left").select(*[docs[c] for c in docs.columns], F.col("_gone").alias(gone_col))
+    names = docs.columns
     at = names.index(text_col)
 
     def rebuild(batches):
         for batch in batches:
             texts, counts, removed = [], [], []
-            for text, out in zip(batch.column(text_col).to_pylist(), batch.column("_gone").to_pylist()):
-                parts = [] if text is None else text.split("\n")
-                drop = set(out or ())
-                texts.append("\n".join([p for i, p in enumerate(parts) if i not in drop]) if drop else text)
+            for text, out in zip(batch.column(text_col).to_pylist(), batch.column(gone_col).to_pylist()):
+                parts, drop = text.split("\n"), set(out)
+                texts.append("\n".join([p for i, p in enumerate(parts) if i not in drop]))
                 counts.append(len(parts))
                 removed.append(len(drop))
             columns = [batch.column(c) for c in names]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*names, "_lines", "_removed"])
+                [*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*names, lines_col, removed_col])
 
-    schema = docs.withColumn("_lines", F.lit(0).cast("long")).withColumn("_removed", F.lit(0).cast("long")).schema
-    return joined.mapInArrow(rebuild, schema)
+    # Texts that lose nothing stay in the JVM; only where texts were shuffled would telling them apart read them twice.
+    whole = joined.filter(F.col(gone_col).isNull()).drop(gone_col)
+    same = whole.withColumn(lines_col, F.coalesce(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")) \
+        .withColumn(removed_col, F.lit(0).cast("long"))
+    return same.unionByName(joined.filter(F.col(gone_col).isNotNull()).mapInArrow(rebuild, same.schema))
 
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
