@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm.bpe import public_vocabulary, round_trip
-from cloakframe.llm.common import SPACES, cut, table
+from cloakframe.llm.common import SPACES, cut, table, unused
 from cloakframe.llm.jaccard_join import near_duplicates
 from cloakframe.llm.line_dedup import dedup_lines
 from cloakframe.llm.mixing import mix
@@ -28,8 +28,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go, and documents of which no word is left; ``n_chars`` follows the text."""
-    left = dedup_lines(docs).filter((F.col("_removed") == 0) | F.col("text").rlike(f"[^{SPACES}]"))
-    return left.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))) \
+    lines, removed = unused("_lines", docs.columns), unused("_removed", docs.columns)
+    left = dedup_lines(docs, lines_col=lines, removed_col=removed).filter((F.col(removed) == 0) | F.col("text").rlike(f"[^{SPACES}]"))
+    return left.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))) \
         .select(docs.columns)
 
 
