@@ -154,6 +154,7 @@ class Encoder:
 
     def __init__(self, vocabulary: PerfectHash, pattern: str) -> None:
         self.split = regex.compile(pattern).findall
+        self.cuts = pattern == public_vocabulary()[1]
         self.find = vocabulary.get
         self.rank_of = dict(zip(vocabulary.slots, vocabulary.values)).get
         self.pairs = [self.rank_of(bytes((a, b))) for a in range(256) for b in range(256)]
@@ -183,7 +184,8 @@ class Encoder:
     def block(self, texts: pa.Array) -> pa.ListArray:
         """Ids of each text; ``texts`` has no nulls."""
         texts = texts.cast(pa.large_string())
-        whole = pc.match_substring_regex(texts, _TOUCHING)
+        # The rules for cutting at spaces are those of the public pattern; any other sees whole texts.
+        whole = pc.match_substring_regex(texts, _TOUCHING if self.cuts else "")
         cut = pc.split_pattern(pc.if_else(whole, "", texts), " ")
         starts = cut.offsets.to_numpy()
         stretches = cut.flatten().dictionary_encode()

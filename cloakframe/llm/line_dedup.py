@@ -104,6 +104,14 @@ def earlier_matches(sets: list[np.ndarray], places: list[tuple], asks: np.ndarra
     """
     matched = np.zeros(len(sets), bool)
     index: dict[int, list[tuple[int, int]]] = {}
+    whole: dict[int, set[int]] = {}
+
+    def common_with(x: int, y: int) -> int:
+        if x not in whole:
+            whole.clear()  # one set is asked for at a time
+            whole[x] = set(sets[x].tolist())
+        return len(whole[x].intersection(sets[y].tolist()))
+
     for x, own in enumerate(sets):
         n = len(own)
         prefix = own[:n // 4 + 1].tolist()
@@ -119,7 +127,7 @@ def earlier_matches(sets: list[np.ndarray], places: list[tuple], asks: np.ndarra
                         continue
                     common[y] = so_far + 1 if so_far + 1 + min(n - i, m - j) - 1 >= least_common(n, m) else -1
             for y, count in common.items():
-                if count > 0 and places[y] < places[x] and similar(len(np.intersect1d(own, sets[y], assume_unique=True)), n, len(sets[y])):
+                if count > 0 and places[y] < places[x] and similar(common_with(x, y), n, len(sets[y])):
                     matched[x] = True
                     break
         if told is None or told[x]:
@@ -228,7 +236,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = docs.join(
         F.broadcast(per_text) if few else per_text,
         (F.coalesce(docs[id_col].cast("bigint"), F.lit(LAST)) == per_text["_id"]) & (F.xxhash64(docs[text_col]) == per_text["_h"]),
-        "left").select(*[docs[c] for c in docs.columns], F.col("_gone").alias(gone_col))
+        "left").select(*[docs[c] for c in docs.columns], per_text["_gone"].alias(gone_col))
     names = docs.columns
     at = names.index(text_col)
 

@@ -26,8 +26,8 @@ MOST = 2.0           # times a source's or a document's size
 # --------------------------------------------------------------------------------
 STEPS = 40
 CLOSE = 1e-9
-# Rows of one size in one source are numbered in this many slices.
-SLICES = 64
+# Rows of one size in one source are numbered in slices of about this many.
+SLICE = 50_000
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -134,7 +134,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "_sum", F.coalesce(F.sum(F.col("_n") * F.col("_rate")).over(before), F.lit(0.0))) \
         .select("_source", "_size", "_rate", "_sum", "source_size", "target")
     # Then the place of each document among those of its size, first by slice and then inside the slice.
-    sliced = sized.withColumn("_slice", F.pmod(F.xxhash64("_id"), F.lit(SLICES)).cast("int"))
+    share = counts.select(F.col("_source").alias("_s3"), F.col("_size").alias("_z3"), F.ceil(F.col("_n") / SLICE).alias("_slices"))
+    sliced = sized.join(share, F.col("_source").eqNullSafe(F.col("_s3")) & (F.col("_size") == F.col("_z3"))).select(
+        "_id", "_source", "_size", F.pmod(F.xxhash64("_id"), F.col("_slices")).cast("int").alias("_slice"))
     earlier = Window.partitionBy("_source", "_size").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = sliced.groupBy("_source", "_size", "_slice").agg(F.count("*").alias("_n")).withColumn(
         "_skip", F.coalesce(F.sum("_n").over(earlier), F.lit(0))) \

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, table, text_of
+from .common import SPACES, cut, table, text_of, unused
 
 # --- fixed values of the base rules -------------------------------------------
 WINDOW = 8
@@ -26,10 +26,10 @@ MEASURES = (
     ("symbols", 10, "upper"), ("capitals", 30, "upper"), ("marks", 30, "upper"),
     ("stutter", 30, "upper"), ("duplicate_lines", 150, "upper"), ("word_length", 600, "both"))
 SPREADS = 4
-# The last bucket of a histogram holds everything above; quartiles of real prose lie far below.
-TOP = 50_000
-# Sources with fewer documents in a language share the limits of the language, small languages those of all documents.
-LEAST_GROUP = 200
+# Values from EXACT on share a bucket with those less than a thousandth larger, so a sketch has no top.
+EXACT = 1_000
+# The quartiles of a group are blended with those of the group above as if that lent it this many documents.
+LENT = 200
 GROUP = ("lang", "source")
 
 
@@ -72,7 +72,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutter", "n_capitals", "n_marks")}
 
     def share(part: Column, whole: Column, name: str) -> Column:
-        return F.least(F.floor(part * 1000 / F.greatest(whole, F.lit(1))), F.lit(TOP)).cast("int").alias(name)
+        return F.floor(part * 1000 / F.greatest(whole, F.lit(1))).cast("bigint").alias(name)
 
     return held.withColumn("_q", F.struct(
         *[c[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
@@ -83,6 +83,16 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         share(c["word_chars"], c["n_words"], "word_length"))).drop("_w", "_h", "_win", "_sorted", "_at", "_c")
 
 
+def bucket(value: Column) -> Column:
+    """Number of the bucket of a measure."""
+    return F.when(value < EXACT, value).otherwise(EXACT + F.floor(F.log(value / EXACT) * EXACT)).cast("int")
+
+
+def bucket_value(number: Column) -> Column:
+    """Least value of a bucket."""
+    return F.when(number < EXACT, number.cast("double")).otherwise(EXACT * F.exp((number - EXACT) / EXACT))
+
+
 def histograms(measures: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
     """The sketches: ``group, measure, bucket, n``.  Counts are combined before the shuffle.
 
@@ -92,7 +102,7 @@ def histograms(measures: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame
     return (
         measures.filter(~F.col("_q.base_failed"))
         .select(*[F.col(f"_row.{g}").alias(g) for g in group], F.explode(F.array(*[F.struct(
-            F.lit(i).alias("measure"), F.col(f"_q.{m}").alias("bucket")) for i, m in enumerate(names)])).alias("m"))
+            F.lit(i).alias("measure"), bucket(F.col(f"_q.{m}")).alias("bucket")) for i, m in enumerate(names)])).alias("m"))
         .groupBy(*group, "m.measure", "m.bucket").agg(F.count("*").alias("n"))
     )
 
@@ -100,9 +110,10 @@ def histograms(measures: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame
 def limits(sketches: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
     """Accepted range of each measure per group: ``group, total, ranges`` (``array<struct<low, high>>``).
 
-    Groups below ``LEAST_GROUP`` documents take the range of the merged
-    sketch of their language, and so on up to all documents.  Windows run over
-    the buckets of one sketch, never over documents.
+    A group's quartiles are blended with those of the group above, of its
+    language and then of all documents, in proportion to its own documents and
+    ``LENT`` more: a group's limits change little by little as it grows.
+    Windows run over the buckets of one sketch, never over documents.
     """
     levels = [group[:k] for k in range(len(group), -1, -1)]
     quartiles = None
@@ -117,7 +128,7 @@ def limits(sketches: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
             F.min(F.when(F.col("below") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"),
             F.min(F.when(F.col("below") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("q3"))
         packed = one.groupBy(*keys).agg(F.first("total").alias(f"_t{depth}"), F.array_sort(F.collect_list(
-            F.struct("measure", "q1", "q3"))).alias(f"_r{depth}"))  # one entry per measure
+            F.struct("measure", bucket_value(F.col("q1")).alias("q1"), bucket_value(F.col("q3")).alias("q3")))).alias(f"_r{depth}"))  # one entry per measure
         if keys:
             same = F.lit(True)
             for k in keys:
@@ -126,7 +137,15 @@ def limits(sketches: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
         else:
             known = known.join(F.broadcast(packed), F.lit(True), "left")  # a single row
     last = len(levels) - 1
-    chosen = F.coalesce(*[F.when(F.col(f"_t{d}") >= LEAST_GROUP, F.col(f"_r{d}")) for d in range(last)], F.col(f"_r{last}"))
+
+    def blended(depth: int) -> Column:
+        if depth == last:
+            return F.col(f"_r{last}")
+        own = F.col(f"_t{depth}") / (F.col(f"_t{depth}") + LENT)
+        return F.zip_with(f"_r{depth}", blended(depth + 1), lambda r, above: F.struct(
+            r["measure"].alias("measure"), *[(own * r[q] + (1 - own) * above[q]).alias(q) for q in ("q1", "q3")]))
+
+    chosen = blended(0)
     spread = F.array(*[F.lit(m[1]) for m in MEASURES])
     both = F.array(*[F.lit(m[2] == "both") for m in MEASURES])
     return known.select(*group, F.transform(chosen, lambda r: F.struct(
@@ -135,13 +154,15 @@ def limits(sketches: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
         (r["q3"] + SPREADS * F.greatest(r["q3"] - r["q1"], F.get(spread, r["measure"]))).alias("high"))).alias("_ranges"))
 
 
-def judge(docs: DataFrame, text_col: str = "text", group: tuple[str, ...] = GROUP) -> DataFrame:
-    """``docs`` with the counts, ``base_failed`` and ``kept`` in the struct column ``_q``.
+def judge(docs: DataFrame, text_col: str = "text", group: tuple[str, ...] = GROUP, verdict_col: str = "_q") -> DataFrame:
+    """``docs`` with the counts, ``base_failed`` and ``kept`` in the struct column ``verdict_col``.
 
     The measured rows are written once to the shared folder, so texts are
     searched once.  Null languages or sources are groups of their own; rows
     that repeat an identifier are judged one by one; an empty table gives an
-    empty result; an existing column ``_q`` is replaced.
+    empty result; ``verdict_col`` gets underscores added where ``docs`` has a
+    column of that name, which stays as it is.  Empty and very long texts are
+    measured like any other.
     """
     held = cut(measured(docs, text_col), "quality")
     accepted = cut(limits(histograms(held, group), group), "quality-limits")
@@ -153,8 +174,8 @@ def judge(docs: DataFrame, text_col: str = "text", group: tuple[str, ...] = GROU
     fits = F.coalesce(F.forall(F.arrays_zip(measures.alias("v"), F.col("_ranges").alias("r")), lambda x: (
         x["v"] >= x["r"]["low"]) & (x["v"] <= x["r"]["high"])), F.lit(True))
     return held.join(accepted, same, "left").select(
-        *[F.col(f"_row.{c}") for c in docs.columns if c != "_q"],
-        F.col("_q").withField("kept", ~F.col("_q.base_failed") & fits).alias("_q"))
+        *[F.col(f"_row.`{c}`") for c in docs.columns],
+        F.col("_q").withField("kept", ~F.col("_q.base_failed") & fits).alias(unused(verdict_col, docs.columns)))
 
 
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

@@ -100,23 +100,27 @@ def battery(token: Column) -> Column:
     z_runs = F.abs(runs - 1 - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
     z_serial = F.abs(lagged / F.greatest(square, F.lit(1e-9))) * F.sqrt(n)
     random = (square > 0) & (z_chi < 4.0) & (z_runs < 3.5) & (z_serial < 3.5)
-    # Ordinary words: a class change at one place in twelve at most, coincidences of at least 0.06.
+    # Ordinary words, also joined by capitals, signs or digits: a class change at one place in three at most,
+    # coincidences of at least 0.05.
     pairs = n * (n - 1) / 2
-    z_words = (runs - 1 - (n - 1) / 12) / F.sqrt((n - 1) / 12 * (11 / 12))
-    z_coincide = (pairs * 0.06 - (same - n) / 2) / F.sqrt(pairs * 0.06 * 0.94)
-    digits = _normal_tail(z_words) + _normal_tail(z_coincide)
+    z_words = (runs - 1 - (n - 1) / 3) / F.sqrt((n - 1) * (2 / 9))
+    z_coincide = (pairs * 0.05 - (same - n) / 2) / F.sqrt(pairs * 0.05 * 0.95)
+    # Fisher's combination of the two p-values: of their product P it makes P * (1 - ln P).
+    product = _normal_tail(z_words) + _normal_tail(z_coincide)
+    digits = product - F.log10(1 + product * 2.302585092994046)
     stratum = F.lit(0)
     for limit in LENGTHS:
         stratum = stratum + (n >= limit).cast("int")
     return F.struct(
         F.coalesce(random, F.lit(False)).alias("random"),
-        F.least(F.floor(digits * 4), F.lit(STEPS)).cast("int").alias("evidence"), stratum.alias("stratum"))
+        # A token that some test of randomness rejects is a test without evidence.
+        F.when(random, F.least(F.floor(digits * 4), F.lit(STEPS))).otherwise(0).cast("int").alias("evidence"), stratum.alias("stratum"))
 
 
 def discovery_limits(tested: DataFrame, rate: float) -> DataFrame:
     """Benjamini-Hochberg within each length stratum: the least evidence that counts.
 
-    ``tested`` has one row per candidate.  The p-values are counted in steps
+    ``tested`` has one row per candidate, whatever its tests said.  The p-values are counted in steps
     (rounded up, so the control errs on the safe side); the table that is
     worked on has at most ``(STEPS + 1)`` rows per stratum.
     """
@@ -161,7 +165,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         lambda t: F.struct(t["s"].alias("s"), F.lit(len(kinds)).alias("r"), t["e"].alias("e"),
                            battery(t["v"]).alias("test"))).alias("token")), "secrets")
     limits = discovery_limits(
-        tested.select(F.explode("token.test").alias("t")).select("t.*").filter("random"), rate).collect()
+        tested.select(F.explode("token.test").alias("t")).select("t.*"), rate).collect()
     least = [STEPS + 1] * (len(LENGTHS) + 1)
     for row in limits:
         least[row["stratum"]] = row["limit"]

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import _IS_SPACE, _mix, blocks, cut, partitions, raw_bytes, table
+from .common import words as _word_hashes
 
 # Longest context in bytes; codes have room for ROOM.
 DEPTH = 6
@@ -35,10 +36,10 @@ SYMBOLS = 256
 # Words above one in so many tokens, of at most LONGEST bytes, are broadcast with their counts: at most FREQUENT words.
 FREQUENT = 4_000_000
 LONGEST = 32
-TEXTS = 6 << 20
+TEXTS = 3 << 20
 # Texts are turned into contexts in blocks of this many bytes, and a task counts this many symbols at a time.
 GRAMS = 2 << 20
-GATHERED = 8 << 20
+GATHERED = 4 << 20
 # A tree of more (context, symbol) rows meets the texts by shuffle.
 BROADCAST_TREE = 6_000_000
 # Rows of one task are put in whole contexts of SHARED bytes; shorter contexts are summed over tasks.
@@ -62,6 +63,14 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     return starts - starts[0], lists.flatten().dictionary_encode()
 
 
+def word_names(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each entry, which is a word or empty (0)."""
+    hashes, starts = _word_hashes(*raw_bytes(words), lower=False)
+    names = np.zeros(len(words), np.uint64)
+    names[np.diff(starts) > 0] = hashes
+    return names
+
+
 def word_counts(train: DataFrame, text_col: str) -> DataFrame:
     """``word, c`` over all texts, text ends included under ``END_KEY``; blocks are summed before the shuffle."""
     def count(batches):
@@ -351,23 +360,29 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     kept = cut(tree(gram_counts(train.select(text_col))), "tree")
     few = kept.limit(BROADCAST_TREE + 1).count() <= BROADCAST_TREE
     frequent = counts.filter((F.col("c") * FREQUENT >= total) & (F.octet_length("word") <= LONGEST)).toArrow()
+    ends = frequent.filter(pc.equal(frequent["word"], END_KEY))["c"].to_pylist()
+    frequent = frequent.filter(pc.not_equal(frequent["word"], END_KEY))
+    names = word_names(frequent["word"].combine_chunks())
+    order = np.argsort(names)
+    index = (names[order], np.append(frequent["c"].to_numpy()[order], 0))
+    del frequent, names, order
     pa.default_memory_pool().release_unused()
-    shared = spark.sparkContext.broadcast((
-        collected(kept) if few else None, frequent["word"].combine_chunks().cast(pa.large_string()), np.append(frequent["c"].to_numpy(), 0)))
+    # The workers get one number and one count per frequent word, in order, and search them: no table of words is built again.
+    shared = spark.sparkContext.broadcast((collected(kept) if few else None, *index, ends[0] if ends else 0))
 
     def run(batches):
-        arrays, known, times = shared.value
+        arrays, known, times, ends = shared.value
         model = Tree.of(*arrays) if few else None
         logs = np.log10(times + 1.0)
-        end = known.index(END_KEY).as_py()
         for batch in batches:
             for part in blocks(batch, "_t", TEXTS):
                 starts, entries = _tokens(part.column("_t"))
                 codes = entries.indices.to_numpy(zero_copy_only=False)
                 words = entries.dictionary
                 real = ~pc.equal(words, "").to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, bool)
-                at = pc.index_in(words, value_set=known).fill_null(len(known)).to_numpy(zero_copy_only=False) \
-                    if len(words) else np.zeros(0, np.int64)
+                own = word_names(words)
+                at = np.searchsorted(known, own)
+                at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] != own) if len(known) else slice(None)] = len(known)
                 rare = real & (at == len(known))
 
                 def per_text(values):
@@ -378,12 +393,12 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
                 keys = part.column("_k")
                 text = pa.StructArray.from_arrays([
                     part.column("_id"), pa.array(per_text(real.astype(np.int64)) + 1, pa.int64()),
-                    pa.array(per_text((real & (at < len(known))).astype(np.int64)) + (end >= 0), pa.int64()),
-                    pa.array(per_text(np.where(real, logs[at], 0.0)) + logs[end] * (end >= 0), pa.float64()),
+                    pa.array(per_text((real & (at < len(known))).astype(np.int64)) + (ends > 0), pa.int64()),
+                    pa.array(per_text(np.where(real, logs[at], 0.0)) + math.log10(ends + 1), pa.float64()),
                     pa.array(model.word_scores(part.column("_t")) if few else np.zeros(n), pa.float64())], ["id", "n_tokens", "known", "logs", "score"])
                 # The row of the text itself carries no word: its hash is only there to spread such rows.
                 yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(keys.to_numpy() * np.int64(0x9E3779B97F4A7C1)), pa.array(np.zeros(n, np.int64)), text, pa.nulls(n, pa.int64())], names)
+                    [keys, pa.array(keys.to_numpy() * np.int64(0x9E3779B97F4A7C1)), pa.array(np.zeros(n, np.int64)), text, pa.nulls(n, pa.int64())], columns)
                 names_of = np.zeros(len(words), np.uint64)
                 spelled = words.take(pa.array(np.flatnonzero(rare))).to_pylist()
                 names_of[rare] = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in spelled), np.uint64, len(spelled))
@@ -393,7 +408,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
                 pairs, often = np.unique(owner * len(words) + codes[where], return_counts=True)
                 yield pa.RecordBatch.from_arrays([
                     keys.take(pa.array(pairs // max(1, len(words)))), pa.array(names_of[pairs % max(1, len(words))]),
-                    pa.array(often, pa.int64()), pa.nulls(len(pairs), text.type), pa.nulls(len(pairs), pa.int64())], names)
+                    pa.array(often, pa.int64()), pa.nulls(len(pairs), text.type), pa.nulls(len(pairs), pa.int64())], columns)
                 at = 0
                 for codes, begins in text_grams(part.column("_t")) if not few else ():
                     owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
@@ -403,10 +418,10 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
                     yield pa.RecordBatch.from_arrays([
                         keys.take(pa.array(at + owner[first])), pa.nulls(len(first), pa.int64()),
                         pa.array(np.diff(first, append=len(codes))), pa.nulls(len(first), text.type),
-                        pa.array(codes[first].view(np.int64))], names)
+                        pa.array(codes[first].view(np.int64))], columns)
                     at += len(begins) - 1
 
-    names = ["_k", "h", "k", "text", "gram"]
+    columns = ["_k", "h", "k", "text", "gram"]
     id_type = docs.schema[id_col].dataType.simpleString()
     # Rows are told apart by their place in the scan, which a rerun of a task repeats.
     rows = docs.select(F.monotonically_increasing_id().alias("_k"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t")) \

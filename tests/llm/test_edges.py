@@ -6,9 +6,11 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
-from cloakframe.llm import bpe, language, mixing, periodic, personal, suffix_tree, warc, whitening
+import corpus_pipeline
+from cloakframe.llm import bpe, language, mixing, periodic, personal, quality, suffix_tree, warc, whitening
 from cloakframe.llm.common import blocks, raw_bytes, words
 from cloakframe.llm.components import components
 from cloakframe.llm.exact_dedup import exact_groups
@@ -323,14 +325,14 @@ def test_quality(spark, docs, nothing):
     assert len(got) == docs.count() and got[0].asDict()["_t"] in ("x", None)
     for r in got:
         if r["doc_id"] is not None:
-            assert tuple(r["_q"])[:5] == brute.quality_counts(TEXTS[r["doc_id"]])
+            assert r["_q"] == "y" and tuple(r["_q_"])[:5] == brute.quality_counts(TEXTS[r["doc_id"]])
     assert judge(nothing).count() == 0
 
 
 def test_words_in_any_block(monkeypatch):
     texts = pa.array(["A b\x0bc", "", None, "x" * 50 + " y", "é z"])
     whole = words(*raw_bytes(texts))
-    monkeypatch.setattr("cloakframe.llm.common.BLOCK", 3)
+    monkeypatch.setattr("cloakframe.llm.common.STRIDE", 3)
     parted = words(*raw_bytes(texts))
     assert whole[0].tolist() == parted[0].tolist() and whole[1].tolist() == [0, 3, 3, 3, 5, 6]
 
@@ -488,3 +490,91 @@ def test_field_finds_unknown_spellings(spark):
     got = {r["doc_id"]: [(asked[r["doc_id"]][x["s"]:x["e"]], x["kind"]) for x in r["added"]]
            for r in personal.find_personal(frame).filter("doc_id >= 10000").collect()}
     assert got == {10_000: [("(415) 555-2671", "phone")], 10_001: [("john @ mail.example.com", "email")], 10_002: [], 10_003: [], 10_004: []}
+
+
+def test_limits_change_little_by_little(spark):
+    """One document more or less in a group moves its limits a little; there is no size at which other limits begin."""
+    def limit(n):
+        prose = " ".join(f"w{j}" for j in range(30))
+        made = [(f"s{k}", prose + " x#" * (k * 4 + i % 3)) for k, m in ((0, 3000), (1, n)) for i in range(m)]
+        frame = spark.createDataFrame([(i, "en", s, t) for i, (s, t) in enumerate(made)], "doc_id bigint, lang string, source string, text string")
+        rows = quality.limits(quality.histograms(quality.measured(frame))).filter("source = 's1'").first()
+        return rows["_ranges"][0]["high"]
+
+    steps = [limit(n) for n in (1, 198, 199, 200, 201, 2000)]
+    assert all(a < b for a, b in zip(steps, steps[1:])) and max(b - a for a, b in zip(steps[1:4], steps[2:5])) < 1
+
+
+def test_buckets_have_no_top(spark):
+    values = [0, 1, 999, 1000, 1001, 50_000, 50_100, 10 ** 9, 10 ** 15]
+    frame = spark.createDataFrame([(v,) for v in values], "v bigint")
+    got = [r for r, in frame.select(quality.bucket_value(quality.bucket(F.col("v")))).collect()]
+    assert all(v * 0.998 <= g <= v * 1.0001 for v, g in zip(values, got)) and len(set(got)) >= len(values) - 1
+
+
+def test_false_discoveries_of_the_secret_scan(spark):
+    """Among many written tokens and some random ones, hardly any written one is taken for random, as the rate asks."""
+    rng = random.Random(21)
+    words_of = ["Internal", "Value", "Request", "Handler", "config", "Factory", "stream", "Buffer", "index", "Parser", "get", "Http", "Node", "tree", "User", "2024", "v2"]
+    written = ["".join(rng.choice(words_of) for _ in range(rng.randint(4, 9))) for _ in range(4000)]
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    drawn = ["".join(rng.choice(chars) for _ in range(rng.randint(28, 60))) for _ in range(400)]
+    made = [(i, f"see {t} here") for i, t in enumerate(written + drawn)]
+    got = {r["doc_id"] for r in find_secrets(spark.createDataFrame(made, "doc_id bigint, text string")).collect() if r["random"]}
+    wrong, right = sum(i < 4000 for i in got), sum(i >= 4000 for i in got)
+    print(wrong, right)
+    assert right >= 300 and wrong <= max(2, 0.01 * len(got))
+
+
+def test_fisher_combines_two_tests():
+    """Of the product P of two independent p-values, P * (1 - ln P) is one again."""
+    rng = np.random.default_rng(5)
+    product = rng.uniform(size=200_000) * rng.uniform(size=200_000)
+    combined = product * (1 - np.log(product))
+    assert all(abs((combined < q).mean() - q) < 0.01 for q in (0.01, 0.1, 0.5, 0.9))
+
+
+def test_mix_in_slices_is_one_systematic_rounding(spark, monkeypatch):
+    """However many slices a size has, every stretch of documents gets its rates, within one copy."""
+    monkeypatch.setattr(mixing, "SLICE", 7)
+    made = spark.createDataFrame([(i, "w " * (i % 4), "ab"[i % 10 == 0]) for i in range(900)], "doc_id bigint, text string, source string")
+    got = mixing.mix(made).collect()
+    for source in "ab":
+        own = [r for r in got if r["_source"] == source]
+        assert abs(sum(r["_copies"] * r["_size"] for r in own) - own[0]["target"]) <= 3
+        for size in range(4):
+            copies = [r["_copies"] for r in own if r["_size"] == size]
+            assert not copies or max(copies) - min(copies) <= 1
+
+
+def test_stages_pass_odd_rows_and_any_column_names(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, and columns named like those used inside."""
+    names = ["_q", "_row", "_w", "_lines", "_removed", "_gone", "_id", "_h", "_t", "_copies", "_copy", "_size", "_source", "component_id", "n", "d1", "kept"]
+    prose = [" ".join(f"w{(i * 31 + j * j) % 997}" for j in range(60)) for i in range(6)]
+    made = [(i, t, "en" if i % 2 else None, None if i % 3 == 0 else "s", None) for i, t in enumerate([*prose, None, "", " \n", "\n".join(prose), LONG])]
+    made += [made[1], (None, prose[2] + " no id", "en", "s", 5)]
+    docs = spark.createDataFrame([(*r, *[f"{n}-{r[0]}" for n in names]) for r in made],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert all(r[n] == f"{n}-{r['doc_id']}" or r["doc_id"] is None for n in names), name
+        empty = stage(spark, docs.limit(0), "")
+        assert empty.columns == docs.columns and empty.count() == 0, name
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert left[6] is None and left[7] == "" and left[8] == " \n" and 9 not in left
+    near = [r["doc_id"] for r in corpus_pipeline.jaccard_join(spark, docs, "").collect()]
+    assert sorted(d for d in near if d is not None) == [0, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10] and None in near
+    tokens = corpus_pipeline.bpe_round_trip(spark, docs, "").collect()
+    assert len(tokens) == len(made) and all(r["restored"] for r in tokens) and corpus_pipeline.bpe_round_trip(spark, docs.limit(0), "").count() == 0
+
+
+def test_other_patterns_see_whole_texts(vocabulary):
+    path, _ = vocabulary
+    ranks = bpe.read_ranks(path)
+    pattern = r"(?s)..?.?"
+    encoder = bpe.Encoder(bpe.PerfectHash(ranks), pattern)
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["one two  three", " x", "", "né é"]
+    assert encoder.block(pa.array(texts)).to_pylist() == [known.encode_ordinary(t) for t in texts]
