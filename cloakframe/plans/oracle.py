@@ -467,6 +467,8 @@ UNION ALL SELECT event_id, NULL, NULL, k, event_type, NULL FROM {_JSON_BASE} WHE
 UNION ALL SELECT event_id, NULL, NULL, NULL, NULL, CAST(user_id AS VARCHAR) FROM events WHERE event_id % 4 = 3""",
     "query_source": f"SELECT 'database' AS source_id, c_custkey, field_path, {_HIT} FROM ("
     + _hits_of_fields(_QUERY_ROWS, "c_custkey", {"email": "email", "phone": "phone"}) + ")",
+    "query_rows_numbered": """SELECT row_number() OVER (ORDER BY customer NULLS LAST) - 1 AS record_index, customer
+FROM (SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS customer FROM orders)""",
     "query_scan_job": """
 SELECT entity_type, 'redact' AS mode, field_path, '[R***' || right(entity_type, 1) || ']' AS sanitized_preview,
   count(*) AS transformations FROM ("""

@@ -716,6 +716,15 @@ def query_source(spark, folder):
     return detect(records).select("source_id", F.col("record_index").alias("c_custkey"), "field_path", *HIT_COLUMNS)
 
 
+@register
+def query_rows_numbered(spark, folder):
+    """Rows of a query without a key, numbered in the order of a column, the same however they are read."""
+    _table(spark, folder, "orders").createOrReplaceTempView("orders")
+    query = "select o_orderkey, if(o_orderkey % 7 = 0, null, o_custkey) as customer, o_orderpriority from orders"
+    found = jobs.staged(load_query(spark, query, split_by="customer", parts=5), "query-rows")
+    return found.select("record_index", "content.customer")
+
+
 @register
 def query_scan_job(spark, folder):
     """Query scan: transformations listed, no data written."""

@@ -14,6 +14,7 @@ from cloakframe.shared import cut
 from cloakframe.sources import csv as csv_source
 from cloakframe.sources import json as json_source
 from cloakframe.sources.json_blocks import depths, structure
+from cloakframe.sources.query import key_bounds, key_ranges, load_query
 
 NEVER = 1 << 40
 
@@ -163,3 +164,25 @@ def test_headers(spark, tmp_path):
     assert got == [(["id", "two\nlines"], ["c.csv"]), (["id", "x"], ["a.csv", "b.csv"]), (["other"], ["d.CSV"])]
     with pytest.raises(ValueError, match="different headers"):
         csv_source.load_csv(spark, str(tmp_path))
+
+
+def test_query_rows_have_equal_numbers_for_any_number_of_parts(spark):
+    spark.range(500).selectExpr("if(id % 11 = 0, null, id * 7919 % 61) as k", "id", "cast(id as string) as t").createOrReplaceTempView("numbered")
+    got = []
+    for parts in (1, 3, 16):
+        frame = index_records(cut(load_query(spark, "select * from numbered", split_by="k", parts=parts)))
+        got.append({r["id"]: r["record_index"] for r in frame.select("content.id", "record_index").collect()})
+    assert got[0] == got[1] == got[2] and sorted(got[0].values()) == list(range(500))
+    assert max(got[0][i] for i in range(500) if i % 11) < min(got[0][i] for i in range(0, 500, 11))
+
+
+def test_key_ranges_part_all_rows(spark):
+    rows = spark.sql("select if(id % 9 = 0, null, cast(id % 40 as string)) as k, id from range(300)")
+    for kind in ("string", "int", "date"):
+        keys = rows.select((F.date_add(F.lit("2024-01-01"), F.col("k").cast("int")) if kind == "date" else F.col("k").cast(kind)).alias("k"))
+        bounds = key_bounds(keys, 6)
+        assert 3 <= len(bounds) <= 5
+        conditions = [c.replace("{d ", "date ").replace("}", "") for c in key_ranges("k", bounds)]
+        counts = [keys.filter(c).count() for c in conditions]
+        assert sum(counts) == 300 and max(counts) < 120
+    assert key_ranges("k", ["o'x"]) == ["k < 'o''x'", "k >= 'o''x'", "k IS NULL"]
