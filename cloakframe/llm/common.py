@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut, ship
+from ..shared import cut, delete_path, shared_dir, ship
 
 # White space between words: the space and the characters 9 to 13.
 SPACES = r"\x20\x09-\x0D"
@@ -19,7 +19,7 @@ BLOCK = 1 << 20
 # Running sums over the bytes of a block are taken in strides that stay in the processor's cache.
 STRIDE = 1 << 16
 
-__all__ = ["BLOCK", "SPACES", "WORD", "Words", "blocks", "cut", "hot_slots", "partitions", "raw_bytes", "shingles", "ship", "table", "text_of", "unused", "words"]
+__all__ = ["BLOCK", "SPACES", "WORD", "Words", "blocks", "cut", "drop", "hot_slots", "partitions", "raw_bytes", "shingles", "ship", "table", "text_of", "unused", "words"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,6 +44,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def drop(df: DataFrame) -> None:
+    """Remove the written tables (see ``cut``) that ``df`` reads; what follows reads others."""
+    spark = df.sparkSession
+    root = shared_dir(spark).rstrip("/").rsplit("/", 1)[-1]
+    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        if path.rsplit("/", 2)[1] == root:  # a folder right below the shared one
+            delete_path(spark, path)
+
+
 def hot_slots(df: DataFrame, key: Column, slots: int) -> DataFrame:
     """Keys that hold more rows than half an even share, and over how many slots to spread each.
 

@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import lookup_join
-from .common import blocks, cut, partitions, table
+from .common import blocks, cut, drop, partitions, table
 from .components import components
 from .families import (ABOVE, BELOW, Sets, dealt, digests, each_group, families, least_common, ordered_sets, prefixes,
-                       rarity, similar, text_shingles, with_leaders)
+                       rarity, similar, taken, text_shingles, with_leaders)
 
 FANOUT = 6
 # Identifiers that select texts are broadcast up to this many; beyond, texts and identifiers meet by shuffle.
@@ -194,15 +194,13 @@ def postings(docs: DataFrame, sets: Sets, classes: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in blocks(batch, "_t", 8 << 20):
-                values, starts = ordered_sets(*sets(part), shared.value)
-                first = np.zeros(len(part), bool)
-                first[np.unique(np.stack(digests(values, starts)), axis=1, return_index=True)[1]] = True
-                owner, keys = prefixes(values, starts)
-                posted = first[owner]
+            for part in blocks(batch, "_t", 4 << 20):
+                values, starts = sets(part)
+                # Equal lists of shingles are known before they are put in order.
+                which = np.sort(np.unique(np.stack(digests(values, starts)), axis=1, return_index=True)[1])
+                owner, keys = prefixes(*ordered_sets(*taken(values, starts, which), shared.value))
                 ids = part.column("_id").to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[posted]), pa.array(ids[owner[posted]])], ["key", "_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[which[owner]])], ["key", "_id"])
 
     return docs.mapInArrow(run, "key bigint, _id bigint")
 
@@ -326,9 +324,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "_id", "n", F.when((F.col("n") > 0) & F.col("_rep").isNotNull(), F.col("_rep")).otherwise(F.col("_id")).alias("_rep")), "copies")
 
     known = rows.filter(F.col("_id").isNotNull())
-    pairs = dealt(with_leaders(families(postings(known, sets, classes), ["_id"]), ["_id"]), ["_id"])
+    found = with_leaders(families(postings(known, sets, classes), ["_id"]), ["_id"])
+    placed = cut(dealt(found, ["_id"]), "pairs")
+    drop(found)
     # Rows that share an identifier have a bitmap each.
-    pairs = cut(promising(cut(pairs, "pairs"), filled.select("_id", "n", "bits")).distinct(), "promising")
+    pairs = cut(promising(placed, filled.select("_id", "n", "bits")).distinct(), "promising")
+    drop(placed)
+    drop(own)
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def pack(batches):
@@ -338,8 +340,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(
                     [values[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary())], ["_id", "set"])
 
-    taken = fetch(known, pairs.select("_id").distinct()).mapInArrow(pack, "_id bigint, set binary")
-    links = family_links(pairs, taken)
+    packed = fetch(known, pairs.select("_id").distinct()).mapInArrow(pack, "_id bigint, set binary")
+    links = family_links(pairs, packed)
     # Copies stand for each other: links are followed between representatives.
     copies = named.filter("_id != _rep").select(F.col("_id").alias("u"), F.col("_rep").alias("v"))
     group = components(links.unionByName(copies))
