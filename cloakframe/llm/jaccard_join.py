@@ -249,7 +249,10 @@ def family_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     parts = partitions(pairs.sparkSession)
     several = pairs.filter("_nb > 1").limit(1).count() > 0
     # Only families of several blocks are read again.
-    placed = cut(pairs.join(sets, "_id"), "families") if several else pairs.join(sets, "_id")
+    # Sets go to their families straight from the tasks that make them, if the pairs are few.
+    few = pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    both = sets.join(F.broadcast(pairs), "_id") if few else pairs.join(sets, "_id")
+    placed = cut(both, "families") if several else both
     is_leader = F.col("_id") == F.col("l__id")
     # The leader takes part in every block.
     first = placed.withColumn("_b", F.explode(F.when(
