@@ -184,7 +184,7 @@ def _read(spark: SparkSession, paths: list[str], names: list[str], multi_line: b
     frame = reader.schema(_schema(names)).csv(paths).select(
         "*", F.col(FILE_PATH).alias("source_id"), F.struct(
             F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")).alias("position"))
-    return spread(frame) if multi_line else frame
+    return spread(frame, "position.seq") if multi_line else frame
 
 
 def _records(frame: DataFrame, names: list[str]) -> DataFrame:

@@ -98,12 +98,15 @@ def bare_path(path: str) -> str:
     return re.sub(r"\A(\w+:)/{2,3}(?=[^/])", r"\1/", path)
 
 
-def spread(frame: DataFrame) -> DataFrame:
+def spread(frame: DataFrame, order: str | None = None) -> DataFrame:
     """Rows of files that cannot be split, dealt to all cores if the files keep less than half of them busy.
 
     For a frame that comes straight from a reader: its number of tasks is
     planned without running anything.  Files that can be split are split finer
     than that unless they are small, so only work is moved that would wait.
+    Rows stay in the order of a column, if one is named.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if 2 * frame.rdd.getNumPartitions() <= cores else frame
+    if 2 * frame.rdd.getNumPartitions() > cores:
+        return frame
+    return frame.repartition(cores) if order is None else frame.repartitionByRange(cores, order).sortWithinPartitions(order)
