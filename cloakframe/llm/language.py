@@ -19,105 +19,235 @@ from pyspark.sql import functions as F
 from .bpe import public_vocabulary, read_ranks
 from .common import blocks, cut, raw_bytes, table
 
-# Pieces of up to this many bytes are used; longer vocabulary entries are left out.
-PIECE = 8
-# Longer words are scored in parts of this many bytes.
-WIDTH = 32
+# Words up to this many bytes are scored many at a time, a longer one by itself.
+LONG = 512
+# Sums are scaled after so many bytes, so that long words do not run out of the number range.
+STEP = 8
+# A long word's pieces are looked up for so many starts at a time.
+STARTS = 1 << 16
 # About so many labelled documents per language are fitted on, chosen by a hash of the identifier.
 SAMPLE = 3_000
 ROUNDS = 3
 SMOOTH = 0.01
-# Texts are taken in blocks of this size, words in groups of this many.
+# Texts are taken in blocks of this size; words in groups of at most this many, whose sums hold about so many numbers.
 TEXTS = 8 << 20
 GROUP = 1 << 14
+CELLS = 1 << 21
 _LETTERS = r"[^\p{L}]+"
 
 
 class Pieces:
-    """The vocabulary by piece length: sorted codes (the bytes as one number) and piece numbers."""
+    """The vocabulary as a tree of bytes: node 0 is the root, the others are numbered by their sorted keys.
+
+    A node's key is its parent's number and its own byte; ``piece`` is the
+    number of the piece that ends in a node, or -1.
+    """
 
     def __init__(self, vocabulary: list[bytes]) -> None:
         self.size = len(vocabulary)
-        self.codes, self.ids = [], []
-        for n in range(1, PIECE + 1):
-            own = sorted((int.from_bytes(p, "big"), i) for i, p in enumerate(vocabulary) if len(p) == n)
-            self.codes.append(np.array([c for c, _ in own], np.uint64))
-            self.ids.append(np.array([i for _, i in own], np.int64))
-
-    def lattice(self, matrix: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """``(start, end, rows, pieces)`` of every piece that occurs in the words, starts in order."""
-        for start in range(matrix.shape[1]):
-            code = np.zeros(len(matrix), np.uint64)
-            for n in range(1, min(PIECE, matrix.shape[1] - start) + 1):
-                code = (code << np.uint64(8)) | matrix[:, start + n - 1]
-                known = self.codes[n - 1]
-                if not len(known):
-                    continue
-                at = np.minimum(np.searchsorted(known, code), len(known) - 1)
-                rows = np.flatnonzero((known[at] == code) & (start + n <= sizes))
-                if len(rows):
-                    yield start, start + n, rows, self.ids[n - 1][at[rows]]
+        self.longest = max(map(len, vocabulary), default=0)
+        number, keys, piece = {b"": 0}, [], [-1]
+        ids = {p: i for i, p in enumerate(vocabulary)}
+        for n in range(1, self.longest + 1):
+            for prefix in sorted({p[:n] for p in vocabulary if len(p) >= n}):
+                number[prefix] = len(piece)
+                keys.append(number[prefix[:-1]] << 8 | prefix[-1])
+                piece.append(ids.get(prefix, -1))
+        self.keys, self.piece = np.array(keys, np.int64), np.array(piece, np.int64)
+
+    def _step(self, nodes: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which nodes go on with the given bytes, and the nodes these lead to."""
+        wanted = nodes << 8 | following
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        goes = self.keys[at] == wanted
+        return goes, at[goes] + 1
+
+    def starting(self, matrix: np.ndarray, sizes: np.ndarray, start: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``(end, rows, pieces)`` of every piece that starts there in the words, whose sizes ascend."""
+        rows = np.arange(np.searchsorted(sizes, start, side="right"), len(sizes))
+        nodes = np.zeros(len(rows), np.int64)
+        for end in range(start + 1, matrix.shape[1] + 1):
+            if len(rows) and sizes[rows[0]] < end:
+                going = sizes[rows] >= end
+                rows, nodes = rows[going], nodes[going]
+            if not len(rows):
+                return
+            goes, nodes = self._step(nodes, matrix[rows, end - 1])
+            rows = rows[goes]
+            ids = self.piece[nodes]
+            ending = ids >= 0
+            if ending.any():
+                yield end, rows[ending], ids[ending]
+
+    def edges(self, data: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ends and numbers of the pieces of one word that start in a range, by start, and where each start's begin."""
+        starts, nodes, found = np.arange(low, high), np.zeros(high - low, np.int64), []
+        for n in range(1, self.longest + 1):
+            going = starts + n <= len(data)
+            starts, nodes = starts[going], nodes[going]
+            if not len(starts):
+                break
+            goes, nodes = self._step(nodes, data[starts + n - 1])
+            starts = starts[goes]
+            ids = self.piece[nodes]
+            ending = ids >= 0
+            found.append((starts[ending], np.full(ending.sum(), n), ids[ending]))
+        start, n, ids = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(start, kind="stable")
+        start, n, ids = start[order], n[order], ids[order]
+        return start + n, ids, np.searchsorted(start, np.arange(low, high + 1))
 
 
 def pieces_of(path: str) -> list[bytes]:
-    """Pieces of the public vocabulary that are used: all single bytes and entries of up to ``PIECE`` bytes."""
-    return sorted({bytes([b]) for b in range(256)} | {t for t in read_ranks(path) if len(t) <= PIECE})
+    """Pieces of the public vocabulary: all single bytes and every entry."""
+    return sorted({bytes([b]) for b in range(256)} | set(read_ranks(path)))
 
 
-def _groups(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(word numbers, bytes matrix, sizes)`` of words with a space in front, similar sizes together.
+def _groups(words: pa.Array, most: int, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(word numbers, bytes matrix, sizes)`` of words with a space in front, sizes in order.
 
-    A word longer than ``WIDTH`` bytes appears once per part.
+    Up to ``most`` words of up to ``LONG`` bytes come together, ``cells`` bytes
+    at most; a longer one comes alone.
     """
     data, ends = raw_bytes(words)
-    data, sizes = np.append(data, np.zeros(WIDTH + 1, np.uint8)), np.diff(ends)
-    parts = np.maximum(1, -(-sizes // WIDTH))
-    owner = np.repeat(np.arange(len(sizes)), parts)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-    starts = ends[owner] + nth * WIDTH
-    length = np.minimum(ends[owner + 1] - starts, WIDTH)
-    order = np.argsort(length, kind="stable")
-    for at in range(0, len(order), GROUP):
-        own = order[at:at + GROUP]
-        first = nth[own] == 0
-        widest = int(length[own].max(initial=0)) + 1
-        matrix = np.zeros((len(own), widest), np.uint64)
-        matrix[:, 1:] = data[starts[own][:, None] + np.arange(widest - 1)]
-        matrix[:, 0] = 32
-        later = np.flatnonzero(~first)  # further parts of a long word have no space in front
-        matrix[later, :-1] = matrix[later, 1:]
-        yield owner[own], matrix, length[own] + first
+    data, sizes = np.append(data, np.zeros(LONG, np.uint8)), np.diff(ends)
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        many = max(1, min(most, cells // (min(int(sizes[order[min(at + most, len(order)) - 1]]), LONG) + 1)))
+        own = order[at:at + many]
+        if sizes[own[-1]] > LONG:
+            own = own[:max(1, np.searchsorted(sizes[own], LONG, side="right"))]
+        widest = int(sizes[own[-1]])
+        matrix = np.full((len(own), widest + 1), 32, np.uint8)
+        matrix[:, 1:] = data[ends[own][:, None] + np.arange(widest)]
+        yield own, matrix, sizes[own] + 1
+        at += len(own)
+
+
+def _positive(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x, 1.0)
+
+
+def _log(x: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(x, 1e-300))
+
+
+def _long_score(pieces: Pieces, chance: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Natural log probability of one word in every language, range by range of starts."""
+    sums = np.zeros((pieces.longest + 1, chance.shape[1]))
+    sums[0], told = 1.0, np.zeros(chance.shape[1])
+    for low in range(0, len(data), STARTS):
+        high = min(low + STARTS, len(data))
+        ends, ids, begins = pieces.edges(data, low, high)
+        ends, sums = ends - low, np.concatenate([sums, np.zeros((high - low, chance.shape[1]))])
+        for start in range(high - low):
+            here = sums[start]
+            if start % STEP == 0:
+                top = _positive(here)
+                told += np.log(top)
+                sums[start:start + pieces.longest + 1] /= top
+            own = slice(begins[start], begins[start + 1])
+            sums[ends[own]] += here * chance[ids[own]]
+        sums = sums[high - low:]
+    return _log(sums[0]) + told
 
 
 def word_scores(pieces: Pieces, chance: np.ndarray, words: pa.Array) -> np.ndarray:
     """Natural log probability of every word in every language; ``chance`` is pieces by languages."""
-    scores = np.zeros((len(words), chance.shape[1]))
-    for owner, matrix, sizes in _groups(words):
-        forward = np.zeros((matrix.shape[1] + 1, len(matrix), chance.shape[1]))
-        forward[0] = 1.0
-        for start, end, rows, ids in pieces.lattice(matrix, sizes):
-            forward[end, rows] += forward[start, rows] * chance[ids]
-        np.add.at(scores, owner, np.log(np.maximum(forward[sizes, np.arange(len(matrix))], 1e-300)))
+    languages = chance.shape[1]
+    scores = np.zeros((len(words), languages))
+    ahead = pieces.longest + STEP
+    most = max(1, min(GROUP, CELLS // (ahead * max(1, languages))))
+    for owner, matrix, sizes in _groups(words, most, CELLS // 2):
+        if sizes[0] > LONG + 1:
+            scores[owner[0]] = _long_score(pieces, chance, matrix[0])
+            continue
+        sums = np.zeros((ahead, len(owner), languages))
+        sums[0], told, base = 1.0, np.zeros((len(owner), languages)), 0
+        for start in range(matrix.shape[1] + 1):
+            if start - base == STEP:
+                sums[:-STEP] = sums[STEP:]
+                sums[-STEP:] = 0.0
+                base, top = start, _positive(sums[0])
+                told += np.log(top)
+                sums[:-STEP] /= top
+            here = sums[start - base]
+            done = slice(*np.searchsorted(sizes, [start, start + 1]))
+            scores[owner[done]] = _log(here[done]) + told[done]
+            for end, rows, ids in pieces.starting(matrix, sizes, start):
+                sums[end - base, rows] += here[rows] * chance[ids]
     return scores
 
 
+def _long_counts(pieces: Pieces, chance: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Piece numbers and expected counts of one word, range by range of starts; ``chance`` is of its language."""
+    size, reach = len(data), pieces.longest + 1
+    forward, told = np.zeros(size + reach), np.zeros(size // STEP + 1)
+    forward[0] = 1.0
+    for low in range(0, size, STARTS):
+        ends, ids, begins = pieces.edges(data, low, min(low + STARTS, size))
+        likely = chance[ids]
+        for start in range(low, min(low + STARTS, size)):
+            if start % STEP == 0 and start:
+                top = forward[start] or 1.0
+                told[start // STEP] = told[start // STEP - 1] + np.log(top)
+                forward[start:start + reach] /= top
+            own = slice(begins[start - low], begins[start - low + 1])
+            forward[ends[own]] += forward[start] * likely[own]
+    # The end is reached from the block of the last start; its own sums were not scaled since.
+    whole = _log(forward[size]) + told[(size - 1) // STEP]
+    backward, back = np.zeros(size + reach), 0.0
+    backward[size] = 1.0
+    for low in range((size - 1) // STARTS * STARTS, -1, -STARTS):
+        ends, ids, begins = pieces.edges(data, low, min(low + STARTS, size))
+        likely, share = chance[ids], np.zeros(len(ids))
+        for start in range(min(low + STARTS, size) - 1, low - 1, -1):
+            if start % STEP == STEP - 1:
+                top = backward[start + 1] or 1.0
+                back += np.log(top)
+                backward[start + 1:start + 1 + reach] /= top
+            own = slice(begins[start - low], begins[start - low + 1])
+            way = likely[own] * backward[ends[own]]
+            backward[start] = way.sum()
+            share[own] = way * (forward[start] * np.exp(told[start // STEP] + back - whole))
+        yield ids, share
+
+
 def expected_counts(pieces: Pieces, chance: np.ndarray, words: pa.Array, language: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Forward-backward counts of the pieces, by language, in words seen ``times`` often."""
     counts = np.zeros(chance.shape)
-    for owner, matrix, sizes in _groups(words):
-        lang, each = language[owner], np.arange(len(matrix))
-        forward = np.zeros((matrix.shape[1] + 1, len(matrix)))
-        backward = np.zeros_like(forward)
-        forward[0], backward[sizes, each] = 1.0, 1.0
-        edges = list(pieces.lattice(matrix, sizes))
-        for start, end, rows, ids in edges:
-            forward[end, rows] += forward[start, rows] * chance[ids, lang[rows]]
-        for start, end, rows, ids in sorted(edges, key=lambda e: -e[0]):
-            backward[start, rows] += backward[end, rows] * chance[ids, lang[rows]]
-        whole = np.maximum(forward[sizes, each], 1e-300)
-        for start, end, rows, ids in edges:
-            share = forward[start, rows] * chance[ids, lang[rows]] * backward[end, rows] / whole[rows]
-            np.add.at(counts, (ids, lang[rows]), share * times[owner[rows]])
+    for owner, matrix, sizes in _groups(words, GROUP, CELLS // 8):
+        lang, seen, width = language[owner], times[owner], matrix.shape[1]
+        if sizes[0] > LONG + 1:
+            for ids, share in _long_counts(pieces, chance[:, lang[0]], matrix[0]):
+                counts[:, lang[0]] += np.bincount(ids, share * seen[0], len(counts))
+            continue
+        forward, told = np.zeros((width + 1, len(owner))), np.zeros((width // STEP + 1, len(owner)))
+        forward[0] = 1.0
+        whole = np.zeros(len(owner))
+        for start in range(width + 1):
+            block = start // STEP
+            if start % STEP == 0 and start:
+                top = _positive(forward[start])
+                told[block] = told[block - 1] + np.log(top)
+                forward[start:start + pieces.longest] /= top
+            done = slice(*np.searchsorted(sizes, [start, start + 1]))
+            whole[done] = _log(forward[start, done]) + told[block, done]
+            for end, rows, ids in pieces.starting(matrix, sizes, start):
+                forward[end, rows] += forward[start, rows] * chance[ids, lang[rows]]
+        backward, back = np.zeros((width + 1, len(owner))), np.zeros(len(owner))
+        backward[sizes, np.arange(len(owner))] = 1.0
+        for start in range(width - 1, -1, -1):
+            if start % STEP == STEP - 1:
+                top = _positive(backward[start + 1])
+                back += np.log(top)
+                backward[start + 1:start + 1 + pieces.longest] /= top
+            here = forward[start] * np.exp(told[start // STEP] + back - whole) * seen
+            for end, rows, ids in pieces.starting(matrix, sizes, start):
+                way = chance[ids, lang[rows]] * backward[end, rows]
+                backward[start, rows] += way
+                np.add.at(counts, (ids, lang[rows]), way * here[rows])
     return counts
 
 
@@ -137,8 +267,8 @@ def fit(labelled: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
     spark = labelled.sparkSession
     sizes = {r["_lang"]: r["n"] for r in labelled.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
-    vocabulary = pieces_of(path)
-    chance = np.full((len(vocabulary), len(languages)), 1.0 / len(vocabulary))
+    pieces = Pieces(pieces_of(path))
+    chance = np.full((pieces.size, len(languages)), 1.0 / pieces.size)
     if not languages:
         return [], chance
     limits = F.create_map(*[x for s in languages for x in (F.lit(s), F.lit(min(1.0, SAMPLE / sizes[s])))])
@@ -158,13 +288,13 @@ def fit(labelled: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
     words = cut(sample.select("_t", number[F.col("_lang")].alias("_l")).mapInArrow(count, "_l int, word string, n bigint")
                 .filter("word != ''").groupBy("_l", "word").agg(F.sum("n").alias("n")), "language-words")
     for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((vocabulary, chance))
+        shared = spark.sparkContext.broadcast((pieces, chance))
 
         def expect(batches):
             known, now = shared.value
-            pieces, total = Pieces(known), np.zeros(now.shape)
+            total = np.zeros(now.shape)
             for batch in batches:
-                total += expected_counts(pieces, now, batch.column("word"), batch.column("_l").to_numpy(), batch.column("n").to_numpy())
+                total += expected_counts(known, now, batch.column("word"), batch.column("_l").to_numpy(), batch.column("n").to_numpy())
             at = np.nonzero(total)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(total[at], pa.float64())], ["p", "l", "c"])
@@ -183,12 +313,11 @@ def predict(docs: DataFrame, languages: list[str], chance: np.ndarray, path: str
     language to choose from.  Ties go to the first language in code point
     order.  Nothing is shuffled; existing columns of these names are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((pieces_of(path), chance))
+    shared = docs.sparkSession.sparkContext.broadcast((Pieces(pieces_of(path)), chance))
     rest = docs.drop("lang_pred", "score")
 
     def run(batches):
-        known, likely = shared.value
-        pieces = Pieces(known)
+        pieces, likely = shared.value
         for batch in batches:
             for part in blocks(batch, text_col, TEXTS):
                 best, score = np.zeros(len(part), np.int64), np.zeros(len(part))

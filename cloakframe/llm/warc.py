@@ -1,8 +1,9 @@
 """WARC archives of pages, written and read back record by record.
 
 Archives are ordinary files in the shared folder, written by Spark: every
-record is one gzip member, and Spark's line separator is an empty gzip member,
-so a whole file is a plain chain of members that any WARC reader accepts.
+record is one gzip member, and Spark's line separator at the end of a file is
+an empty gzip member, so a whole file is a plain chain of members that any
+WARC reader accepts.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ DATE = "1970-01-01T00:00:00Z"  # pages carry no date; a fixed one keeps reruns e
 # --------------------------------------------------------------------------------
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 CHUNK = 1 << 16
-# Records per file at most: a file is read by one task.
-PER_FILE = 10_000
+# Bytes per archive at most, unless one record alone is longer: a file is read by one task, as one value.
+ARCHIVE = 32 << 20
 _VISIBLE = "".join(map(chr, range(33, 127)))
 
 READ = ("record_type string, record_id string, target_uri string, refers_to string, "
@@ -86,23 +87,33 @@ def _page_member(page, uri: str | None, payload: bytes, digest: str, first) -> b
 
 
 def write_warc(planned: DataFrame, path: str) -> None:
-    """Write pages with their roles as archives below ``path``; every task's first file starts with a warcinfo record."""
+    """Write pages with their roles as archives below ``path``, each with a warcinfo record first.
+
+    An archive holds up to ``ARCHIVE`` bytes, or one record that is longer.
+    """
+    most = ARCHIVE
+    info = _member("warcinfo", "<urn:warcinfo>", [("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
+
     def pack(batches):
-        started = False
+        def archive():
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(own)], pa.binary())], ["archive"])
+
+        own, held = [info], len(info)
         for batch in batches:
-            members = [] if started or not len(batch) else [
-                _member("warcinfo", "<urn:warcinfo>", [("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")]
-            started = started or bool(members)
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                columns = [part.column(c).to_pylist() for c in ("_id", "_uri", "_payload", "_digest", "_first")]
-                members += [_page_member(*row) for row in zip(*columns)]
-                yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["member"])
-                members = []
+                for row in zip(*(part.column(c).to_pylist() for c in ("_id", "_uri", "_payload", "_digest", "_first"))):
+                    member = _page_member(*row)
+                    if held + len(member) > most and len(own) > 1:
+                        yield archive()
+                        own, held = [info], len(info)
+                    own.append(member)
+                    held += len(member)
+        if len(own) > 1:
+            yield archive()
 
-    planned.mapInArrow(pack, "member binary").select(F.col("member").cast("string").alias("value")).write.options(
-        lineSep=EMPTY_MEMBER.decode("latin-1"), encoding="ISO-8859-1", compression="none",
-        maxRecordsPerFile=PER_FILE).text(path)
+    planned.mapInArrow(pack, "archive binary").select(F.col("archive").cast("string").alias("value")).write.options(
+        lineSep=EMPTY_MEMBER.decode("latin-1"), encoding="ISO-8859-1", compression="none", maxRecordsPerFile=1).text(path)
 
 
 def members(data: memoryview) -> Iterator[bytes]:
@@ -158,8 +169,9 @@ def parse(record: bytes) -> tuple:
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """All records below ``path``, without warcinfo; payloads of revisits are null, and all if ``payloads`` is false.
 
-    One file is one task; inside, members are unpacked one after another in
-    small steps, so a single record is held at a time.
+    One file is one value of a task, so archives written elsewhere must be below
+    2 GB; inside, members are unpacked one after another in small steps, so a
+    single unpacked record is held at a time.
     """
     names = [c.split()[0] for c in READ.split(", ")]
     types = pa.schema([pa.field(n, pa.binary() if n == "payload" else pa.int64() if n == "payload_bytes" else pa.string()) for n in names])
@@ -190,9 +202,6 @@ def op7_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = staging_path(spark, "warc")
     write_warc(roles(table(spark, folder, "pages")), path)
 
-    def page(column: str):
-        return F.regexp_extract(column, r"^<urn:page:(-?\d+)>$", 1)
-
     return read_warc(spark, path, payloads=False).select(
         F.expr("try_cast(nullif(regexp_extract(record_id, '^<urn:page:(-?[0-9]+)>$', 1), '') as bigint)").alias("page_id"),
         "payload_bytes", "payload_digest", "record_type",

@@ -1,7 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
 import gzip
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +119,51 @@ def test_forward_sums_all_segmentations(vocabulary):
     assert np.isfinite(got).all()
 
 
+def plain_lattice(p: dict[bytes, float], word: str) -> tuple[float, dict[bytes, float]]:
+    """Log probability of a word and expected counts of its pieces, with exact fractions."""
+    data = b" " + word.encode()
+    exact = {k: Fraction(v) for k, v in p.items()}
+    sizes = sorted({len(k) for k in p})
+    ahead, behind = [Fraction(0)] * (len(data) + 1), [Fraction(0)] * (len(data) + 1)
+    ahead[0] = behind[-1] = Fraction(1)
+    edges = [(i, i + n, data[i:i + n]) for i in range(len(data)) for n in sizes if i + n <= len(data) and data[i:i + n] in p]
+    for i, j, piece in edges:
+        ahead[j] += ahead[i] * exact[piece]
+    for i, j, piece in reversed(edges):
+        behind[i] += behind[j] * exact[piece]
+    counts = dict.fromkeys(p, 0.0)
+    for i, j, piece in edges:
+        counts[piece] += float(ahead[i] * exact[piece] * behind[j] / ahead[-1])
+    return math.log(ahead[-1].numerator) - math.log(ahead[-1].denominator), counts
+
+
+def test_words_of_any_length_and_long_pieces(monkeypatch):
+    """Pieces of over eight bytes and words over the old border of 32 bytes, alone and in groups, over borders of all blocks."""
+    vocabulary = sorted([b" ", b"a", b"b", b"ab", b" a", b"abbaabbaabba", b"b" * 33, b"ba" * 10, "é".encode(), b"\xc3", b"\xa9"])
+    rng = random.Random(5)
+    chance = np.array([[rng.uniform(0.0001, 0.2) for _ in range(3)] for _ in vocabulary])
+    words = ["a", "", "b" * 31, "b" * 32, "b" * 33, "b" * 80, "abba" * 9, "ba" * 60, "é" * 17, "aé" * 30, "abba" * 3]
+    words += ["".join(rng.choice("abé") for _ in range(rng.randint(1, 150))) for _ in range(30)]
+    plain = [[plain_lattice(dict(zip(vocabulary, chance[:, k])), w) for w in words] for k in range(3)]
+    lang, times = np.arange(len(words)) % 3, np.arange(len(words)) + 1.0
+    wanted = np.zeros(chance.shape)
+    for i in range(len(words)):
+        wanted[:, lang[i]] += [times[i] * plain[lang[i]][i][1][v] for v in vocabulary]
+    for long, starts in ((512, 1 << 16), (40, 16), (8, 64)):
+        monkeypatch.setattr(language, "LONG", long)
+        monkeypatch.setattr(language, "STARTS", starts)
+        pieces = language.Pieces(vocabulary)
+        got = language.word_scores(pieces, chance, pa.array(words))
+        assert np.allclose(got, [[plain[k][i][0] for k in range(3)] for i in range(len(words))])
+        assert np.allclose(language.expected_counts(pieces, chance, pa.array(words), lang, times), wanted)
+    assert np.isfinite(language.word_scores(pieces, chance, pa.array(["ab" * 100_000]))).all()
+
+
+def test_all_entries_are_pieces(vocabulary):
+    path, _ = vocabulary
+    assert set(bpe.read_ranks(path)) <= set(language.pieces_of(path))
+
+
 def test_bpe(spark, docs, nothing, vocabulary):
     path, pattern = vocabulary
     got = bpe.decode(bpe.encode(docs, path, pattern), path)
@@ -299,6 +346,22 @@ def test_warc(spark, tmp_path):
     assert warc.roles(made.limit(0)).count() == 0
 
 
+def test_warc_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    pages = [(i, "u", "".join(chr(rng.randint(33, 0x4ff)) for _ in range(30_000 if i == 7 else 900))) for i in range(60)]
+    made = spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(2)
+    monkeypatch.setattr(warc, "ARCHIVE", 10_000)
+    path = str(tmp_path / "bounded")
+    warc.write_warc(warc.roles(made), path)
+    sizes = [f.stat().st_size for f in tmp_path.glob("bounded/part-*") if f.stat().st_size]
+    assert len(sizes) > 8 and sum(s > 10_000 + len(warc.EMPTY_MEMBER) for s in sizes) == 1  # the one long page
+    for file in tmp_path.glob("bounded/part-*"):
+        kinds = [warc.parse(m)[0] for m in warc.members(memoryview(file.read_bytes())) if m]
+        assert kinds == [] or kinds[0] == "warcinfo" and set(kinds[1:]) == {"response"}
+    got = {r["record_id"]: bytes(r["payload"]).decode() for r in warc.read_warc(spark, path).collect()}
+    assert got == {f"<urn:page:{i}>": t for i, _, t in pages}
+
+
 def test_warc_faults():
     record = warc._page_member(1, "u", b"hello", __import__("hashlib").sha256(b"hello").hexdigest(), None)
     (plain,) = warc.members(memoryview(record))
