@@ -115,7 +115,10 @@ class Detector:
         found = cells(value, dtype, self.candidate_text, path, name, None, self._name_bits)
         if found is None:
             return None
-        place = Place("ci", "0", "c.path") if ordinal is None else Place(str(ordinal), "ci", "c.path")
+        return self.cell_hits(found, Place("ci", "0", "c.path") if ordinal is None else Place(str(ordinal), "ci", "c.path"))
+
+    def cell_hits(self, found: str, place: Place = Place("ci", "0", "c.path")) -> str:
+        """Hits (SQL) of an array of cells ``c`` at the places ``ci``."""
         fitting = [(len(self.rules) + k, r, f"(c.name_bits & {1 << k}) > 0") for k, r in enumerate(self.context)]
         hits = joined([text_hits("c.text", self.rules, place), context_hits("c.text", fitting, place)])
         return f"coalesce(flatten(transform({found}, (c, ci) -> {hits})), {NO_HITS})"

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import safe_preview
 from ..operators import report as rep
 from ..operators.detect import Detector, ExternalDetector, annotate
+from ..operators.json_paths import annotate_json, is_json_text, write_back_json
 from ..operators.pseudonyms import PseudonymStore, pseudonymize_with
 from ..operators.records import index_records, texts_from
 from ..operators.sanitize import protect_hits, write_back
@@ -56,6 +57,11 @@ def audited(df: DataFrame, transformed: bool) -> DataFrame:
     return df.withColumn("hits", F.transform("hits", preview))
 
 
+def annotated(records: DataFrame, detector: AnyDetector | None, input_format: str | None) -> DataFrame:
+    """The records with their hits; JSON records may be structs or JSON texts."""
+    return annotate_json(records, detector) if is_json_text(records, input_format) else annotate(records, detector)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder, read back, and resolve row positions."""
     return index_records(cut(df, name))
@@ -103,9 +109,9 @@ def _audit_columns(df: DataFrame) -> list[str]:
     return [*_AUDIT, *(["position"] if "position" in df.columns else [])]
 
 
-def scan(records: DataFrame, detector: AnyDetector | None = None) -> DataFrame:
+def scan(records: DataFrame, detector: AnyDetector | None = None, input_format: str | None = None) -> DataFrame:
     """Counts per source; nothing is written."""
-    return rep.source_summary(annotate(records, detector))
+    return rep.source_summary(annotated(records, detector, input_format))
 
 
 def sanitize(records: DataFrame, input_format: str, mode: str, out_dir: str, detector: AnyDetector | None = None,
@@ -114,8 +120,9 @@ def sanitize(records: DataFrame, input_format: str, mode: str, out_dir: str, det
     """Write the sanitized sources, their reports and both listings."""
     with scratch(records.sparkSession):
         detector = detector or Detector()
-        protected = protect(annotate(records, detector), mode, detector, store)
-        rows = staged(audited(write_back(protected, detector), True), "sanitize")
+        protected = protect(annotated(records, detector, input_format), mode, detector, store)
+        written = write_back_json(protected) if is_json_text(records, input_format) else write_back(protected, detector)
+        rows = staged(audited(written, True), "sanitize")
         write_sanitized(rows, input_format, mode, f"{out_dir}/sanitized")
         _write_audit(rows, sources, input_format, mode, out_dir, True, True, report_format)
 
@@ -124,7 +131,7 @@ def report(records: DataFrame, input_format: str, mode: str, out_dir: str, detec
            sources: DataFrame | None = None, report_format: str = "json") -> None:
     """Write reports and the detection listing; no sanitized output, no transformations."""
     with scratch(records.sparkSession):
-        found = annotate(records, detector)
+        found = annotated(records, detector, input_format)
         rows = staged(audited(found.select(*_audit_columns(found)), False), "report")
         _write_audit(rows, sources, input_format, mode, out_dir, False, False, report_format)
 
@@ -142,25 +149,27 @@ def query_scan(spark: SparkSession, query: str, mode: str, out_dir: str, url: st
 
 
 def load_path(spark: SparkSession, path: str, input_format: str | None = None, multi_line: bool = True,
-              schema: str | None = None, json_lines: bool = False) -> DataFrame:
+              schema: str | None = None, json_lines: bool = False, by_path: bool = False) -> DataFrame:
     """Records of one file, by its suffix.
 
     ``multi_line=False`` (CSV) and ``json_lines=True`` read large files in
     splits; ``schema`` of the JSON records saves the pass that finds it.
+    ``by_path=True`` keeps JSON records as texts, so that every value keeps its
+    own type, keys their order, and a missing key is not a null.
     """
     fmt = input_format or files.infer_format(path)
     if fmt == "csv":
         return csv.load_csv(spark, path, multi_line=multi_line)
     if fmt == "json":
-        return json.load_json(spark, path, schema, json_lines)
+        return json.load_json_text(spark, path, json_lines) if by_path else json.load_json(spark, path, schema, json_lines)
     if fmt in ("txt", "sql"):
         return text.load_text(spark, path, fmt)
     raise ValueError("PDF input is a table of extracted pages; see sources.text.assemble_pages")
 
 
 def folder_records(spark: SparkSession, folder: str, pages: DataFrame | None = None, multi_line: bool = True,
-                   schema: str | None = None,
-                   json_lines: bool = False) -> Iterator[tuple[str, DataFrame, DataFrame | None]]:
+                   schema: str | None = None, json_lines: bool = False,
+                   by_path: bool = False) -> Iterator[tuple[str, DataFrame, DataFrame | None]]:
     """``(format, records, sources)`` for every format in a folder.
 
     All files of a format are one read; CSV files are one read per distinct
@@ -175,7 +184,7 @@ def folder_records(spark: SparkSession, folder: str, pages: DataFrame | None = N
             for records, files_read in csv.load_csv_groups(spark, folder, sources, multi_line):
                 yield fmt, records, files_read
         elif fmt == "json":
-            yield fmt, json.load_json(spark, folder, schema, json_lines), sources
+            yield fmt, load_path(spark, folder, fmt, multi_line, schema, json_lines, by_path), sources
         else:
             yield fmt, text.load_text(spark, folder, fmt), sources
     if pages is not None:
@@ -186,7 +195,7 @@ def folder_records(spark: SparkSession, folder: str, pages: DataFrame | None = N
 def batch(spark: SparkSession, folder: str, action: str, mode: str = "mask", out_dir: str = "outputs",
           detector: AnyDetector | None = None, store: PseudonymStore | None = None, pages: DataFrame | None = None,
           report_format: str = "json", multi_line: bool = True, schema: str | None = None,
-          json_lines: bool = False) -> list[DataFrame]:
+          json_lines: bool = False, by_path: bool = False) -> list[DataFrame]:
     """``scan``, ``sanitize`` or ``report`` over a folder; an empty folder is a no-op.
 
     The read options are those of ``load_path``.
@@ -196,9 +205,9 @@ def batch(spark: SparkSession, folder: str, action: str, mode: str = "mask", out
     if action not in ("scan", "sanitize", "report"):
         raise ValueError(f"{action!r} is not one of scan, sanitize, report")
     summaries = []
-    for fmt, records, sources in folder_records(spark, folder, pages, multi_line, schema, json_lines):
+    for fmt, records, sources in folder_records(spark, folder, pages, multi_line, schema, json_lines, by_path):
         if action == "scan":
-            summaries.append(_complete(scan(records, detector), sources, fmt))
+            summaries.append(_complete(scan(records, detector, fmt), sources, fmt))
         elif action == "report":
             report(records, fmt, mode, out_dir, detector, sources, report_format)
         else:

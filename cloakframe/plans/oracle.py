@@ -488,6 +488,17 @@ FROM {_PROFILES}""",
     "report_job": f"""SELECT 'redact' AS sanitization_mode, true AS no_output, entity_type, count(*) AS hits FROM ({_PROFILE_HITS}) GROUP BY entity_type""",
     "batch_sanitize": """SELECT form, c_custkey AS key, '[REDACTED_EMAIL]' AS value FROM customer, (VALUES ('csv'), ('json')) f(form)
 UNION ALL SELECT 'txt', n_nationkey, 'nation ' || n_nationkey || ' at [REDACTED_IP_ADDRESS]' FROM nation""",
+    "sanitize_json_by_path": """
+SELECT 'record' AS form, CASE event_id % 6
+  WHEN 0 THEN '{"id":' || event_id || ',"z":"' || event_type || ' [REDACTED_EMAIL]","v":"[REDACTED_PHONE]","n":null}'
+  WHEN 1 THEN '{"z":1.5,"v":["[REDACTED_EMAIL]",{"v.w":"[REDACTED_IP_ADDRESS]"},true,[' || event_id || ']],"id":' || event_id || '}'
+  WHEN 2 THEN '{"v":{"ip":"[REDACTED_IP_ADDRESS] or [REDACTED_IP_ADDRESS]","r":' || value || '},"id":' || event_id || ',"z":false}'
+  WHEN 3 THEN replace(props, ': ', ':')
+  WHEN 4 THEN '{"a.b":"[REDACTED_EMAIL]","a":{"b":"' || event_type || '","full_name":"[REDACTED_PERSON_NAME]"},"id":' || event_id || '}'
+  ELSE '{"value":"[REDACTED_EMAIL]"}' END AS value FROM events
+UNION ALL SELECT 'hit', hit FROM events JOIN (VALUES (0, 'EMAIL 1 z'), (0, 'PHONE 2 v'), (1, 'EMAIL 1 v[0]'), (1, 'IP_ADDRESS 2 v[1].v.w'),
+  (2, 'IP_ADDRESS 0 v.ip'), (2, 'IP_ADDRESS 0 v.ip'), (4, 'EMAIL 0 a.b'), (4, 'PERSON_NAME 2 a.full_name'), (5, 'EMAIL 0 value')) h(k, hit)
+  ON k = event_id % 6""",
     "pseudonymize_csv_job": """
 SELECT c_custkey, 'EMAIL_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS mail
 FROM (SELECT c_custkey, c_custkey * 7919 % 211 AS v FROM customer) JOIN (

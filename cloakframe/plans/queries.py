@@ -818,6 +818,34 @@ def batch_sanitize(spark, folder):
             F.lit("txt").alias("form"), F.regexp_extract("value", "nation ([0-9]+)", 1).cast("bigint").alias("key"), "value"))
 
 
+# Records whose fields have several types, other orders of keys, lists of mixed kinds, dotted keys and no object at all.
+_MIXED_DOC = r"""
+CASE event_id % 6
+  WHEN 0 THEN concat('{"id":', event_id, ',"z":"', event_type, ' u', user_id, '@x.it","v":', 3330000000 + user_id, ',"n":null}')
+  WHEN 1 THEN concat('{"z":1.5,"v":["u', user_id, '@x.it",{"v.w":"10.0.0.5"},true,[', event_id, ']],"id":', event_id, '}')
+  WHEN 2 THEN concat('{"v":{"ip":"10.0.0.7 or 10.0.0.7","r":', value, '},"id":', event_id, ',"z":false}')
+  WHEN 3 THEN props
+  WHEN 4 THEN concat('{"a.b":"u', user_id, '@x.it","a":{"b":"', event_type, '","full_name":"Mario Rossi"},"id":', event_id, '}')
+  ELSE concat('"u', user_id, '@x.it"') END
+"""
+
+
+@register
+def sanitize_json_by_path(spark, folder):
+    """JSON files without a common schema, sanitized at the paths of the hits: records as written, and the listing."""
+    path, out = staging_path(spark, "mixed"), staging_path(spark, "by-path")
+    events = _table(spark, folder, "events").select("event_type", F.expr(_MIXED_DOC).alias("value"))
+    sinks.write_text(events, path, ["event_type"])
+    _rename_suffix(spark, path, ".json")
+    records = jobs.load_path(spark, f"{path}/event_type=*", "json", by_path=True)
+    jobs.sanitize(records, "json", "redact", out)
+    written = spark.read.option("recursiveFileLookup", True).text(f"{out}/sanitized")
+    listed = spark.read.schema("entity_type string, field_path string, field_ordinal int, value_preview string") \
+        .option("recursiveFileLookup", True).json(f"{out}/detections")
+    return written.select(F.lit("record").alias("form"), "value").unionByName(listed.select(
+        F.lit("hit").alias("form"), F.concat_ws(" ", "entity_type", "field_ordinal", "field_path").alias("value")))
+
+
 def _gather(spark: SparkSession, source: str, target: str) -> None:
     """Move the part files of one folder into another."""
     jvm = spark.sparkContext._jvm

@@ -16,6 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cells import is_text
 from ..rules import INPUT_FORMATS
 from ..shared import delete_path
 from ..sources.files import report_name, sanitized_name, source_key
@@ -137,12 +138,18 @@ def write_text(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 
 def write_sanitized(sanitized: DataFrame, input_format: str, mode: str, path: str) -> None:
-    """Sanitized records of one format, one folder per source."""
+    """Sanitized records of one format, one folder per source.
+
+    JSON records that are texts go out as such, an object per line, in part
+    files that the writer calls ``.txt``.
+    """
     # The writer groups a task's rows by output file anyway; the record order comes with the same sort.
     named = sanitized.withColumn("output_file", sanitized_name(F.col("source_id"), mode)) \
         .withColumn("source", source_key(F.col("source_id"))).sortWithinPartitions(*BY, "record_index")
     if input_format == "csv":
         write_csv(named.select(*BY, "content.*"), path, BY)
+    elif input_format == "json" and is_text(named.schema["content"].dataType):  # JSON texts are written as they are
+        _save(named.select(*BY, "content"), path, BY, lambda w, p: w.text(p))
     elif input_format == "json":
         write_json(named.select(*BY, "content.*"), path, BY)
     elif input_format in ("txt", "pdf", "sql"):

@@ -51,8 +51,8 @@ def _plain(value: object) -> object:
     return [_plain(v) for v in value] if isinstance(value, list) else value
 
 
-def _record(value: object) -> str:
-    value = value if isinstance(value, dict) else {"value": value}
+def json_text(value: object) -> str:
+    """The value as JSON text, without what tables cannot hold (see ``normalize_json``)."""
     try:
         text = json.dumps(value, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
     except ValueError:
@@ -64,6 +64,10 @@ def _record(value: object) -> str:
     return text
 
 
+def _record(value: object) -> str:
+    return json_text(value if isinstance(value, dict) else {"value": value})
+
+
 def _item(text: bytes) -> str:
     return _record(json.loads(text))
 
