@@ -189,7 +189,7 @@ def narrow(docs: DataFrame, sets: Sets, classes: np.ndarray) -> DataFrame:
 
 
 def postings(docs: DataFrame, sets: Sets, classes: np.ndarray) -> DataFrame:
-    """``key, _id``: the prefix shingles of the sets; equal sets of a block are posted once."""
+    """``key, _id``: the prefix shingles of the sets; equal sets of a block are posted once, for the smallest identifier."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
@@ -197,9 +197,10 @@ def postings(docs: DataFrame, sets: Sets, classes: np.ndarray) -> DataFrame:
             for part in blocks(batch, "_t", 4 << 20):
                 values, starts = sets(part)
                 # Equal lists of shingles are known before they are put in order.
-                which = np.sort(np.unique(np.stack(digests(values, starts)), axis=1, return_index=True)[1])
-                owner, keys = prefixes(*ordered_sets(*taken(values, starts, which), shared.value))
                 ids = part.column("_id").to_numpy()
+                rising = np.argsort(ids, kind="stable")
+                which = np.sort(rising[np.unique(np.stack(digests(values, starts))[:, rising], axis=1, return_index=True)[1]])
+                owner, keys = prefixes(*ordered_sets(*taken(values, starts, which), shared.value))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[which[owner]])], ["key", "_id"])
 
     return docs.mapInArrow(run, "key bigint, _id bigint")
@@ -226,10 +227,10 @@ def promising(pairs: DataFrame, bits: DataFrame) -> DataFrame:
             run, "l__id bigint, _id bigint, _nb int, _b int"))
 
 
-def fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` whose ``_id`` is among ``ids``; texts are shuffled only if the identifiers are too many to broadcast."""
+def fetch(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``docs`` whose ``_id`` is among ``ids``; rows are shuffled only if the identifiers are too many to broadcast."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "_id", "left_semi")
+    return docs.join(F.broadcast(ids) if few else ids, "_id", how)
 
 
 def _numbered(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -327,7 +328,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "_id", "n", F.when((F.col("n") > 0) & F.col("_rep").isNotNull(), F.col("_rep")).otherwise(F.col("_id")).alias("_rep")), "copies")
 
     known = rows.filter(F.col("_id").isNotNull())
-    found = with_leaders(families(postings(known, sets, classes), ["_id"]), ["_id"])
+    # A copy posts what the smallest of its equals posts, so that one is in all its families (and leads some): it stands
+    # for the others.  An identifier stays if any of its rows is the smallest of its equals.
+    standing = F.bool_or(F.col("_id") == F.col("_rep"))
+    stood_for = named.filter("_id is not null").groupBy("_id").agg(standing.alias("_own")).filter("not _own").select("_id")
+    found = with_leaders(fetch(families(postings(known, sets, classes), ["_id"]), stood_for, "left_anti"), ["_id"])
     placed = cut(dealt(found, ["_id"]), "pairs")
     drop(found)
     # Rows that share an identifier have a bitmap each.

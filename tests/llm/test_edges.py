@@ -217,6 +217,25 @@ def test_large_families(spark, monkeypatch):
         assert r["text"] == "\n".join(x for i, x in enumerate(lines[r["doc_id"]].split("\n")) if (r["doc_id"], i) not in gone)
 
 
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_one_text_stands_for_its_copies(spark, monkeypatch, few):
+    """Copies in any order and several tasks, near copies of them, and identifiers whose rows differ."""
+    monkeypatch.setattr("cloakframe.llm.jaccard_join.BROADCAST_IDS", few)
+    rng = random.Random(6)
+    base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(6)]
+    near = [b + " tail" for b in base]
+    rows = [(i, base[i % 6] if i % 5 else near[i % 6]) for i in range(10, 130)]
+    rng.shuffle(rows)
+    made = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    expected = brute.component_ids(dict(rows))
+    assert len(set(expected.values())) == 6
+    assert all(r["component_id"] == expected[r["doc_id"]] for r in near_duplicates(made).collect())
+    # 50 is a copy of 7 in one row, and in the other the only one whose text 60 is near; so 7, 50 and 60 belong together.
+    odd = [(7, base[0]), (50, base[0]), (50, base[1]), (60, near[1]), (70, base[2]), (5, base[3]), (70, base[3]), (80, base[2])]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(odd, "doc_id bigint, text string").repartition(2)).collect()}
+    assert got == {7: 7, 50: 7, 60: 7, 5: 5, 70: 5, 80: 5}
+
+
 def test_tree_finds_every_component():
     rng = random.Random(4)
     sets = []
