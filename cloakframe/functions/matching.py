@@ -54,15 +54,26 @@ def _let(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
+# Running sums are taken in blocks of this many numbers: an array is copied for every number appended to it.
+_SUMMED = 128
+
+
+def _before(sizes: str, first: str) -> str:
+    """``first`` plus the sum of all numbers before it, for every number of a short array."""
+    return (f"aggregate({sizes}, named_struct('next', {first}, 'sums', cast(array() as array<int>)), "
+            "(acc, step) -> named_struct('next', acc.next + step, 'sums', concat(acc.sums, array(acc.next))), acc -> acc.sums)")
+
+
+def _all_before(sizes: str, first: str) -> str:
+    """The same for an array of any length: block by block, from the sums of the blocks before."""
+    blocks = f"transform(sequence(0, cast((size(z) - 1) div {_SUMMED} as int)), b -> slice(z, b * {_SUMMED} + 1, {_SUMMED}))"
+    totals = "transform(bs, x -> aggregate(x, 0, (total, step) -> total + step))"
+    return _let(sizes, "z", _let(blocks, "bs", f"flatten(zip_with(bs, {_before(totals, first)}, (x, at) -> {_before('x', 'at')}))"))
+
+
 # 0-based start of every match in m, from the pieces g between the matches.
-_STARTS = (
-    "aggregate("
-    "zip_with(slice(g, 2, size(m)), m, (p, q) -> length(p) + length(q)), "
-    "named_struct('next', length(get(g, 0)), 'starts', cast(array() as array<int>)), "
-    # m and the pieces after the first have the same length: next = start + match + piece.
-    "(acc, step) -> named_struct('next', acc.next + step, 'starts', concat(acc.starts, array(acc.next))), "
-    "acc -> acc.starts)"
-)
+# m and the pieces after the first have the same length: next = start + match + piece.
+_STARTS = _all_before("zip_with(slice(g, 2, size(m)), m, (p, q) -> length(p) + length(q))", "length(get(g, 0))")
 
 
 def find_all_sql(text: str, pattern: str, item: str) -> str:

@@ -2,6 +2,7 @@
 
 import random
 import sys
+import time
 
 import pandas as pd
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 import plain_python as plain
 from cloakframe import rules as R
 from cloakframe.functions import protect
+from cloakframe.functions.matching import find_all
 from cloakframe.operators.detect import Detector, annotate, detect
 from cloakframe.operators.records import records_from
 from cloakframe.operators.sanitize import protect_hits, write_back
@@ -191,3 +193,17 @@ def test_email_search_is_linear_on_long_runs(spark):
     long = spark.createDataFrame([("aB3+" * 2_500_000 + " end@x.it",)], "t string")
     assert detect(texts_from(long, F.lit("s"), "t"), email).count() == 1
     assert time.perf_counter() - start < 60
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Offsets are running sums; an array that is copied for every number made this quadratic (minutes)."""
+    n = 100_000
+    values = [f"u{i}@x.it" for i in range(n)]
+    starts = [0]
+    for v in values:
+        starts.append(starts[-1] + len(v) + 1)
+    row = spark.createDataFrame([(" ".join(values),)], "t string")
+    began = time.monotonic()
+    got = row.select(find_all("t", r"u\d+@x\.it").alias("h")).select("h.value", "h.char_start").first()
+    assert time.monotonic() - began < 25
+    assert got["value"] == values and got["char_start"] == starts[:-1]
