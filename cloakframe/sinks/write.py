@@ -132,9 +132,13 @@ def write_json(df: DataFrame, path: str, by: list[str] | None = None,
     _save(df, path, by, lambda w, p: w.option("ignoreNullFields", "false").json(p), gone)
 
 
-def write_text(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Whole texts; the writer ends every text with a newline, so one that has it already gives it up."""
-    _save(df.select(*(by or []), F.regexp_replace("value", "\n\\z", "").alias("value")), path, by, lambda w, p: w.text(p))
+def write_text(df: DataFrame, path: str, by: list[str] | None = None, apart: bool = False) -> None:
+    """Whole texts; the writer ends every text with a newline, so one that has it already gives it up.
+
+    ``apart`` gives every text a file, all in one folder: folders of their own would be more to make and to list.
+    """
+    _save(df.select(*(by or []), F.regexp_replace("value", "\n\\z", "").alias("value")), path, by,
+          lambda w, p: (w.option("maxRecordsPerFile", 1) if apart else w).text(p))
 
 
 def write_sanitized(sanitized: DataFrame, input_format: str, mode: str, path: str) -> None:
