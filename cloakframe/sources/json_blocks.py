@@ -167,7 +167,7 @@ def summaries(pieces: DataFrame) -> dict[str, list[tuple[int, Summary, Summary,
 
     files: dict[str, list] = {}
     rows = pieces.mapInArrow(run, "source_id string, block bigint, size bigint, pair binary")
-    for r in rows.toLocalIterator():
+    for r in rows.collect():  # all splits at a time
         files.setdefault(r["source_id"], []).append((r["block"], *pickle.loads(r["pair"]), r["size"]))
     return {source: sorted(own, key=lambda x: x[0]) for source, own in files.items()}
 

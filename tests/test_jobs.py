@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.operators.detect import Detector, annotate, detect
 from cloakframe.operators.pseudonyms import PseudonymStore
-from cloakframe.plans import jobs
+from cloakframe.plans import jobs, queries
 from cloakframe.sinks import write
 from cloakframe.sources import csv, json as json_source, text
 
@@ -349,3 +349,24 @@ def test_a_run_that_ends_leaves_the_old_or_the_new_output(spark, tmp_path, monke
     write.recover(spark, path)
     assert found() == ({"k1": 1, "k2": 1, "k3": 1} if point == "write" else {"k1": 2, "k2": 2, "k4": 2})
     assert not [n for n in os.listdir(path) if n.startswith(("_new", "_journal"))]
+
+
+def test_large_array_is_cut_into_files_that_number_on(spark, tmp_path, monkeypatch):
+    """No task sorts all events: files hold a bounded number of them, and the numbers go on from file to file."""
+    monkeypatch.setattr(queries, "ARRAY_EVENTS", 70)
+    monkeypatch.setattr(queries, "staging_path", lambda spark, name: str(tmp_path / name))
+    spark.range(0, 1000, 3).selectExpr("id as event_id", "concat('t', id % 4) as event_type", "'{\"k\": 1}' as props") \
+        .repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    got = [(r["event_id"], r["record_index"]) for r in queries.json_large_array(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(3 * i, i) for i in range(334)]
+    assert len(list((tmp_path / "json-array" / "one").glob("*.json"))) == 5
+
+
+def test_text_files_hold_several_documents(spark, tmp_path, monkeypatch):
+    """Documents come back as from files of their own, from a file per hundred of them."""
+    monkeypatch.setattr(queries, "staging_path", lambda spark, name: str(tmp_path / name))
+    texts = {1: "a\r\nb\r", 2: "", 3: "\n\n", 4: None, 99: "\U0001F600 x\ry\n", 100: "[]\n1", 250: "\ufeffz"}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["content"] for r in queries.text_roundtrip(spark, str(tmp_path)).collect()}
+    assert got == {1: "a\nb\n", 2: "\n", 3: "\n\n", 4: "\n", 99: "\U0001F600 x\ny\n", 100: "[]\n1\n", 250: "\ufeffz\n"}
+    assert len(list((tmp_path / "text").glob("part-*"))) == 3
