@@ -241,7 +241,7 @@ def quote_states(lines: DataFrame) -> dict[tuple[str, int], tuple[bool, int]]:
     told = lines.filter(F.contains("value", F.lit('"')) | ((F.trim("value") == "") & (F.col("value") != "")))
     ship(lines.sparkSession)
     rows = told.mapInArrow(
-        follow, "source_id string, block bigint, ends array<boolean>, closes array<boolean>, spans array<boolean>").toLocalIterator()
+        follow, "source_id string, block bigint, ends array<boolean>, closes array<boolean>, spans array<boolean>").collect()
     files: dict[str, list] = {}
     for r in rows:
         files.setdefault(r["source_id"], []).append((r["block"], r["ends"], r["closes"], r["spans"]))
@@ -258,7 +258,7 @@ def quote_states(lines: DataFrame) -> dict[tuple[str, int], tuple[bool, int]]:
     # The splits without a quote are listed only for files whose records span lines.
     every = lines.filter(F.col("source_id").isin(*spanning)) if len(spanning) < 1000 else lines
     blocks: dict[str, list[int]] = {}
-    for r in every.select("source_id", "block").distinct().toLocalIterator():
+    for r in every.select("source_id", "block").distinct().collect():
         if r["source_id"] in spanning:
             blocks.setdefault(r["source_id"], []).append(r["block"])
     starts = {}

@@ -28,7 +28,7 @@ def infer_format(path: str, supported: Iterable[str] = INPUT_FORMATS) -> str:
 
 def file_name(path: Column) -> Column:
     """Last path part; percent escapes, as file listings write them, are undone."""
-    name = F.regexp_extract(path, "[^/]*$", 0)
+    name = F.substring_index(path, "/", -1)
     return F.when(F.contains(name, F.lit("%")), F.coalesce(
         F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)).otherwise(name)
 
