@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import starmap
 
 import numpy as np
 import pyarrow as pa
@@ -121,7 +122,10 @@ def grams(row: np.ndarray, starts: np.ndarray) -> np.ndarray:
     inside = np.ones(len(window), bool)
     inside[(starts[1:-1, None] - 1 - np.arange(ROOM)).ravel()] = False
     window = window[inside]
-    return shortened((window << np.uint64(8)) | (window >> np.uint64(56)), DEPTH)
+    symbol = window >> np.uint64(56)
+    window <<= np.uint64(8)
+    window |= symbol
+    return shortened(window, DEPTH)
 
 
 def shortened(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -132,8 +136,13 @@ def shortened(codes: np.ndarray, depth: int) -> np.ndarray:
 def text_grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(codes, starts)`` of the texts block by block, and where each text's codes start."""
     for part in blocks(pa.RecordBatch.from_arrays([texts], ["_t"]), "_t", GRAMS):
-        row, starts = symbols(part.column("_t"))
-        yield grams(row, starts), starts - ROOM * np.arange(len(starts))
+        # The block's codes are handed on without a name here, so that whoever takes them can let them go.
+        yield _part_grams(part.column("_t"))
+
+
+def _part_grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    row, starts = symbols(texts)
+    return grams(row, starts), starts - ROOM * np.arange(len(starts))
 
 
 def runs(values: np.ndarray) -> np.ndarray:
@@ -296,24 +305,32 @@ class Tree:
 
     def word_scores(self, texts: pa.Array) -> np.ndarray:
         """log10 probability of the words of every text, with the spaces between and after them, and of its end."""
-        sums = []
-        for codes, starts in text_grams(texts):
-            # Places in the order of a part of the codes' hashes: sorting plain numbers is several times faster than argsort.
-            width = np.uint64(len(codes).bit_length())
-            order = (_mix(codes) >> width << width) | np.arange(len(codes), dtype=np.uint64)
-            order.sort()
-            order = (order & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64)
-            sorted_ = codes[order]
-            first = runs(sorted_)
-            distinct = sorted_[first]
-            by_code = np.argsort(distinct)
-            own = np.empty(len(distinct))
-            own[by_code] = self.code_scores(distinct[by_code])
-            scores = np.empty(len(codes))
-            scores[order] = np.repeat(own, np.diff(first, append=len(codes)))
-            sums.append(np.add.reduceat(scores, starts[:-1]))
+        # Nothing of a block is held while the next one is made.
+        sums = list(starmap(self._block_scores, text_grams(texts)))
         return np.concatenate(sums) if sums else np.zeros(0)
 
+    def _block_scores(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        # Places in the order of a part of the codes' hashes: sorting plain numbers is several times faster than argsort.
+        width = np.uint64(len(codes).bit_length())
+        order = _mix(codes)
+        order >>= width
+        order <<= width
+        order |= np.arange(len(codes), dtype=np.uint64)
+        order.sort()
+        order &= (np.uint64(1) << width) - np.uint64(1)
+        order = order.view(np.int64)
+        sorted_ = codes[order]
+        first = runs(sorted_)
+        distinct = sorted_[first]
+        del sorted_
+        by_code = np.argsort(distinct)
+        own = np.empty(len(distinct))
+        own[by_code] = self.code_scores(distinct[by_code])
+        del distinct, by_code
+        scores = np.empty(len(codes))
+        scores[order] = np.repeat(own, np.diff(first, append=len(codes)))
+        return np.add.reduceat(scores, starts[:-1])
+
 
 def _log10() -> Column:
     return F.log10(F.coalesce((1 - SYMBOLS * LEAST) * F.col("n") / F.col("total"), F.lit(0.0)) + LEAST)
