@@ -28,6 +28,9 @@ PIECES = 256
 _SHIFT = np.uint64(64 - BITS)
 # Members of a family that one task compares with each other.
 FAMILY_BLOCK = 1024
+# Packed postings: parts of the keys for each shuffle partition, and postings that a task holds at a time.
+PARTS = 16
+HELD = 1 << 20
 
 # A source of sets: for a batch slice, the shingle hashes of its texts and where each text's begin.
 Sets = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
@@ -169,6 +172,95 @@ def families(postings: DataFrame, member: list[str]) -> DataFrame:
     )
 
 
+def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit values of a column of packed lists, one list after another, and where each begins (one more for the end)."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data[ends[0]:ends[-1]] if data is not None else b"", np.uint64), (ends - ends[0]) // 8
+
+
+def packed(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Lists of 64-bit values as a column of bytes (see ``lists``)."""
+    ends = pa.py_buffer((starts * 8).astype(np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, ends, pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def packed_postings(postings: DataFrame, member: str) -> DataFrame:
+    """``part, posts``: many postings a row, as pairs of key and member, of one part of the keys.
+
+    ``postings`` has ``member`` and its keys as one packed list; keys are evenly spread hashes.
+    """
+    parts = PARTS * partitions(postings.sparkSession)
+
+    def pack(batches):
+        def rows(held: list[np.ndarray]) -> pa.RecordBatch:
+            posts = np.concatenate(held)
+            part = (posts[:, 0].view(np.uint64) >> np.uint64(16)) % np.uint64(parts)
+            order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
+            counts = np.bincount(part.astype(np.int64), minlength=parts)
+            used = np.flatnonzero(counts)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(used, pa.int32()), packed(posts[order], 2 * np.concatenate([[0], np.cumsum(counts[used])]))], ["part", "posts"])
+
+        held, n = [], 0
+        for batch in batches:
+            keys, starts = lists(batch.column("keys"))
+            held.append(np.stack([keys.view(np.int64), np.repeat(batch.column(member).to_numpy(), np.diff(starts))], axis=1))
+            n += len(keys)
+            if n >= HELD:
+                yield rows(held)
+                held, n = [], 0
+        if n:
+            yield rows(held)
+
+    return postings.mapInArrow(pack, "part int, posts binary")
+
+
+def packed_families(posts: DataFrame, member: str) -> DataFrame:
+    """``families`` of one member column, from packed postings.
+
+    A task holds one posting per key of a part and about ``HELD`` more, however many members share a key.
+    """
+    def lead(batches):
+        def pairs(held: list[np.ndarray], led: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Leader and other members of the keys held, and each key's leader; ``led`` has those known before."""
+            posts = np.concatenate([led, *held])
+            order = np.argsort(posts[:, 0], kind="stable")
+            same = np.zeros(len(order) + 1, bool)
+            same[1:-1] = posts[order[1:], 0] == posts[order[:-1], 0]
+            alone, shared = order[~(same[1:] | same[:-1])], order[same[1:] | same[:-1]]
+            # Among the postings of a key, one that led before comes first, then the smallest member.
+            shared = shared[np.lexsort((posts[shared, 1], shared >= len(led), posts[shared, 0]))]
+            key, own = posts[shared].T
+            first = np.ones(len(key), bool)
+            first[1:] = key[1:] != key[:-1]
+            leader = own[first][np.cumsum(first) - 1]
+            found = np.stack([leader, own])[:, leader != own]
+            return np.unique(found, axis=1), posts[np.concatenate([alone, shared[first]])]
+
+        none = np.zeros((0, 2), np.int64)
+        held, led, n, last = [], none, 0, -1
+        for batch in batches:
+            values, starts = lists(batch.column("posts"))
+            for i, part in enumerate(batch.column("part").to_pylist()):
+                if held and (part != last or n >= HELD):
+                    found, led = pairs(held, led)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], [f"l_{member}", member])
+                    held, n = [], 0
+                if part != last:
+                    led, last = none, part
+                held.append(values[starts[i]:starts[i + 1]].view(np.int64).reshape(-1, 2))
+                n += len(held[-1])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(held, led)[0]], [f"l_{member}", member])
+
+    return (
+        posts.repartition(partitions(posts.sparkSession), "part").sortWithinPartitions("part", "posts")
+        .mapInArrow(lead, f"l_{member} bigint, {member} bigint").distinct()
+    )
+
+
 def with_leaders(pairs: DataFrame, member: list[str]) -> DataFrame:
     """The pairs, with each leader as a member of its own family; the pairs are written once."""
     pairs = cut(pairs, "families")
@@ -188,6 +280,33 @@ def dealt(pairs: DataFrame, member: list[str]) -> DataFrame:
     return pairs.join(sizes, lead).withColumn("_b", F.pmod(F.xxhash64(*member), F.col("_nb")).cast("int"))
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows cut between groups of equal ``keys``, and where each group begins (one more for the end).
+
+    Many groups come together; beside a batch only a group that goes on after it is held.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def joined(last: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches([*held, *last]).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        if held and any(held[-1].column(k)[len(held[-1]) - 1].as_py() != c[0] for k, c in zip(keys, columns)):
+            change = np.concatenate([[0], change])
+        if not len(change):
+            held.append(batch)
+            continue
+        before = sum(map(len, held))
+        yield joined([batch.slice(0, change[-1])]), np.concatenate([[0], before + change])
+        held = [batch.slice(change[-1])]
+    if held:
+        yield joined([]), np.array([0, sum(map(len, held))])
+
+
 def each_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """Groups of rows that follow each other with equal ``keys``; one group is held at a time."""
     held: list[pa.RecordBatch] = []

@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 
 from ..shared import BROADCAST_BYTES
 from .common import blocks, cut, partitions, raw_bytes, shingles, table, unused, words
-from .families import (ABOVE, BELOW, SHINGLE, dealt, digests, each_group, families, least_common, ordered_sets, prefixes,
-                       rarity, similar, taken, with_leaders)
+from .families import (ABOVE, BELOW, SHINGLE, dealt, digests, each_group, least_common, lists, ordered_sets, packed,
+                       packed_families, packed_postings, prefixes, rarity, similar, taken, whole_groups, with_leaders)
 
 LAST = (1 << 63) - 1
 # Places of family lines are broadcast up to this many (five numbers each); beyond, they meet the lines by shuffle.
 BROADCAST_LINES = 500_000
+# Families of up to this many members are looked through together; of such a lot, prefixes times members are this many.
+SMALL = 32
+LOT = 1 << 20
 
 
 def line_ends(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -42,7 +45,7 @@ def line_table(rows: DataFrame, classes: np.ndarray) -> DataFrame:
 
     The digest is over the shingles as they come, repeats counted, so equal
     lines are known before they are put in order.  A line that a task meets
-    again has its prefix once; the others' ``keys`` are empty.
+    again has its prefix once; the others' ``keys``, a packed list, are empty.
     """
     shared = rows.sparkSession.sparkContext.broadcast(classes)
 
@@ -63,13 +66,12 @@ def line_table(rows: DataFrame, classes: np.ndarray) -> DataFrame:
                 line, keys = prefixes(*ordered_sets(*taken(values, starts, which), shared.value))
                 sizes = np.zeros(len(d1), np.int64)
                 sizes[which] = np.bincount(line, minlength=len(which))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[at])]), pa.int32()), pa.array(keys))
                 texts = pa.array(owner[at])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_id").take(texts), part.column("_h").take(texts), pa.array(number[at]), pa.array(d1[at]), pa.array(d2[at]),
-                     lists], ["_id", "_h", "line", "d1", "d2", "keys"])
+                     packed(keys, np.concatenate([[0], np.cumsum(sizes[at])]))], ["_id", "_h", "line", "d1", "d2", "keys"])
 
-    return rows.mapInArrow(run, "_id bigint, _h bigint, line bigint, d1 bigint, d2 bigint, keys array<bigint>")
+    return rows.mapInArrow(run, "_id bigint, _h bigint, line bigint, d1 bigint, d2 bigint, keys binary")
 
 
 def packed_lines(rows: DataFrame, classes: np.ndarray) -> DataFrame:
@@ -88,7 +90,7 @@ def packed_lines(rows: DataFrame, classes: np.ndarray) -> DataFrame:
                 texts = pa.array(owner[which])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_id").take(texts), part.column("_h").take(texts), pa.array(number[which]),
-                     pa.array([values[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary())], ["_id", "_h", "line", "set"])
+                     packed(values, starts)], ["_id", "_h", "line", "set"])
 
     return rows.mapInArrow(run, "_id bigint, _h bigint, line bigint, set binary")
 
@@ -141,6 +143,69 @@ def _members(group: pa.RecordBatch) -> tuple[list[np.ndarray], list[tuple]]:
     return sets, list(zip(group.column("f_id").to_pylist(), group.column("f_line").to_pylist()))
 
 
+def small_matches(values: np.ndarray, starts: np.ndarray, group: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """``earlier_matches`` for many groups at once: which sets have a similar one at an earlier place of their group.
+
+    Sets stand in order of group, then place.  The prefixes of all groups are
+    sorted, so sets that share a shingle stand together; the size and the first
+    common shingle decide which pairs are verified.
+    """
+    n = np.diff(starts)
+    size = n // 4 + 1
+    owner = np.repeat(np.arange(len(n)), size)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    prefix = values[starts[owner] + at]
+    order = np.lexsort((prefix, group[owner]))
+    owner, at, prefix = owner[order], at[order], prefix[order]
+    run = np.concatenate([[0], np.cumsum((prefix[1:] != prefix[:-1]) | (group[owner[1:]] != group[owner[:-1]]))])
+    found = []
+    for step in range(1, len(run)):
+        first = np.flatnonzero(run[step:] == run[:-step])
+        if not len(first):
+            break
+        x, y = owner[first + step], owner[first]  # equal keys keep the order of the sets: y stands before x
+        fits = (BELOW * np.minimum(n[x], n[y]) >= ABOVE * np.maximum(n[x], n[y])) & (places[x] != places[y]).any(axis=1)
+        found.append(np.stack([x, y, at[first + step], at[first]])[:, fits])
+    matched = np.zeros(len(n), bool)
+    if not found:
+        return matched
+    pairs = np.concatenate(found, axis=1)
+    pairs = pairs[:, np.lexsort((pairs[2], pairs[1], pairs[0]))]
+    new = np.ones(pairs.shape[1], bool)
+    new[1:] = (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0)
+    x, y, i, j = pairs[:, new]  # each pair with its first common shingle, which has all others behind it in both sets
+    near = np.minimum(n[x] - i, n[y] - j) >= -(-ABOVE * (n[x] + n[y]) // (ABOVE + BELOW))
+    last, whole = -1, set()
+    for a, b in zip(x[near].tolist(), y[near].tolist()):
+        if matched[a]:
+            continue
+        if a != last:
+            last, whole = a, set(values[starts[a]:starts[a + 1]].tolist())
+        matched[a] = similar(len(whole.intersection(values[starts[b]:starts[b + 1]].tolist())), n[a], n[b])
+    return matched
+
+
+def group_matches(rows: pa.RecordBatch, groups: np.ndarray) -> np.ndarray:
+    """Which of the ``rows`` match an earlier one of their group; small groups are taken together."""
+    values, starts = lists(rows.column("set"))
+    places = np.stack([rows.column("f_id").to_numpy(), rows.column("f_line").to_numpy()], axis=1)
+    matched = np.zeros(len(rows), bool)
+    members = np.diff(groups)
+    prefix = np.concatenate([[0], np.cumsum(np.diff(starts) // 4 + 1)])
+    cost = members * (prefix[groups[1:]] - prefix[groups[:-1]])
+    small = (members <= SMALL) & (cost <= LOT)
+    lot = np.cumsum(np.where(small, cost, 0)) // LOT
+    ends = np.flatnonzero(np.concatenate([(lot[1:] != lot[:-1]) | ~small[1:] | ~small[:-1], [True]])) + 1
+    for a, b in zip([0, *ends.tolist()], ends.tolist()):
+        of, to = int(groups[a]), int(groups[b])
+        if small[a]:
+            matched[of:to] = small_matches(values[starts[of]:starts[to]], starts[of:to + 1] - starts[of],
+                                           np.repeat(np.arange(b - a), members[a:b]), places[of:to])
+        else:
+            matched[of:to] = earlier_matches([values[starts[i]:starts[i + 1]] for i in range(of, to)], [tuple(p) for p in places[of:to].tolist()])
+    return matched
+
+
 def later_lines(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """``d1, d2`` of the lines that match an earlier one.
 
@@ -155,13 +220,12 @@ def later_lines(pairs: DataFrame, held: DataFrame) -> DataFrame:
         F.col("d1") == F.col("l_d1"), F.sequence(F.lit(0), F.col("_nb") - 1)).otherwise(F.array("_b")))) if several else placed
 
     def inside(batches):
-        for group in each_group(batches, ["l_d1", "_b"]):
-            sets, places = _members(group)
-            matched = earlier_matches(sets, places)
-            open_ = ~matched & (group.column("_nb").to_numpy() > 1) & (group.column("d1").to_numpy() != group.column("l_d1").to_numpy())
+        for rows, groups in whole_groups(batches, ["l_d1", "_b"]):
+            matched = group_matches(rows, groups)
+            open_ = ~matched & (rows.column("_nb").to_numpy() > 1) & (rows.column("d1").to_numpy() != rows.column("l_d1").to_numpy())
             told = pa.array(matched | open_)
             yield pa.RecordBatch.from_arrays(
-                [group.column(c).filter(told) for c in ("l_d1", "d1", "d2")] + [pa.array(matched[matched | open_])],
+                [rows.column(c).filter(told) for c in ("l_d1", "d1", "d2")] + [pa.array(matched[matched | open_])],
                 ["l_d1", "d1", "d2", "matched"])
 
     found = cut(first.repartition(parts, "l_d1", "_b").sortWithinPartitions("l_d1", "_b", "f_id", "f_line").mapInArrow(
@@ -212,8 +276,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "d1", "d2", F.col("_f._id").alias("f_id"), F.col("_f.line").alias("f_line"), F.col("_f._h").alias("f_h"), "_n"), "first-lines")
 
     # The first part of the digest names a line here: a chance clash only makes a family larger.
-    posted = lines.select("d1", F.explode("keys").alias("key"))
-    pairs = cut(dealt(with_leaders(families(posted, ["d1"]), ["d1"]), ["d1"]), "line-pairs")
+    posts = packed_postings(lines.filter(F.octet_length("keys") > 0).select("d1", "keys"), "d1")
+    pairs = cut(dealt(with_leaders(packed_families(posts, "d1"), ["d1"]), ["d1"]), "line-pairs")
     wanted = cut(firsts.join(pairs.select("d1").distinct(), "d1", "left_semi").drop("_n"), "family-lines")
     few = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
     # One entry per line of a text at most.

@@ -16,8 +16,9 @@ from cloakframe.llm import bpe, language, mixing, periodic, personal, quality, s
 from cloakframe.llm.common import blocks, raw_bytes, words
 from cloakframe.llm.components import components
 from cloakframe.llm.exact_dedup import exact_groups
+from cloakframe.llm.families import each_group, families, lists, ordered_sets, packed, packed_families, packed_postings, whole_groups
 from cloakframe.llm.jaccard_join import SignatureTree, near_duplicates
-from cloakframe.llm.line_dedup import dedup_lines, earlier_matches
+from cloakframe.llm.line_dedup import dedup_lines, earlier_matches, group_matches
 from cloakframe.llm.quality import judge
 from cloakframe.llm.secrets import find_secrets
 import brute
@@ -284,6 +285,65 @@ def test_short_lines_are_compared(spark):
     assert got == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in texts.items()}
 
 
+@pytest.mark.parametrize("held", [1 << 20, 5])
+def test_postings_travel_packed(spark, monkeypatch, held):
+    """Some thousand postings are a few rows; families are those of the postings one by one, with few postings held too."""
+    monkeypatch.setattr("cloakframe.llm.families.HELD", held)
+    rng = random.Random(5)
+    hashes = [rng.getrandbits(47) << 16 for _ in range(400)]
+    rows = [(rng.randrange(300), [k - (1 << 63 if k >> 62 else 0) for k in {*rng.sample(hashes, 9), *hashes[:i % 2]}]) for i in range(300)]
+    made = spark.createDataFrame(rows, "m bigint, own array<bigint>").repartition(3)
+
+    def pack(batches):
+        for batch in batches:
+            own = batch.column("own")
+            yield pa.RecordBatch.from_arrays([batch.column("m"), packed(
+                own.flatten().to_numpy(), np.concatenate([[0], np.cumsum(own.value_lengths().to_numpy())]))], ["m", "keys"])
+
+    posts = packed_postings(made.mapInArrow(pack, "m bigint, keys binary"), "m")
+    if held > 5:
+        assert posts.count() <= 3 * 16 * 8 < sum(len(own) for _, own in rows) // 5
+    got = {tuple(r) for r in packed_families(posts, "m").collect()}
+    if held > 5:
+        assert got == {tuple(r) for r in families(made.select("m", F.explode("own").alias("key")), ["m"]).collect()}
+    members = {}
+    for m, own in rows:
+        for k in own:
+            members.setdefault(k, set()).add(m)
+    assert all(any(all(m == a or (a, m) in got for m in shared) for a in shared) for shared in members.values())
+    assert {a for a, _ in got} | {b for _, b in got} <= {m for shared in members.values() if len(shared) > 1 for m in shared}
+    assert packed_families(packed_postings(spark.createDataFrame([], "m bigint, keys binary"), "m"), "m").count() == 0
+
+
+def test_small_families_are_matched_together(monkeypatch):
+    """Families of a few lines come in a few record batches, and match as each does alone; places may be equal."""
+    rng = random.Random(7)
+    rows = []
+    for group in range(150):
+        base = [rng.getrandbits(64) for _ in range(rng.choice([1, 3, 4, 8, 30]))]
+        for _ in range(rng.choice([2, 2, 3, 9, 40 if group % 30 == 0 else 5])):
+            own = np.array(base[rng.randrange(1 + len(base) // 4):] + [rng.getrandbits(64) for _ in range(rng.randrange(1 + len(base) // 4))], np.uint64)
+            rows.append((group, rng.randrange(20), rng.randrange(2), ordered_sets(own, np.array([0, len(own)]), np.zeros(1 << 22, np.uint8))[0]))
+    rows.sort(key=lambda r: r[:3])
+    ends = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])])
+    batch = pa.RecordBatch.from_arrays(
+        [*(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), packed(np.concatenate([r[3] for r in rows]), ends)], ["g", "f_id", "f_line", "set"])
+    values, starts = lists(batch.column("set").slice(3))
+    assert np.array_equal(values, np.concatenate([r[3] for r in rows[3:]])) and np.array_equal(starts, ends[3:] - ends[3])
+    expected = []
+    for group in each_group(iter([batch]), ["g"]):
+        sets = [np.frombuffer(s, np.uint64) for s in group.column("set").to_pylist()]
+        expected += earlier_matches(sets, list(zip(group.column("f_id").to_pylist(), group.column("f_line").to_pylist()))).tolist()
+    assert 50 < sum(expected) < len(expected) - 50
+    for small, lot, size in ((32, 1 << 20, len(rows)), (32, 1 << 20, 37), (32, 1 << 20, 1), (4, 1 << 20, 37), (32, 60, 37)):
+        monkeypatch.setattr("cloakframe.llm.line_dedup.SMALL", small)
+        monkeypatch.setattr("cloakframe.llm.line_dedup.LOT", lot)
+        found = list(whole_groups((batch.slice(a, size) for a in range(0, len(rows), size)), ["g"]))
+        assert len(found) <= len(rows) // size + 2
+        assert [r["g"] for rows_, _ in found for r in rows_.to_pylist()] == [r[0] for r in rows]
+        assert [m for rows_, groups in found for m in group_matches(rows_, groups).tolist()] == expected
+
+
 def test_lm(spark, docs, nothing):
     got = suffix_tree.score_texts(docs, docs).collect()
     assert len(got) == docs.count()
