@@ -29,8 +29,8 @@ _SHIFT = np.uint64(64 - BITS)
 # Members of a family that one task compares with each other.
 FAMILY_BLOCK = 1024
 # Packed postings: parts of the keys for each shuffle partition, and postings that a task holds at a time.
-PARTS = 16
-HELD = 1 << 20
+PARTS = 8
+HELD = 1 << 18
 
 # A source of sets: for a batch slice, the shingle hashes of its texts and where each text's begin.
 Sets = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]

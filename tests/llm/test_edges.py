@@ -285,7 +285,7 @@ def test_short_lines_are_compared(spark):
     assert got == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in texts.items()}
 
 
-@pytest.mark.parametrize("held", [1 << 20, 5])
+@pytest.mark.parametrize("held", [1 << 18, 5])
 def test_postings_travel_packed(spark, monkeypatch, held):
     """Some thousand postings are a few rows; families are those of the postings one by one, with few postings held too."""
     monkeypatch.setattr("cloakframe.llm.families.HELD", held)
@@ -302,7 +302,7 @@ def test_postings_travel_packed(spark, monkeypatch, held):
 
     posts = packed_postings(made.mapInArrow(pack, "m bigint, keys binary"), "m")
     if held > 5:
-        assert posts.count() <= 3 * 16 * 8 < sum(len(own) for _, own in rows) // 5
+        assert posts.count() <= 3 * 8 * 8 < sum(len(own) for _, own in rows) // 5
     got = {tuple(r) for r in packed_families(posts, "m").collect()}
     if held > 5:
         assert got == {tuple(r) for r in families(made.select("m", F.explode("own").alias("key")), ["m"]).collect()}
