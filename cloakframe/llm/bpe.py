@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from .common import blocks, table
 
 # Pre-tokens a worker remembers, twice over; beyond it forgets the older half, so its memory is bounded.
-REMEMBERED = 300_000
-# Bytes of text that are encoded at once: distinct stretches recur in larger blocks.
-ENCODED = 8 << 20
+REMEMBERED = 200_000
+# Bytes of text that are encoded at once.  Distinct stretches recur in larger blocks, but meanwhile a worker
+# holds about 25 times as much.
+ENCODED = 2 << 20
 # Longer pre-tokens are worked out each time and not remembered.
 SHORT = 64
 

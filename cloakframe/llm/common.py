@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,12 +179,14 @@ def shingles(hashes: np.ndarray, starts: np.ndarray, k: int = 5) -> Words:
 def blocks(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about ``most`` bytes of text; a longer text is a part of its own.
 
-    Parts are copied out of the batch: some Arrow functions misread arrays that start inside a buffer.
+    Parts are copied out of the batch: some Arrow functions misread arrays that start inside a buffer.  At the end
+    Arrow gives the memory it no longer needs back: a worker that waits for its next task would keep it.
     """
-    size = np.diff(raw_bytes(batch.column(column))[1])
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at = 0
     total = np.concatenate([[0], np.cumsum(size)])
     while at < len(size):
         last = max(at + 1, int(np.searchsorted(total, total[at] + most, side="right")) - 1)
         yield pa.ipc.read_record_batch(batch.slice(at, last - at).serialize(), batch.schema)
         at = last
+    pa.default_memory_pool().release_unused()
