@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import _IS_SPACE, _mix, blocks, cut, partitions, raw_bytes, table
 from .common import words as _word_hashes
+from .families import lists, packed
 
 # Longest context in bytes; codes have room for ROOM.
 DEPTH = 6
@@ -39,13 +40,16 @@ FREQUENT = 4_000_000
 LONGEST = 32
 TEXTS = 3 << 20
 # Texts are turned into contexts in blocks of this many bytes, and a task counts this many symbols at a time.
-GRAMS = 2 << 20
-GATHERED = 4 << 20
+GRAMS = 1 << 20
+GATHERED = 5 << 20
+# Counts are packed, at most PACKED a row, by the lot of their SHARED bytes: LOTS lots for each shuffle partition.
+PACKED = 32
+LOTS = 32
 # A tree of more (context, symbol) rows meets the texts by shuffle.
 BROADCAST_TREE = 6_000_000
-# Rows of one task are put in whole contexts of SHARED bytes; shorter contexts are summed over tasks.
+# Contexts that share SHARED bytes are in one lot; shorter contexts are summed over tasks.  A task grows lots of CHUNK counts at a time.
 SHARED = min(3, DEPTH)
-CHUNK = 1_000_000
+CHUNK = 1 << 18
 # Seed of the 64-bit hash by which Spark and the workers name rare words alike.
 SEED = 42
 # The end of a text is counted under this key, which no word can equal.
@@ -152,31 +156,100 @@ def runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def packed_counts(codes: np.ndarray, n: np.ndarray, lots: int) -> Iterator[pa.RecordBatch]:
+    """``lot, grams``: the counted codes as pairs of code and count, many to a row, each row of one lot."""
+    first = runs(codes >> np.uint64(64 - 8 * SHARED))
+    lot = (_mix(codes[first] >> np.uint64(64 - 8 * SHARED)) % np.uint64(lots)).astype(np.int32)
+    order = np.argsort(lot, kind="stable")
+    lot, sizes = lot[order], np.diff(first, append=len(codes))[order]
+    ends = np.cumsum(sizes)
+    at = np.repeat(first[order] - ends + sizes, sizes)
+    at += np.arange(len(codes))
+    own = runs(lot)
+    lot, starts = lot[own], (ends - sizes)[own]
+    rows = -(-np.diff(starts, append=len(codes)) // PACKED)
+    starts = np.repeat(starts - PACKED * (np.cumsum(rows) - rows), rows) + PACKED * np.arange(rows.sum())
+    lot, starts = np.repeat(lot, rows), np.append(starts, len(codes))
+    for i in range(0, len(lot), CHUNK // PACKED):
+        bounds = starts[i:i + CHUNK // PACKED + 1]
+        where = at[bounds[0]:bounds[-1]]
+        pairs = np.stack([codes[where].view(np.int64), n[where]], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(lot[i:i + len(bounds) - 1]), packed(pairs, 2 * (bounds - bounds[0]))], ["lot", "grams"])
+
+
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """``gram, n`` of the texts in the first column, summed per task; ``c``, if there, says how often a text counts."""
+    """``lot, grams`` of the texts in the first column, summed per task; ``c``, if there, says how often a text counts."""
     name = texts.columns[0]
+    lots = LOTS * partitions(texts.sparkSession)
     if "c" in texts.columns:
         texts = texts.select(name, F.explode(F.sequence(F.lit(1).cast("long"), "c")))
 
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        codes = np.concatenate(held)
-        held.clear()
+    def counted(codes: np.ndarray) -> Iterator[pa.RecordBatch]:
         codes.sort()
         first = runs(codes)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(codes[first].view(np.int64)), pa.array(np.diff(first, append=len(codes)))], ["gram", "n"])
+        yield from packed_counts(codes[first], np.diff(first, append=len(codes)), lots)
 
     def count(batches):
-        held: list[np.ndarray] = []
+        held, n = np.empty(GATHERED, np.uint64), 0
         for batch in batches:
             for codes, _ in text_grams(batch.column(name)):
-                held.append(codes)
-                if sum(map(len, held)) > GATHERED:
-                    yield counted(held)
-        if held:
-            yield counted(held)
+                if n + len(codes) > len(held):
+                    yield from counted(held[:n])
+                    n = 0
+                if len(codes) > len(held):  # of one long text
+                    yield from counted(codes)
+                else:
+                    held[n:n + len(codes)] = codes
+                    n += len(codes)
+                del codes
+        yield from counted(held[:n])
+
+    return texts.select(name).mapInArrow(count, "lot int, grams binary")
+
+
+def packed_grams(counted: DataFrame) -> DataFrame:
+    """``gram, n`` in packed rows as ``gram_counts`` gives them."""
+    lots = LOTS * partitions(counted.sparkSession)
+
+    def pack(batches):
+        for batch in batches:
+            yield from packed_counts(batch.column("gram").to_numpy().view(np.uint64), batch.column("n").to_numpy(), lots)
 
-    return texts.select(name).mapInArrow(count, "gram bigint, n bigint")
+    return counted.select("gram", "n").mapInArrow(pack, "lot int, grams binary")
+
+
+def whole_lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``codes, n`` of whole lots, about ``CHUNK`` counts at a time; the rows of a lot follow each other.
+
+    A larger lot is summed as it is read, so a code that many rows count is held once.
+    """
+    done: list[np.ndarray] = []
+    own: list[np.ndarray] = []
+    last, most = None, CHUNK
+    for batch in batches:
+        lots = batch.column("lot").to_numpy()
+        values, starts = lists(batch.column("grams"))
+        first = runs(lots)
+        for a, b in zip(first, np.append(first[1:], len(lots))):
+            if lots[a] != last:
+                done += own
+                own, last, most = [], lots[a], CHUNK
+                if sum(map(len, done)) >= CHUNK:
+                    yield _columns(done)
+                    done = []
+            # A copy, which does not keep the batch.
+            own.append(values[starts[a]:starts[b]].reshape(-1, 2).copy())
+            if sum(map(len, own)) > most:
+                codes, n = _summed(*_columns(own))
+                own = [np.stack([codes, n.view(np.uint64)], axis=1)]
+                most = max(CHUNK, 2 * len(codes))
+    if done + own:
+        yield _columns(done + own)
+
+
+def _columns(pairs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.concatenate(pairs)
+    return rows[:, 0], rows[:, 1].view(np.int64)
 
 
 def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +285,7 @@ def grown(codes: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def tree(counted: DataFrame) -> DataFrame:
-    """Kept contexts with their next-symbol counts: ``context, symbol, n, total``.
+    """Kept contexts with their next-symbol counts: ``context, symbol, n, total``; of packed counts or of rows ``gram, n``.
 
     A context seen less than ``LEAST_SEEN`` times is dropped; of the rest those
     stay whose distribution differs enough from that of the context one symbol
@@ -222,29 +295,16 @@ def tree(counted: DataFrame) -> DataFrame:
     spark = counted.sparkSession
 
     def grow(batches):
-        held: list[pa.RecordBatch] = []
-
-        def handed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            columns = (rows["gram"].to_numpy().view(np.uint64), rows["n"].to_numpy())
-            for i, (codes, n, totals) in enumerate(grown(*columns)):
+        for lots in whole_lots(batches):
+            for i, (codes, n, totals) in enumerate(grown(*lots)):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((codes >> np.uint64(8)).view(np.int64)), pa.array((codes & np.uint64(255)).astype(np.int32)), pa.array(n),
                      pa.array(totals), pa.array(np.full(len(n), i == 0))], ["context", "symbol", "n", "total", "shared"])
 
-        for batch in batches:
-            if len(batch):
-                held.append(batch)
-            if sum(map(len, held)) > CHUNK:
-                rows = pa.Table.from_batches(held)
-                first = runs(rows["gram"].to_numpy().view(np.uint64) >> np.uint64(64 - 8 * SHARED))
-                if first[-1]:  # the last context may go on
-                    yield from handed(rows.slice(0, first[-1]))
-                    held = rows.slice(first[-1]).combine_chunks().to_batches()
-        if held:
-            yield from handed(pa.Table.from_batches(held))
-
-    whole = cut(counted.withColumn("_s", F.shiftright("gram", 64 - 8 * SHARED)).repartition(partitions(spark), "_s").drop("_s")
-                .sortWithinPartitions("gram").mapInArrow(grow, "context bigint, symbol int, n bigint, total bigint, shared boolean"), "contexts")
+    if "gram" in counted.columns:
+        counted = packed_grams(counted)
+    whole = cut(counted.repartition(partitions(spark), "lot").sortWithinPartitions("lot")
+                .mapInArrow(grow, "context bigint, symbol int, n bigint, total bigint, shared boolean"), "contexts")
     # The fill of a short context: all but its first bytes.
     filled = [(1 << 8 * (ROOM - d)) - 1 for d in range(SHARED + 1)]
     own = whole.filter("shared").select(F.explode(F.array([F.struct(
