@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ BLOCK = 1 << 20
 # Running sums over the bytes of a block are taken in strides that stay in the processor's cache.
 STRIDE = 1 << 16
 
-__all__ = ["BLOCK", "SPACES", "WORD", "Words", "blocks", "cut", "drop", "hot_slots", "partitions", "raw_bytes", "shingles", "ship", "table", "text_of", "unused", "words"]
+__all__ = ["BLOCK", "SPACES", "WORD", "Words", "blocks", "cut", "drop", "hot_slots", "partitions", "raw_bytes", "shingles", "ship", "shuffles_removed", "table", "text_of", "unused", "words"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,6 +55,21 @@ def drop(df: DataFrame) -> None:
             delete_path(spark, path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of every query that ends inside the block are removed then, not when the driver happens to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def hot_slots(df: DataFrame, key: Column, slots: int) -> DataFrame:
     """Keys that hold more rows than half an even share, and over how many slots to spread each.
 

@@ -28,6 +28,11 @@ PIECES = 256
 _SHIFT = np.uint64(64 - BITS)
 # Members of a family that one task compares with each other.
 FAMILY_BLOCK = 1024
+# Sizes of sets are told apart in steps of a 32nd octave; those of similar sets are at most SPAN steps apart.
+_STEPS = 2.0 ** (np.arange(40 * 32) / 32)
+SPAN = 14
+# Texts with a common shingle that are held against each other one by one; more are led by sizes.
+LISTED = 64
 # Packed postings: parts of the keys for each shuffle partition, and postings that a task holds at a time.
 PARTS = 8
 HELD = 1 << 18
@@ -172,6 +177,100 @@ def families(postings: DataFrame, member: list[str]) -> DataFrame:
     )
 
 
+def size_step(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(_STEPS, n, side="right") - 1
+
+
+def sized_prefixes(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``prefixes`` whose shingles tell in the low 16 bits the size of their set and the largest size that it can match.
+
+    If a set of ``n`` shares its shingle at place ``i`` with a set of ``m`` and none before, at most ``n - i`` are
+    common, and sets of these sizes need three sevenths of ``n + m``.  So ``m`` has a limit, which falls from
+    ``n * 4 // 3`` at the first place to ``n * 3 // 4`` at the last.
+    """
+    owner, keys = prefixes(values, starts)
+    n = np.diff(starts)[owner]
+    first = np.ones(len(owner), bool)
+    first[1:] = owner[1:] != owner[:-1]
+    at = np.arange(len(owner)) - np.flatnonzero(first)[np.cumsum(first) - 1] if len(owner) else owner
+    size = size_step(n)
+    reach = size_step((ABOVE + BELOW) * (n - at) // ABOVE - n) - size + SPAN
+    return owner, keys | size // SPAN << 9 | size % SPAN << 5 | reach
+
+
+def close_families(postings: DataFrame, member: str) -> DataFrame:
+    """Leader and member of every family: ``l_<member>, <member>``, each pair once; two sets that may be similar are in one.
+
+    ``postings`` has ``key`` (see ``sized_prefixes``) and ``member``.  Of a key's rows, up to ``LISTED`` are held against
+    each other, and those stay that fit another one's size and place; the smallest member leads.  More rows are read as
+    a stream in the order of their sizes, so whatever a key has, one row a batch and the leaders are held: the
+    first row of each ``SPAN`` of sizes leads the rows of this span and the next one.
+    """
+    def lead(batches):
+        def few(key: np.ndarray, own: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+            for n in np.unique(sizes[(sizes > 1) & (sizes <= LISTED)]):
+                at = starts[sizes == n][:, None] + np.arange(n)
+                code, ids = key[at], own[at]
+                size = (code >> 9 & 127) * SPAN + (code >> 5 & 15)
+                most = size + (code & 31) - SPAN
+                fits = (size[:, None, :] <= most[:, :, None]) & (size[:, :, None] <= most[:, None, :])
+                fits &= ids[:, None, :] != ids[:, :, None]
+                kept = fits.any(2)
+                leader = np.where(kept, ids, np.iinfo(np.int64).max).min(1, keepdims=True)
+                kept &= ids != leader
+                yield np.stack([np.broadcast_to(leader, ids.shape)[kept], ids[kept]])
+
+        def many(key: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Pairs, and which rows are the first of their span."""
+            span = key >> 9
+            first = np.ones(len(span), bool)
+            first[1:] = span[1:] != span[:-1]
+            heads = np.flatnonzero(first)
+            each = np.cumsum(first) - 1
+            lead, begun = own[heads], span[heads]
+            after = np.zeros(len(heads), bool)
+            after[1:] = (begun[1:] == begun[:-1] + 1) & (begun[1:] >> 7 == begun[:-1] >> 7)
+            before = np.concatenate([lead[:1], lead[:-1]])
+            rest = after[each]
+            found = np.concatenate([np.stack([lead[each], own]), np.stack([before[each], own])[:, rest]], axis=1)
+            return found[:, found[0] != found[1]], heads
+
+        held_key = held_own = np.zeros(0, np.int64)
+        streamed = None  # the key whose rows are read as a stream; its last two leaders are held
+        for batch in batches:
+            if not len(batch):
+                continue
+            key = np.concatenate([held_key, batch.column("key").to_numpy()])
+            own = np.concatenate([held_own, batch.column(member).to_numpy()])
+            name = key >> 16
+            starts = np.concatenate([[0], np.flatnonzero(name[1:] != name[:-1]) + 1])
+            sizes = np.diff(np.append(starts, len(key)))
+            long = sizes > LISTED
+            long[0] |= streamed is not None and name[0] == streamed
+            found = []
+            if long.any():
+                rows = np.flatnonzero(np.repeat(long, sizes))
+                pairs, heads = many(key[rows], own[rows])
+                found.append(pairs)
+            if long[-1]:
+                streamed, last = name[-1], rows[heads[-2:]]
+                last = last[name[last] == streamed]
+            else:
+                streamed, last = None, np.arange(starts[-1], len(key))
+            found += few(key, own, starts[:-1], np.where(long, 0, sizes)[:-1])
+            held_key, held_own = key[last], own[last]
+            if any(f.shape[1] for f in found):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.concatenate(found, axis=1), axis=1)], [f"l_{member}", member])
+        if streamed is None and len(held_key):
+            for f in few(held_key, held_own, np.zeros(1, np.int64), np.array([len(held_key)])):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(f, axis=1)], [f"l_{member}", member])
+
+    return (
+        postings.repartition(partitions(postings.sparkSession), F.shiftright("key", 16))
+        .sortWithinPartitions(F.shiftright("key", 9), member).mapInArrow(lead, f"l_{member} bigint, {member} bigint").distinct()
+    )
+
+
 def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit values of a column of packed lists, one list after another, and where each begins (one more for the end)."""
     column = column.cast(pa.large_binary())

@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import lookup_join
-from .common import blocks, cut, drop, partitions, table
+from .common import blocks, cut, drop, partitions, shuffles_removed, table
 from .components import components
-from .families import (ABOVE, BELOW, Sets, dealt, digests, each_group, families, least_common, ordered_sets, prefixes,
-                       rarity, similar, taken, text_shingles, with_leaders)
+from .families import (ABOVE, BELOW, Sets, close_families, dealt, digests, each_group, least_common, ordered_sets, rarity,
+                       similar, sized_prefixes, taken, text_shingles, with_leaders)
 
 FANOUT = 6
 # Identifiers that select texts are broadcast up to this many; beyond, texts and identifiers meet by shuffle.
@@ -108,8 +108,8 @@ def traverse(a: Node, b: Node, settled, meet) -> None:
             stack += [(a, y) for y in b.children]
 
 
-def with_candidates(leaves: list[Node]) -> np.ndarray:
-    """Which of the leaves may be similar to another one, by their bitmaps alone."""
+def with_candidates(leaves: list[Node], side: np.ndarray) -> np.ndarray:
+    """Which of the leaves may be similar to one of the other side (to any other if there is one side), by their bitmaps alone."""
     found = np.zeros(len(leaves), bool)
 
     def all_found(node: Node) -> bool:
@@ -120,8 +120,8 @@ def with_candidates(leaves: list[Node]) -> np.ndarray:
     def meet(x: int, y: int) -> None:
         found[[x, y]] = True
 
-    root = build(leaves)
-    traverse(root, root, lambda a, b: all_found(a) and all_found(b), meet)
+    roots = [build([n for n in leaves if side[n.leaf] == s]) for s in np.unique(side)]
+    traverse(roots[0], roots[-1], lambda a, b: all_found(a) and all_found(b), meet)
     return found
 
 
@@ -189,7 +189,7 @@ def narrow(docs: DataFrame, sets: Sets, classes: np.ndarray) -> DataFrame:
 
 
 def postings(docs: DataFrame, sets: Sets, classes: np.ndarray) -> DataFrame:
-    """``key, _id``: the prefix shingles of the sets; equal sets of a block are posted once, for the smallest identifier."""
+    """``key, _id``: the prefix shingles of the sets, with sizes and places; equal sets of a block are posted once, for the smallest identifier."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
@@ -200,31 +200,35 @@ def postings(docs: DataFrame, sets: Sets, classes: np.ndarray) -> DataFrame:
                 ids = part.column("_id").to_numpy()
                 rising = np.argsort(ids, kind="stable")
                 which = np.sort(rising[np.unique(np.stack(digests(values, starts))[:, rising], axis=1, return_index=True)[1]])
-                owner, keys = prefixes(*ordered_sets(*taken(values, starts, which), shared.value))
+                owner, keys = sized_prefixes(*ordered_sets(*taken(values, starts, which), shared.value))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[which[owner]])], ["key", "_id"])
 
     return docs.mapInArrow(run, "key bigint, _id bigint")
 
 
 def promising(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """The members of each family that may be similar to another one, by bitmaps alone.
+    """``l__id, _id``: the members of each dealt family that may be similar to another one, by bitmaps alone.
 
     Bitmaps are a small part of the sets, and most members of a family share
-    too little with any other; only the rest is compared whole.  Families of
-    several blocks are passed on as they are.
+    too little with any other; only the rest is compared whole.  Every block
+    of a family meets itself and every other block.
     """
     def run(batches):
-        for group in each_group(batches, ["l__id"]):
+        for group in each_group(batches, ["l__id", "_i", "_j"]):
+            side = group.column("_b").to_numpy()
+            if len(group) < 2 or side[0] == side[-1] and group.column("_i")[0] != group.column("_j")[0]:
+                continue
             leaves = [Node(i, 8 * len(b), int.from_bytes(b, "little"), n) for i, (b, n) in enumerate(
                 zip(group.column("bits").to_pylist(), group.column("n").to_pylist()))]
-            found = pa.array(with_candidates(leaves))
-            kept = [group.column(c).filter(found) for c in ("l__id", "_id", "_nb", "_b")]
-            yield pa.RecordBatch.from_arrays(kept, ["l__id", "_id", "_nb", "_b"])
+            found = pa.array(with_candidates(leaves, side))
+            yield pa.RecordBatch.from_arrays([group.column(c).filter(found) for c in ("l__id", "_id")], ["l__id", "_id"])
 
-    small = pairs.filter("_nb = 1").join(bits, "_id").select("l__id", "_id", "_nb", "_b", "n", "bits")
-    return pairs.filter("_nb > 1").select("l__id", "_id", "_nb", "_b").unionByName(
-        small.repartition(partitions(pairs.sparkSession), "l__id").sortWithinPartitions("l__id", "_id").mapInArrow(
-            run, "l__id bigint, _id bigint, _nb int, _b int"))
+    # Bitmaps are joined once and copied to the blocks by the tasks that send them.
+    known = pairs.join(bits, "_id").select("l__id", "_id", "_nb", "_b", "n", "bits")
+    met = known.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).select(
+        "l__id", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_b", "_id", "n", "bits")
+    return met.repartition(partitions(pairs.sparkSession), "l__id", "_i", "_j").sortWithinPartitions("l__id", "_i", "_j", "_b", "_id") \
+        .mapInArrow(run, "l__id bigint, _id bigint").distinct()
 
 
 def fetch(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -317,7 +321,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     identifier has no component and links nothing.  Shingles and sets are
     compared by 64-bit hashes.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_t"))
+    with shuffles_removed(docs.sparkSession):
+        named, group = _grouped(docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_t")))
+    return named.join(group.withColumnRenamed("node", "_id"), "_id", "left").select(
+        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component_id"))
+
+
+def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``_id, n, _rep`` of every row, and the ``node, component`` of those that are linked; what lies between is written and removed."""
     sets: Sets = text_shingles
     classes = rarity(rows, sets)
     own = cut(narrow(rows, sets, classes), "sets")
@@ -332,14 +343,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # for the others.  An identifier stays if any of its rows is the smallest of its equals.
     standing = F.bool_or(F.col("_id") == F.col("_rep"))
     stood_for = named.filter("_id is not null").groupBy("_id").agg(standing.alias("_own")).filter("not _own").select("_id")
-    found = with_leaders(fetch(families(postings(known, sets, classes), ["_id"]), stood_for, "left_anti"), ["_id"])
+    found = with_leaders(fetch(close_families(postings(known, sets, classes), "_id"), stood_for, "left_anti"), ["_id"])
     placed = cut(dealt(found, ["_id"]), "pairs")
     drop(found)
     # Rows that share an identifier have a bitmap each.
-    pairs = cut(promising(placed, filled.select("_id", "n", "bits")).distinct(), "promising")
+    near = cut(promising(placed, filled.select("_id", "n", "bits")), "promising")
     drop(placed)
     drop(own)
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+    # What is left of a family is dealt anew, to fewer blocks.
+    pairs = cut(dealt(near, ["_id"]), "near")
+    drop(near)
+    shared = rows.sparkSession.sparkContext.broadcast(classes)
 
     def pack(batches):
         for batch in batches:
@@ -352,9 +366,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = family_links(pairs, packed)
     # Copies stand for each other: links are followed between representatives.
     copies = named.filter("_id != _rep").select(F.col("_id").alias("u"), F.col("_rep").alias("v"))
-    group = components(links.unionByName(copies))
-    return named.join(group.withColumnRenamed("node", "_id"), "_id", "left").select(
-        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component_id"))
+    return named, components(links.unionByName(copies))
 
 
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

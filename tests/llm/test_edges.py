@@ -3,6 +3,7 @@
 import gzip
 import math
 import random
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -13,11 +14,12 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cloakframe.llm import bpe, language, mixing, periodic, personal, quality, suffix_tree, warc, whitening
-from cloakframe.llm.common import blocks, raw_bytes, words
+from cloakframe.llm.common import blocks, cut, raw_bytes, shuffles_removed, words
 from cloakframe.llm.components import components
 from cloakframe.llm.exact_dedup import exact_groups
-from cloakframe.llm.families import each_group, families, lists, ordered_sets, packed, packed_families, packed_postings, whole_groups
-from cloakframe.llm.jaccard_join import SignatureTree, near_duplicates
+from cloakframe.llm.families import (BUCKETS, SPAN, close_families, each_group, families, lists, ordered_sets, packed,
+                                     packed_families, packed_postings, size_step, sized_prefixes, whole_groups)
+from cloakframe.llm.jaccard_join import SignatureTree, family_links, near_duplicates
 from cloakframe.llm.line_dedup import dedup_lines, earlier_matches, group_matches
 from cloakframe.llm.quality import judge
 from cloakframe.llm.secrets import find_secrets
@@ -237,6 +239,98 @@ def test_one_text_stands_for_its_copies(spark, monkeypatch, few):
     assert got == {7: 7, 50: 7, 60: 7, 5: 5, 70: 5, 80: 5}
 
 
+def test_only_candidates_of_large_families_are_compared_whole(spark, monkeypatch):
+    """A passage common to texts that are otherwise different: bitmaps leave them out, also in a family of several blocks."""
+    monkeypatch.setattr("cloakframe.llm.families.FAMILY_BLOCK", 8)
+    # A sketch that tells nothing apart, as if the passage were as rare as the rest.
+    monkeypatch.setattr("cloakframe.llm.jaccard_join.rarity", lambda rows, sets: np.zeros(BUCKETS, np.uint8))
+    compared = []
+    monkeypatch.setattr("cloakframe.llm.jaccard_join.family_links", lambda pairs, sets: (
+        compared.extend(r["_id"] for r in pairs.select("_id").distinct().collect()), family_links(pairs, sets))[1])
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = {i: passage + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(90)) for i in range(60)}
+    texts |= {100 + i: texts[i] + " tail" for i in range(0, 60, 20)}
+    made = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    expected = brute.component_ids(texts)
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(made).collect()} == expected
+    assert {0, 20, 40, 100, 120, 140} <= set(compared) and len(compared) < 20
+
+
+@pytest.mark.parametrize("listed, rows", [(64, 10_000), (64, 7), (2, 10_000), (2, 5)])
+def test_similar_sets_share_a_family(spark, monkeypatch, listed, rows):
+    """Families of sized prefixes hold every similar pair, by few rows held or as a stream; sets of far sizes are kept apart."""
+    monkeypatch.setattr("cloakframe.llm.families.LISTED", listed)
+    rng = random.Random(11)
+    sets = [rng.sample(range(10**6), n) for n in (1, 2, 3, 4, 5, 8, 12, 20, 40, 120, 400)]
+    sets += [s[:len(s) - rng.randint(0, len(s) // 4)] + rng.sample(range(10**6), rng.randint(0, len(s) // 5)) for s in sets for _ in range(9)]
+    sets += [[7] + rng.sample(range(10**6), n) for n in (10, 20, 40, 80, 160, 320) for _ in range(3)]
+    values = [np.array(sorted(set(s)), np.uint64) * np.uint64(0x9E3779B97F4A7C15) for s in sets]
+    starts = np.concatenate([[0], np.cumsum([len(v) for v in values])])
+    owner, keys = sized_prefixes(*ordered_sets(np.concatenate(values), starts, np.zeros(BUCKETS, np.uint8)))
+    posts = spark.createDataFrame(list(zip(keys.tolist(), owner.tolist())), "key bigint, m bigint").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        got = close_families(posts, "m").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    family = {}
+    for r in got:
+        family.setdefault(r["l_m"], {r["l_m"]}).add(r["m"])
+    assert len(got) == len(set(got))
+    links = brute.similar_pairs({i: frozenset(v.tolist()) for i, v in enumerate(values)})
+    assert len(links) > 100 and all(any(a in f and b in f for f in family.values()) for a, b in links)
+    apart = [(a, b) for f in family.values() for a in f for b in f if len(values[a]) > 2 * len(values[b]) + 4]
+    assert not apart or listed == 2
+
+
+def test_hot_key_is_led_by_sizes(spark, monkeypatch):
+    """A key of many rows in many batches: members meet those of their own and the neighbouring span of sizes, and no others."""
+    n = np.array([10] * 150 + [12] * 150 + [14] * 150 + [1000] * 150 + [5] * 3)
+    step = size_step(n)
+    keys = 5 << 16 | step // SPAN << 9 | step % SPAN << 5 | SPAN
+    posts = spark.createDataFrame(list(zip(keys.tolist(), range(len(n)))), "key bigint, m bigint")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        got = close_families(posts, "m").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    family = {}
+    for r in got:
+        family.setdefault(r["l_m"], {r["l_m"]}).add(r["m"])
+    span = step // SPAN
+    assert len(got) <= 2 * len(n)
+    assert all(abs(span[a] - span[b]) <= 1 for f in family.values() for a in f for b in f)
+    for s in set(span.tolist()):
+        near = set(np.flatnonzero((span == s) | (span == s + 1)).tolist())
+        assert any(near <= f for f in family.values())
+
+
+def test_shuffles_removed(spark):
+    """Queries inside the block leave no shuffle file behind, and the setting is as before afterwards."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def left():
+        files = manager.getAllFiles().iterator()
+        names = set()
+        while files.hasNext():
+            names.add(files.next().getName())
+        return {n for n in names if n.startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(key, None), left()
+    with shuffles_removed(spark):
+        made = cut(spark.range(1000, numPartitions=4).groupBy((F.col("id") % 7).alias("k")).count(), "made")
+        assert made.groupBy("count").count().count() == 2
+    assert spark.conf.get(key, None) == setting
+    until = time.time() + 20
+    while left() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not left() - before
+
+
 def test_tree_finds_every_component():
     rng = random.Random(4)
     sets = []
